@@ -154,17 +154,20 @@ def dispatch_flags(alerts: DataFrame, window_s: float = DEFAULT_WINDOW_S, keys:
     d = _chains(n, w, ord_cols)
     stats = d.groupBy("_key", "_cs").agg(F.count(F.lit(1)).alias("_size"), F.max("_t").alias("_end"),
                                          F.min(_order_struct(ord_cols)).alias("_head"))
-    d = d.join(stats, ["_key", "_cs"])
-    trivial = d.filter(F.col("_end") - F.col("_cs") <= w).select(
-        "_rid", (F.col("_rid") == F.col("_head")["rid"]).alias("dispatched"))
-    mid = d.filter((F.col("_end") - F.col("_cs") > w) & (F.col("_size") <= fold_max))
+    # Materialise the narrow chain table once (reliable checkpoint in the
+    # shared folder): the branches below and the long-chain test read it
+    # instead of recomputing detection, and the lineage is cut.
+    d = _checkpoint(d.join(stats, ["_key", "_cs"]))
+    span = F.col("_end") - F.col("_cs")
+    trivial = d.filter(span <= w).select("_rid", (F.col("_rid") == F.col("_head")["rid"]).alias("dispatched"))
+    mid = d.filter((span > w) & (F.col("_size") <= fold_max))
     mid = (mid.repartition("_key", "_cs")
            .sortWithinPartitions("_key", "_cs", "_t", *ord_cols, "_rid")
            .select("_key", "_cs", "_t", "_rid"))
     folded = mid.mapInPandas(_fold_partition(w), T.StructType([
         T.StructField("_rid", T.StringType()), T.StructField("dispatched", T.BooleanType())]))
     parts = [trivial, folded]
-    long_rows = d.filter((F.col("_end") - F.col("_cs") > w) & (F.col("_size") > fold_max))
+    long_rows = d.filter((span > w) & (F.col("_size") > fold_max))
     if not long_rows.isEmpty():
         kept = _doubling(long_rows, w, ord_cols)
         parts.append(long_rows.select("_rid").join(kept, "_rid", "left")

@@ -153,7 +153,7 @@ FROM d0"""
 
 @register("normalize_documents", _DOC_SQL)
 def normalize_documents(spark, sf):
-    docs = derived.load(spark, sf, "documents").select("doc_id", "text")
+    docs = derived.load_spread(spark, sf, "documents", ["doc_id", "text"])
     ev = docs.select("doc_id", F.col("text").alias("message"), F.lit("low").alias("severity"),
                      F.create_map().cast("map<string,string>").alias("parsed_fields"))
     return normalize(ev).select("doc_id", *norm_cols())

@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vigil.functions.partitioning import spread
+
 _BODY = """
 WITH b AS (
   SELECT event_id, user_id, event_type, {TS} AS log_ts,
@@ -79,9 +81,14 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def load_spread(spark: SparkSession, sf_dir: str, name: str, columns: list[str]) -> DataFrame:
+    """Pruned scan, spread over the cores when it has too few splits."""
+    return spread(load(spark, sf_dir, name).select(*columns))
+
+
 def log_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(event_id, log_ts, source, hostname, process, message, line)."""
-    events = load(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    events = load_spread(spark, sf_dir, "events", ["event_id", "user_id", "event_type"])
     return spark.sql(_fill(SPARK_PARTS), events=events)
 
 
