@@ -43,6 +43,26 @@ def extract(c: Column, pattern: str, group: int, ignore_case: bool = False) -> C
     return F.nullif(F.regexp_extract(c, py_regex(pattern, ignore_case), group), F.lit(""))
 
 
+def regex_split(c: Column, pattern: str, n: int, anchored: bool = False) -> Column:
+    """All groups of the first match of ``pattern`` from ONE regex evaluation,
+    as an array ["", g1, ..., gn] (``regexp_extract`` would run the regex once
+    per group). Materialise it as a column, then read it with ``group_at``.
+
+    The match is rewritten to "\\n g1 \\n g2 ..." by ``regexp_replace`` and
+    split; ``^.*?(?:p).*$`` finds the same leftmost match as a search. Callers
+    guarantee that ``c`` holds no newline (true for log lines, which are split
+    on newlines, and their parts), so an unmatched value splits to one element.
+    """
+    body = pattern if anchored else "^.*?(?:" + pattern + ").*$"
+    repl = "".join("\n$" + str(i) for i in range(1, n + 1))
+    return F.split(F.regexp_replace(c, py_regex(body), repl), "\n")
+
+
+def group_at(arr: Column, i: int) -> Column:
+    """Group ``i`` of a ``regex_split`` array; NULL if no match or empty."""
+    return F.when(F.size(arr) > 1, F.nullif(F.get(arr, i), F.lit("")))
+
+
 def contains_any(lowered: Column, words) -> Column:
     """OR of substring tests on an already lower-cased column."""
     return reduce(lambda a, b: a | b, [lowered.contains(w) for w in words], F.lit(False))

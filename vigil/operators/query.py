@@ -108,32 +108,53 @@ def events_per_hour(events: DataFrame, now, hours: int = 24, whole_boundary_day:
             .agg(F.count(F.lit(1)).alias("count")).orderBy("hour"))
 
 
+def _hour_key(events: DataFrame, now, hours: int = 24, whole_boundary_day: bool = False):
+    since = _ts_lit(now) - F.expr(f"INTERVAL {int(hours)} HOURS")
+    cond = (F.col("timestamp") >= F.to_timestamp(F.to_date(since))) if whole_boundary_day \
+        else (F.col("timestamp") >= since)
+    return F.when(cond, F.date_format(F.date_trunc("hour", "timestamp"), "yyyy-MM-dd HH:00"))
+
+
+def _event_metrics(events: DataFrame, now, whole_boundary_day: bool) -> DataFrame:
+    """total / by severity / per hour from ONE aggregation pass (grouping sets)."""
+    e = events.select("severity", _hour_key(events, now, whole_boundary_day=whole_boundary_day).alias("hour"))
+    g = e.groupingSets([[], ["severity"], ["hour"]], "severity", "hour").agg(
+        F.count(F.lit(1)).alias("value"), F.grouping_id().alias("gid"))
+    # grouping_id bits: severity = 2, hour = 1 (1 = not grouped by it)
+    return g.select(
+        F.when(F.col("gid") == 3, "total_events").when(F.col("gid") == 1, "events_by_severity")
+        .otherwise("events_per_hour").alias("metric"),
+        F.when(F.col("gid") == 1, F.col("severity")).when(F.col("gid") == 2, F.col("hour")).alias("key"),
+        "value",
+    ).filter(~((F.col("metric") == "events_per_hour") & F.col("key").isNull()))
+
+
+def _alert_metrics(alerts: DataFrame, top: int) -> DataFrame:
+    """total / by severity / top rules from ONE aggregation pass."""
+    g = alerts.groupingSets([[], ["severity"], ["rule_name"]], "severity", "rule_name").agg(
+        F.count(F.lit(1)).alias("value"), F.grouping_id().alias("gid"))
+    rest = g.filter(F.col("gid") != 2).select(
+        F.when(F.col("gid") == 3, "total_alerts").otherwise("alerts_by_severity").alias("metric"),
+        F.when(F.col("gid") == 1, F.col("severity")).alias("key"), "value")
+    ranked = (g.filter(F.col("gid") == 2).orderBy(F.col("value").desc(), F.col("rule_name")).limit(top)
+              .select(F.lit("top_rules").alias("metric"), F.col("rule_name").alias("key"), "value"))
+    return rest.unionByName(ranked)
+
+
 def stats_bundle(events: DataFrame, alerts: DataFrame, now, whole_boundary_day: bool = False) -> DataFrame:
-    """All statistics in long form (metric, key, value)."""
-    parts = [
-        events.agg(F.count(F.lit(1)).alias("value")).select(
-            F.lit("total_events").alias("metric"), F.lit(None).cast("string").alias("key"), "value"),
-        alerts.agg(F.count(F.lit(1)).alias("value")).select(
-            F.lit("total_alerts").alias("metric"), F.lit(None).cast("string").alias("key"), "value"),
-        by_severity(events).select(F.lit("events_by_severity").alias("metric"),
-                                   F.col("severity").alias("key"), F.col("count").alias("value")),
-        by_severity(alerts).select(F.lit("alerts_by_severity").alias("metric"),
-                                   F.col("severity").alias("key"), F.col("count").alias("value")),
-        top_rules(alerts).select(F.lit("top_rules").alias("metric"),
-                                 F.col("rule_name").alias("key"), F.col("count").alias("value")),
-        events_per_hour(events, now, whole_boundary_day=whole_boundary_day).select(
-            F.lit("events_per_hour").alias("metric"), F.col("hour").alias("key"), F.col("count").alias("value")),
-    ]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    """All statistics in long form (metric, key, value): one aggregation pass
+    over events and one over alerts."""
+    return _event_metrics(events, now, whole_boundary_day).unionByName(_alert_metrics(alerts, 10))
 
 
 def status_summary(events: DataFrame, alerts: DataFrame) -> DataFrame:
     """Totals, events by severity, the five most frequent rules (long form)."""
-    b = stats_bundle(events, alerts, _dt.datetime(1970, 1, 1, tzinfo=_dt.timezone.utc))
-    top5 = top_rules(alerts, 5).select(F.lit("top_rules").alias("metric"),
-                                       F.col("rule_name").alias("key"), F.col("count").alias("value"))
-    keep = b.filter(F.col("metric").isin("total_events", "total_alerts", "events_by_severity"))
-    return keep.unionByName(top5)
+    ev = events.groupingSets([[], ["severity"]], "severity").agg(
+        F.count(F.lit(1)).alias("value"), F.grouping_id().alias("gid"))
+    ev = ev.select(F.when(F.col("gid") == 1, "total_events").otherwise("events_by_severity").alias("metric"),
+                   F.when(F.col("gid") == 0, F.col("severity")).alias("key"), "value")
+    al = _alert_metrics(alerts, 5).filter(F.col("metric") != "alerts_by_severity")
+    return ev.unionByName(al)
 
 
 def alerts_with_events(alerts: DataFrame, events: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ import datetime as _dt
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vigil.functions.text import compact_map, contains_any, extract, ustrip
+from vigil.functions.text import compact_map, contains_any, group_at, regex_split, ustrip
 from vigil.functions.timeparse import syslog_time
 
 # ---------------------------------------------------------------------------
@@ -37,14 +37,12 @@ def clean_lines(df: DataFrame, col: str = "value") -> DataFrame:
 
 def _header(df: DataFrame, line: str, year, now) -> DataFrame:
     v = F.col(line)
-    out = df.select(
-        "*",
-        extract(v, HEADER, 1).alias("_ts_text"),
-        extract(v, HEADER, 2).alias("hostname"),
-        extract(v, HEADER, 3).alias("_process"),
-        extract(v, HEADER, 4).alias("_pid"),
-        extract(v, HEADER, 5).alias("message"),
-    )
+    # One evaluation of the header regex for all five groups (lines are
+    # split on newlines, so none is inside a line).
+    out = df.select("*", regex_split(v, HEADER, 5, anchored=True).alias("_hdr"))
+    h = F.col("_hdr")
+    out = out.select(*df.columns, *[group_at(h, i + 1).alias(n) for i, n in
+                                    enumerate(["_ts_text", "hostname", "_process", "_pid", "message"])])
     # Group 5 is ".+", so it is non-empty exactly when the line matched.
     out = out.filter(F.col("message").isNotNull())
     return out.withColumn("timestamp", syslog_time(F.col("_ts_text"), year, now)).withColumn("raw", v)
@@ -71,18 +69,32 @@ def parse_syslog(df: DataFrame, line: str = "value", source: str | Column = "sys
             .drop("_ts_text", "_process", "_pid"))
 
 
-def auth_fields(message: Column) -> dict[str, Column]:
-    """SSH / sudo / user-management fields of an auth message.
+AUTH_GROUPS = [  # (column prefix, pattern, number of groups)
+    ("f", FAILED_SSH, 3), ("a", ACCEPTED_SSH, 3), ("s", SUDO, 4), ("add", USER_ADD, 1), ("del", USER_DEL, 1)]
+
+
+def auth_group_arrays(message: Column) -> list[Column]:
+    """Each auth pattern evaluated once per row, as ``_m_<prefix>`` arrays."""
+    return [regex_split(message, pattern, n).alias(f"_m_{prefix}") for prefix, pattern, n in AUTH_GROUPS]
+
+
+def auth_group_columns() -> list[Column]:
+    """Groups of the ``_m_*`` arrays as ``_g_<prefix><i>``."""
+    return [group_at(F.col(f"_m_{prefix}"), i + 1).alias(f"_g_{prefix}{i + 1}")
+            for prefix, _, n in AUTH_GROUPS for i in range(n)]
+
+
+def auth_fields(g=lambda name: F.col("_g_" + name)) -> dict[str, Column]:
+    """SSH / sudo / user-management fields from the group columns.
 
     All five patterns are tried; a later match overwrites event type,
     severity and user, fields only an earlier pattern sets are kept.
     """
-    m = message
-    f_user, f_ip, f_port = (extract(m, FAILED_SSH, i) for i in (1, 2, 3))
-    a_user, a_ip, a_port = (extract(m, ACCEPTED_SSH, i) for i in (1, 2, 3))
-    s_user, s_pwd, s_target, s_cmd = (extract(m, SUDO, i) for i in (1, 2, 3, 4))
-    add_user = extract(m, USER_ADD, 1)
-    del_user = extract(m, USER_DEL, 1)
+    f_user, f_ip, f_port = g("f1"), g("f2"), g("f3")
+    a_user, a_ip, a_port = g("a1"), g("a2"), g("a3")
+    s_user, s_pwd, s_target, s_cmd = g("s1"), g("s2"), g("s3"), g("s4")
+    add_user = g("add1")
+    del_user = g("del1")
     hits = [  # latest first: the first non-NULL wins in coalesce
         (del_user, "user_deleted", "high"),
         (add_user, "user_created", "high"),
@@ -109,7 +121,12 @@ def parse_auth(df: DataFrame, line: str = "value", source: str | Column = "auth"
     """Auth-log lines -> events with SSH / sudo / user fields."""
     src = source if isinstance(source, Column) else F.lit(source)
     out = _header(df, line, year, now)
-    fields = auth_fields(F.col("message"))
+    # Group columns first, in their own projection: each regex runs once per
+    # row, however often the overlay below refers to its groups.
+    cols = out.columns
+    out = out.select("*", *auth_group_arrays(F.col("message")))
+    out = out.select(*cols, *auth_group_columns())
+    fields = auth_fields()
     out = out.select("*", *[c.alias("_a_" + k) for k, c in fields.items()])
     pf = compact_map(
         ("process", F.col("_process")), ("pid", F.col("_pid")),
@@ -121,7 +138,8 @@ def parse_auth(df: DataFrame, line: str = "value", source: str | Column = "auth"
     out = (out.withColumn("source", src)
            .withColumn("severity", F.col("_a_severity"))
            .withColumn("parsed_fields", pf))
-    return out.drop("_ts_text", "_process", "_pid", *["_a_" + k for k in fields])
+    groups = [f"_g_{p}{i + 1}" for p, _, n in AUTH_GROUPS for i in range(n)]
+    return out.drop("_ts_text", "_process", "_pid", *["_a_" + k for k in fields], *groups)
 
 
 def event_id(source: Column, hostname: Column, raw: Column, ordinal: Column) -> Column:
