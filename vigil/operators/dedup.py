@@ -177,11 +177,16 @@ def dispatch_flags(alerts: DataFrame, window_s: float = DEFAULT_WINDOW_S, keys:
 
 def dedup(alerts: DataFrame, window_s: float = DEFAULT_WINDOW_S, keys: list[Column] | None = None,
           order_cols: list[str] | None = None, row_id: str = "id", fold_max: int = FOLD_MAX) -> DataFrame:
-    """Alerts with a boolean ``dispatched`` column (False = suppressed)."""
+    """Alerts with a boolean ``dispatched`` column (False = suppressed).
+
+    The alert rows are checkpointed once (alerts are a small fraction of the
+    events), so detection is not re-run for the flag computation and the
+    final join, and the lineage is cut before the iterative part."""
     if window_s <= 0:
         return alerts.withColumn("dispatched", F.lit(True))
-    flags = dispatch_flags(alerts, window_s, keys, order_cols, row_id, fold_max)
-    out = alerts.join(flags, F.col(row_id).cast("string") == flags["_rid"])
+    base = _checkpoint(alerts)
+    flags = dispatch_flags(base, window_s, keys, order_cols, row_id, fold_max)
+    out = base.join(flags, F.col(row_id).cast("string") == flags["_rid"])
     return out.drop("_rid")
 
 

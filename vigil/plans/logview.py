@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vigil.functions.partitioning import table_boundary
 from vigil.operators.normalize import normalize
 from vigil.sources import derived
 from vigil.sources.lines import event_id, parse_auth, parse_syslog
@@ -29,3 +30,10 @@ def parsed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def view_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parsed and normalised EVENT rows of the derived view (+ ``seq``)."""
     return normalize(parsed_events(spark, sf_dir))
+
+
+def view_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``view_events`` behind a table boundary: for queries that filter on
+    computed columns (severity, time), so the filter runs on the computed
+    values instead of being inlined into the parse expressions."""
+    return table_boundary(view_events(spark, sf_dir))

@@ -23,7 +23,7 @@ from vigil.operators.sinks import alert_json, console_records
 from vigil.operators.store import (event_from_json, event_json, from_stored_events, new_rows,
                                    to_stored_events)
 from vigil.plans import oracle as O
-from vigil.plans.logview import view_events
+from vigil.plans.logview import view_events, view_table
 from vigil.sources import derived
 from vigil.sources.fanin import fan_in
 from vigil.sources.lines import parse_auth, parse_syslog
@@ -316,7 +316,7 @@ SELECT event_id, epoch_us(log_ts) AS ts_us, hostname, severity FROM n
 WHERE severity = 'high' AND source = 'auth' AND log_ts >= TIMESTAMP '{LIST_START}' AND log_ts <= TIMESTAMP '{LIST_END}'
 ORDER BY log_ts DESC, eid DESC LIMIT 100 OFFSET 20"""))
 def events_listing(spark, sf):
-    ev = view_events(spark, sf)
+    ev = view_table(spark, sf)
     page = Q.query_events(ev, severity="high", source="auth", hostname="", start_time=LIST_START,
                           end_time=LIST_END, limit=100, offset=20)
     return page.select(F.col("seq").alias("event_id"), ts_us().alias("ts_us"), "hostname", "severity")
@@ -336,7 +336,7 @@ def alerts_listing(spark, sf):
 pg AS (SELECT event_id, log_ts, eid FROM n WHERE source = 'syslog' ORDER BY log_ts DESC, eid DESC LIMIT 25 OFFSET 5)
 SELECT count(*) AS count, 25 AS "limit", 5 AS "offset", max(event_id) AS newest, min(event_id) AS oldest FROM pg"""))
 def page_envelope(spark, sf):
-    ev = view_events(spark, sf)
+    ev = view_table(spark, sf)
     env = Q.page_envelope(Q.query_events(ev, source="syslog", limit=25, offset=5).select("seq", "timestamp"),
                           25, 5)
     return env.select("count", "limit", "offset",
@@ -373,14 +373,14 @@ _NOW_SQL = "TIMESTAMP '2024-01-02 02:00:00'"
 SELECT strftime(date_trunc('hour', log_ts), '%Y-%m-%d %H:00') AS hour, count(*) AS count FROM n
 WHERE log_ts >= {_NOW_SQL} - INTERVAL 24 HOURS GROUP BY 1 ORDER BY 1"""))
 def events_per_hour(spark, sf):
-    return Q.events_per_hour(view_events(spark, sf), STATS_NOW)
+    return Q.events_per_hour(view_table(spark, sf), STATS_NOW)
 
 
 @register("events_per_hour_boundary_day", O.with_events(f"""
 SELECT strftime(date_trunc('hour', log_ts), '%Y-%m-%d %H:00') AS hour, count(*) AS count FROM n
 WHERE log_ts >= CAST(CAST({_NOW_SQL} - INTERVAL 24 HOURS AS DATE) AS TIMESTAMP) GROUP BY 1 ORDER BY 1"""))
 def events_per_hour_boundary_day(spark, sf):
-    return Q.events_per_hour(view_events(spark, sf), STATS_NOW, whole_boundary_day=True)
+    return Q.events_per_hour(view_table(spark, sf), STATS_NOW, whole_boundary_day=True)
 
 
 _BUNDLE_SQL = f"""
