@@ -37,3 +37,20 @@ def view_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     computed columns (severity, time), so the filter runs on the computed
     values instead of being inlined into the parse expressions."""
     return table_boundary(view_events(spark, sf_dir))
+
+
+def stream_view_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same events, as a stream: the ``events`` table is read with the
+    Parquet file source and goes through the same view SQL, parsers and
+    normaliser."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    src = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
+           .option("maxFilesPerTrigger", "1").parquet(sf_dir))
+    v = spark.sql(derived.spark_view_sql(), events=src.select("event_id", "user_id", "event_type"))
+    lines = v.select(F.col("event_id").alias("seq"), "source", F.col("line").alias("value"))
+    auth = parse_auth(lines.filter(F.col("source") == "auth").drop("source"), "value", "auth", year=derived.LOG_YEAR)
+    sys_ = parse_syslog(lines.filter(F.col("source") == "syslog").drop("source"), "value", "syslog",
+                        year=derived.LOG_YEAR)
+    both = auth.unionByName(sys_).drop("value")
+    both = both.withColumn("id", event_id(F.col("source"), F.col("hostname"), F.col("raw"), F.col("seq")))
+    return normalize(both)

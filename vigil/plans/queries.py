@@ -488,6 +488,33 @@ def detect_summary(spark, sf):
     return t.select(F.col("total_alerts").alias("alerts"), F.col("total_events").alias("events"))
 
 
+# ------------------------------------------------------------------ streaming
+@register("stream_threshold_dedup", O.with_alerts(O.dedup_cte() + """
+SELECT event_id, rule_id, kept AS dispatched FROM kept""", include_brute=False)
+    .replace("WITH ", "WITH RECURSIVE ", 1))
+def stream_threshold_dedup(spark, sf):
+    """F4 + G2 on a stream: the events table streamed through parse,
+    normalise, threshold state and dedup state; run to the end."""
+    from vigil.streaming.live import run_to_end, stream_alerts
+    from vigil.streaming.stateful import stream_dedup
+    from vigil.plans.logview import stream_view_events
+    ev = stream_view_events(spark, sf).withWatermark("timestamp", "10 minutes")
+    rules = [r for r in builtin_rules() if r.id != "gs-002"]
+    out = stream_dedup(stream_alerts(ev, rules, tie="seq"), 300, tie="seq")
+    return run_to_end(out.select(F.col("seq").alias("event_id"), "rule_id", "dispatched"), "threshold_dedup")
+
+
+@register("stream_brute_force", O.with_alerts("""
+SELECT event_id, rule_id, match_count FROM al WHERE rule_id = 'gs-002'"""))
+def stream_brute_force(spark, sf):
+    """F4 alone: the brute-force threshold rule on the stream."""
+    from vigil.streaming.live import run_to_end, stream_alerts
+    from vigil.plans.logview import stream_view_events
+    ev = stream_view_events(spark, sf).withWatermark("timestamp", "10 minutes")
+    out = stream_alerts(ev, [builtin_rule("gs-002")], tie="seq")
+    return run_to_end(out.select(F.col("seq").alias("event_id"), "rule_id", "match_count"), "brute_force")
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Parse -> normalise -> all built-in rules -> dedup: dispatched alerts."""
     al = _alerts(spark, sf, builtin_rules())

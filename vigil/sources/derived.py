@@ -72,6 +72,11 @@ def _fill(parts: dict) -> str:
     return out
 
 
+def spark_view_sql() -> str:
+    """Spark text of the derived view; ``{events}`` is a DataFrame argument."""
+    return _fill(SPARK_PARTS)
+
+
 def duck_log_view_sql() -> str:
     """DuckDB text of the derived view (reads the pre-registered ``events``)."""
     return _fill(DUCK_PARTS)

@@ -139,3 +139,29 @@ def start_live(spark: SparkSession, sources: list[DataFrame], events_path: str,
 def _event_schema():
     from vigil.schema import EVENT
     return EVENT
+
+
+def stream_events_per_hour(events: DataFrame, watermark: str = "10 minutes") -> DataFrame:
+    """Events per hour on a stream: event-time tumbling windows of 1 hour,
+    closed by the watermark (H10 stream form)."""
+    return (events.withWatermark("timestamp", watermark)
+            .groupBy(F.window("timestamp", "1 hour").alias("w"))
+            .agg(F.count(F.lit(1)).alias("count"))
+            .select(F.date_format(F.col("w.start"), "yyyy-MM-dd HH:00").alias("hour"), "count"))
+
+
+def run_to_end(df: DataFrame, name: str, output_mode: str = "append") -> DataFrame:
+    """Run a streaming DataFrame over everything available now into a Parquet
+    folder under the shared checkpoint folder; return that folder as a batch
+    DataFrame. A fresh subfolder per run keeps runs apart."""
+    import uuid
+
+    from vigil.session import ensure_checkpoint_dir
+    spark = df.sparkSession
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
+    q = (df.writeStream.format("parquet").outputMode(output_mode).option("path", f"{base}/out")
+         .option("checkpointLocation", f"{base}/ck").trigger(availableNow=True).start())
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+    return spark.read.schema(df.schema).parquet(f"{base}/out")
