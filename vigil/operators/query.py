@@ -10,7 +10,7 @@ from __future__ import annotations
 import datetime as _dt
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_PAGE = 1000
@@ -130,15 +130,18 @@ def _event_metrics(events: DataFrame, now, whole_boundary_day: bool) -> DataFram
 
 
 def _alert_metrics(alerts: DataFrame, top: int) -> DataFrame:
-    """total / by severity / top rules from ONE aggregation pass."""
+    """total / by severity / top rules from ONE aggregation pass; the top-k
+    is a window over the aggregated rows (a few per rule), not a second
+    branch over the alerts."""
     g = alerts.groupingSets([[], ["severity"], ["rule_name"]], "severity", "rule_name").agg(
         F.count(F.lit(1)).alias("value"), F.grouping_id().alias("gid"))
-    rest = g.filter(F.col("gid") != 2).select(
-        F.when(F.col("gid") == 3, "total_alerts").otherwise("alerts_by_severity").alias("metric"),
-        F.when(F.col("gid") == 1, F.col("severity")).alias("key"), "value")
-    ranked = (g.filter(F.col("gid") == 2).orderBy(F.col("value").desc(), F.col("rule_name")).limit(top)
-              .select(F.lit("top_rules").alias("metric"), F.col("rule_name").alias("key"), "value"))
-    return rest.unionByName(ranked)
+    rank = F.row_number().over(Window.partitionBy("gid").orderBy(F.col("value").desc(), F.col("rule_name")))
+    g = g.withColumn("_rank", rank).filter((F.col("gid") != 2) | (F.col("_rank") <= top))
+    return g.select(
+        F.when(F.col("gid") == 3, "total_alerts").when(F.col("gid") == 1, "alerts_by_severity")
+        .otherwise("top_rules").alias("metric"),
+        F.when(F.col("gid") == 1, F.col("severity")).when(F.col("gid") == 2, F.col("rule_name")).alias("key"),
+        "value")
 
 
 def stats_bundle(events: DataFrame, alerts: DataFrame, now, whole_boundary_day: bool = False) -> DataFrame:

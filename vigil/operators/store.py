@@ -9,7 +9,7 @@ instead of the whole history.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -67,17 +67,17 @@ def to_stored_alerts(alerts: DataFrame) -> DataFrame:
     return alerts.select(*[f.name for f in STORED_ALERT.fields], F.to_date("timestamp").alias("event_date"))
 
 
-def first_wins(df: DataFrame, order: str | None = None, key: str = "id") -> DataFrame:
-    """One row per ``key``: the first by ``order`` (any one when None).
+def first_wins(df: DataFrame, order: str | None = None, keys: tuple[str, ...] = ("id",)) -> DataFrame:
+    """One row per ``keys``: the first by ``order`` (any one when None).
 
     An aggregation, so duplicates collapse map-side before the shuffle.
     """
-    cols = [c for c in df.columns if c != key]
+    cols = [c for c in df.columns if c not in keys]
     if not cols:
         return df.distinct()
     row = F.struct(*[F.col(c) for c in cols])
     pick = F.min_by(row, F.col(order)) if order else F.first(row)
-    return df.groupBy(key).agg(pick.alias("_r")).select(key, "_r.*")
+    return df.groupBy(*keys).agg(pick.alias("_r")).select(*keys, "_r.*").select(*df.columns)
 
 
 def new_rows(incoming: DataFrame, existing: DataFrame | None, not_null=EVENT_NOT_NULL,
@@ -88,10 +88,14 @@ def new_rows(incoming: DataFrame, existing: DataFrame | None, not_null=EVENT_NOT
     ok = incoming
     for c in not_null:
         ok = ok.filter(F.col(c).isNotNull())
-    ok = first_wins(ok, order)
+    # The id fixes the event date, so (id, event_date) groups like id alone;
+    # grouping on both leaves the rows partitioned the way the anti-join
+    # below needs them (one shuffle), and lets it prune stored dates.
+    with_date = "event_date" in ok.columns and (existing is None or "event_date" in existing.columns)
+    keys = ["id", "event_date"] if with_date else ["id"]
+    ok = first_wins(ok, order, tuple(keys))
     if existing is None:
         return ok
-    keys = ["id", "event_date"] if "event_date" in ok.columns and "event_date" in existing.columns else ["id"]
     return ok.join(existing.select(*keys), keys, "left_anti")
 
 
@@ -102,28 +106,25 @@ def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
+def _append(spark: SparkSession, rows: DataFrame, path: str, not_null) -> int:
+    """Idempotent append; the row count comes from an observed metric of the
+    write itself (no cache, no second pass)."""
+    add = new_rows(rows, _read_or_none(spark, path), not_null)
+    obs = Observation("vigil_append")
+    add.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("append").partitionBy("event_date").parquet(path)
+    return int(obs.get.get("rows", 0))
+
+
 def append_events(spark: SparkSession, events: DataFrame, path: str) -> int:
     """Store EVENT rows into the events table (INSERT OR IGNORE by id).
 
     Returns the number of rows written."""
-    stored = to_stored_events(events)
-    add = new_rows(stored, _read_or_none(spark, path), EVENT_NOT_NULL).cache()
-    n = add.count()
-    if n:
-        add.write.mode("append").partitionBy("event_date").parquet(path)
-    add.unpersist()
-    return n
+    return _append(spark, to_stored_events(events), path, EVENT_NOT_NULL)
 
 
 def append_alerts(spark: SparkSession, alerts: DataFrame, path: str) -> int:
     """Store alerts (before de-duplication, as the reference does)."""
-    stored = to_stored_alerts(alerts)
-    add = new_rows(stored, _read_or_none(spark, path), ALERT_NOT_NULL).cache()
-    n = add.count()
-    if n:
-        add.write.mode("append").partitionBy("event_date").parquet(path)
-    add.unpersist()
-    return n
+    return _append(spark, to_stored_alerts(alerts), path, ALERT_NOT_NULL)
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:

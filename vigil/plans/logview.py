@@ -12,18 +12,14 @@ from pyspark.sql import functions as F
 from vigil.functions.partitioning import table_boundary
 from vigil.operators.normalize import normalize
 from vigil.sources import derived
-from vigil.sources.lines import event_id, parse_auth, parse_syslog
+from vigil.sources.lines import event_id, parse_mixed
 
 
 def parsed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Auth lines through the auth parser, syslog lines through the syslog
-    parser (each line once, by the view's source column), unioned."""
+    """Auth lines with the auth parser, syslog lines with the syslog parser,
+    in one pass (the view's source column picks the parser per line)."""
     lines = derived.log_lines(spark, sf_dir).withColumnRenamed("event_id", "seq")
-    auth = parse_auth(lines.filter(F.col("source") == "auth").drop("source"), "value", "auth",
-                      year=derived.LOG_YEAR)
-    sys_ = parse_syslog(lines.filter(F.col("source") == "syslog").drop("source"), "value", "syslog",
-                        year=derived.LOG_YEAR)
-    both = auth.unionByName(sys_).drop("value")
+    both = parse_mixed(lines, "source", "value", year=derived.LOG_YEAR).drop("value")
     return both.withColumn("id", event_id(F.col("source"), F.col("hostname"), F.col("raw"), F.col("seq")))
 
 
@@ -48,9 +44,6 @@ def stream_view_events(spark: SparkSession, sf_dir: str) -> DataFrame:
            .option("maxFilesPerTrigger", "1").parquet(sf_dir))
     v = spark.sql(derived.spark_view_sql(), events=src.select("event_id", "user_id", "event_type"))
     lines = v.select(F.col("event_id").alias("seq"), "source", F.col("line").alias("value"))
-    auth = parse_auth(lines.filter(F.col("source") == "auth").drop("source"), "value", "auth", year=derived.LOG_YEAR)
-    sys_ = parse_syslog(lines.filter(F.col("source") == "syslog").drop("source"), "value", "syslog",
-                        year=derived.LOG_YEAR)
-    both = auth.unionByName(sys_).drop("value")
+    both = parse_mixed(lines, "source", "value", year=derived.LOG_YEAR).drop("value")
     both = both.withColumn("id", event_id(F.col("source"), F.col("hostname"), F.col("raw"), F.col("seq")))
     return normalize(both)

@@ -142,6 +142,37 @@ def parse_auth(df: DataFrame, line: str = "value", source: str | Column = "auth"
     return out.drop("_ts_text", "_process", "_pid", *["_a_" + k for k in fields], *groups)
 
 
+def parse_mixed(df: DataFrame, kind: str, line: str = "value", year: int | None = None,
+                now: _dt.datetime | None = None) -> DataFrame:
+    """Lines of several kinds in one pass: column ``kind`` holds "auth" or
+    "syslog" per line (and becomes ``source``). The header is parsed once;
+    the auth patterns only run on auth lines (conditional branch). Same
+    result as ``parse_auth`` / ``parse_syslog`` on the two subsets, without
+    splitting the input into two scans and a union."""
+    is_auth = F.col(kind) == "auth"
+    out = _header(df, line, year, now)
+    cols = out.columns
+    out = out.select("*", *[F.when(is_auth, regex_split(F.col("message"), p, n)).alias(f"_m_{x}")
+                            for x, p, n in AUTH_GROUPS])
+    out = out.select(*cols, *auth_group_columns())
+    fields = auth_fields()
+    out = out.select("*", *[c.alias("_a_" + k) for k, c in fields.items()])
+    auth_pf = compact_map(
+        ("process", F.col("_process")), ("pid", F.col("_pid")),
+        ("event_type", F.col("_a_event_type")), ("user", F.col("_a_user")),
+        ("src_ip", F.col("_a_src_ip")), ("port", F.col("_a_port")),
+        ("target_user", F.col("_a_target_user")), ("command", F.col("_a_command")),
+        ("pwd", F.col("_a_pwd")),
+    )
+    sys_pf = compact_map(("process", F.col("_process")), ("pid", F.col("_pid")))
+    out = (out.withColumn("source", F.col(kind))
+           .withColumn("severity", F.when(is_auth, F.col("_a_severity")).otherwise(syslog_severity(F.col("message"))))
+           .withColumn("parsed_fields", F.when(is_auth, auth_pf).otherwise(sys_pf)))
+    groups = [f"_g_{p}{i + 1}" for p, _, n in AUTH_GROUPS for i in range(n)]
+    drop = ["_ts_text", "_process", "_pid", *["_a_" + k for k in fields], *groups]
+    return out.drop(*drop, *([kind] if kind != "source" else []))
+
+
 def event_id(source: Column, hostname: Column, raw: Column, ordinal: Column) -> Column:
     """Deterministic event id: a re-run over the same input gives the same ids."""
     return F.sha2(F.concat_ws(ID_SEP, source, hostname, raw, ordinal.cast("string")), 256)
