@@ -93,3 +93,15 @@ def test_json_and_sinks(spark, tmp_dir):
     assert res == {"sinks": 3, "failed": 1}
     assert spark.read.text(f"{tmp_dir}/alerts_jsonl").count() == 10
     assert spark.read.parquet(f"{tmp_dir}/outbox").count() == 10
+
+
+def test_detect_stored(spark, tmp_dir):
+    from vigil.plans.batch import detect_stored
+    ev = ten_events(spark)
+    append_events(spark, ev, f"{tmp_dir}/events")
+    res = detect_stored(spark, f"{tmp_dir}/events", f"{tmp_dir}/alerts", rules_dir=f"{tmp_dir}/missing")
+    assert res == {"rules": 8, "events": 10, "alerts": 10}
+    again = detect_stored(spark, f"{tmp_dir}/events", f"{tmp_dir}/alerts")
+    assert again["alerts"] == 0  # same alert ids: nothing new stored
+    capped = detect_stored(spark, f"{tmp_dir}/events", f"{tmp_dir}/alerts2", newest=4)
+    assert capped == {"rules": 8, "events": 4, "alerts": 4}
