@@ -148,3 +148,17 @@ def test_timeframe_and_loader(tmp_dir):
     rules = load_rules_dir(tmp_dir)
     assert [r.title for r in rules] == ["B"]
     assert rules[0].severity == "high" and rules[0].condition == "selection" and rules[0].id == ""
+
+
+def test_thresholds_with_different_windows_in_one_pass(spark):
+    t0 = dt.datetime(2024, 1, 1, tzinfo=UTC)
+    rnd = __import__("random").Random(3)
+    rows = [{"message": "Failed password", "timestamp": t0 + dt.timedelta(seconds=rnd.randint(0, 900)),
+             "id": f"e{i}", "parsed_fields": {"src_ip": rnd.choice(["1.1.1.1", "2.2.2.2"])}} for i in range(300)]
+    ev = events_df(spark, rows)
+    r1 = threshold_rule(4, "30s")
+    r2 = rule({"selection": {"message|contains": "failed"}, "threshold": {"value": 9}, "timeframe": "2m"}, id="bf2")
+    both = {(a["rule_id"], a["event_id"], a["match_count"]) for a in detect(ev, [r1, r2]).collect()}
+    alone = {(a["rule_id"], a["event_id"], a["match_count"]) for a in
+             detect(ev, [r1]).collect() + detect(ev, [r2]).collect()}
+    assert both == alone and len({x[0] for x in both}) == 2

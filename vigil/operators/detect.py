@@ -83,46 +83,62 @@ def trailing_count(df: DataFrame, keys: list[str], ts_us: str, tie: str, window_
     width = max(window_us, 1)
     d = df.withColumn("_copy", F.explode(F.array(F.lit(0), F.lit(1))))
     d = d.withColumn("_bucket", F.floor(F.col(ts_us) / F.lit(width)).cast("bigint") + F.col("_copy"))
-    return _windowed_count(d, keys, ts_us, tie, window_us, out).filter(F.col("_copy") == 0).drop("_copy", "_bucket")
+    d = _windowed_count(d, keys, ts_us, tie, {window_us: None}, out)
+    return d.filter(F.col("_copy") == 0).drop("_copy", "_bucket")
 
 
-def _windowed_count(d: DataFrame, keys, ts_us, tie, window_us, out):
+def _windowed_count(d: DataFrame, keys, ts_us, tie, windows: dict, out):
+    """``windows``: W -> condition selecting the rows counted with W (None =
+    all rows). Every partition (keys, bucket) belongs to one rule, hence one
+    W, so all windows share one shuffle and one sort."""
     part = [*keys, "_bucket"]
-    in_range = Window.partitionBy(*part).orderBy(F.col(ts_us)).rangeBetween(-window_us, 0)
     peers = Window.partitionBy(*part, ts_us)
+    in_range = None
+    for w, cond in sorted(windows.items(), key=lambda kv: kv[0]):
+        c = F.count(F.lit(1)).over(Window.partitionBy(*part).orderBy(F.col(ts_us)).rangeBetween(-w, 0))
+        if cond is None:
+            in_range = c
+        elif in_range is None:
+            in_range = F.when(cond, c)
+        else:
+            in_range = in_range.when(cond, c)
     return d.withColumn(
         out,
-        F.count(F.lit(1)).over(in_range) - F.count(F.lit(1)).over(peers)
-        + F.row_number().over(peers.orderBy(F.col(tie))),
+        in_range - F.count(F.lit(1)).over(peers) + F.row_number().over(peers.orderBy(F.col(tie))),
     )
 
 
-def _one_pass(ev: DataFrame, plain, thr, window_us, tie: str) -> DataFrame:
+def _one_pass(ev: DataFrame, plain, by_window: dict, tie: str) -> DataFrame:
+    """All rules in one pass: one projection + explode for the hits; threshold
+    hits (any number of rules and windows) share one shuffle."""
+    thr = [(o, s, w) for w, specs in by_window.items() for o, s in specs]
     items = [F.when(p, F.struct(F.lit(o).alias("o"), F.lit(None).cast("string").alias("k"))) for o, p in plain]
-    items += [F.when(s.match, F.struct(F.lit(o).alias("o"), s.key.cast("string").alias("k"))) for o, s in thr]
+    items += [F.when(s.match, F.struct(F.lit(o).alias("o"), s.key.cast("string").alias("k"))) for o, s, _ in thr]
     if not items:
         return None
     hits = F.filter(F.array(*items), lambda x: x.isNotNull())
     x = ev.select("*", F.explode(hits).alias("_hit")).select("*", F.col("_hit.o").alias("rule_ord"),
                                                                F.col("_hit.k").alias("group_key")).drop("_hit")
     if not thr:
-        return x
-    thr_ords = [o for o, _ in thr]
-    is_thr = F.col("rule_ord").isin(thr_ords)
+        return x.withColumn("match_count", F.lit(None).cast("long"))
+    is_thr = F.col("rule_ord").isin([o for o, _, _ in thr])
+    width = F.lit(None).cast("long")
+    need = F.lit(None).cast("int")
+    for o, s, w in thr:
+        width = F.when(F.col("rule_ord") == o, F.lit(max(w, 1))).otherwise(width)
+        need = F.when(F.col("rule_ord") == o, F.lit(s.need)).otherwise(need)
     x = x.withColumn("_copy", F.explode(F.when(is_thr, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
     ts = F.unix_micros(F.col("timestamp"))
-    width = max(window_us, 1)
     x = x.withColumn("_ts_us", ts).withColumn(
         "_bucket",
-        F.when(is_thr, F.floor(ts / F.lit(width)).cast("bigint") + F.col("_copy"))
+        F.when(is_thr, F.floor(ts / width).cast("bigint") + F.col("_copy"))
         .otherwise(F.pmod(F.xxhash64(F.col("id")), F.lit(_PLAIN_SPREAD))),
     )
-    x = _windowed_count(x, ["rule_ord", "group_key"], "_ts_us", tie, window_us, "match_count")
-    need = F.lit(None).cast("int")
-    for o, s in thr:
-        need = F.when(F.col("rule_ord") == o, F.lit(s.need)).otherwise(need)
+    windows = {w: F.col("rule_ord").isin([o for o, _ in specs]) for w, specs in by_window.items()}
+    x = _windowed_count(x, ["rule_ord", "group_key"], "_ts_us", tie, windows, "match_count")
     keep = ~is_thr | ((F.col("_copy") == 0) & (F.col("match_count") >= need))
-    return x.filter(keep).drop("_copy", "_bucket", "_ts_us")
+    return (x.filter(keep).withColumn("match_count", F.when(is_thr, F.col("match_count")).cast("long"))
+            .drop("_copy", "_bucket", "_ts_us"))
 
 
 def rule_hits(events: DataFrame, rules: list[Rule], tie: str = "id") -> DataFrame:
@@ -131,21 +147,10 @@ def rule_hits(events: DataFrame, rules: list[Rule], tie: str = "id") -> DataFram
     (threshold rules only)."""
     plan = _plan(rules)
     ev = events.select("*", *[c.alias(k) for k, c in plan.helpers.items()])
-    passes = []
-    windows = sorted(plan.by_window)
-    if not windows:
-        passes.append(_one_pass(ev, plan.plain, [], 0, tie))
-    for i, w in enumerate(windows):
-        passes.append(_one_pass(ev, plan.plain if i == 0 else [], plan.by_window[w], w, tie))
-    passes = [p for p in passes if p is not None]
-    if not passes:
-        empty = ev.limit(0).select("*", F.lit(0).alias("rule_ord"), F.lit(None).cast("string").alias("group_key"))
-        passes = [empty]
-    out = passes[0]
-    if "match_count" not in out.columns:
-        out = out.withColumn("match_count", F.lit(None).cast("long"))
-    for p in passes[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
+    out = _one_pass(ev, plan.plain, plan.by_window, tie)
+    if out is None:
+        out = ev.limit(0).select("*", F.lit(0).alias("rule_ord"), F.lit(None).cast("string").alias("group_key"),
+                                 F.lit(None).cast("long").alias("match_count"))
     return out.drop(*plan.helpers.keys())
 
 
