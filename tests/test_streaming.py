@@ -84,3 +84,19 @@ def test_stream_events_per_hour(spark, tmp_dir):
     # closed hour equals the batch count; the last hour is still open
     assert set(got) == set(batch) - {max(batch)}
     assert all(got[h] == batch[h] for h in got)
+
+
+def test_follow_only_new_files(spark, tmp_dir):
+    import datetime as dt
+
+    from vigil.streaming.live import run_to_end
+    os.makedirs(f"{tmp_dir}/in")
+    for i, mtime in enumerate([1_600_000_000, 1_800_000_000]):
+        p = f"{tmp_dir}/in/f{i}.log"
+        with open(p, "w") as fh:
+            fh.write(f"Jan 01 00:00:0{i} host app[1]: line from file {i}\n")
+        os.utime(p, (mtime, mtime))
+    start = dt.datetime.fromtimestamp(1_700_000_000, dt.timezone.utc)
+    ev = follow(spark, f"{tmp_dir}/in", "syslog", start_time=start, year=2024)
+    got = [r["message"] for r in run_to_end(ev.select("message"), "follow").collect()]
+    assert got == ["line from file 1"]

@@ -22,6 +22,7 @@ from pyspark.sql.streaming.stateful_processor import (ExpiredTimerInfo, Stateful
                                                       StatefulProcessorHandle, TimerValues)
 
 from vigil.operators.dedup import default_keys
+from vigil.session import ensure_state_store
 
 
 def _frame(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
@@ -129,6 +130,7 @@ def stream_threshold(hits: DataFrame, tie: str) -> DataFrame:
     """Rule-hit stream (see ``stream_hits``) -> alert-worthy hits.
 
     ``hits`` needs a watermark on ``timestamp``."""
+    ensure_state_store(hits.sparkSession)
     d = hits.withColumn("ev_us", F.unix_micros("timestamp")).withColumn("ev_tie", F.col(tie).cast("string"))
     out = _with_field(d.drop("th_need", "th_window").schema, "match_count", T.LongType())
     return (d.groupBy("rule_ord", "group_key")
@@ -138,6 +140,7 @@ def stream_threshold(hits: DataFrame, tie: str) -> DataFrame:
 
 def stream_dedup(alerts: DataFrame, window_s: float = 300, tie: str = "id") -> DataFrame:
     """Alert stream -> same rows plus ``dispatched``; needs a watermark."""
+    ensure_state_store(alerts.sparkSession)
     w = int(round(window_s * 1_000_000))
     keys = default_keys() if "event" in alerts.columns else [F.col("rule_id"), F.col("source"), F.col("hostname")]
     d = (alerts.withColumn("ev_us", F.unix_micros("timestamp")).withColumn("ev_tie", F.col(tie).cast("string"))
