@@ -135,3 +135,12 @@ def test_file_reader_ids_are_deterministic(spark, tmp_dir):
     ids1 = sorted(r["id"] for r in read_auth(spark, p, year=2026).select("id").collect())
     ids2 = sorted(r["id"] for r in read_auth(spark, p, year=2026).repartition(3).select("id").collect())
     assert ids1 == ids2 and len(set(ids1)) == 3  # the repeated line keeps its own id
+
+
+def test_cheap_ids_share_duplicates(spark, tmp_dir):
+    from vigil.sources.lines import read_auth
+    p = f"{tmp_dir}/auth.log"
+    with open(p, "w") as fh:
+        fh.write("\n".join(AUTH_LINES[:2] + [AUTH_LINES[0]]) + "\n")
+    ids = [r["id"] for r in read_auth(spark, p, year=2026, exact_ids=False).select("id").collect()]
+    assert len(ids) == 3 and len(set(ids)) == 2

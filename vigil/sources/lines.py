@@ -205,20 +205,30 @@ def read_text_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return clean_lines(df)
 
 
-def with_file_event_ids(df: DataFrame) -> DataFrame:
-    """Add ``id`` to events read from files: (source, file, line, occurrence)."""
-    d = occurrence_number(df, ["source", "file_path", "raw"], "_line_occ")
+def with_file_event_ids(df: DataFrame, exact: bool = True) -> DataFrame:
+    """Add ``id`` to events read from files: (source, file, line, occurrence).
+
+    ``exact`` numbers identical lines of a file 1..k, so each keeps its own
+    id and a replay of the same files gives the same ids; it costs one
+    shuffle of the lines. ``exact=False`` uses occurrence 1 for every line:
+    no shuffle, but identical lines of one file share an id (the idempotent
+    events table then keeps one of them)."""
     src_file = F.concat_ws(ID_SEP, F.col("source"), F.col("file_path"))
+    if not exact:
+        return df.withColumn("id", event_id(src_file, F.col("hostname"), F.col("raw"), F.lit(1)))
+    d = occurrence_number(df, ["source", "file_path", "raw"], "_line_occ")
     return d.withColumn("id", event_id(src_file, F.col("hostname"), F.col("raw"), F.col("_line_occ"))).drop("_line_occ")
 
 
-def read_syslog(spark: SparkSession, path, name: str = "syslog", year=None, now=None) -> DataFrame:
+def read_syslog(spark: SparkSession, path, name: str = "syslog", year=None, now=None,
+                exact_ids: bool = True) -> DataFrame:
     """Batch syslog source: whole files -> events with ids."""
     ev = parse_syslog(read_text_lines(spark, path), "value", name, year, now)
-    return with_file_event_ids(ev).drop("value")
+    return with_file_event_ids(ev, exact_ids).drop("value")
 
 
-def read_auth(spark: SparkSession, path, name: str = "auth", year=None, now=None) -> DataFrame:
+def read_auth(spark: SparkSession, path, name: str = "auth", year=None, now=None,
+              exact_ids: bool = True) -> DataFrame:
     """Batch auth-log source: whole files -> events with ids."""
     ev = parse_auth(read_text_lines(spark, path), "value", name, year, now)
-    return with_file_event_ids(ev).drop("value")
+    return with_file_event_ids(ev, exact_ids).drop("value")

@@ -79,10 +79,10 @@ def parse_ndjson(df: DataFrame, line: str = "value", source: str = "json", field
 
 
 def read_ndjson(spark: SparkSession, path, name: str = "json", field_map: dict | None = None,
-                now: _dt.datetime | None = None) -> DataFrame:
+                now: _dt.datetime | None = None, exact_ids: bool = True) -> DataFrame:
     """Batch NDJSON source: whole files -> events with ids."""
     ev = parse_ndjson(read_text_lines(spark, path), "value", name, field_map, now)
     # The id hashes the collector name, not a mapped ``source`` value.
     ev = ev.withColumn("_src", F.col("source")).withColumn("source", F.lit(name))
-    ev = with_file_event_ids(ev).withColumn("source", F.col("_src")).drop("_src")
+    ev = with_file_event_ids(ev, exact_ids).withColumn("source", F.col("_src")).drop("_src")
     return ev.drop("value")
