@@ -100,3 +100,20 @@ def test_follow_only_new_files(spark, tmp_dir):
     ev = follow(spark, f"{tmp_dir}/in", "syslog", start_time=start, year=2024)
     got = [r["message"] for r in run_to_end(ev.select("message"), "follow").collect()]
     assert got == ["line from file 1"]
+
+
+def test_live_quarantine(spark, tmp_dir):
+    from vigil.streaming.live import follow
+    os.makedirs(f"{tmp_dir}/in")
+    with open(f"{tmp_dir}/in/a.json", "w") as fh:
+        fh.write('{"time": "2024-01-01T00:00:00Z", "msg": "Failed password for x from 1.2.3.4 port 1"}\n')
+        fh.write('{"time": "2024-01-01T00:00:01Z", "msg": null}\n')
+    src = follow(spark, f"{tmp_dir}/in", "json")
+    qs = start_live(spark, [src], f"{tmp_dir}/events", f"{tmp_dir}/alerts", f"{tmp_dir}/ck",
+                    quarantine_path=f"{tmp_dir}/quarantine")
+    for q in qs:
+        q.processAllAvailable()
+        q.stop()
+    assert read_events(spark, f"{tmp_dir}/events").count() == 1
+    assert spark.read.text(f"{tmp_dir}/quarantine").count() == 1
+    assert read_alerts(spark, f"{tmp_dir}/alerts").count() == 1

@@ -88,3 +88,13 @@ def normalize(df: DataFrame) -> DataFrame:
          .withColumn("severity", reclassify(F.col("severity"), msg))
          .withColumn("geo", geo_map(F.col("ip_addresses"))))
     return d.drop("_ips")
+
+
+def split_valid(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(events with a message, quarantined events without one).
+
+    The reference's processing loop stops on a JSON event whose message is
+    not text; here values are text already, and a NULL message (a JSON
+    ``"msg": null``) is routed to a quarantine output instead."""
+    ok = F.col("message").isNotNull()
+    return events.filter(ok), events.filter(~ok)

@@ -27,7 +27,7 @@ from pyspark.sql.streaming import StreamingQuery
 from vigil.functions.timeparse import now_literal
 from vigil.operators.builtin import builtin_rules
 from vigil.operators.detect import _plan, _rule_meta, alert_id
-from vigil.operators.normalize import normalize
+from vigil.operators.normalize import normalize, split_valid
 from vigil.operators.rules import Rule
 from vigil.operators.sinks import Sink, fan_out
 from vigil.operators.store import append_alerts, append_events
@@ -103,20 +103,31 @@ def stream_alerts(events: DataFrame, rules: list[Rule], tie: str = "id") -> Data
 def start_live(spark: SparkSession, sources: list[DataFrame], events_path: str, alerts_path: str,
                checkpoint_root: str, sinks: list[Sink] | None = None, rules: list[Rule] | None = None,
                dedup_window_s: float = 300, watermark: str = "10 minutes",
-               trigger_seconds: float = 1.0) -> list[StreamingQuery]:
-    """Start the two streaming queries of the live pipeline."""
+               trigger_seconds: float = 1.0, quarantine_path: str | None = None) -> list[StreamingQuery]:
+    """Start the two streaming queries of the live pipeline.
+
+    Events without a message are not detected on; with ``quarantine_path``
+    they are written there (JSON lines) instead of the events table."""
     rules = rules if rules is not None else builtin_rules()
     sinks = sinks or []
-    events = normalize(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), sources))
+    raw = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), sources)
+    events = normalize(raw.filter(F.col("message").isNotNull()))
     trig = {"processingTime": f"{trigger_seconds} seconds"}
 
     def store_events(df: DataFrame, batch_id: int) -> None:
-        # A file is read whole within one micro-batch: exact occurrence ids.
-        if "file_path" in df.columns:
-            df = with_file_event_ids(df.drop("id"))
-        append_events(df.sparkSession, df, events_path)
+        df.persist()
+        try:
+            good, bad = split_valid(df)
+            if quarantine_path:
+                bad.select(F.to_json(F.struct(*bad.columns)).alias("value")).write.mode("append").text(quarantine_path)
+            # A file is read whole within one micro-batch: exact occurrence ids.
+            if "file_path" in good.columns:
+                good = with_file_event_ids(good.drop("id"))
+            append_events(good.sparkSession, normalize(good), events_path)
+        finally:
+            df.unpersist()
 
-    q1 = (events.writeStream.foreachBatch(store_events).option("checkpointLocation", f"{checkpoint_root}/events")
+    q1 = (raw.writeStream.foreachBatch(store_events).option("checkpointLocation", f"{checkpoint_root}/events")
           .trigger(**trig).queryName("vigil_events").start())
 
     alerts = stream_dedup(stream_alerts(events.withWatermark("timestamp", watermark), rules), dedup_window_s)
