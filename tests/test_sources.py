@@ -85,9 +85,12 @@ def test_json_lines(spark):
         '[1, 2, 3]',
         'not json at all',
         '{"time": "garbage", "level": ""}',
+        '{"time": "20260415T120000+0200", "msg": "basic form"}',
     ])
     rows = {r["raw"][:22]: r for r in parse_ndjson(df, "value", "json", now=NOW).collect()}
-    assert len(rows) == 5
+    assert len(rows) == 6
+    f = rows['{"time": "20260415T12']
+    assert f["timestamp"].replace(tzinfo=UTC) == dt.datetime(2026, 4, 15, 10, 0, tzinfo=UTC)
     a = rows['{"timestamp": null, "t']
     assert a["timestamp"].replace(tzinfo=UTC) == NOW  # first present key wins, even when null
     assert a["severity"] == "low" and a["hostname"] == "unknown" and a["source"] == "json"

@@ -39,6 +39,9 @@ def syslog_time(text: Column, year: int | None = None, now: _dt.datetime | None
 _ISO = (r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?)?"
         r"(Z|[+-]\d{2}(:?\d{2})?)?$")
 _NUMBER = r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$"
+# ISO basic form (no separators), accepted by Python's fromisoformat:
+# rewritten to the extended form before parsing.
+_ISO_BASIC = r"^(\d{4})(\d{2})(\d{2})T(\d{2})(\d{2})(\d{2})(\.\d{1,9})?(Z|[+-]\d{2}(?::?\d{2})?)?$"
 
 
 def json_time(value: Column, now: _dt.datetime | None = None) -> Column:
@@ -50,8 +53,10 @@ def json_time(value: Column, now: _dt.datetime | None = None) -> Column:
     v = value
     epoch = F.timestamp_micros(F.round(v.cast("double") * F.lit(1_000_000)).cast("bigint"))
     iso = F.try_to_timestamp(v)
+    basic = F.try_to_timestamp(F.regexp_replace(v, _ISO_BASIC, "$1-$2-$3T$4:$5:$6$7$8"))
     return (
         F.when(v.rlike(_NUMBER), epoch)
         .when(v.rlike(_ISO), F.coalesce(iso, now_literal(now)))
+        .when(v.rlike(_ISO_BASIC), F.coalesce(basic, now_literal(now)))
         .otherwise(now_literal(now))
     )
