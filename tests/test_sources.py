@@ -89,7 +89,7 @@ def test_json_lines(spark):
     ])
     rows = {r["raw"][:22]: r for r in parse_ndjson(df, "value", "json", now=NOW).collect()}
     assert len(rows) == 6
-    f = rows['{"time": "20260415T12']
+    f = rows['{"time": "20260415T120']
     assert f["timestamp"].replace(tzinfo=UTC) == dt.datetime(2026, 4, 15, 10, 0, tzinfo=UTC)
     a = rows['{"timestamp": null, "t']
     assert a["timestamp"].replace(tzinfo=UTC) == NOW  # first present key wins, even when null
