@@ -1,7 +1,5 @@
 import datetime as dt
 
-from pyspark.sql import functions as F
-
 from conftest import UTC, lines_df
 from vigil.sources.lines import clean_lines, parse_auth, parse_syslog
 from vigil.sources.ndjson import parse_ndjson

@@ -38,11 +38,6 @@ def py_regex(pattern: str, ignore_case: bool = False) -> str:
     return (PY_FLAGS_NOCASE if ignore_case else PY_FLAGS) + p
 
 
-def extract(c: Column, pattern: str, group: int, ignore_case: bool = False) -> Column:
-    """``regexp_extract`` returning NULL (not '') when nothing matched."""
-    return F.nullif(F.regexp_extract(c, py_regex(pattern, ignore_case), group), F.lit(""))
-
-
 def regex_split(c: Column, pattern: str, n: int, anchored: bool = False) -> Column:
     """All groups of the first match of ``pattern`` from ONE regex evaluation,
     as an array ["", g1, ..., gn] (``regexp_extract`` would run the regex once

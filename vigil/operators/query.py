@@ -8,7 +8,6 @@ partition pruning apply; newest-first pages plan as a top-k
 from __future__ import annotations
 
 import datetime as _dt
-from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F

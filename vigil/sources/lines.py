@@ -1,7 +1,8 @@
 """Syslog and auth-log text lines -> EVENT rows (batch or stream).
 
-The parse is one narrow projection: ``regexp_extract`` columns, no Python per
-row, so it runs inside whole-stage code generation and never shuffles.
+The parse is one narrow projection of built-in expressions (each pattern is
+evaluated once per row, see ``regex_split``), no Python per row, so it runs
+inside whole-stage code generation and never shuffles.
 """
 
 from __future__ import annotations
