@@ -64,3 +64,11 @@ def test_window_zero_and_stats(spark):
     d = dedup(alerts(spark, items), 60, keys=keys(), order_cols=["seq"])
     s = dispatch_stats(d, handlers=2).collect()[0]
     assert (s["total_dispatched"], s["total_suppressed"], s["active_handlers"]) == (1, 2, 2)
+
+
+def test_struct_key_has_no_separator_collision(spark):
+    rows = [("a1", "a:b", "c", "h", T0, 0), ("a2", "a", "b:c", "h", T0 + dt.timedelta(seconds=1), 1)]
+    df = spark.createDataFrame(rows, "id string, rule_id string, source string, hostname string, "
+                                     "timestamp timestamp, seq long")
+    d = dedup(df, 300, keys=keys(), order_cols=["seq"])
+    assert sorted(r["id"] for r in d.filter("dispatched").collect()) == ["a1", "a2"]

@@ -145,3 +145,9 @@ def test_cheap_ids_share_duplicates(spark, tmp_dir):
         fh.write("\n".join(AUTH_LINES[:2] + [AUTH_LINES[0]]) + "\n")
     ids = [r["id"] for r in read_auth(spark, p, year=2026, exact_ids=False).select("id").collect()]
     assert len(ids) == 3 and len(set(ids)) == 2
+
+
+def test_feb29_in_leap_year(spark):
+    df = lines_df(spark, ["Feb 29 12:00:00 h app[1]: leap"])
+    r = parse_syslog(df, "value", "syslog", year=2024, now=NOW).collect()[0]
+    assert r["timestamp"].replace(tzinfo=UTC) == dt.datetime(2024, 2, 29, 12, tzinfo=UTC)
