@@ -105,3 +105,16 @@ def test_detect_stored(spark, tmp_dir):
     assert again["alerts"] == 0  # same alert ids: nothing new stored
     capped = detect_stored(spark, f"{tmp_dir}/events", f"{tmp_dir}/alerts2", newest=4)
     assert capped == {"rules": 8, "events": 4, "alerts": 4}
+
+
+def test_listing_on_stored_table_is_pushed_down(spark, tmp_dir):
+    append_events(spark, ten_events(spark, normalized=False), f"{tmp_dir}/events")
+    ev = read_events(spark, f"{tmp_dir}/events")
+    page = Q.query_events(ev, severity="high", source="auth", start_time="2024-01-01 12:02:00",
+                          end_time="2024-01-01 12:09:00", limit=2)
+    plan = page._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(event_date" in plan  # date partitions pruned
+    pushed = plan.split("PushedFilters: ")[1].split("]")[0]
+    assert "severity" in pushed and "source" in pushed and "timestamp" in pushed
+    assert "TakeOrderedAndProject" in plan
+    assert [r["id"] for r in page.collect()] == ["e5"]

@@ -128,8 +128,9 @@ def append_alerts(spark: SparkSession, alerts: DataFrame, path: str) -> int:
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
-    """Scan of the events table decoded to EVENT rows."""
-    return from_stored_events(spark.read.schema(_with_date(STORED_EVENT)).parquet(path))
+    """Scan of the events table decoded to EVENT rows; ``event_date`` (the
+    partition column) is kept so time filters can prune partitions."""
+    return from_stored_events(spark.read.schema(_with_date(STORED_EVENT)).parquet(path), keep=("event_date",))
 
 
 def read_alerts(spark: SparkSession, path: str) -> DataFrame:
