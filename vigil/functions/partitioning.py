@@ -30,3 +30,16 @@ def table_boundary(df: DataFrame) -> DataFrame:
     """
     row = F.struct(*[F.col(c) for c in df.columns])
     return df.select(F.explode(F.array(row)).alias("_row")).select("_row.*")
+
+
+def keep_rows(df: DataFrame, cond) -> DataFrame:
+    """``df.filter(cond)`` for a condition on a column computed just before
+    (a regex match, a JSON parse).
+
+    A plain ``filter`` is pushed below the projection by inlining the
+    expression, so the expensive part runs twice per row (in the filter and
+    again in the projection). An ``explode`` of a zero- or one-element array
+    drops the rows instead: it reads the computed column, runs in generated
+    code, and filters on its output cannot be pushed past it."""
+    keep = F.explode(F.when(cond, F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>")))
+    return df.select("*", keep.alias("_keep_row")).drop("_keep_row")

@@ -12,6 +12,7 @@ import datetime as _dt
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vigil.functions.partitioning import keep_rows
 from vigil.functions.text import compact_map, contains_any, group_at, regex_split, ustrip
 from vigil.functions.timeparse import syslog_time
 
@@ -33,7 +34,7 @@ ID_SEP = "\u0001"
 
 def clean_lines(df: DataFrame, col: str = "value") -> DataFrame:
     """Strip Unicode whitespace at both ends, drop lines left empty."""
-    return df.withColumn(col, ustrip(F.col(col))).filter(F.col(col) != "")
+    return keep_rows(df.withColumn(col, ustrip(F.col(col))), F.col(col) != "")
 
 
 def _header(df: DataFrame, line: str, year, now) -> DataFrame:
@@ -45,7 +46,7 @@ def _header(df: DataFrame, line: str, year, now) -> DataFrame:
     out = out.select(*df.columns, *[group_at(h, i + 1).alias(n) for i, n in
                                     enumerate(["_ts_text", "hostname", "_process", "_pid", "message"])])
     # Group 5 is ".+", so it is non-empty exactly when the line matched.
-    out = out.filter(F.col("message").isNotNull())
+    out = keep_rows(out, F.col("message").isNotNull())
     return out.withColumn("timestamp", syslog_time(F.col("_ts_text"), year, now)).withColumn("raw", v)
 
 
