@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
@@ -43,3 +44,16 @@ def keep_rows(df: DataFrame, cond) -> DataFrame:
     code, and filters on its output cannot be pushed past it."""
     keep = F.explode(F.when(cond, F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>")))
     return df.select("*", keep.alias("_keep_row")).drop("_keep_row")
+
+
+def generated(df: DataFrame, col: str, cond=None, out: str | None = None) -> DataFrame:
+    """Turn ``col`` (computed by the projection below) into the output of a
+    one-row ``explode``; rows where ``cond`` is false are dropped.
+
+    Later filters on values read from ``out`` stay above the explode, so an
+    expensive expression behind ``col`` (a regex) is never inlined into them
+    and runs once per row."""
+    t = df.schema[col].dataType
+    arr = F.array(F.col(col))
+    gen = arr if cond is None else F.when(cond, arr).otherwise(F.array().cast(T.ArrayType(t)))
+    return df.select(*[c for c in df.columns if c != col], F.explode(gen).alias(out or col))

@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vigil.functions.partitioning import generated
 from vigil.functions.text import contains_any, map_present, py_regex
 
 # ---------------------------------------------------------------------------
@@ -67,8 +68,17 @@ def normalize(df: DataFrame) -> DataFrame:
     keeps that list.
     """
     pf, msg = F.col("parsed_fields"), F.col("message")
-    found = extract_ips(msg)
-    d = df.withColumn("_ips", found)
+    # The regex results, computed once and turned into an explode output, so a
+    # later filter on the enriched fields cannot re-run the regexes.
+    found = F.struct(
+        extract_ips(msg).alias("ips"),
+        F.when(~map_present(pf, "user"),
+               F.nullif(F.regexp_extract(msg, py_regex(USER_IN_TEXT, True), 1), F.lit(""))).alias("user"),
+        F.when(~map_present(pf, "process"),
+               F.nullif(F.regexp_extract(msg, py_regex(PROCESS_PREFIX), 1), F.lit(""))).alias("process"),
+    )
+    d = generated(df.select("*", found.alias("_nz_all")), "_nz_all", None, "_nz")
+    d = d.withColumn("_ips", F.col("_nz.ips"))
     has = F.size(F.col("_ips")) > 0
     given_ips = F.when(map_present(pf, "ip_addresses"),
                        F.from_json(pf["ip_addresses"], "array<string>"))
@@ -76,10 +86,8 @@ def normalize(df: DataFrame) -> DataFrame:
     add = F.map_filter(
         F.create_map(
             F.lit("src_ip"), F.when(has & ~map_present(pf, "src_ip"), F.get(F.col("_ips"), 0)),
-            F.lit("user"), F.when(~map_present(pf, "user"),
-                                  F.nullif(F.regexp_extract(msg, py_regex(USER_IN_TEXT, True), 1), F.lit(""))),
-            F.lit("process"), F.when(~map_present(pf, "process"),
-                                     F.nullif(F.regexp_extract(msg, py_regex(PROCESS_PREFIX), 1), F.lit(""))),
+            F.lit("user"), F.col("_nz.user"),
+            F.lit("process"), F.col("_nz.process"),
         ),
         lambda k, v: v.isNotNull(),
     )
@@ -87,7 +95,7 @@ def normalize(df: DataFrame) -> DataFrame:
     d = (d.withColumn("parsed_fields", F.map_concat(F.coalesce(pf, F.create_map().cast("map<string,string>")), add))
          .withColumn("severity", reclassify(F.col("severity"), msg))
          .withColumn("geo", geo_map(F.col("ip_addresses"))))
-    return d.drop("_ips")
+    return d.drop("_ips", "_nz")
 
 
 def split_valid(events: DataFrame) -> tuple[DataFrame, DataFrame]:

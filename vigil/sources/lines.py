@@ -12,7 +12,7 @@ import datetime as _dt
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vigil.functions.partitioning import keep_rows
+from vigil.functions.partitioning import generated, keep_rows
 from vigil.functions.text import compact_map, contains_any, group_at, regex_split, ustrip
 from vigil.functions.timeparse import syslog_time
 
@@ -41,12 +41,13 @@ def _header(df: DataFrame, line: str, year, now) -> DataFrame:
     v = F.col(line)
     # One evaluation of the header regex for all five groups (lines are
     # split on newlines, so none is inside a line).
-    out = df.select("*", regex_split(v, HEADER, 5, anchored=True).alias("_hdr"))
+    out = df.select("*", regex_split(v, HEADER, 5, anchored=True).alias("_hdr_all"))
+    # Unmatched lines (one-element split) vanish; the groups are read from the
+    # explode's output, so no later filter can re-run the regex.
+    out = generated(out, "_hdr_all", F.size("_hdr_all") > 1, "_hdr")
     h = F.col("_hdr")
-    out = out.select(*df.columns, *[group_at(h, i + 1).alias(n) for i, n in
+    out = out.select(*df.columns, *[F.nullif(F.get(h, i + 1), F.lit("")).alias(n) for i, n in
                                     enumerate(["_ts_text", "hostname", "_process", "_pid", "message"])])
-    # Group 5 is ".+", so it is non-empty exactly when the line matched.
-    out = keep_rows(out, F.col("message").isNotNull())
     return out.withColumn("timestamp", syslog_time(F.col("_ts_text"), year, now)).withColumn("raw", v)
 
 
@@ -75,14 +76,20 @@ AUTH_GROUPS = [  # (column prefix, pattern, number of groups)
     ("f", FAILED_SSH, 3), ("a", ACCEPTED_SSH, 3), ("s", SUDO, 4), ("add", USER_ADD, 1), ("del", USER_DEL, 1)]
 
 
-def auth_group_arrays(message: Column) -> list[Column]:
-    """Each auth pattern evaluated once per row, as ``_m_<prefix>`` arrays."""
-    return [regex_split(message, pattern, n).alias(f"_m_{prefix}") for prefix, pattern, n in AUTH_GROUPS]
+def with_auth_matches(df: DataFrame, message: Column, only=None) -> DataFrame:
+    """Each auth pattern evaluated once per row (only where ``only`` holds),
+    as a struct ``_m`` of match arrays that is an explode output, so later
+    filters on auth fields cannot re-run the regexes."""
+    arrays = [regex_split(message, pattern, n) for _, pattern, n in AUTH_GROUPS]
+    if only is not None:
+        arrays = [F.when(only, a) for a in arrays]
+    m = F.struct(*[a.alias(prefix) for a, (prefix, _, _) in zip(arrays, AUTH_GROUPS)])
+    return generated(df.select("*", m.alias("_m_all")), "_m_all", None, "_m")
 
 
 def auth_group_columns() -> list[Column]:
-    """Groups of the ``_m_*`` arrays as ``_g_<prefix><i>``."""
-    return [group_at(F.col(f"_m_{prefix}"), i + 1).alias(f"_g_{prefix}{i + 1}")
+    """Groups of the ``_m`` match arrays as ``_g_<prefix><i>``."""
+    return [group_at(F.col("_m")[prefix], i + 1).alias(f"_g_{prefix}{i + 1}")
             for prefix, _, n in AUTH_GROUPS for i in range(n)]
 
 
@@ -126,7 +133,7 @@ def parse_auth(df: DataFrame, line: str = "value", source: str | Column = "auth"
     # Group columns first, in their own projection: each regex runs once per
     # row, however often the overlay below refers to its groups.
     cols = out.columns
-    out = out.select("*", *auth_group_arrays(F.col("message")))
+    out = with_auth_matches(out, F.col("message"))
     out = out.select(*cols, *auth_group_columns())
     fields = auth_fields()
     out = out.select("*", *[c.alias("_a_" + k) for k, c in fields.items()])
@@ -154,8 +161,7 @@ def parse_mixed(df: DataFrame, kind: str, line: str = "value", year: int | None
     is_auth = F.col(kind) == "auth"
     out = _header(df, line, year, now)
     cols = out.columns
-    out = out.select("*", *[F.when(is_auth, regex_split(F.col("message"), p, n)).alias(f"_m_{x}")
-                            for x, p, n in AUTH_GROUPS])
+    out = with_auth_matches(out, F.col("message"), only=is_auth)
     out = out.select(*cols, *auth_group_columns())
     fields = auth_fields()
     out = out.select("*", *[c.alias("_a_" + k) for k, c in fields.items()])
