@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.functions.partitioning import keep_rows
+from vigil.functions.partitioning import generated
 from vigil.functions.text import map_present, parse_severity
 from vigil.functions.timeparse import json_time
 from vigil.sources.lines import read_text_lines, with_file_event_ids
@@ -56,7 +56,10 @@ def mapped_fields(m: Column, field_map: dict | None) -> dict[str, tuple[Column,
 def parse_ndjson(df: DataFrame, line: str = "value", source: str = "json", field_map: dict | None = None,
                  now: _dt.datetime | None = None) -> DataFrame:
     """JSON lines -> events; other columns of ``df`` are kept."""
-    d = keep_rows(df.withColumn("_m", F.from_json(F.col(line), "map<string,string>")), F.col("_m").isNotNull())
+    # The parsed map is an explode output: non-objects vanish, and later
+    # filters on JSON fields cannot re-run the parse.
+    d = df.withColumn("_m_all", F.from_json(F.col(line), "map<string,string>"))
+    d = generated(d, "_m_all", F.col("_m_all").isNotNull(), "_m")
     m = F.col("_m")
     f = mapped_fields(m, field_map)
     none = (F.lit(False), F.lit(None).cast("string"))
