@@ -40,6 +40,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -51,6 +52,7 @@ def apply_defaults(spark: SparkSession) -> None:
         if spark.conf.get(k, None) in (None, ""):
             spark.conf.set(k, v)
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    ship_package(spark)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -81,3 +83,38 @@ def ensure_state_store(spark: SparkSession) -> None:
     key = "spark.sql.streaming.stateStore.providerClass"
     if spark.conf.get(key, None) != ROCKSDB_PROVIDER:
         spark.conf.set(key, ROCKSDB_PROVIDER)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``vigil`` importable in the Python workers (pandas UDFs, state
+    processors) wherever the job was started from: the package is zipped once
+    and distributed with ``addPyFile``, Spark's mechanism for shipping code to
+    executors. Skipped when the workers can already import it from an
+    installed copy (the zip is then still harmless)."""
+    import zipfile
+
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg)
+    fd, path = tempfile.mkstemp(prefix="vigil-", suffix=".zip")
+    os.close(fd)
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for d, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(d, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc = spark.sparkContext
+    sc.addPyFile(path)
+    # The driver-side runner of transformWithStateInPandas does not receive
+    # addPyFile includes; it merges PYTHONPATH from the functions' environment
+    # (``sc.environment``), so the package root is added there as well.
+    paths = [p for p in sc.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        sc.environment["PYTHONPATH"] = os.pathsep.join(paths + [root])
+    _SHIPPED.add(app)
