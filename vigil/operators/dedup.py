@@ -130,12 +130,14 @@ def _doubling(long_rows: DataFrame, w: int, ord_cols: list[str]) -> DataFrame:
     heads = long_rows.groupBy("_key", "_cs").agg(F.min(_order_struct(ord_cols)).alias("_h"))
     reached = _checkpoint(heads.select(F.col("_h")["rid"].alias("_v")))
     while True:
-        step = (reached.join(jump, "_v").filter(F.col("_j").isNotNull())
-                .select(F.col("_j").alias("_v")).join(reached, "_v", "left_anti"))
+        # After r rounds ``reached`` holds path positions 0..2^r-1 and ``jump``
+        # moves 2^r ahead, so the new positions 2^r..2^(r+1)-1 are distinct
+        # and disjoint from ``reached``: no anti-join or distinct needed.
+        step = reached.join(jump, "_v").filter(F.col("_j").isNotNull()).select(F.col("_j").alias("_v"))
         step = _checkpoint(step)
         if step.isEmpty():
             break
-        reached = _checkpoint(reached.unionByName(step).distinct())
+        reached = _checkpoint(reached.unionByName(step))
         j2 = jump.alias("a").join(jump.alias("b"), F.col("a._j") == F.col("b._v"), "left")
         jump = _checkpoint(j2.select(F.col("a._v").alias("_v"), F.col("b._j").alias("_j")))
     return reached.select(F.col("_v").alias("_rid"), F.lit(True).alias("dispatched"))
