@@ -129,32 +129,15 @@ def parse_auth(df: DataFrame, line: str = "value", source: str | Column = "auth"
                year: int | None = None, now: _dt.datetime | None = None) -> DataFrame:
     """Auth-log lines -> events with SSH / sudo / user fields."""
     src = source if isinstance(source, Column) else F.lit(source)
-    out = _header(df, line, year, now)
-    # Group columns first, in their own projection: each regex runs once per
-    # row, however often the overlay below refers to its groups.
-    cols = out.columns
-    out = with_auth_matches(out, F.col("message"))
-    out = out.select(*cols, *auth_group_columns())
-    fields = auth_fields()
-    out = out.select("*", *[c.alias("_a_" + k) for k, c in fields.items()])
-    pf = compact_map(
-        ("process", F.col("_process")), ("pid", F.col("_pid")),
-        ("event_type", F.col("_a_event_type")), ("user", F.col("_a_user")),
-        ("src_ip", F.col("_a_src_ip")), ("port", F.col("_a_port")),
-        ("target_user", F.col("_a_target_user")), ("command", F.col("_a_command")),
-        ("pwd", F.col("_a_pwd")),
-    )
-    out = (out.withColumn("source", src)
-           .withColumn("severity", F.col("_a_severity"))
-           .withColumn("parsed_fields", pf))
-    groups = [f"_g_{p}{i + 1}" for p, _, n in AUTH_GROUPS for i in range(n)]
-    return out.drop("_ts_text", "_process", "_pid", *["_a_" + k for k in fields], *groups)
+    d = df.withColumn("_kind", F.lit("auth"))
+    return parse_mixed(d, "_kind", line, year, now, source=src)
 
 
 def parse_mixed(df: DataFrame, kind: str, line: str = "value", year: int | None = None,
-                now: _dt.datetime | None = None) -> DataFrame:
+                now: _dt.datetime | None = None, source: Column | None = None) -> DataFrame:
     """Lines of several kinds in one pass: column ``kind`` holds "auth" or
-    "syslog" per line (and becomes ``source``). The header is parsed once;
+    "syslog" per line (and becomes ``source`` unless one is given). The
+    header is parsed once;
     the auth patterns only run on auth lines (conditional branch). Same
     result as ``parse_auth`` / ``parse_syslog`` on the two subsets, without
     splitting the input into two scans and a union."""
@@ -173,7 +156,7 @@ def parse_mixed(df: DataFrame, kind: str, line: str = "value", year: int | None
         ("pwd", F.col("_a_pwd")),
     )
     sys_pf = compact_map(("process", F.col("_process")), ("pid", F.col("_pid")))
-    out = (out.withColumn("source", F.col(kind))
+    out = (out.withColumn("source", F.col(kind) if source is None else source)
            .withColumn("severity", F.when(is_auth, F.col("_a_severity")).otherwise(syslog_severity(F.col("message"))))
            .withColumn("parsed_fields", F.when(is_auth, auth_pf).otherwise(sys_pf)))
     groups = [f"_g_{p}{i + 1}" for p, _, n in AUTH_GROUPS for i in range(n)]
