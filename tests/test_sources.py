@@ -151,3 +151,17 @@ def test_feb29_in_leap_year(spark):
     df = lines_df(spark, ["Feb 29 12:00:00 h app[1]: leap"])
     r = parse_syslog(df, "value", "syslog", year=2024, now=NOW).collect()[0]
     assert r["timestamp"].replace(tzinfo=UTC) == dt.datetime(2024, 2, 29, 12, tzinfo=UTC)
+
+
+def test_occurrence_numbers_are_dense_across_partitions(spark):
+    from collections import Counter
+
+    from vigil.sources.lines import occurrence_number
+    rows = [("f1", "hot line")] * 5000 + [("f1", f"line {i}") for i in range(300)] + [("f2", "hot line")] * 7
+    df = spark.createDataFrame(rows, "file_path string, raw string").repartition(8)
+    got = occurrence_number(df, ["file_path", "raw"], "occ").collect()
+    by_key = {}
+    for r in got:
+        by_key.setdefault((r["file_path"], r["raw"]), []).append(r["occ"])
+    want = Counter(rows)
+    assert {k: sorted(v) for k, v in by_key.items()} == {k: list(range(1, n + 1)) for k, n in want.items()}
