@@ -162,3 +162,17 @@ def test_thresholds_with_different_windows_in_one_pass(spark):
     alone = {(a["rule_id"], a["event_id"], a["match_count"]) for a in
              detect(ev, [r1]).collect() + detect(ev, [r2]).collect()}
     assert both == alone and len({x[0] for x in both}) == 2
+
+
+def test_detection_plan_shape(spark):
+    import re as _re
+    ev = events_df(spark, [{"message": "Failed password"}])
+
+    def hash_exchanges(df):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        return len(_re.findall(r"(?m)^[\s:+|-]*Exchange hashpartitioning", plan))
+
+    plain = [r for r in __import__("vigil.operators.builtin", fromlist=["x"]).builtin_rules() if r.id != "gs-002"]
+    assert hash_exchanges(detect(ev, plain)) == 0  # plain rules: one narrow pass
+    r2 = rule({"selection": {"message|contains": "failed"}, "threshold": {"value": 9}, "timeframe": "2m"}, id="bf2")
+    assert hash_exchanges(detect(ev, plain + [threshold_rule(4, "30s"), r2])) == 1  # all windows, one shuffle
