@@ -118,3 +118,17 @@ def test_listing_on_stored_table_is_pushed_down(spark, tmp_dir):
     assert "severity" in pushed and "source" in pushed and "timestamp" in pushed
     assert "TakeOrderedAndProject" in plan
     assert [r["id"] for r in page.collect()] == ["e5"]
+
+
+def test_idempotent_insert_shuffles_incoming_once(spark, tmp_dir):
+    import re as _re
+
+    from vigil.operators.store import _read_or_none, new_rows, to_stored_events
+    ev = ten_events(spark)
+    append_events(spark, ev.filter("source = 'syslog'"), f"{tmp_dir}/events")
+    add = new_rows(to_stored_events(ev), _read_or_none(spark, f"{tmp_dir}/events"))
+    plan = add._jdf.queryExecution().executedPlan().toString()
+    keys = _re.findall(r"(?m)^[\s:+|-]*Exchange hashpartitioning\(([^)]*)\)", plan)
+    incoming = [k for k in keys if k.startswith("id#") and "event_date" in k]
+    assert len(incoming) == 1  # first-wins aggregate and anti-join share the partitioning
+    assert sorted(r["id"] for r in add.collect()) == [f"e{i}" for i in (1, 3, 5, 7, 9)]
