@@ -132,3 +132,16 @@ def test_idempotent_insert_shuffles_incoming_once(spark, tmp_dir):
     incoming = [k for k in keys if k.startswith("id#") and "event_date" in k]
     assert len(incoming) == 1  # first-wins aggregate and anti-join share the partitioning
     assert sorted(r["id"] for r in add.collect()) == [f"e{i}" for i in (1, 3, 5, 7, 9)]
+
+
+def test_outbox_payload_is_whole_alert(spark, tmp_dir):
+    import json
+
+    ev = ten_events(spark)
+    al = detect(ev, builtin_rules()).filter("event_id = 'e3'")
+    outbox_sink(f"{tmp_dir}/outbox", "https://hooks.example/x", {"X-Key": "k"})(al, 7)
+    row = spark.read.parquet(f"{tmp_dir}/outbox").collect()[0]
+    p = json.loads(row["payload"])
+    assert (row["url"], row["batch_id"], json.loads(row["headers"])) == ("https://hooks.example/x", 7, {"X-Key": "k"})
+    assert p["rule_id"] == "gs-001" and p["severity"] == "high" and p["timestamp"].endswith("+00:00")
+    assert p["event"]["id"] == "e3" and p["event"]["parsed_fields"]["user"] == "u3"
