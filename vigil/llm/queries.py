@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigil.llm import sharding
+from vigil.llm import bpe, sharding
 from vigil.llm.common import table
 
 
@@ -12,5 +12,16 @@ def op6_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.op6(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op6_histogram_sharding,)}
+def tokenizer_path() -> str:
+    """The byte-level vocabulary file; it stays outside the repository."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.op4(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+QUERIES = {f.__name__: f for f in (op4_bpe_codec, op6_histogram_sharding)}
 SQL: dict[str, str] = {}
