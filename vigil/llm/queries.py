@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigil.llm import bpe, sharding
+from vigil.llm import bpe, sharding, simhash
 from vigil.llm.common import table
 
 
+def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.op5(table(spark, sf_dir, "documents"))
+
+
 def op6_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.op6(table(spark, sf_dir, "documents"))
 
@@ -23,5 +27,5 @@ def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.op4(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op4_bpe_codec, op6_histogram_sharding)}
+QUERIES = {f.__name__: f for f in (op4_bpe_codec, op5_simhash_near_dedup, op6_histogram_sharding)}
 SQL: dict[str, str] = {}
