@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigil.llm import bpe, sharding, simhash
+from vigil.llm import bpe, decontaminate, oracle, sharding, simhash
 from vigil.llm.common import table
 
 
@@ -23,9 +23,14 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.op3(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.op4(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op4_bpe_codec, op5_simhash_near_dedup, op6_histogram_sharding)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (
+    op3_decontamination, op4_bpe_codec, op5_simhash_near_dedup, op6_histogram_sharding)}
+SQL: dict[str, str] = {"op3_decontamination": oracle.OP3}
