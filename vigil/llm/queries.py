@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigil.llm import bpe, decontaminate, oracle, pii, sharding, simhash
+from vigil.llm import bpe, decontaminate, oracle, pii, quality, sharding, simhash
 from vigil.llm.common import table
 
 
@@ -31,10 +31,14 @@ def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.op4(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.op9(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.op10(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (
-    op3_decontamination, op4_bpe_codec, op5_simhash_near_dedup, op6_histogram_sharding, op10_pii)}
+    op3_decontamination, op4_bpe_codec, op5_simhash_near_dedup, op6_histogram_sharding, op9_quality, op10_pii)}
 SQL: dict[str, str] = {"op3_decontamination": oracle.OP3}
