@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigil.llm import bpe, decontaminate, oracle, pii, quality, sharding, simhash
+from vigil.llm import bpe, decontaminate, html_extract, oracle, pii, quality, sharding, simhash
 from vigil.llm.common import table
 
 
@@ -23,6 +23,10 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.op2(table(spark, sf_dir, "pages"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.op3(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -40,5 +44,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op3_decontamination, op4_bpe_codec, op5_simhash_near_dedup, op6_histogram_sharding, op9_quality, op10_pii)}
+    op2_html_extraction, op3_decontamination, op4_bpe_codec, op5_simhash_near_dedup, op6_histogram_sharding, op9_quality, op10_pii)}
 SQL: dict[str, str] = {"op3_decontamination": oracle.OP3}
