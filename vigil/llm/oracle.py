@@ -27,3 +27,14 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
+
+OP7 = """
+WITH v AS (
+  SELECT vec_id, CAST(list_sum(list_transform(embedding, lambda x, i: CASE WHEN x > 0 THEN CAST(1 AS HUGEINT) << (i - 1) ELSE 0 END)) AS UBIGINT) AS code
+  FROM embeddings WHERE len(embedding) = 64),
+d AS (
+  SELECT q.vec_id AS query_id, r.vec_id AS neighbor_id, CAST(bit_count(xor(q.code, r.code)) AS INTEGER) AS distance
+  FROM v AS q, v AS r WHERE q.vec_id % 50 = 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS rank FROM d)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, neighbor_id, distance FROM k WHERE rank <= 10
+"""
