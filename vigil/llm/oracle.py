@@ -38,3 +38,29 @@ d AS (
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS rank FROM d)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, neighbor_id, distance FROM k WHERE rank <= 10
 """
+
+OP8 = r"""
+WITH m AS (
+  SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+l AS (SELECT conv_id, turn, unnest(regexp_split_to_array(text, '\r\n|\n|\r')) AS raw FROM m),
+n AS (
+  SELECT conv_id, turn, length(regexp_replace(regexp_extract(raw, '^(?:[ \t]{0,3}>)+'), '[^>]', '', 'g')) AS level,
+         trim(regexp_replace(lower(regexp_replace(raw, '^(?:[ \t]{0,3}>)+', '')), '[^\p{L}\p{N}\p{M}]+', ' ', 'g')) AS line FROM l),
+said AS (SELECT DISTINCT conv_id, turn, line FROM n WHERE level = 0 AND line <> ''),
+quoted AS (SELECT conv_id, turn, line, min(level) AS level FROM n WHERE level > 0 AND line <> '' GROUP BY ALL),
+linked AS (
+  SELECT q.conv_id, q.turn, count(s.turn) AS linked
+  FROM quoted AS q LEFT JOIN (SELECT q.conv_id, q.turn, q.line, max(s.turn) AS hit FROM quoted AS q
+    JOIN said AS s ON s.conv_id = q.conv_id AND s.line = q.line AND s.turn < q.turn GROUP BY ALL) AS h USING (conv_id, turn, line)
+  LEFT JOIN said AS s ON s.conv_id = q.conv_id AND s.line = q.line AND s.turn = h.hit GROUP BY ALL),
+p AS (
+  SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS position,
+         regexp_replace(regexp_replace(array_to_string(list_filter(regexp_split_to_array(text, '\r\n|\n|\r'),
+           lambda x: NOT regexp_matches(x, '^(?:[ \t]{0,3}>)+')), chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS own
+  FROM m)
+SELECT conv_id, CAST(position // 256 AS BIGINT) AS segment, count(*) AS n_messages,
+       CAST(count(*) FILTER (coalesce(linked, 0) > 0) AS BIGINT) AS n_linked,
+       string_agg('<|' || role || '|>' || chr(10) || own, chr(10) ORDER BY position) AS chat
+FROM p LEFT JOIN linked USING (conv_id, turn) GROUP BY 1, 2
+"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigil.llm import bpe, decontaminate, hamming_search, html_extract, oracle, pii, quality, sharding, simhash
+from vigil.llm import bpe, chat, decontaminate, hamming_search, html_extract, oracle, pii, quality, sharding, simhash
 from vigil.llm.common import table
 
 
@@ -39,6 +39,10 @@ def op7_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hamming_search.op7(table(spark, sf_dir, "embeddings"))
 
 
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.op8(table(spark, sf_dir, "conversations"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op9(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -49,5 +53,6 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op2_html_extraction, op3_decontamination, op4_bpe_codec, op5_simhash_near_dedup, op6_histogram_sharding,
-    op7_hamming_top_k, op9_quality, op10_pii)}
-SQL: dict[str, str] = {"op3_decontamination": oracle.OP3, "op7_hamming_top_k": oracle.OP7}
+    op7_hamming_top_k, op8_chat_formatting, op9_quality, op10_pii)}
+SQL: dict[str, str] = {"op3_decontamination": oracle.OP3, "op7_hamming_top_k": oracle.OP7,
+                       "op8_chat_formatting": oracle.OP8}
