@@ -64,3 +64,18 @@ SELECT conv_id, CAST(position // 256 AS BIGINT) AS segment, count(*) AS n_messag
        string_agg('<|' || role || '|>' || chr(10) || own, chr(10) ORDER BY position) AS chat
 FROM p LEFT JOIN linked USING (conv_id, turn) GROUP BY 1, 2
 """
+
+OP1 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, unnest(range(1, len(w) - 18)) AS s FROM d WHERE len(w) >= 20),
+k AS (SELECT s.doc_id, s.s, sha256(array_to_string(w[s.s:s.s + 19], ' ')) AS k FROM s JOIN d USING (doc_id)),
+f AS (SELECT k, min(doc_id) AS doc FROM k GROUP BY k),
+g AS (SELECT k.k, f.doc, min(k.s) AS s FROM k JOIN f ON f.k = k.k AND f.doc = k.doc_id GROUP BY ALL),
+r AS (SELECT k.doc_id, k.s FROM k JOIN g USING (k) WHERE k.doc_id > g.doc OR k.s > g.s),
+c AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS p FROM r),
+e AS (SELECT doc_id, list(p) AS ps FROM c GROUP BY doc_id),
+x AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d WHERE len(w) > 0),
+kept AS (SELECT x.doc_id, string_agg(word, ' ' ORDER BY x.p) AS t FROM x LEFT JOIN c ON c.doc_id = x.doc_id AND c.p = x.p WHERE c.p IS NULL GROUP BY x.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN e USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""

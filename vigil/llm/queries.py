@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigil.llm import bpe, chat, decontaminate, hamming_search, html_extract, oracle, pii, quality, sharding, simhash
+from vigil.llm import bpe, chat, decontaminate, hamming_search, html_extract, oracle, pii, quality, sharding, simhash, substring_dedup
 from vigil.llm.common import table
 
 
@@ -23,6 +23,10 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.op1(table(spark, sf_dir, "documents"))
+
+
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.op2(table(spark, sf_dir, "pages"))
 
@@ -52,7 +56,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_html_extraction, op3_decontamination, op4_bpe_codec, op5_simhash_near_dedup, op6_histogram_sharding,
+    op1_substring_dedup, op2_html_extraction, op3_decontamination, op4_bpe_codec, op5_simhash_near_dedup, op6_histogram_sharding,
     op7_hamming_top_k, op8_chat_formatting, op9_quality, op10_pii)}
-SQL: dict[str, str] = {"op3_decontamination": oracle.OP3, "op7_hamming_top_k": oracle.OP7,
+SQL: dict[str, str] = {"op1_substring_dedup": oracle.OP1, "op3_decontamination": oracle.OP3, "op7_hamming_top_k": oracle.OP7,
                        "op8_chat_formatting": oracle.OP8}
