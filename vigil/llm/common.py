@@ -39,3 +39,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder named by ``spark.checkpoint.dir``."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def shielded(df: DataFrame, used: list[str], fn) -> DataFrame:
+    """``fn(df)`` with every column outside ``used`` out of the way of its working names, then the columns of ``df`` again."""
+    names = df.columns
+    inner = [c if c in used else f"__extra{i}" for i, c in enumerate(names)]
+    out = fn(df.toDF(*inner))
+    return out.select(*inner).toDF(*names)

@@ -14,7 +14,8 @@ never shuffled: a pass emits a document's hit spans and item ids, one row a docu
 
 Defined cases: null and empty texts have no words, no hits and no items; items without words have no windows;
 items with equal texts are all reported; repeated documents are each reported; a null item id has no name to
-report and is left out; an empty benchmark or documents table works; extra columns pass unchanged.
+report and is left out; an empty benchmark or documents table works; extra columns pass unchanged (those named
+like a result column are replaced).
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vigil.llm.common import shielded
+
 WINDOW = 13
 SHINGLE = 3
 PART_WORDS = 1_000_000
@@ -224,5 +227,5 @@ def op3(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Rows of ``documents`` that are not contaminated."""
-    return contamination(documents, benchmark).where(~F.col("contaminated")).select(*documents.columns)
+    """Rows of ``documents`` that are not contaminated; all their columns stay as they are."""
+    return shielded(documents, ["doc_id", "text"], lambda d: contamination(d, benchmark).where(~F.col("contaminated")))

@@ -13,7 +13,8 @@ they match; possessive repeats and a look-behind keep them linear on long runs,
 retry from every character (a match can start inside a run only where the last one ended, hence ``\\G``).
 
 Defined cases: null is the empty text (no spans; redaction leaves it null); ties cannot arise (spans of a kind do
-not overlap); repeated rows are each reported; empty tables work; extra columns pass unchanged.
+not overlap); repeated rows are each reported; empty tables work; extra columns pass unchanged (one named ``pii`` is
+replaced).
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vigil.llm.common import shielded
+
 ACCEPT = 0.6
 CONTEXT_BEFORE, CONTEXT_AFTER = 40, 20
 
@@ -161,6 +164,18 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def redacted_documents(documents: DataFrame) -> DataFrame:
+    """``documents`` with redacted texts and their ``n_chars`` set anew where a text changed; other columns stay as they are."""
+    def run(d: DataFrame) -> DataFrame:
+        out = redact(d.withColumn("__before", F.col("text")))
+        if "n_chars" in d.columns:
+            changed = ~F.col("text").eqNullSafe(F.col("__before"))
+            out = out.withColumn("n_chars", F.when(changed, F.length("text").cast(d.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        return out
+
+    return shielded(documents, ["doc_id", "text", "n_chars"], run)
+
+
 def of_kinds(*kinds: str) -> Column:
     return F.filter("pii", lambda s: s["kind"].isin(*kinds))
 

@@ -14,7 +14,7 @@ text alone: the id, language, source and labels are no features.
 
 Defined cases: null is the empty text; it gets a score like any other. Labels that are null count for nothing; a row
 with several labels is positive only if all are 1. Without both classes among the labels, every score is the prior
-(0.5 without labels). Repeated rows get equal scores; extra columns pass unchanged.
+(0.5 without labels). Repeated rows get equal scores; extra columns pass unchanged (one named ``score`` is replaced).
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vigil.llm.common import shielded
+
 MAX_LABELLED = 12_000
 MAX_UNLABELLED = 8_000
 THRESHOLD = 0.3
@@ -228,5 +230,6 @@ def op9(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def accepted(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of ``documents`` that the classifier does not reject."""
-    return score(documents, fit(documents, labels)).where(F.col("score") >= THRESHOLD).select(*documents.columns)
+    """Rows of ``documents`` that the classifier does not reject; all their columns stay as they are."""
+    model = fit(documents, labels)
+    return shielded(documents, ["doc_id", "text"], lambda d: score(d, model).where(F.col("score") >= THRESHOLD))

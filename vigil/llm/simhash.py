@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import cut_lineage, hex64
+from vigil.llm.common import cut_lineage, hex64, shielded
 
 SHINGLE = 3
 MAX_BITS = 2
@@ -283,9 +283,12 @@ def op5(documents: DataFrame) -> DataFrame:
 
 
 def first_of_each(documents: DataFrame, **kw) -> DataFrame:
-    """Rows of ``documents`` with one document of each component: the smallest id (rows without an id stay)."""
-    found = near_duplicates(documents, **kw)
-    drop = found.where("component_id <> doc_id").select("doc_id")
-    kept = documents.join(drop, "doc_id", "left_anti")
-    other = F.when(F.col("doc_id").isNull(), F.xxhash64(*documents.columns))
-    return kept.withColumn("__other", other).dropDuplicates(["doc_id", "__other"]).select(*documents.columns)
+    """Rows of ``documents`` with one document of each component: its smallest id, once (rows without an id stay, once
+    for each distinct row); all columns stay as they are."""
+    drop = near_duplicates(documents, **kw).where("component_id <> doc_id").select("doc_id")
+
+    def run(d: DataFrame) -> DataFrame:
+        other = F.when(F.col("doc_id").isNull(), F.xxhash64(*d.columns))
+        return d.join(drop, "doc_id", "left_anti").withColumn("__other", other).dropDuplicates(["doc_id", "__other"])
+
+    return shielded(documents, ["doc_id", "text"], run)
