@@ -253,9 +253,10 @@ class Reference:
                 if node.text is None:
                     varying[self.index[id(node)]] += chars
                 node = self.parents[id(node)]
-        top = max(varying.values(), default=0)
-        if top:
-            self.content_root = max(k for k, v in varying.items() if v >= ROOT_SHARE * top)
+        # paragraphs and headings hold only text; a root is an element that holds such blocks
+        holds = {k: v for k, v in varying.items() if any(c.text is None for c in self.nodes[k][0].children)}
+        if top := max(holds.values(), default=0):
+            self.content_root = max(k for k, v in holds.items() if v >= ROOT_SHARE * top)
 
     def extract(self, html: str) -> str:
         page = parse(html)
