@@ -10,20 +10,15 @@ import copy
 
 from vigil.operators.rules import Rule, load_rule
 
-_LINUX_AUTH = {"product": "linux", "service": "auth"}
-_LINUX_SYSLOG = {"product": "linux", "service": "syslog"}
-
 BUILTIN_RULES = [
     {
-        "title": "Failed SSH Login", "id": "gs-001", "status": "stable", "level": "high",
+        "title": "Failed SSH Login", "id": "gs-001", "level": "high",
         "description": "Detects failed SSH login attempts indicating potential unauthorized access.",
-        "logsource": _LINUX_AUTH, "tags": ["attack.initial_access", "attack.t1078"],
         "detection": {"selection": {"message|contains": "Failed password"}, "condition": "selection"},
     },
     {
-        "title": "SSH Brute Force Attempt", "id": "gs-002", "status": "stable", "level": "critical",
+        "title": "SSH Brute Force Attempt", "id": "gs-002", "level": "critical",
         "description": "Detects 5+ failed SSH logins from same IP in 60s, indicating brute force.",
-        "logsource": _LINUX_AUTH, "tags": ["attack.credential_access", "attack.t1110.001"],
         "detection": {
             "selection": {"message|contains": "Failed password"},
             "threshold": {"field": "src_ip", "value": 5},
@@ -32,15 +27,13 @@ BUILTIN_RULES = [
         },
     },
     {
-        "title": "SSH Login From Unusual Source", "id": "gs-003", "status": "experimental", "level": "medium",
+        "title": "SSH Login From Unusual Source", "id": "gs-003", "level": "medium",
         "description": "Detects successful SSH logins which may originate from unusual or external sources.",
-        "logsource": _LINUX_AUTH, "tags": ["attack.initial_access", "attack.t1078"],
         "detection": {"selection": {"message|contains": "Accepted"}, "condition": "selection"},
     },
     {
-        "title": "Sudo Command Executed", "id": "gs-004", "status": "stable", "level": "medium",
+        "title": "Sudo Command Executed", "id": "gs-004", "level": "medium",
         "description": "Detects execution of commands via sudo, which may indicate privilege escalation.",
-        "logsource": _LINUX_AUTH, "tags": ["attack.privilege_escalation", "attack.t1548.003"],
         "detection": {
             "selection": {"message|contains": "COMMAND="},
             "filter": {"message|contains": "pam_unix"},
@@ -48,9 +41,8 @@ BUILTIN_RULES = [
         },
     },
     {
-        "title": "New User Account Created", "id": "gs-005", "status": "stable", "level": "high",
+        "title": "New User Account Created", "id": "gs-005", "level": "high",
         "description": "Detects creation of new user accounts via useradd or adduser.",
-        "logsource": _LINUX_AUTH, "tags": ["attack.persistence", "attack.t1136.001"],
         "detection": {
             "selection_useradd": {"message|contains": "useradd"},
             "selection_adduser": {"message|contains": "adduser"},
@@ -59,9 +51,8 @@ BUILTIN_RULES = [
         },
     },
     {
-        "title": "Service Started or Stopped", "id": "gs-006", "status": "stable", "level": "low",
+        "title": "Service Started or Stopped", "id": "gs-006", "level": "low",
         "description": "Detects system service state changes which may indicate tampering or maintenance.",
-        "logsource": _LINUX_SYSLOG, "tags": ["attack.defense_evasion", "attack.t1562.001"],
         "detection": {
             "selection_started": {"message|contains": "Started"},
             "selection_stopped": {"message|contains": "Stopped"},
@@ -70,9 +61,8 @@ BUILTIN_RULES = [
         },
     },
     {
-        "title": "Firewall Rule Change Detected", "id": "gs-007", "status": "stable", "level": "high",
+        "title": "Firewall Rule Change Detected", "id": "gs-007", "level": "high",
         "description": "Detects modifications to firewall rules via iptables or ufw.",
-        "logsource": _LINUX_SYSLOG, "tags": ["attack.defense_evasion", "attack.t1562.004"],
         "detection": {
             "selection_iptables": {"message|contains": "iptables"},
             "selection_ufw": {"message|contains": "ufw"},
@@ -81,10 +71,9 @@ BUILTIN_RULES = [
         },
     },
     {
-        "title": "Large Outbound Data Transfer Indicator", "id": "gs-008", "status": "experimental",
+        "title": "Large Outbound Data Transfer Indicator", "id": "gs-008",
         "level": "high",
         "description": "Detects log entries indicating large outbound transfers, potential exfil.",
-        "logsource": _LINUX_SYSLOG, "tags": ["attack.exfiltration", "attack.t1048"],
         "detection": {
             "selection_scp": {"message|contains": "scp"},
             "selection_rsync": {"message|contains": "rsync"},
