@@ -15,7 +15,8 @@ broadcast; it is cut in shards that fit a task, and only text that can match a s
    picked run at different places, and equal windows hold it at the same place.)
 4. Runs over HOT times (a passage in a third of all documents) are streamed window by window: a shard is one window's
    sequence, salted by document, and the first of each salt meets the others in a second pass. So no shard grows beyond
-   HOT stretches or a share of one window's copies, and its automaton stays small.
+   HOT stretches or a share of one window's copies, and its automaton stays small. Before the exchange every task
+   collapses equal stretches: only the first goes to its shard, the others are known repeats.
 5. The marked spans meet their documents once, by id, and the covered words are dropped.
 
 Defined cases: null and empty texts have no words; a text shorter than the window stays whole; rows equal in id and text are one
@@ -37,11 +38,13 @@ from pyspark.sql import functions as F
 from vigil.llm.common import ensure_checkpoint_dir
 
 WINDOW = 20
-GRAM = 8
+GRAM = 6
 FILTER_BITS = 26          # two bitmaps of 2**26 bits, 8 MB each, whatever the corpus
 HOT = 256                 # occurrences of a run from which windows are dealt one by one
 SALTS = 64
-EMIT_ROWS = 20_000
+COLLAPSE = 60_000         # stretches that a task holds to collapse equal ones before it sends them
+SPAN_ROW = -2
+EMIT_ROWS = 5_000
 MIX = np.uint64(0xFF51AFD7ED558CCD)
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -122,34 +125,53 @@ def batch_of(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[x.split()[0] for x in STRETCH.split(", ")])
 
 
-def stretches(docs: DataFrame, shared, window: int, gram: int, bits: int) -> DataFrame:
-    """Text of every window whose run may repeat, keyed by the shard it goes to."""
+def stretches(docs: DataFrame, shared, window: int, gram: int, bits: int, collapse: int = COLLAPSE) -> DataFrame:
+    """Text of every window whose run may repeat, keyed by the shard it goes to. Equal stretches that a task meets are
+    collapsed before the exchange: the first in document order goes to its shard, the others are repeats of it and
+    travel as spans without text (salt SPAN_ROW, dealt by document)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         any_, hot_ = shared.value
-        rows: list[tuple] = []
+        first: dict[tuple[int, bytes], tuple] = {}
+        spans: list[tuple] = []
+
+        def meet(key: int, salt: int, place: tuple, n: int, raw: bytes) -> None:
+            met = first.setdefault((key, raw), (place, salt, n))
+            if met[0] != place:  # equal places: the same document again
+                if place < met[0]:
+                    first[key, raw] = (place, salt, n)
+                    place = met[0]
+                late, did, content, start = place
+                spans.append((did, SPAN_ROW, late, did, content, start, n + window - 1, None))
+
+        def emptied() -> Iterator[pa.RecordBatch]:
+            rows = [(key, salt, *place, n, raw) for (key, raw), (place, salt, n) in first.items()] + spans
+            first.clear()
+            spans.clear()
+            for at in range(0, len(rows), EMIT_ROWS):
+                yield batch_of(rows[at:at + EMIT_ROWS])
+
         for b in batches:
             for late, did, content, text in zip(*(b.column(c) for c in ("late", "did", "content", "text"))):
                 words = words_of(text.as_py())
                 if len(words) < window:
                     continue
-                key, first, last = picked(words, window, gram)
+                key, begin, last = picked(words, window, gram)
                 may = np.nonzero(is_set(any_, key, bits))[0]
                 if not len(may):
                     continue
                 late, did, content = late.as_py(), did.as_py(), content.as_py()
                 hot = is_set(hot_, key[may], bits)
                 salt = (content ^ did) % SALTS
-                for k, a, z, many in zip(key[may].view(np.int64).tolist(), first[may].tolist(), last[may].tolist(), hot.tolist()):
+                for k, a, z, many in zip(key[may].view(np.int64).tolist(), begin[may].tolist(), last[may].tolist(), hot.tolist()):
                     if not many:
-                        rows.append((k, -1, late, did, content, a, z - a + 1, b" ".join(words[a:z + window])))
+                        meet(k, -1, (late, did, content, a), z - a + 1, b" ".join(words[a:z + window]))
                         continue
                     for s in range(a, z + 1):
                         one = b" ".join(words[s:s + window])
-                        rows.append((xxhash.xxh64_intdigest(one) - (1 << 63), salt, late, did, content, s, 1, one))
-                if len(rows) >= EMIT_ROWS:
-                    yield batch_of(rows)
-                    rows = []
-        yield batch_of(rows)
+                        meet(xxhash.xxh64_intdigest(one) - (1 << 63), salt, (late, did, content, s), 1, one)
+                if len(first) + len(spans) >= collapse:
+                    yield from emptied()
+        yield from emptied()
 
     return docs.select("late", "did", "content", "text").mapInArrow(run, STRETCH)
 
@@ -224,6 +246,9 @@ def match_shards(dealt: DataFrame, window: int) -> DataFrame:
         rows: list[tuple] = []
         for b in batches:
             for key, salt, late, did, content, start, n, raw in zip(*(c.to_pylist() for c in b.columns)):
+                if salt == SPAN_ROW:
+                    rows.append((False, key, late, did, content, start, n, None))
+                    continue
                 if (key, salt) != shard:
                     shard, before, automaton, seen, pending = (key, salt), None, None, set(), []
                 place = (late, did, content, start, raw)
@@ -299,17 +324,18 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bits
 
 def with_spans(df: DataFrame, id_col: str, text_col: str, **kw) -> DataFrame:
     docs = identified(df, id_col, text_col)
-    spans = (repeated_spans(docs, **kw).groupBy("did").agg(  # at most one entry a window of the documents of one id
-        F.collect_list(F.struct("late", "content", "start", "n")).alias("spans")))
-    return docs.join(spans, "did", "left")
-
-
-def keep_mask(n_words: int, spans: list, late: bool, content: int) -> np.ndarray:
-    edge = np.zeros(n_words + 1, np.int64)
-    for s in spans or ():
-        if s["late"] == late and s["content"] == content:
-            edge[s["start"]] += 1
-            edge[s["start"] + s["n"]] -= 1
+    doc = ["did", "late", "content"]
+    spans = repeated_spans(docs, **kw).groupBy(*doc).agg(  # at most one entry a window of the document
+        F.collect_list((F.shiftleft(F.col("start").cast("long"), 32) + F.col("n")).alias("span")).alias("spans"))
+    return docs.join(spans, doc, "left")
+
+
+def keep_mask(n_words: int, spans: np.ndarray | None) -> np.ndarray:
+    """True for words outside all spans (start in the high half, length in the low half of each number)."""
+    if spans is None or not n_words:
+        return np.ones(n_words, bool)
+    start, n = spans >> 32, spans & 0xFFFFFFFF
+    edge = np.bincount(start, minlength=n_words + 1) - np.bincount(start + n, minlength=n_words + 1)
     return np.cumsum(edge)[:n_words] == 0
 
 
@@ -324,9 +350,9 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n_words, n_removed, kept, removed = [], [], [], []
-            for text, spans, late, content in zip(*(b.column(c) for c in ("text", "spans", "late", "content"))):
+            for text, spans in zip(b.column("text"), b.column("spans")):
                 words = words_of(text.as_py())
-                keep = keep_mask(len(words), spans.as_py(), late.as_py(), content.as_py())
+                keep = keep_mask(len(words), spans.values.to_numpy() if spans.is_valid else None)
                 turn = np.nonzero(np.diff(np.concatenate([[True], keep, [True]])))[0].tolist()
                 n_words.append(len(words))
                 n_removed.append(len(words) - int(keep.sum()))
@@ -337,7 +363,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                  pa.array(removed, pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32())])))],
                 names=[id_col, "n_words", "n_removed", "kept", "removed"])
 
-    return both.select("id", "text", "spans", "late", "content").mapInArrow(run, schema)
+    return both.select("id", "text", "spans").mapInArrow(run, schema)
 
 
 def op1(documents: DataFrame) -> DataFrame:
