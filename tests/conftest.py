@@ -39,7 +39,7 @@ def events_df(spark, rows):
             r.get("id", f"e{i:04d}"),
             r.get("timestamp", dt.datetime(2024, 4, 15, 10, 0, i % 60, tzinfo=UTC)),
             r.get("source", "auth"),
-            r.get("hostname", "webserver01"),
+            r.get("hostname", "gate7"),
             r.get("severity", "low"),
             r["message"],
             r.get("raw", r["message"]),

@@ -1,4 +1,4 @@
-"""Partition-count helpers."""
+"""Narrow barriers that keep expensive expressions from being evaluated twice."""
 
 from __future__ import annotations
 
@@ -7,18 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin a scan that yields fewer partitions than the cluster has
-    cores (e.g. one small file with a single row group), so the per-row work
-    after it (regex parsing) uses every core. A large input already has far
-    more splits than cores and is returned unchanged: no extra shuffle."""
-    sc = df.sparkSession.sparkContext
-    want = min_partitions or sc.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
-        return df
-    return df.repartition(want)
-
-
 def table_boundary(df: DataFrame) -> DataFrame:
     """Let ``df`` act like a stored table for the optimiser.
 

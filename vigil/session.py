@@ -45,7 +45,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def apply_defaults(spark: SparkSession) -> None:
-    """Set the package's SQL settings on an existing session where unset."""
+    """Set the package's SQL settings on an existing session where unset. The session time zone is always set to UTC:
+    event times are UTC instants and day partitions are UTC days."""
     for k, v in _DEFAULTS.items():
         if k == "spark.ui.enabled":
             continue
@@ -58,8 +59,9 @@ def apply_defaults(spark: SparkSession) -> None:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the folder is given (a shared file system path). Only when it
-    is unset, as in local tests, a fresh scratch folder is created.
+    On a cluster the folder is given (a shared file system path); executors cannot see a folder of
+    the driver's machine, so without the setting that is an error. Only a local session, where all is one
+    process, gets a fresh scratch folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -67,6 +69,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="vigil-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
     sc.setCheckpointDir(configured)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.functions.partitioning import generated, keep_rows
@@ -164,29 +164,10 @@ def parse_mixed(df: DataFrame, kind: str, line: str = "value", year: int | None
     return out.drop(*drop, *([kind] if kind != "source" else []))
 
 
-def event_id(source: Column, hostname: Column, raw: Column, ordinal: Column) -> Column:
-    """Deterministic event id: a re-run over the same input gives the same ids."""
-    return F.sha2(F.concat_ws(ID_SEP, source, hostname, raw, ordinal.cast("string")), 256)
-
-
-def occurrence_number(df: DataFrame, keys: list[str], out: str = "occurrence") -> DataFrame:
-    """Number identical rows (same ``keys``) 1..k without one task per key.
-
-    Identical lines are interchangeable, so any 1..k numbering gives the same
-    set of ids. Two levels keep a hot key (one line repeated a billion times)
-    spread out: rows are numbered inside (key, input partition), then each
-    (key, partition) block is shifted by the sizes of the blocks before it.
-    The block table has one row per key and input partition.
-    """
-    part = "_occ_part"
-    d = df.withColumn(part, F.spark_partition_id())
-    blk = Window.partitionBy(*keys, part).orderBy(F.lit(0))
-    d = d.withColumn("_occ_local", F.row_number().over(blk)).withColumn("_occ_n", F.count(F.lit(1)).over(blk))
-    sizes = d.filter(F.col("_occ_local") == 1).select(*keys, part, "_occ_n")
-    before = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn("_occ_off", F.coalesce(F.sum("_occ_n").over(before), F.lit(0))).drop("_occ_n")
-    d = d.join(offsets, on=[*keys, part], how="inner")
-    return d.withColumn(out, F.col("_occ_off") + F.col("_occ_local")).drop(part, "_occ_local", "_occ_n", "_occ_off")
+def event_id(collector: Column, file_path: Column, raw: Column, occurrence: Column) -> Column:
+    """Deterministic event id, the same in batch and live: the collector's name, the file, the line's text and which
+    of the file's equal lines it is. (A source named inside the line has no part in it.)"""
+    return F.sha2(F.concat_ws(ID_SEP, collector, file_path, raw, occurrence.cast("string")), 256)
 
 
 def read_text_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -196,30 +177,21 @@ def read_text_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return clean_lines(df)
 
 
-def with_file_event_ids(df: DataFrame, exact: bool = True) -> DataFrame:
-    """Add ``id`` to events read from files: (source, file, line, occurrence).
+def numbered_lines(lines: DataFrame, collector: str) -> DataFrame:
+    """(value, id) of every line: equal lines of a file are numbered 1..n.
 
-    ``exact`` numbers identical lines of a file 1..k, so each keeps its own
-    id and a replay of the same files gives the same ids; it costs one
-    shuffle of the lines. ``exact=False`` uses occurrence 1 for every line:
-    no shuffle, but identical lines of one file share an id (the idempotent
-    events table then keeps one of them)."""
-    src_file = F.concat_ws(ID_SEP, F.col("source"), F.col("file_path"))
-    if not exact:
-        return df.withColumn("id", event_id(src_file, F.col("hostname"), F.col("raw"), F.lit(1)))
-    d = occurrence_number(df, ["source", "file_path", "raw"], "_line_occ")
-    return d.withColumn("id", event_id(src_file, F.col("hostname"), F.col("raw"), F.col("_line_occ"))).drop("_line_occ")
+    Equal lines cannot be told apart, so counting them and unfolding the count gives every numbering there is. The
+    count is combined before the one exchange, which sends a line that repeats a billion times once a task."""
+    counted = lines.groupBy("file_path", "value").agg(F.count(F.lit(1)).alias("_n"))
+    each = counted.select("file_path", "value", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))).alias("_occurrence"))
+    return each.select("value", event_id(F.lit(collector), F.col("file_path"), F.col("value"), F.col("_occurrence")).alias("id"))
 
 
-def read_syslog(spark: SparkSession, path, name: str = "syslog", year=None, now=None,
-                exact_ids: bool = True) -> DataFrame:
+def read_syslog(spark: SparkSession, path, name: str = "syslog", year=None, now=None) -> DataFrame:
     """Batch syslog source: whole files -> events with ids."""
-    ev = parse_syslog(read_text_lines(spark, path), "value", name, year, now)
-    return with_file_event_ids(ev, exact_ids).drop("value")
+    return parse_syslog(numbered_lines(read_text_lines(spark, path), name), "value", name, year, now).drop("value")
 
 
-def read_auth(spark: SparkSession, path, name: str = "auth", year=None, now=None,
-              exact_ids: bool = True) -> DataFrame:
+def read_auth(spark: SparkSession, path, name: str = "auth", year=None, now=None) -> DataFrame:
     """Batch auth-log source: whole files -> events with ids."""
-    ev = parse_auth(read_text_lines(spark, path), "value", name, year, now)
-    return with_file_event_ids(ev, exact_ids).drop("value")
+    return parse_auth(numbered_lines(read_text_lines(spark, path), name), "value", name, year, now).drop("value")

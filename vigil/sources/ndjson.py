@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from vigil.functions.partitioning import generated
 from vigil.functions.text import map_present, parse_severity
 from vigil.functions.timeparse import json_time
-from vigil.sources.lines import read_text_lines, with_file_event_ids
+from vigil.sources.lines import numbered_lines, read_text_lines
 
 # Fixed value (must equal the reference): default JSON key -> event field
 # map, in its lookup order (the first present key wins for each field).
@@ -83,10 +83,6 @@ def parse_ndjson(df: DataFrame, line: str = "value", source: str = "json", field
 
 
 def read_ndjson(spark: SparkSession, path, name: str = "json", field_map: dict | None = None,
-                now: _dt.datetime | None = None, exact_ids: bool = True) -> DataFrame:
+                now: _dt.datetime | None = None) -> DataFrame:
     """Batch NDJSON source: whole files -> events with ids."""
-    ev = parse_ndjson(read_text_lines(spark, path), "value", name, field_map, now)
-    # The id hashes the collector name, not a mapped ``source`` value.
-    ev = ev.withColumn("_src", F.col("source")).withColumn("source", F.lit(name))
-    ev = with_file_event_ids(ev, exact_ids).withColumn("source", F.col("_src")).drop("_src")
-    return ev.drop("value")
+    return parse_ndjson(numbered_lines(read_text_lines(spark, path), name), "value", name, field_map, now).drop("value")
