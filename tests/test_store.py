@@ -123,10 +123,11 @@ def test_listing_on_stored_table_is_pushed_down(spark, tmp_dir):
 def test_idempotent_insert_shuffles_incoming_once(spark, tmp_dir):
     import re as _re
 
-    from vigil.operators.store import _read_or_none, new_rows, to_stored_events
+    from vigil.operators.store import _stored_or_none, new_rows, to_stored_events
+    from vigil.schema import STORED_EVENT
     ev = ten_events(spark)
     append_events(spark, ev.filter("source = 'syslog'"), f"{tmp_dir}/events")
-    add = new_rows(to_stored_events(ev), _read_or_none(spark, f"{tmp_dir}/events"))
+    add = new_rows(to_stored_events(ev), _stored_or_none(spark, f"{tmp_dir}/events", STORED_EVENT))
     plan = add._jdf.queryExecution().executedPlan().toString()
     keys = _re.findall(r"(?m)^[\s:+|-]*Exchange hashpartitioning\(([^)]*)\)", plan)
     incoming = [k for k in keys if k.startswith("id#") and "event_date" in k]
@@ -145,3 +146,58 @@ def test_outbox_payload_is_whole_alert(spark, tmp_dir):
     assert (row["url"], row["batch_id"], json.loads(row["headers"])) == ("https://hooks.example/x", 7, {"X-Key": "k"})
     assert p["rule_id"] == "gs-001" and p["severity"] == "high" and p["timestamp"].endswith("+00:00")
     assert p["event"]["id"] == "e3" and p["event"]["parsed_fields"]["user"] == "u3"
+
+
+def test_alert_json_decodes_to_the_same_alert(spark):
+    from vigil.operators.store import alert_from_json
+    al = detect(ten_events(spark), builtin_rules())
+    a = {r["id"]: r for r in al.collect()}
+    for r in alert_from_json(alert_json(al)).collect():
+        want = a[r["id"]]
+        assert r["event"].asDict(True) == want["event"].asDict(True)
+        assert (r["rule_id"], r["event_id"], r["timestamp"], r["description"]) == (
+            want["rule_id"], want["event_id"], want["timestamp"], want["description"])
+
+
+def test_decoders_default_what_is_missing(spark):
+    from vigil.operators.store import alert_from_json
+    df = spark.createDataFrame([('{"message": "m", "severity": "odd"}',)], "value string")
+    e = event_from_json(df).collect()[0]
+    assert (e["hostname"], e["severity"], e["raw"], e["parsed_fields"]) == ("unknown", "low", "m", {}) and len(e["id"]) == 64
+    a = alert_from_json(spark.createDataFrame([('{"rule_id": "r", "event": {"message": "m"}}',)], "value string")).collect()[0]
+    assert a["event"]["message"] == "m" and a["severity"] == "low" and len(a["id"]) == 64
+
+
+def test_parsed_fields_named_like_the_lists_are_kept_once(spark, tmp_dir):
+    import json
+
+    from vigil.operators.store import to_stored_events
+    rows = [{"message": "no address here", "id": "a", "parsed_fields": {"ip_addresses": "mine", "geo": "flat"}},
+            {"message": "from 10.0.0.1", "id": "b", "parsed_fields": {"geo": "flat", "k": "v"}}]
+    ev = normalize(events_df(spark, rows))
+    texts = {r["id"]: r["parsed_json"] for r in to_stored_events(ev).collect()}
+    for t in texts.values():
+        keys = [k for k, _ in json.loads(t, object_pairs_hook=lambda p: p)]
+        assert len(keys) == len(set(keys))
+    append_events(spark, ev, f"{tmp_dir}/events")
+    back = {r["id"]: r for r in read_events(spark, f"{tmp_dir}/events").collect()}
+    assert back["a"]["parsed_fields"]["geo"] == "flat" and back["b"]["ip_addresses"] == ["10.0.0.1"]
+    assert "10.0.0.1" in back["b"]["geo"] and back["b"]["parsed_fields"]["k"] == "v"
+
+
+def test_console_emits_every_alert(spark):
+    from vigil.operators.sinks import console_sink
+    lines = []
+    al = detect(ten_events(spark), builtin_rules())
+    console_sink(lines.append)(al.unionByName(al).unionByName(al), 0)
+    assert len(lines) == 30 and all("Failed SSH Login" in x for x in lines)
+
+
+def test_summary_plans_hold_no_regex_and_read_few_columns(spark):
+    from vigil.plans.queries import QUERIES
+    for name, columns in [("events_by_severity", "struct<severity:string>"), ("events_per_hour", "struct<timestamp:timestamp>"),
+                          ("top_rules", "struct<rule_name:string>"), ("stats_totals", "struct<>")]:
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "regexp" not in plan and f"ReadSchema: {columns}" in plan, (name, plan)
+    plan = QUERIES["events_listing"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(severity,high)" in plan and "event_date" in plan.split("PartitionFilters")[1][:60]

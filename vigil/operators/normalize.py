@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigil.functions.partitioning import generated
+from vigil.schema import EVENT_NOT_NULL
 from vigil.functions.text import contains_any, map_present, py_regex
 
 # ---------------------------------------------------------------------------
@@ -99,10 +100,10 @@ def normalize(df: DataFrame) -> DataFrame:
 
 
 def split_valid(events: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(events with a message, quarantined events without one).
+    """(events that can be stored, quarantined events that lack a required value).
 
     The reference's processing loop stops on a JSON event whose message is
-    not text; here values are text already, and a NULL message (a JSON
+    not text; here values are text already, and an event with a NULL in a required column (a JSON
     ``"msg": null``) is routed to a quarantine output instead."""
-    ok = F.col("message").isNotNull()
+    ok = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in EVENT_NOT_NULL if c in events.columns])
     return events.filter(ok), events.filter(~ok)

@@ -12,30 +12,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.operators.store import iso_time
+from vigil.operators.store import event_text, iso_time
 
 log = logging.getLogger(__name__)
 
 Sink = Callable[[DataFrame, int], None]
 
 
-def _event_struct(alerts: DataFrame):
-    e = "event"
-    return F.struct(
-        F.col(f"{e}.id").alias("id"), iso_time(F.col(f"{e}.timestamp")).alias("timestamp"),
-        F.col(f"{e}.source").alias("source"), F.col(f"{e}.hostname").alias("hostname"),
-        F.col(f"{e}.severity").alias("severity"), F.col(f"{e}.message").alias("message"),
-        F.col(f"{e}.raw").alias("raw"), F.col(f"{e}.parsed_fields").alias("parsed_fields"),
-    )
-
-
 def alert_json(alerts: DataFrame) -> DataFrame:
     """One JSON object per alert, event nested (``value`` column)."""
-    return alerts.select(F.to_json(F.struct(
-        F.col("id"), F.col("rule_id"), F.col("rule_name"), F.col("severity"),
-        _event_struct(alerts).alias("event"), iso_time(F.col("timestamp")).alias("timestamp"),
-        F.col("description"),
-    )).alias("value"))
+    head = F.to_json(F.struct("id", "rule_id", "rule_name", "severity"), {"ignoreNullFields": "false"})
+    tail = F.to_json(F.struct(iso_time(F.col("timestamp")).alias("timestamp"), "description"), {"ignoreNullFields": "false"})
+    event = event_text(lambda name: F.col(f"event.{name}"))
+    return alerts.select(F.concat(F.regexp_replace(head, r"\}$", ""), F.lit(',"event":'), event, F.lit(","),
+                                  F.regexp_replace(tail, r"^\{", "")).alias("value"))
 
 
 def console_records(alerts: DataFrame) -> DataFrame:
@@ -71,16 +61,20 @@ def outbox_sink(path: str, url: str, headers: dict | None = None) -> Sink:
     return write
 
 
-def console_sink(n: int = 20) -> Sink:
+def console_sink(emit: Callable[[str], None] = print) -> Sink:
+    """Every alert of the batch as one line of text; rows reach the driver partition by partition, never all at once."""
     def write(df: DataFrame, batch_id: int) -> None:
-        console_records(df).show(n, truncate=False)
+        line = F.concat_ws(" | ", "time", "severity", "rule_name", "source", "event", "description")
+        for row in console_records(df).select(line.alias("line")).toLocalIterator():
+            emit(row["line"])
     return write
 
 
-def fan_out(alerts: DataFrame, batch_id: int, sinks: list[Sink]) -> dict:
+def fan_out(alerts: DataFrame, batch_id: int, sinks: list[Sink], persist: bool = True) -> dict:
     """Send one batch of dispatched alerts to every sink; a failing sink is
-    logged and does not stop the others. The batch is computed once."""
-    alerts.persist()
+    logged and does not stop the others. A micro-batch is computed once (``persist``); rows that are read from a
+    table need not be."""
+    alerts = alerts.persist() if persist else alerts
     failed = 0
     try:
         for sink in sinks:
@@ -90,5 +84,6 @@ def fan_out(alerts: DataFrame, batch_id: int, sinks: list[Sink]) -> dict:
                 failed += 1
                 log.exception("alert sink %r failed on batch %s", sink, batch_id)
     finally:
-        alerts.unpersist()
+        if persist:
+            alerts.unpersist()
     return {"sinks": len(sinks), "failed": failed}

@@ -9,15 +9,16 @@ instead of the whole history.
 
 from __future__ import annotations
 
+import threading
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from vigil.schema import GEO_ENTRY, STORED_ALERT, STORED_EVENT
+from vigil.schema import ALERT_NOT_NULL, EVENT_NOT_NULL, GEO_ENTRY, STORED_ALERT, STORED_EVENT
 from pyspark.sql import types as T
 
-EVENT_NOT_NULL = ("id", "timestamp", "source", "hostname", "severity", "message")
-ALERT_NOT_NULL = ("id", "rule_id", "rule_name", "severity", "timestamp")
 
 
 def iso_time(ts: Column) -> Column:
@@ -29,8 +30,12 @@ def iso_time(ts: Column) -> Column:
 
 
 def parsed_json(pf: Column, ips: Column, geo: Column) -> Column:
-    """One JSON object: the parsed fields plus ``ip_addresses`` and ``geo``."""
-    inner = F.nullif(F.regexp_replace(F.coalesce(F.to_json(pf), F.lit("{}")), r"^\{|\}$", ""), F.lit(""))
+    """One JSON object: the parsed fields plus ``ip_addresses`` and ``geo``.
+
+    The two lists replace parsed fields of the same name (as the reference's dictionary does when the event is
+    normalised); where there is no list, a parsed field of that name stays."""
+    own = F.map_filter(pf, lambda k, v: ~((k == "ip_addresses") & ips.isNotNull()) & ~((k == "geo") & geo.isNotNull()))
+    inner = F.nullif(F.regexp_replace(F.coalesce(F.to_json(own), F.lit("{}")), r"^\{|\}$", ""), F.lit(""))
     return F.concat(
         F.lit("{"),
         F.concat_ws(",", inner,
@@ -52,15 +57,19 @@ def to_stored_events(events: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame
 
 def from_stored_events(stored: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Stored rows -> EVENT rows; NULL or empty JSON gives an empty map."""
-    m = F.coalesce(F.from_json(F.nullif(F.col("parsed_json"), F.lit("")), "map<string,string>"),
-                   F.create_map().cast("map<string,string>"))
     return stored.select(*keep,
         "id", "timestamp", "source", "hostname", "severity", "message",
-        F.col("raw_json").alias("raw"),
-        F.map_filter(m, lambda k, v: ~k.isin("ip_addresses", "geo")).alias("parsed_fields"),
-        F.from_json(m["ip_addresses"], T.ArrayType(T.StringType())).alias("ip_addresses"),
-        F.from_json(m["geo"], T.MapType(T.StringType(), GEO_ENTRY)).alias("geo"),
-    )
+        F.col("raw_json").alias("raw"), *parsed_columns(F.col("parsed_json")))
+
+
+def parsed_columns(text: Column) -> list[Column]:
+    """``parsed_fields``, ``ip_addresses`` and ``geo`` of a parsed-fields JSON object. A key of the two names that
+    does not hold such a list is a parsed field like any other."""
+    m = F.coalesce(F.from_json(F.nullif(text, F.lit("")), "map<string,string>"), F.create_map().cast("map<string,string>"))
+    ips = F.when(F.startswith(m["ip_addresses"], F.lit("[")), F.from_json(m["ip_addresses"], T.ArrayType(T.StringType())))
+    geo = F.when(F.startswith(m["geo"], F.lit("{")), F.from_json(m["geo"], T.MapType(T.StringType(), GEO_ENTRY)))
+    own = F.map_filter(m, lambda k, v: ~((k == "ip_addresses") & ips.isNotNull()) & ~((k == "geo") & geo.isNotNull()))
+    return [own.alias("parsed_fields"), ips.alias("ip_addresses"), geo.alias("geo")]
 
 
 def to_stored_alerts(alerts: DataFrame) -> DataFrame:
@@ -99,79 +108,120 @@ def new_rows(incoming: DataFrame, existing: DataFrame | None, not_null=EVENT_NOT
     return ok.join(existing.select(*keys), keys, "left_anti")
 
 
-def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+def _stored_or_none(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame | None:
+    """The stored rows with their known schema (no file is opened to infer it), or None before the first append."""
     try:
-        return spark.read.parquet(path)
+        return spark.read.schema(stored_schema(schema)).parquet(path)
     except AnalysisException:
         return None
 
 
-def _append(spark: SparkSession, rows: DataFrame, path: str, not_null) -> int:
+_WRITERS = threading.Lock()
+
+
+def _append(spark: SparkSession, rows: DataFrame, path: str, not_null, schema: T.StructType) -> int:
     """Idempotent append; the row count comes from an observed metric of the
-    write itself (no cache, no second pass)."""
-    add = new_rows(rows, _read_or_none(spark, path), not_null)
+    write itself (no cache, no second pass). Rows are dealt by date before the write, so that an append leaves few
+    files; a day with many rows is split by Spark's rebalancing."""
+    add = new_rows(rows, _stored_or_none(spark, path, schema), not_null)
     obs = Observation("vigil_append")
-    add.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("append").partitionBy("event_date").parquet(path)
-    return int(obs.get.get("rows", 0))
+    add = add.observe(obs, F.count(F.lit(1)).alias("rows")).hint("rebalance", F.col("event_date"))
+    with _WRITERS:  # queries of one driver that append to one folder would clear each other's uncommitted files
+        add.write.mode("append").partitionBy("event_date").parquet(path)
+    return _observed(obs)
+
+
+def _observed(obs: Observation) -> int:
+    """The observed row count; none when the adaptive plan found the batch empty and left the whole write out."""
+    try:
+        return int(obs.get.get("rows", 0))
+    except Py4JJavaError:
+        return 0
 
 
 def append_events(spark: SparkSession, events: DataFrame, path: str) -> int:
     """Store EVENT rows into the events table (INSERT OR IGNORE by id).
 
     Returns the number of rows written."""
-    return _append(spark, to_stored_events(events), path, EVENT_NOT_NULL)
+    return _append(spark, to_stored_events(events), path, EVENT_NOT_NULL, STORED_EVENT)
 
 
 def append_alerts(spark: SparkSession, alerts: DataFrame, path: str) -> int:
     """Store alerts (before de-duplication, as the reference does)."""
-    return _append(spark, to_stored_alerts(alerts), path, ALERT_NOT_NULL)
+    return _append(spark, to_stored_alerts(alerts), path, ALERT_NOT_NULL, STORED_ALERT)
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     """Scan of the events table decoded to EVENT rows; ``event_date`` (the
     partition column) is kept so time filters can prune partitions."""
-    return from_stored_events(spark.read.schema(_with_date(STORED_EVENT)).parquet(path), keep=("event_date",))
+    return from_stored_events(spark.read.schema(stored_schema(STORED_EVENT)).parquet(path), keep=("event_date",))
 
 
 def read_alerts(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(_with_date(STORED_ALERT)).parquet(path)
+    return spark.read.schema(stored_schema(STORED_ALERT)).parquet(path)
 
 
-def _with_date(s: T.StructType) -> T.StructType:
+def stored_schema(s: T.StructType) -> T.StructType:
     return T.StructType(list(s.fields) + [T.StructField("event_date", T.DateType())])
 
 
+def event_struct(c=F.col) -> Column:
+    """An event as its JSON object has it: ISO time, without the parsed fields."""
+    return F.struct(c("id").alias("id"), iso_time(c("timestamp")).alias("timestamp"), c("source").alias("source"),
+                    c("hostname").alias("hostname"), c("severity").alias("severity"), c("message").alias("message"),
+                    c("raw").alias("raw"))
+
+
+def event_text(c=F.col) -> Column:
+    """JSON text of an event; ``c`` names its columns (``F.col``, or a getter of a nested event)."""
+    parsed = parsed_json(c("parsed_fields"), c("ip_addresses"), c("geo"))
+    return F.concat(F.regexp_replace(F.to_json(event_struct(c), {"ignoreNullFields": "false"}), r"\}$", ""),
+                    F.lit(',"parsed_fields":'), parsed, F.lit("}"))
+
+
 def event_json(events: DataFrame) -> DataFrame:
-    """EVENT rows -> one JSON object each (ISO time, parsed fields nested)."""
-    return events.select(F.to_json(F.struct(
-        F.col("id"), iso_time(F.col("timestamp")).alias("timestamp"), F.col("source"), F.col("hostname"),
-        F.col("severity"), F.col("message"), F.col("raw"), F.col("parsed_fields"),
-    )).alias("value"))
+    """EVENT rows -> one JSON object each."""
+    return events.select(event_text().alias("value"))
+
 
+_EVENT_JSON = T.StructType(
+    [T.StructField(n, T.StringType()) for n in ("id", "timestamp", "source", "hostname", "severity", "message", "raw", "parsed_fields")])
+_ALERT_JSON = T.StructType(
+    [T.StructField(n, T.StringType()) for n in ("id", "rule_id", "rule_name", "severity", "event", "timestamp", "description")])
 
-_EVENT_JSON = T.StructType([
-    T.StructField("id", T.StringType()), T.StructField("timestamp", T.StringType()),
-    T.StructField("source", T.StringType()), T.StructField("hostname", T.StringType()),
-    T.StructField("severity", T.StringType()), T.StructField("message", T.StringType()),
-    T.StructField("raw", T.StringType()),
-    T.StructField("parsed_fields", T.MapType(T.StringType(), T.StringType())),
-])
+
+def event_columns(text: Column) -> list[Column]:
+    """EVENT columns of a JSON object, with the defaults: hostname 'unknown', severity parsed (unknown -> low),
+    raw = message, no parsed fields -> empty map, no id -> a hash of the object's text."""
+    from vigil.functions.text import parse_severity
+    o = F.from_json(text, _EVENT_JSON)
+    return [
+        F.coalesce(o["id"], F.sha2(text, 256)).alias("id"),
+        F.to_timestamp(o["timestamp"]).alias("timestamp"),
+        o["source"].alias("source"),
+        F.coalesce(o["hostname"], F.lit("unknown")).alias("hostname"),
+        parse_severity(F.coalesce(o["severity"], F.lit("low"))).alias("severity"),
+        o["message"].alias("message"),
+        F.coalesce(o["raw"], o["message"]).alias("raw"),
+        *parsed_columns(o["parsed_fields"]),
+    ]
 
 
 def event_from_json(df: DataFrame, col: str = "value") -> DataFrame:
-    """JSON objects -> EVENT columns with the reference's defaults: hostname
-    'unknown', severity parsed (unknown -> low), raw = message, no parsed
-    fields -> empty map."""
+    """JSON objects -> EVENT rows."""
+    return df.select(*event_columns(F.col(col)))
+
+
+def alert_from_json(df: DataFrame, col: str = "value") -> DataFrame:
+    """JSON objects -> ALERT rows, the event nested; the defaults are those of events (severity unknown -> low, no
+    id -> a hash of the object's text)."""
     from vigil.functions.text import parse_severity
-    o = F.from_json(F.col(col), _EVENT_JSON)
-    d = df.select(o.alias("_o"))
-    return d.select(
-        F.col("_o.id").alias("id"),
-        F.to_timestamp(F.col("_o.timestamp")).alias("timestamp"),
-        F.col("_o.source").alias("source"),
-        F.coalesce(F.col("_o.hostname"), F.lit("unknown")).alias("hostname"),
-        parse_severity(F.coalesce(F.col("_o.severity"), F.lit("low"))).alias("severity"),
-        F.col("_o.message").alias("message"),
-        F.coalesce(F.col("_o.raw"), F.col("_o.message")).alias("raw"),
-        F.coalesce(F.col("_o.parsed_fields"), F.create_map().cast("map<string,string>")).alias("parsed_fields"),
-    )
+    a = F.from_json(F.col(col), _ALERT_JSON)
+    rows = df.select(F.col(col).alias("_text"), a.alias("_a"))
+    event = F.struct(*event_columns(F.col("_a.event")))
+    return rows.select(
+        F.coalesce(F.col("_a.id"), F.sha2(F.col("_text"), 256)).alias("id"), F.col("_a.rule_id").alias("rule_id"),
+        F.col("_a.rule_name").alias("rule_name"),
+        parse_severity(F.coalesce(F.col("_a.severity"), F.lit("low"))).alias("severity"),
+        event["id"].alias("event_id"), event.alias("event"), F.to_timestamp(F.col("_a.timestamp")).alias("timestamp"),
+        F.col("_a.description").alias("description"))

@@ -69,3 +69,7 @@ STORED_ALERT = T.StructType([
     T.StructField("timestamp", T.TimestampType()),
     T.StructField("description", T.StringType()),
 ])
+
+# Columns that the stored tables require.
+EVENT_NOT_NULL = ("id", "timestamp", "source", "hostname", "severity", "message")
+ALERT_NOT_NULL = ("id", "rule_id", "rule_name", "severity", "timestamp")
