@@ -10,7 +10,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def result(ev):
-    al = detect(ev, builtin_rules(), tie="seq", keep=("seq",))
+    al = detect(ev, builtin_rules(), keep=("seq",))
     d = dedup(al, 300, order_cols=["seq"])
     return sorted((r["id"], r["dispatched"], r["match_count"]) for r in
                   d.select("id", "dispatched", "match_count").collect())

@@ -15,7 +15,7 @@ def brute(rows, w):
     return out
 
 
-@pytest.mark.parametrize("w", [0, 1, 7, 60, 10**9])
+@pytest.mark.parametrize("w", [0, 1, 7, 60, 10**9, 2**62])
 def test_trailing_count_matches_brute_force(spark, w):
     rnd = random.Random(w)
     rows = []
@@ -24,5 +24,17 @@ def test_trailing_count_matches_brute_force(spark, w):
         t = rnd.randint(0, 400)
         rows.append((f"r{i}", k, t, i))
     df = spark.createDataFrame(rows, "rid string, k string, t long, tie long")
-    got = {r["rid"]: r["match_count"] for r in trailing_count(df, ["k"], "t", "tie", w).collect()}
+    got = {f"r{r['tie']}": r["match_count"] for r in trailing_count(df, ["k"], "t", "tie", w).collect()}
     assert got == brute(rows, w)
+
+
+def test_day_window_on_one_key_spreads_over_steps(spark):
+    """No task holds the key's day: the largest (key, step) group is a small share of the matches."""
+    from pyspark.sql import functions as F
+
+    from vigil.operators.detect import STEPS
+    day = 86_400_000_000
+    df = spark.range(5000).select(F.lit("__unknown__").alias("k"), (F.col("id") * 30_000_000).alias("t"), "id")
+    got = trailing_count(df, ["k"], "t", "id", day)
+    assert got.where(F.col("match_count") != F.least(F.col("id") + 1, F.lit(day // 30_000_000 + 1))).count() == 0
+    assert df.groupBy(F.floor(F.col("t") / (day / STEPS))).count().agg(F.max("count")).head()[0] < 5000 / 50

@@ -2,21 +2,21 @@
 
 Plan shape (see ``explain``):
 
-* one projection evaluates every rule on every event and ``explode``s the
-  hits, so the events are scanned and parsed once whatever the number of
-  rules (no self-union);
-* threshold rules ("N matches per key within W") add one shuffle: matches
-  are hash-partitioned by (rule, key, time bucket of width W) and counted
-  with a range window. Each match is also copied into the next bucket as
-  look-back context, so a hot key (one IP holding a third of all events) is
-  split across as many tasks as its time span has buckets, instead of
-  landing in a single window partition. Only matching events move.
+* plain rules: one projection evaluates every rule on every event and ``explode``s the hits. No shuffle,
+  whatever the number of rules.
+* threshold rules ("N matches per key within W"): only (rule, key, time, id) of the matching events is shuffled and
+  counted. A rule's time line is cut in steps of at most W/64 (an hour at most), and a count over [t - W, t] is a
+  difference of two running counts: up to the match itself, and up to the window's start. Each is the place inside
+  one step plus the matches of the steps before, so a task holds one step of one key: a day-long or infinite
+  window, or one address behind all events, spreads over as many tasks as its matches span steps.
+* the events of matches that fire are then joined back by id.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,9 +25,6 @@ from vigil.operators.rules import Compiler, Rule
 from vigil.schema import EVENT_COLUMNS
 
 ID_SEP = "\u0001"
-# Plain-rule hits ride through the threshold window stage (so events are read
-# once); they are spread over this many pseudo-buckets per rule.
-_PLAIN_SPREAD = 1 << 16
 
 
 @dataclass
@@ -72,94 +69,75 @@ def _rule_meta(rules: list[Rule], ordinal: Column) -> Column:
     return F.element_at(meta, ordinal + 1)
 
 
-def trailing_count(df: DataFrame, keys: list[str], ts_us: str, tie: str, window_us: int,
+STEPS = 64                        # steps of one window
+LONGEST_STEP = 3_600_000_000      # microseconds
+ENDLESS = 2**62                   # a window that reaches back to the first match
+
+
+def trailing_count(df: DataFrame, keys: list[str], ts_us: str, row_id: str, window: Column | int,
                    out: str = "match_count") -> DataFrame:
-    """Per row: rows with the same ``keys`` and time in [t - W, t] that come
-    at or before it in (time, ``tie``) order (arrival order on equal times).
-
-    Skew-safe: partitions are (keys, bucket of width W), each bucket also
-    receiving the previous bucket's rows as context.
-    """
-    width = max(window_us, 1)
-    d = df.withColumn("_copy", F.explode(F.array(F.lit(0), F.lit(1))))
-    d = d.withColumn("_bucket", F.floor(F.col(ts_us) / F.lit(width)).cast("bigint") + F.col("_copy"))
-    d = _windowed_count(d, keys, ts_us, tie, {window_us: None}, out)
-    return d.filter(F.col("_copy") == 0).drop("_copy", "_bucket")
-
-
-def _windowed_count(d: DataFrame, keys, ts_us, tie, windows: dict, out):
-    """``windows``: W -> condition selecting the rows counted with W (None =
-    all rows). Every partition (keys, bucket) belongs to one rule, hence one
-    W, so all windows share one shuffle and one sort."""
-    part = [*keys, "_bucket"]
-    peers = Window.partitionBy(*part, ts_us)
-    in_range = None
-    for w, cond in sorted(windows.items(), key=lambda kv: kv[0]):
-        c = F.count(F.lit(1)).over(Window.partitionBy(*part).orderBy(F.col(ts_us)).rangeBetween(-w, 0))
-        if cond is None:
-            in_range = c
-        elif in_range is None:
-            in_range = F.when(cond, c)
-        else:
-            in_range = in_range.when(cond, c)
-    return d.withColumn(
-        out,
-        in_range - F.count(F.lit(1)).over(peers) + F.row_number().over(peers.orderBy(F.col(tie))),
-    )
-
-
-def _one_pass(ev: DataFrame, plain, by_window: dict, tie: str) -> DataFrame:
-    """All rules in one pass: one projection + explode for the hits; threshold
-    hits (any number of rules and windows) share one shuffle."""
-    thr = [(o, s, w) for w, specs in by_window.items() for o, s in specs]
-    items = [F.when(p, F.struct(F.lit(o).alias("o"), F.lit(None).cast("string").alias("k"))) for o, p in plain]
-    items += [F.when(s.match, F.struct(F.lit(o).alias("o"), s.key.cast("string").alias("k"))) for o, s, _ in thr]
-    if not items:
-        return None
-    hits = F.filter(F.array(*items), lambda x: x.isNotNull())
-    x = ev.select("*", F.explode(hits).alias("_hit")).select("*", F.col("_hit.o").alias("rule_ord"),
-                                                               F.col("_hit.k").alias("group_key")).drop("_hit")
-    if not thr:
-        return x.withColumn("match_count", F.lit(None).cast("long"))
-    is_thr = F.col("rule_ord").isin([o for o, _, _ in thr])
-    width = F.lit(None).cast("long")
-    need = F.lit(None).cast("int")
-    for o, s, w in thr:
-        width = F.when(F.col("rule_ord") == o, F.lit(max(w, 1))).otherwise(width)
-        need = F.when(F.col("rule_ord") == o, F.lit(s.need)).otherwise(need)
-    x = x.withColumn("_copy", F.explode(F.when(is_thr, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
-    ts = F.unix_micros(F.col("timestamp"))
-    x = x.withColumn("_ts_us", ts).withColumn(
-        "_bucket",
-        F.when(is_thr, F.floor(ts / width).cast("bigint") + F.col("_copy"))
-        .otherwise(F.pmod(F.xxhash64(F.col("id")), F.lit(_PLAIN_SPREAD))),
-    )
-    windows = {w: F.col("rule_ord").isin([o for o, _ in specs]) for w, specs in by_window.items()}
-    x = _windowed_count(x, ["rule_ord", "group_key"], "_ts_us", tie, windows, "match_count")
-    keep = ~is_thr | ((F.col("_copy") == 0) & (F.col("match_count") >= need))
-    return (x.filter(keep).withColumn("match_count", F.when(is_thr, F.col("match_count")).cast("long"))
-            .drop("_copy", "_bucket", "_ts_us"))
-
-
-def rule_hits(events: DataFrame, rules: list[Rule], tie: str = "id") -> DataFrame:
+    """(keys, row_id, out): for every row, the rows of equal ``keys`` with time in [t - W, t] that come at or before it in
+    (time, ``row_id``) order. ``row_id`` is unique within the keys; ``window`` is W in microseconds, one for a key."""
+    w = F.lit(window).cast("long") if isinstance(window, int) else window.cast("long")
+    step = F.least(F.greatest(F.ceil(w / STEPS), F.lit(1)), F.lit(LONGEST_STEP)).cast("long")
+    rows = df.select(*keys, F.col(row_id).alias("_row"), F.col(ts_us).alias("_t"), w.alias("_w"), step.alias("_step"))
+    start = F.col("_t") - F.col("_w")
+    # every match is an entry at its time, and a probe at its window's start; an entry at that very time comes after it
+    both = F.explode(F.array(
+        F.struct(F.lit(True).alias("entry"), F.col("_t").alias("at")), F.struct(F.lit(False).alias("entry"), start.alias("at"))))
+    marks = rows.select(*keys, "_row", "_step", both.alias("_m")).select(
+        *keys, "_row", "_m.entry", "_m.at", F.floor(F.col("_m.at") / F.col("_step")).cast("long").alias("_cell"))
+    cell = [*keys, "_cell"]
+    per_cell = marks.groupBy(*cell).agg(F.count_if("entry").alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    per_cell = per_cell.select(*cell, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(*cell).orderBy("at", F.col("entry"), "_row").rowsBetween(Window.unboundedPreceding, 0)
+    per_cell = per_cell.select(*[F.col(c).alias(f"_of_{c}") for c in cell], "_before")
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in cell])
+    placed = marks.withColumn("_inside", F.count_if("entry").over(inside)).join(per_cell, same)
+    running = F.col("_before") + F.col("_inside")
+    return placed.groupBy(*keys, F.col("_row").alias(row_id)).agg(
+        F.sum(F.when(F.col("entry"), running).otherwise(-running)).cast("long").alias(out))
+
+
+def _plain_hits(ev: DataFrame, plain: list) -> DataFrame:
+    """Hits of the plain rules: one narrow pass."""
+    hits = F.filter(F.array(*[F.when(p, F.lit(o)) for o, p in plain]), lambda x: x.isNotNull())
+    return (ev.select("*", F.explode(hits).alias("rule_ord"))
+            .withColumns({"group_key": F.lit(None).cast("string"), "match_count": F.lit(None).cast("long")}))
+
+
+def _threshold_hits(ev: DataFrame, by_window: dict) -> DataFrame:
+    """Hits of the threshold rules: narrow counts, then the events of the matches that fire."""
+    specs = [(o, s, w) for w, own in by_window.items() for o, s in own]
+    items = F.filter(F.array(*[
+        F.when(s.match, F.struct(F.lit(o).alias("o"), s.key.cast("string").alias("k"), F.lit(w).cast("long").alias("w"), F.lit(s.need).alias("n")))
+        for o, s, w in specs]), lambda x: x.isNotNull())
+    found = ev.select("id", F.unix_micros("timestamp").alias("_ts"), F.explode(items).alias("_hit")).where("_ts is not null").select(
+        "id", "_ts", F.col("_hit.o").alias("rule_ord"), F.col("_hit.k").alias("group_key"), F.col("_hit.w").alias("_w"), F.col("_hit.n").alias("_need"))
+    counted = trailing_count(found, ["rule_ord", "group_key", "_need"], "_ts", "id", F.col("_w"))
+    fired = counted.where(F.col("match_count") >= F.col("_need")).select("id", "rule_ord", "group_key", "match_count")
+    return ev.join(fired, "id").select(*ev.columns, "rule_ord", "group_key", "match_count")
+
+
+def rule_hits(events: DataFrame, rules: list[Rule]) -> DataFrame:
     """Event rows that fire, one row per (event, rule): event columns plus
     ``rule_ord`` (index into ``rules``), ``group_key`` and ``match_count``
-    (threshold rules only)."""
+    (threshold rules only). Matches of equal time count in the order of their event ids."""
     plan = _plan(rules)
     ev = events.select("*", *[c.alias(k) for k, c in plan.helpers.items()])
-    out = _one_pass(ev, plan.plain, plan.by_window, tie)
-    if out is None:
-        out = ev.limit(0).select("*", F.lit(0).alias("rule_ord"), F.lit(None).cast("string").alias("group_key"),
-                                 F.lit(None).cast("long").alias("match_count"))
+    parts = ([_plain_hits(ev, plan.plain)] if plan.plain else []) + ([_threshold_hits(ev, plan.by_window)] if plan.by_window else [])
+    if not parts:
+        parts = [_plain_hits(ev, [(0, F.lit(False))])]
+    out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     return out.drop(*plan.helpers.keys())
 
 
-def detect(events: DataFrame, rules: list[Rule], tie: str = "id", nested_event: bool = True,
-           keep: tuple[str, ...] = ()) -> DataFrame:
+def detect(events: DataFrame, rules: list[Rule], nested_event: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
     """EVENT rows -> ALERT rows: id, rule_id, rule_name, severity, event_id,
     event (nested), timestamp (= event time), description, rule_ord and any
     ``keep`` columns of the event rows."""
-    hits = rule_hits(events, rules, tie)
+    hits = rule_hits(events, rules)
     meta = _rule_meta(rules, F.col("rule_ord")) if rules else F.lit(None)
     cols = [
         alert_id(meta["rule_id"], meta["rule_name"], F.col("id")).alias("id"),
