@@ -21,8 +21,8 @@ def keys():
     return [F.col("rule_id"), F.col("source"), F.col("hostname")]
 
 
-def kept(spark, items, window, fold_max=50_000):
-    d = dedup(alerts(spark, items), window, keys=keys(), order_cols=["seq"], fold_max=fold_max)
+def kept(spark, items, window):
+    d = dedup(alerts(spark, items).repartition(3), window, keys=keys(), order_cols=["seq"])
     return sorted(r["id"] for r in d.filter("dispatched").collect())
 
 
@@ -37,25 +37,25 @@ def brute(items, window):
     return sorted(out)
 
 
-@pytest.mark.parametrize("fold_max", [50_000, 0])
-def test_fixture_cases(spark, fold_max):
+def test_fixture_cases(spark):
     items = [("r", s, i) for i, s in enumerate([0, 30, 60, 60, 121])]
-    assert kept(spark, items, 60, fold_max) == ["a0", "a4"]
-    assert kept(spark, [("r", 0, 0), ("r", 300, 1)], 300, fold_max) == ["a0"]  # boundary is suppressed
-    assert kept(spark, [("r", 0, 0), ("r", 301, 1)], 300, fold_max) == ["a0", "a1"]
+    assert kept(spark, items, 60) == ["a0", "a4"]
+    assert kept(spark, [("r", 0, 0), ("r", 300, 1)], 300) == ["a0"]  # boundary is suppressed
+    assert kept(spark, [("r", 0, 0), ("r", 301, 1)], 300) == ["a0", "a1"]
 
 
-@pytest.mark.parametrize("fold_max", [50_000, 3, 0])
-def test_random_against_brute_force(spark, fold_max):
-    rnd = random.Random(7)
+@pytest.mark.parametrize("window,seed", [(60, 7), (1, 8), (5000, 9)])
+def test_random_against_brute_force(spark, window, seed):
+    """Chains over many buckets, keys with pauses of several buckets, ties."""
+    rnd = random.Random(seed)
     items = []
     for k in ["hot", "b", "c"]:
         t = 0
         for i in range(400 if k == "hot" else 60):
-            t += rnd.choice([0, 1, 5, 20, 40, 70, 200, 700])
+            t += rnd.choice([0, 1, 5, 20, 40, 70, 200, 700, 9000])
             items.append((k, t, rnd.randint(0, 10**6)))
     rnd.shuffle(items)
-    assert kept(spark, items, 60, fold_max) == brute(items, 60)
+    assert kept(spark, items, window) == brute(items, window)
 
 
 def test_window_zero_and_stats(spark):

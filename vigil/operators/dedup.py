@@ -6,37 +6,30 @@ key lies within ``W`` before it (``t - last <= W`` suppresses). Suppressed
 alerts do not move ``last``. The result is greedy and order dependent, so
 neither ``lag`` nor ``dropDuplicates`` gives it.
 
-Distributed plan (all steps on a narrow projection: row id, key, time,
-order columns; the full alert rows are joined back once at the end):
-
-1. **Chains.** A gap ``> W`` from the previous alert of the key always
-   dispatches, so the key's timeline splits into independent chains there.
-   The previous-alert lookup is done per (key, coarse time bucket) with a
-   small per-bucket carry table, so a hot key (a third of all alerts) is
-   still spread over many tasks.
-2. **Trivial chains** (span <= W): only the head is dispatched; no fold.
-3. **Bounded chains** (<= ``fold_max`` alerts): exact sorted fold in
-   ``mapInPandas``; memory per chain is bounded by ``fold_max``.
-4. **Long chains** (a busy host alerting all year): exact pointer doubling.
-   ``next(v)`` = first alert after ``t_v + W``; the dispatched alerts are the
-   orbit of the chain head under ``next``. ``log2(#dispatched)`` rounds of
-   equi-joins, each checkpointed into the shared checkpoint folder.
+One algorithm at all sizes, on a narrow projection (row id, key, time, order), with no driver loop:
+
+1. A key's time line is cut in buckets of SPAN windows. What a bucket does depends only on the last dispatch before it,
+   and only through its entry: the first alert later than that plus W. So each bucket is summed up as a table from
+   possible entry times (those of its first window, and the next one) to the last dispatch that follows from each.
+   The table has one entry a distinct time of one window, whatever the bucket holds.
+2. The tables of a key are walked in order, carrying one number; each bucket learns its entry.
+3. Each bucket's alerts are walked from its entry, carrying one number.
+
+Steps 1 and 3 spread a hot key over its buckets; step 2 reads a SPAN-th of a key's alerts at most. The flags go back to
+the alerts by row id; ``dispatched`` joins only the dispatched ids.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from vigil.session import ensure_checkpoint_dir
 
 DEFAULT_WINDOW_S = 300
-FOLD_MAX = 50_000
+SPAN = 64
 
 
 def _key_col(cols: list[Column]) -> Column:
@@ -48,152 +41,125 @@ def default_keys() -> list[Column]:
     return [F.col("rule_id"), F.col("event.source"), F.col("event.hostname")]
 
 
-def _order_struct(order_cols: list[str]) -> Column:
-    return F.struct(F.col("_t").alias("t"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order_cols)],
-                    F.col("_rid").alias("rid"))
-
-
-def _chains(n: DataFrame, w: int, ord_cols: list[str]) -> DataFrame:
-    """Adds ``_cs``: time of the chain head of each row's chain."""
-    bw = max(w, 1) * 16
-    d = n.withColumn("_cb", F.floor(F.col("_t") / F.lit(bw)).cast("bigint"))
-    in_b = Window.partitionBy("_key", "_cb").orderBy("_t", *ord_cols, "_rid")
-    d = d.withColumn("_prev_in", F.lag("_t").over(in_b))
-    local_start = F.when(F.col("_prev_in").isNotNull() & (F.col("_t") - F.col("_prev_in") > w), F.col("_t"))
-    per_b = d.groupBy("_key", "_cb").agg(F.min("_t").alias("_bmin"), F.max("_t").alias("_bmax"),
-                                         F.max(local_start).alias("_blocal"))
-    by_b = Window.partitionBy("_key").orderBy("_cb")
-    per_b = per_b.withColumn("_pmax", F.lag("_bmax").over(by_b))
-    first_start = F.when(F.col("_pmax").isNull() | (F.col("_bmin") - F.col("_pmax") > w), F.col("_bmin"))
-    per_b = per_b.withColumn("_blast", F.greatest(F.col("_blocal"), first_start))
-    per_b = per_b.withColumn("_carry", F.max("_blast").over(by_b.rowsBetween(Window.unboundedPreceding, -1)))
-    d = d.join(per_b.select("_key", "_cb", "_pmax", "_carry"), ["_key", "_cb"])
-    prev = F.coalesce(F.col("_prev_in"), F.col("_pmax"))
-    is_start = prev.isNull() | (F.col("_t") - prev > w)
-    run = in_b.rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("_cs", F.coalesce(F.max(F.when(is_start, F.col("_t"))).over(run), F.col("_carry")))
-    return d.drop("_cb", "_prev_in", "_pmax", "_carry")
-
-
-def _fold_partition(w: int):
-    """mapInPandas body: rows sorted by (key, chain, time, order); a chain may
-    span Arrow batches, so the last dispatched time is carried across them."""
-    def run(batches):
-        carry_chain, carry_last = None, None
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            keys = (pdf["_key"].astype(str) + "\u0001" + pdf["_cs"].astype(str)).to_numpy()
-            t = pdf["_t"].to_numpy(dtype=np.int64)
-            flags = np.zeros(len(pdf), dtype=bool)
-            starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-            ends = np.r_[starts[1:], len(pdf)]
-            for s, e in zip(starts, ends):
-                seg = t[s:e]
-                last = carry_last if keys[s] == carry_chain else None
-                i = 0 if last is None else int(np.searchsorted(seg, last + w, side="right"))
-                while i < len(seg):
-                    flags[s + i] = True
-                    last = int(seg[i])
-                    i = int(np.searchsorted(seg, last + w, side="right"))
-                carry_chain, carry_last = keys[s], last
-            yield pd.DataFrame({"_rid": pdf["_rid"].to_numpy(), "dispatched": flags})
-    return run
-
-
-def _checkpoint(df: DataFrame) -> DataFrame:
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def _doubling(long_rows: DataFrame, w: int, ord_cols: list[str]) -> DataFrame:
-    """Exact dispatch flags for long chains by pointer doubling."""
-    width = max(w, 1)
-    el = long_rows.select("_key", "_cs", "_rid", "_t", _order_struct(ord_cols).alias("_o"))
-    el = el.withColumn("_b", F.floor(F.col("_t") / F.lit(width)).cast("bigint"))
-    # Probes at t + W find the first element strictly after them. Within a
-    # chain gaps are <= W, so the answer is in the probe's bucket or is the
-    # first element of the next bucket.
-    probes = el.select("_key", "_cs", F.col("_rid").alias("_src"), (F.col("_t") + w).alias("_x"))
-    probes = probes.withColumn("_b", F.floor(F.col("_x") / F.lit(width)).cast("bigint"))
-    u = (el.select("_key", "_cs", "_b", F.col("_t").alias("_x"), F.lit(1).alias("_kind"),
-                   F.col("_o"), F.lit(None).cast("string").alias("_src"))
-         .unionByName(probes.select("_key", "_cs", "_b", "_x", F.lit(0).alias("_kind"),
-                                    F.lit(None).cast(el.schema["_o"].dataType).alias("_o"), "_src")))
-    after = (Window.partitionBy("_key", "_cs", "_b").orderBy(F.col("_x").desc(), F.col("_kind").asc())
-             .rowsBetween(Window.unboundedPreceding, 0))
-    u = u.withColumn("_cand", F.min("_o").over(after)).filter(F.col("_kind") == 0)
-    bmin = el.groupBy("_key", "_cs", "_b").agg(F.min("_o").alias("_nmin")).withColumn("_b", F.col("_b") - 1)
-    nxt = (u.join(bmin, ["_key", "_cs", "_b"], "left")
-           .select(F.col("_src").alias("_v"), F.coalesce(F.col("_cand"), F.col("_nmin"))["rid"].alias("_j")))
-    jump = _checkpoint(nxt)
-    heads = long_rows.groupBy("_key", "_cs").agg(F.min(_order_struct(ord_cols)).alias("_h"))
-    reached = _checkpoint(heads.select(F.col("_h")["rid"].alias("_v")))
-    while True:
-        # After r rounds ``reached`` holds path positions 0..2^r-1 and ``jump``
-        # moves 2^r ahead, so the new positions 2^r..2^(r+1)-1 are distinct
-        # and disjoint from ``reached``: no anti-join or distinct needed.
-        step = reached.join(jump, "_v").filter(F.col("_j").isNotNull()).select(F.col("_j").alias("_v"))
-        step = _checkpoint(step)
-        if step.isEmpty():
-            break
-        reached = _checkpoint(reached.unionByName(step))
-        j2 = jump.alias("a").join(jump.alias("b"), F.col("a._j") == F.col("b._v"), "left")
-        jump = _checkpoint(j2.select(F.col("a._v").alias("_v"), F.col("b._j").alias("_j")))
-    return reached.select(F.col("_v").alias("_rid"), F.lit(True).alias("dispatched"))
-
-
-def dispatch_flags(alerts: DataFrame, window_s: float = DEFAULT_WINDOW_S, keys: list[Column] | None = None,
-                   order_cols: list[str] | None = None, row_id: str = "id", fold_max: int = FOLD_MAX) -> DataFrame:
-    """(row_id, dispatched) for every alert row. ``row_id`` must be unique."""
-    order_cols = list(order_cols or [])
+def _runs(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:
+    """Whole groups of sorted rows; one group may span batches."""
+    held: pa.Table | None = None
+    for b in batches:
+        now = pa.Table.from_batches([b])
+        held = now if held is None else pa.concat_tables([held, now]).combine_chunks()
+        starts = _starts(held, by)
+        for a, z in zip(starts, starts[1:]):
+            yield held.slice(a, z - a)
+        held = held.slice(starts[-1]) if len(starts) else held
+    if held is not None and held.num_rows:
+        yield held
+
+
+def _starts(t: pa.Table, by: list[str]) -> list[int]:
+    if not t.num_rows:
+        return []
+    change = np.zeros(t.num_rows, bool)
+    change[0] = True
+    for c in by:
+        v = t.column(c).to_numpy()
+        change[1:] |= v[1:] != v[:-1]
+    return np.flatnonzero(change).tolist()
+
+
+def _tables(narrow: DataFrame, w: int) -> DataFrame:
+    """(key, bucket, entries, exits): the last dispatch of a bucket for every time it may be entered at."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in _runs(batches, ["_key", "_bucket"]):
+            t = np.unique(g.column("_t").to_numpy())
+            start = g.column("_bucket")[0].as_py() * SPAN * w
+            n = min(len(t), int(np.searchsorted(t, start + w, side="right")) + 1)
+            after = np.searchsorted(t, t + w, side="right")
+            last = np.arange(len(t))
+            for i in range(len(t) - 1, -1, -1):
+                if after[i] < len(t):
+                    last[i] = last[after[i]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([g.column("_key")[0].as_py()]), pa.array([g.column("_bucket")[0].as_py()], pa.int64()),
+                 pa.array([t[:n].tolist()], pa.list_(pa.int64())), pa.array([t[last[:n]].tolist()], pa.list_(pa.int64()))],
+                names=["_key", "_bucket", "entries", "exits"])
+
+    dealt = narrow.repartition("_key", "_bucket").sortWithinPartitions("_key", "_bucket").select("_key", "_bucket", "_t")
+    return dealt.mapInArrow(run, "_key string, _bucket long, entries array<long>, exits array<long>")
+
+
+def _entries(tables: DataFrame, w: int) -> DataFrame:
+    """(key, bucket, entry): the time of the first dispatch of every bucket that has one."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = last = None
+        for b in batches:
+            rows = []
+            for k, bucket, entries, exits in zip(*(b.column(c) for c in ("_key", "_bucket", "entries", "exits"))):
+                if k.as_py() != key:
+                    key, last = k.as_py(), None
+                times = entries.values.to_numpy()
+                i = 0 if last is None else int(np.searchsorted(times, last + w, side="right"))
+                if i < len(times):
+                    rows.append((key, bucket.as_py(), int(times[i])))
+                    last = exits[i].as_py()
+            cols = list(zip(*rows)) if rows else [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())],
+                                             names=["_key", "_bucket", "_entry"])
+
+    return tables.repartition("_key").sortWithinPartitions("_key", "_bucket").mapInArrow(run, "_key string, _bucket long, _entry long")
+
+
+def _walk(rows: DataFrame, order_cols: list[str], w: int) -> DataFrame:
+    """Row ids of the dispatched alerts, from the entry of each bucket on."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = last = None
+        for b in batches:
+            out = []
+            t = b.column("_t").to_numpy()
+            starts = _starts(pa.Table.from_batches([b]), ["_key", "_bucket"])
+            for a, z in zip(starts, [*starts[1:], len(t)]):
+                own = b.column("_key")[a].as_py(), b.column("_bucket")[a].as_py()
+                if own != group:
+                    group, last = own, b.column("_entry")[a].as_py() - w - 1
+                i = a + int(np.searchsorted(t[a:z], last + w, side="right"))
+                while i < z:
+                    out.append(i)
+                    last = int(t[i])
+                    i = a + int(np.searchsorted(t[a:z], last + w, side="right"))
+            yield pa.RecordBatch.from_arrays([b.column("_rid").take(pa.array(out, pa.int64()))], names=["_rid"])
+
+    dealt = rows.sortWithinPartitions("_key", "_bucket", "_t", *order_cols, "_rid").select("_key", "_bucket", "_t", "_entry", "_rid")
+    return dealt.mapInArrow(run, "_rid string")
+
+
+def dispatched_ids(alerts: DataFrame, window_s: float = DEFAULT_WINDOW_S, keys: list[Column] | None = None,
+                   order_cols: list[str] | None = None, row_id: str = "id") -> DataFrame:
+    """(_rid) of the dispatched alerts. ``row_id`` must be unique; alerts without a time are never dispatched."""
     w = int(round(window_s * 1_000_000))
-    n = alerts.select(F.col(row_id).cast("string").alias("_rid"), _key_col(keys or default_keys()).alias("_key"),
-                      F.unix_micros(F.col("timestamp")).alias("_t"), *[F.col(c) for c in order_cols])
-    if w <= 0:  # dedup off
-        return n.select("_rid", F.lit(True).alias("dispatched"))
-    ord_cols = order_cols
-    d = _chains(n, w, ord_cols)
-    stats = d.groupBy("_key", "_cs").agg(F.count(F.lit(1)).alias("_size"), F.max("_t").alias("_end"),
-                                         F.min(_order_struct(ord_cols)).alias("_head"))
-    # Materialise the narrow chain table once (reliable checkpoint in the
-    # shared folder): the branches below and the long-chain test read it
-    # instead of recomputing detection, and the lineage is cut.
-    d = _checkpoint(d.join(stats, ["_key", "_cs"]))
-    span = F.col("_end") - F.col("_cs")
-    trivial = d.filter(span <= w).select("_rid", (F.col("_rid") == F.col("_head")["rid"]).alias("dispatched"))
-    mid = d.filter((span > w) & (F.col("_size") <= fold_max))
-    mid = (mid.repartition("_key", "_cs")
-           .sortWithinPartitions("_key", "_cs", "_t", *ord_cols, "_rid")
-           .select("_key", "_cs", "_t", "_rid"))
-    folded = mid.mapInPandas(_fold_partition(w), T.StructType([
-        T.StructField("_rid", T.StringType()), T.StructField("dispatched", T.BooleanType())]))
-    parts = [trivial, folded]
-    long_rows = d.filter((span > w) & (F.col("_size") > fold_max))
-    if not long_rows.isEmpty():
-        kept = _doubling(long_rows, w, ord_cols)
-        parts.append(long_rows.select("_rid").join(kept, "_rid", "left")
-                     .select("_rid", F.coalesce(F.col("dispatched"), F.lit(False)).alias("dispatched")))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    order = list(order_cols or [])
+    narrow = alerts.select(F.col(row_id).cast("string").alias("_rid"), _key_col(keys or default_keys()).alias("_key"),
+                           F.unix_micros(F.col("timestamp")).alias("_t"), *order).where("_t is not null")
+    narrow = narrow.withColumn("_bucket", F.floor(F.col("_t") / F.lit(SPAN * w)).cast("long"))
+    entered = narrow.join(_entries(_tables(narrow, w), w), ["_key", "_bucket"])
+    return _walk(entered.repartition("_key", "_bucket"), order, w)
 
 
 def dedup(alerts: DataFrame, window_s: float = DEFAULT_WINDOW_S, keys: list[Column] | None = None,
-          order_cols: list[str] | None = None, row_id: str = "id", fold_max: int = FOLD_MAX) -> DataFrame:
-    """Alerts with a boolean ``dispatched`` column (False = suppressed).
-
-    The alert rows are checkpointed once (alerts are a small fraction of the
-    events), so detection is not re-run for the flag computation and the
-    final join, and the lineage is cut before the iterative part."""
+          order_cols: list[str] | None = None, row_id: str = "id") -> DataFrame:
+    """Alerts with a boolean ``dispatched`` column (False = suppressed); a window of 0 turns de-duplication off."""
     if window_s <= 0:
         return alerts.withColumn("dispatched", F.lit(True))
-    base = _checkpoint(alerts)
-    flags = dispatch_flags(base, window_s, keys, order_cols, row_id, fold_max)
-    out = base.join(flags, F.col(row_id).cast("string") == flags["_rid"])
-    return out.drop("_rid")
+    flags = dispatched_ids(alerts, window_s, keys, order_cols, row_id).withColumn("_yes", F.lit(True))
+    out = alerts.join(flags, F.col(row_id).cast("string") == flags["_rid"], "left")
+    return out.withColumn("dispatched", F.coalesce("_yes", F.lit(False))).drop("_rid", "_yes")
 
 
-def dispatched(alerts: DataFrame, **kw) -> DataFrame:
-    return dedup(alerts, **kw).filter("dispatched").drop("dispatched")
+def dispatched(alerts: DataFrame, window_s: float = DEFAULT_WINDOW_S, keys: list[Column] | None = None,
+               order_cols: list[str] | None = None, row_id: str = "id") -> DataFrame:
+    """Only the alerts that go out: a join with their ids."""
+    if window_s <= 0:
+        return alerts
+    ids = dispatched_ids(alerts, window_s, keys, order_cols, row_id)
+    return alerts.join(ids, F.col(row_id).cast("string") == ids["_rid"], "left_semi")
 
 
 def dispatch_stats(flagged: DataFrame, handlers: int = 0) -> DataFrame:
