@@ -1,24 +1,24 @@
 """Follow-mode sources (A4) and the live pipeline (P1) on Structured Streaming.
 
-Live pipeline = two streaming queries over the same sources, each with its
-own checkpoint:
-
-* events: sources -> normalise -> ``foreachBatch`` idempotent append to the
-  events table (ids are deterministic, so a replayed batch adds nothing);
-* alerts: sources -> normalise -> rule hits (one pass) -> threshold state
-  (per rule and group key) -> alert rows -> dedup state (per rule, source,
-  host) -> ``foreachBatch``: every alert is stored (before dedup, as the
+The stored events table is the one place where events get their ids, so batch, live events and live alerts agree:
+
+* events: new files -> ``foreachBatch``: equal lines of a file are numbered (the file source hands a file to one
+  micro-batch whole), parsed, normalised and appended idempotently (a replayed batch adds nothing). Events without a
+  message go to the quarantine table.
+* alerts: the events table, read as a stream -> plain rules (no state) and threshold rules (state per rule and key) ->
+  dedup state (per rule, source, host) -> ``foreachBatch``: every alert is stored (before dedup, as the
   reference does) and the dispatched ones are fanned out to the sinks.
 
-The file source picks up new files in the folder; lines appended to a file it
-has already read are not seen (rotate files, or use a message bus source).
+Every source has its own events query: one that fails at run time does not stop the others. The file source picks up
+new files in the folder; lines appended to a file it has already read are not seen (rotate files, or use a message bus).
 """
 
 from __future__ import annotations
 
 import datetime as _dt
 import logging
-from functools import reduce
+from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,24 +30,23 @@ from vigil.operators.detect import _plan, _rule_meta, alert_id
 from vigil.operators.normalize import normalize, split_valid
 from vigil.operators.rules import Rule
 from vigil.operators.sinks import Sink, fan_out
-from vigil.operators.store import append_alerts, append_events
-from vigil.schema import EVENT_COLUMNS
-from vigil.sources.lines import clean_lines, event_id, parse_auth, parse_syslog, with_file_event_ids
+from vigil.operators.store import append_alerts, append_events, event_text, from_stored_events, stored_schema
+from vigil.schema import STORED_ALERT, STORED_EVENT
+from vigil.sources.lines import clean_lines, numbered_lines, parse_auth, parse_syslog
 from vigil.sources.ndjson import parse_ndjson
-from vigil.streaming.stateful import stream_dedup, stream_threshold
+from vigil.streaming.stateful import observe_stats, stream_dedup, stream_threshold
 
 log = logging.getLogger(__name__)
 
 _PARSERS = {"syslog": parse_syslog, "auth": parse_auth, "json": parse_ndjson}
 
 
-def follow(spark: SparkSession, path: str, kind: str = "syslog", name: str | None = None,
-           start_time: _dt.datetime | None = None, max_files_per_trigger: int | None = None, **parse_args) -> DataFrame:
-    """Stream of events from new text files under ``path``.
+def follow_lines(spark: SparkSession, path: str, start_time: _dt.datetime | None = None,
+                 max_files_per_trigger: int | None = None) -> DataFrame:
+    """Stream of (value, file_path) from new text files under ``path``.
 
     ``start_time``: only files modified at or after it (the reference starts
     at the end of the file, i.e. only data that arrives after start)."""
-    name = name or kind
     r = spark.readStream.format("text")
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
@@ -55,101 +54,122 @@ def follow(spark: SparkSession, path: str, kind: str = "syslog", name: str | Non
                              F.col("_metadata.file_modification_time").alias("_mtime"))
     if start_time is not None:
         df = df.filter(F.col("_mtime") >= now_literal(start_time))
-    df = clean_lines(df.drop("_mtime"))
-    ev = _PARSERS[kind](df, "value", name, **parse_args)
-    # Streams allow no row numbering, so the id is the first-occurrence id
-    # (occurrence 1) of the line; identical lines of one file share it here.
-    # The events query re-numbers them exactly inside foreachBatch.
-    src_file = F.concat_ws("\u0001", F.lit(name), F.col("file_path"))
-    return ev.withColumn("id", event_id(src_file, F.col("hostname"), F.col("raw"), F.lit(1))).drop("value")
-
-
-def stream_hits(events: DataFrame, rules: list[Rule]) -> DataFrame:
-    """Event stream -> one row per (event, rule) hit with the routing columns
-    of the threshold operator: plain rules get their own event id as key and
-    pass through without state."""
+    return clean_lines(df.drop("_mtime"))
+
+
+def follow(spark: SparkSession, path: str, kind: str = "syslog", name: str | None = None,
+           start_time: _dt.datetime | None = None, max_files_per_trigger: int | None = None, **parse_args) -> DataFrame:
+    """Stream of parsed events without ids, for counting and filtering on the fly; ids are given where
+    events are stored (``start_live``)."""
+    lines = follow_lines(spark, path, start_time, max_files_per_trigger)
+    return _PARSERS[kind](lines, "value", name or kind, **parse_args).drop("value")
+
+
+@dataclass
+class LiveSource:
+    """A collector of the live pipeline: its line stream, and how a micro-batch of lines becomes events with ids."""
+
+    name: str
+    lines: DataFrame
+    events: Callable[[DataFrame], DataFrame]
+
+
+def live_source(spark: SparkSession, path: str, kind: str = "syslog", name: str | None = None,
+                start_time: _dt.datetime | None = None, max_files_per_trigger: int | None = None, **parse_args) -> LiveSource:
+    name = name or kind
+
+    def events(lines: DataFrame) -> DataFrame:
+        return _PARSERS[kind](numbered_lines(lines, name), "value", name, **parse_args).drop("value")
+
+    return LiveSource(name, follow_lines(spark, path, start_time, max_files_per_trigger), events)
+
+
+def stream_stored_events(spark: SparkSession, events_path: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """The events table as a stream of EVENT rows, in the order in which its files were added."""
+    r = spark.readStream.schema(stored_schema(STORED_EVENT))
+    if max_files_per_trigger:
+        r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
+    return from_stored_events(r.parquet(events_path))
+
+
+def stream_alerts(events: DataFrame, rules: list[Rule], keep: tuple[str, ...] = ()) -> DataFrame:
+    """Event stream (with watermark and ids) -> alert stream (flat columns plus the event as JSON text in
+    ``event_json``). Plain rules are a projection; only matches of threshold rules go through state."""
     plan = _plan(rules)
-    ev = events.select("*", *[c.alias(k) for k, c in plan.helpers.items()])
-    items = [F.when(p, F.struct(F.lit(o).alias("o"), F.col("id").alias("k"), F.lit(0).alias("n"),
-                                F.lit(-1).cast("long").alias("w"))) for o, p in plan.plain]
-    for w, specs in plan.by_window.items():
-        items += [F.when(s.match, F.struct(F.lit(o).alias("o"), s.key.cast("string").alias("k"),
-                                           F.lit(s.need).alias("n"), F.lit(w).cast("long").alias("w")))
-                  for o, s in specs]
-    hits = F.filter(F.array(*items), lambda x: x.isNotNull())
-    x = ev.select("*", F.explode(hits).alias("_hit"))
-    return x.select(*[c for c in events.columns], F.col("_hit.o").alias("rule_ord"),
-                    F.col("_hit.k").alias("group_key"), F.col("_hit.n").alias("th_need"), F.col("_hit.w").alias("th_window"))
-
-
-def stream_alerts(events: DataFrame, rules: list[Rule], tie: str = "id") -> DataFrame:
-    """Event stream (with watermark) -> alert stream (flat columns plus the
-    event as JSON text in ``event_json``)."""
-    ev = events.withColumn("event_json", F.to_json(F.struct(*[c for c in EVENT_COLUMNS if c in events.columns])))
-    keep = ["id", "timestamp", "source", "hostname", "message", "event_json", "rule_ord", "group_key",
-            "th_need", "th_window"] + ([tie] if tie not in ("id",) else [])
-    hits = stream_hits(ev, rules).select(*keep)
-    th = stream_threshold(hits, tie)
+    ev = events.withColumn("event_json", event_text()).select("*", *[c.alias(k) for k, c in plan.helpers.items()])
+    columns = ["id", "timestamp", "source", "hostname", "message", "event_json", "rule_ord", "match_count", *keep]
+    parts = []
+    if plan.plain:
+        hits = F.filter(F.array(*[F.when(p, F.lit(o)) for o, p in plan.plain]), lambda x: x.isNotNull())
+        parts.append(ev.select("*", F.explode(hits).alias("rule_ord"), F.lit(None).cast("long").alias("match_count")).select(*columns))
+    if plan.by_window:
+        found = F.filter(F.array(*[
+            F.when(s.match, F.struct(F.lit(o).alias("o"), s.key.cast("string").alias("k"), F.lit(s.need).alias("n"), F.lit(w).cast("long").alias("w")))
+            for w, own in plan.by_window.items() for o, s in own]), lambda x: x.isNotNull())
+        x = ev.select("*", F.explode(found).alias("_hit")).select(
+            *[c for c in columns if c not in ("rule_ord", "match_count")], F.col("_hit.o").alias("rule_ord"),
+            F.col("_hit.k").alias("group_key"), F.col("_hit.n").alias("th_need"), F.col("_hit.w").alias("th_window"))
+        parts.append(stream_threshold(x, "id").select(*columns))
+    th = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     meta = _rule_meta(rules, F.col("rule_ord"))
     return th.select(
         alert_id(meta["rule_id"], meta["rule_name"], F.col("id")).alias("id"),
         meta["rule_id"].alias("rule_id"), meta["rule_name"].alias("rule_name"),
         meta["severity"].alias("severity"), F.col("id").alias("event_id"), F.col("timestamp"),
         meta["description"].alias("description"), "rule_ord", "match_count", "source", "hostname", "message",
-        "event_json", *([tie] if tie != "id" else []),
+        "event_json", *keep,
     )
 
 
-def start_live(spark: SparkSession, sources: list[DataFrame], events_path: str, alerts_path: str,
+def start_live(spark: SparkSession, sources: list[LiveSource], events_path: str, alerts_path: str,
                checkpoint_root: str, sinks: list[Sink] | None = None, rules: list[Rule] | None = None,
                dedup_window_s: float = 300, watermark: str = "10 minutes",
-               trigger_seconds: float = 1.0, quarantine_path: str | None = None) -> list[StreamingQuery]:
-    """Start the two streaming queries of the live pipeline.
+               trigger_seconds: float = 10.0, quarantine_path: str | None = None) -> list[StreamingQuery]:
+    """Start the live pipeline: one events query for each source, then the alerts query over the events table.
 
-    Events without a message are not detected on; with ``quarantine_path``
-    they are written there (JSON lines) instead of the events table."""
+    Events that lack what the table needs (a message) are written to ``quarantine_path`` as JSON lines
+    (default: ``<events_path>_quarantine``), never dropped."""
     rules = rules if rules is not None else builtin_rules()
     sinks = sinks or []
-    raw = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), sources)
-    events = normalize(raw.filter(F.col("message").isNotNull()))
+    quarantine = quarantine_path or events_path.rstrip("/") + "_quarantine"
     trig = {"processingTime": f"{trigger_seconds} seconds"}
-
-    def store_events(df: DataFrame, batch_id: int) -> None:
-        df.persist()
-        try:
-            good, bad = split_valid(df)
-            if quarantine_path:
-                bad.select(F.to_json(F.struct(*bad.columns)).alias("value")).write.mode("append").text(quarantine_path)
-            # A file is read whole within one micro-batch: exact occurrence ids.
-            if "file_path" in good.columns:
-                good = with_file_event_ids(good.drop("id"))
-            append_events(good.sparkSession, normalize(good), events_path)
-        finally:
-            df.unpersist()
-
-    q1 = (raw.writeStream.foreachBatch(store_events).option("checkpointLocation", f"{checkpoint_root}/events")
-          .trigger(**trig).queryName("vigil_events").start())
-
-    alerts = stream_dedup(stream_alerts(events.withWatermark("timestamp", watermark), rules), dedup_window_s)
+    for path, schema in ((events_path, STORED_EVENT), (alerts_path, STORED_ALERT)):
+        spark.createDataFrame([], stored_schema(schema)).write.mode("append").partitionBy("event_date").parquet(path)
+
+    def start_source(source: LiveSource) -> StreamingQuery:
+        def store(lines: DataFrame, batch_id: int) -> None:
+            events = normalize(source.events(lines)).persist()
+            try:
+                good, bad = split_valid(events)
+                bad.select(event_text().alias("value")).write.mode("append").text(quarantine)
+                append_events(good.sparkSession, good, events_path)
+            finally:
+                events.unpersist()
+
+        return (source.lines.writeStream.foreachBatch(store).option("checkpointLocation", f"{checkpoint_root}/events-{source.name}")
+                .trigger(**trig).queryName(f"vigil_events_{source.name}").start())
+
+    queries = [start_source(s) for s in sources]
+    events = stream_stored_events(spark, events_path).withWatermark("timestamp", watermark)
+    alerts = observe_stats(stream_dedup(stream_alerts(events, rules), dedup_window_s), handlers=len(sinks))
 
     def store_and_dispatch(df: DataFrame, batch_id: int) -> None:
         df.persist()
         try:
             append_alerts(df.sparkSession, df, alerts_path)
-            out = df.filter("dispatched").withColumn("event", F.from_json("event_json", _event_schema()))
             if sinks:
-                fan_out(out, batch_id, sinks)
+                fan_out(with_event(df.filter("dispatched")), batch_id, sinks)
         finally:
             df.unpersist()
 
-    q2 = (alerts.writeStream.foreachBatch(store_and_dispatch)
-          .option("checkpointLocation", f"{checkpoint_root}/alerts").trigger(**trig).queryName("vigil_alerts").start())
-    return [q1, q2]
+    return [*queries, (alerts.writeStream.foreachBatch(store_and_dispatch)
+                       .option("checkpointLocation", f"{checkpoint_root}/alerts").trigger(**trig).queryName("vigil_alerts").start())]
 
 
-def _event_schema():
-    from vigil.schema import EVENT
-    return EVENT
+def with_event(alerts: DataFrame) -> DataFrame:
+    """Alert rows of a stream with the event as a struct again."""
+    from vigil.operators.store import event_columns
+    return alerts.withColumn("event", F.struct(*event_columns(F.col("event_json"))))
 
 
 def stream_events_per_hour(events: DataFrame, watermark: str = "10 minutes") -> DataFrame:
@@ -164,14 +184,17 @@ def stream_events_per_hour(events: DataFrame, watermark: str = "10 minutes") ->
 def run_to_end(df: DataFrame, name: str, output_mode: str = "append") -> DataFrame:
     """Run a streaming DataFrame over everything available now into a Parquet
     folder under the shared checkpoint folder; return that folder as a batch
-    DataFrame. A fresh subfolder per run keeps runs apart."""
+    DataFrame. A fresh subfolder per run keeps runs apart; the platform clears the shared folder."""
     import uuid
 
     from vigil.session import ensure_checkpoint_dir
     spark = df.sparkSession
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
-    q = (df.writeStream.format("parquet").outputMode(output_mode).option("path", f"{base}/out")
-         .option("checkpointLocation", f"{base}/ck").trigger(availableNow=True).start())
+    w = df.writeStream.outputMode(output_mode).option("checkpointLocation", f"{base}/ck").trigger(availableNow=True)
+    if output_mode == "complete":  # each batch holds the whole result: the last one stays
+        q = w.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(f"{base}/out")).start()
+    else:
+        q = w.format("parquet").option("path", f"{base}/out").start()
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))

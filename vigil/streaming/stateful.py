@@ -42,8 +42,7 @@ class ThresholdProcessor(StatefulProcessor):
 
     Input columns: ``ev_us`` (µs), ``ev_tie``, ``th_need``, ``th_window`` plus payload.
     Emits a row, with ``match_count``, for every match whose count of matches
-    in [t - W, t] (itself included) reaches ``_need``. Keys with ``th_window`` < 0
-    are plain rules: every row passes, nothing is stored.
+    in [t - W, t] (itself included) reaches ``th_need``. Plain rules do not come here.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -56,10 +55,6 @@ class ThresholdProcessor(StatefulProcessor):
             return
         pdf = pdf.sort_values(["ev_us", "ev_tie"], kind="stable").reset_index(drop=True)
         w = int(pdf["th_window"].iloc[0])
-        if w < 0:
-            pdf["match_count"] = pd.Series([None] * len(pdf), dtype="Int64")
-            yield pdf.drop(columns=["th_need", "th_window"])
-            return
         old = np.sort(np.fromiter((r[0] for r in self.times.get()), dtype=np.int64)) \
             if self.times.exists() else np.empty(0, dtype=np.int64)
         new_t = pdf["ev_us"].to_numpy(dtype=np.int64)
@@ -102,13 +97,13 @@ class DedupProcessor(StatefulProcessor):
         pdf = pdf.sort_values(["ev_us", "ev_tie"], kind="stable").reset_index(drop=True)
         got = self.last.get() if self.last.exists() else None
         last = None if got is None else int(got[0])
-        flags = []
-        for t in pdf["ev_us"].to_numpy(dtype=np.int64):
-            if last is None or int(t) - last > self.w:
-                last = int(t)
-                flags.append(True)
-            else:
-                flags.append(False)
+        t = pdf["ev_us"].to_numpy(dtype=np.int64)
+        flags = np.zeros(len(t), dtype=bool)
+        i = 0 if last is None else int(np.searchsorted(t, last + self.w, side="right"))
+        while i < len(t):  # one step a dispatch
+            flags[i] = True
+            last = int(t[i])
+            i = int(np.searchsorted(t, last + self.w, side="right"))
         pdf["dispatched"] = flags
         self.last.update((last,))
         _reset_timer(self.handle, (last + self.w) // 1000 + 1)
@@ -151,3 +146,11 @@ def stream_dedup(alerts: DataFrame, window_s: float = 300, tie: str = "id") -> D
     res = d.groupBy("dedup_key").transformWithStateInPandas(DedupProcessor(w), out, "Append", "EventTime",
                                                       eventTimeColumnName="timestamp")
     return res.drop("ev_us", "ev_tie", "dedup_key")
+
+
+def observe_stats(flagged: DataFrame, name: str = "vigil_dispatch", handlers: int = 0) -> DataFrame:
+    """The stream form of ``dispatch_stats``: every micro-batch reports total_dispatched, total_suppressed and
+    active_handlers under ``name`` in the query's progress (``observedMetrics``), without a second pass."""
+    return flagged.observe(
+        name, F.count_if(F.col("dispatched")).alias("total_dispatched"),
+        F.count_if(~F.col("dispatched")).alias("total_suppressed"), F.max(F.lit(handlers)).alias("active_handlers"))
