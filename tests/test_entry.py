@@ -4,7 +4,7 @@ import __spark_entry__ as E
 from tools.check_oracle import rows
 
 SF = "/root/testdata/sf0.001"
-TABLES = ["events", "documents"]
+TABLES = ["events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
 def test_entry_smoke(spark):

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import logging
+import uuid
 from pathlib import Path
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from vigil.operators.builtin import builtin_rules
 from vigil.operators.detect import detect
@@ -14,6 +14,7 @@ from vigil.operators.query import newest_first
 from vigil.operators.rules import Rule, load_rules_dir
 from vigil.operators.sinks import Sink, fan_out
 from vigil.operators.store import append_alerts, read_events
+from vigil.session import ensure_checkpoint_dir
 
 log = logging.getLogger(__name__)
 
@@ -38,8 +39,10 @@ def detect_stored(spark: SparkSession, events_path: str, alerts_path: str, rules
         events = newest_first(events, limit=newest)
     rules = rules_for(rules_dir)
     alerts = detect(events, rules)
+    if sinks:  # detected once: the table and every sink read the run's alerts from the shared folder
+        path = f"{ensure_checkpoint_dir(spark)}/detected-{uuid.uuid4().hex}"
+        alerts.write.parquet(path)
+        alerts = spark.read.schema(alerts.schema).parquet(path)
+        fan_out(alerts, 0, sinks, persist=False)
     n_alerts = append_alerts(spark, alerts, alerts_path)
-    if sinks:
-        fan_out(alerts, 0, sinks)
-    counts = events.agg(F.count(F.lit(1)).alias("events")).collect()[0]
-    return {"rules": len(rules), "events": int(counts["events"]), "alerts": n_alerts}
+    return {"rules": len(rules), "events": events.count(), "alerts": n_alerts}

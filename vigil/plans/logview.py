@@ -1,26 +1,29 @@
-"""EVENT rows built from the driver's tables (the derived log view).
+"""EVENT rows built from the driver's tables (the derived log view), and the tables stored from them.
 
-``seq`` is the view's event id: the line ordinal, used for the event id and
-as arrival order on equal timestamps.
+``seq`` is the view's event id: the line ordinal, which tells equal lines apart.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.functions.partitioning import table_boundary
 from vigil.operators.normalize import normalize
+from vigil.plans.batch import detect_stored
+from vigil.operators.store import append_events
+from vigil.session import ensure_checkpoint_dir
 from vigil.sources import derived
-from vigil.sources.lines import event_id, parse_mixed
+from vigil.sources.lines import clean_lines, event_id, parse_mixed
 
 
 def parsed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Auth lines with the auth parser, syslog lines with the syslog parser,
     in one pass (the view's source column picks the parser per line)."""
-    lines = derived.log_lines(spark, sf_dir).withColumnRenamed("event_id", "seq")
-    both = parse_mixed(lines, "source", "value", year=derived.LOG_YEAR).drop("value")
-    return both.withColumn("id", event_id(F.col("source"), F.col("hostname"), F.col("raw"), F.col("seq")))
+    lines = clean_lines(derived.log_lines(spark, sf_dir).withColumnRenamed("event_id", "seq"))
+    both = parse_mixed(lines, "source", "value", year=derived.LOG_YEAR, now=derived.FALLBACK).drop("value")
+    return both.withColumn("id", event_id(F.col("source"), F.lit("events"), F.col("raw"), F.col("seq")))
 
 
 def view_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,22 +31,16 @@ def view_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize(parsed_events(spark, sf_dir))
 
 
-def view_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``view_events`` behind a table boundary: for queries that filter on
-    computed columns (severity, time), so the filter runs on the computed
-    values instead of being inlined into the parse expressions."""
-    return table_boundary(view_events(spark, sf_dir))
-
-
-def stream_view_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same events, as a stream: the ``events`` table is read with the
-    Parquet file source and goes through the same view SQL, parsers and
-    normaliser."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    src = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
-           .option("maxFilesPerTrigger", "1").parquet(sf_dir))
-    v = spark.sql(derived.spark_view_sql(), events=src.select("event_id", "user_id", "event_type"))
-    lines = v.select(F.col("event_id").alias("seq"), "source", F.col("line").alias("value"))
-    both = parse_mixed(lines, "source", "value", year=derived.LOG_YEAR).drop("value")
-    both = both.withColumn("id", event_id(F.col("source"), F.col("hostname"), F.col("raw"), F.col("seq")))
-    return normalize(both)
+_STORED: dict[tuple[str, str], tuple[str, str]] = {}
+
+
+def stored_tables(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """Paths of the events table of the view and of the alerts that batch detection stores from it, in the shared
+    folder; written by the first query of an application that asks."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _STORED:
+        base = f"{ensure_checkpoint_dir(spark)}/vigil-{uuid.uuid4().hex}"
+        append_events(spark, view_events(spark, sf_dir), f"{base}/events")
+        detect_stored(spark, f"{base}/events", f"{base}/alerts")
+        _STORED[key] = f"{base}/events", f"{base}/alerts"
+    return _STORED[key]

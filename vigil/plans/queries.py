@@ -1,6 +1,7 @@
 """Registered queries: one per operator of the inventory, each reading the
 driver's tables (``events`` through the derived log view, ``documents``)
-whole, and each paired with an independent DuckDB oracle in ``SQL``.
+whole, and each paired with an independent DuckDB oracle in ``SQL``. Queries over stored events and alerts read the
+tables that ``logview.stored_tables`` writes to the shared folder.
 
 Every computed column is aliased to the same name on both sides.
 """
@@ -8,6 +9,7 @@ Every computed column is aliased to the same name on both sides.
 from __future__ import annotations
 
 import datetime as _dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,19 +17,24 @@ from pyspark.sql import functions as F
 
 from vigil.operators import query as Q
 from vigil.operators.builtin import builtin_rule, builtin_rules
-from vigil.operators.dedup import dedup, dispatch_stats
+from vigil.operators.dedup import dedup, dispatch_stats, dispatched
 from vigil.operators.detect import detect
 from vigil.operators.normalize import normalize
 from vigil.operators.rules import load_rule
-from vigil.operators.sinks import alert_json, console_records
-from vigil.operators.store import (event_from_json, event_json, from_stored_events, new_rows,
-                                   to_stored_events)
+from vigil.operators.sinks import alert_json, console_records, fan_out, file_sink, outbox_sink
+from vigil.operators.store import (alert_from_json, append_events, event_from_json, event_json, read_alerts, read_events,
+                                   stored_schema)
 from vigil.plans import oracle as O
-from vigil.plans.logview import view_events, view_table
+from vigil.plans.batch import detect_stored
+from vigil.plans.logview import stored_tables, view_events
+from vigil.schema import EVENT_COLUMNS, STORED_EVENT
+from vigil.session import ensure_checkpoint_dir
 from vigil.sources import derived
 from vigil.sources.fanin import fan_in
-from vigil.sources.lines import parse_auth, parse_syslog
+from vigil.sources.lines import clean_lines, parse_auth, parse_syslog
 from vigil.sources.ndjson import parse_ndjson
+from vigil.streaming.live import live_source, run_to_end, start_live, stream_alerts, stream_events_per_hour, stream_stored_events
+from vigil.streaming.stateful import stream_dedup
 
 UTC = _dt.timezone.utc
 # Fixed clock for the "last 24 hours" statistic: the derived log clock starts
@@ -70,25 +77,25 @@ def norm_cols(pf: str = "parsed_fields") -> list[Column]:
 
 # --------------------------------------------------------------------- sources
 @register("syslog_parse", O.with_events("""
-SELECT event_id, epoch_us(strptime('2024 ' || regexp_replace(ts_text, '\\s+', ' ', 'g'), '%Y %b %d %H:%M:%S')) AS ts_us,
+SELECT event_id, line_us AS ts_us,
        hostname, process, pid, base_severity AS severity, message
 FROM p WHERE source = 'syslog'"""))
 def syslog_parse(spark, sf):
-    lines = derived.log_lines(spark, sf, "syslog").withColumnRenamed("event_id", "seq").drop("source")
-    ev = parse_syslog(lines, "value", "syslog", year=derived.LOG_YEAR)
+    lines = clean_lines(derived.log_lines(spark, sf, "syslog").withColumnRenamed("event_id", "seq").drop("source"))
+    ev = parse_syslog(lines, "value", "syslog", year=derived.LOG_YEAR, now=derived.FALLBACK)
     return ev.select(F.col("seq").alias("event_id"), ts_us().alias("ts_us"), "hostname",
                      F.col("parsed_fields")["process"].alias("process"), F.col("parsed_fields")["pid"].alias("pid"),
                      "severity", "message")
 
 
 @register("auth_parse", O.with_events("""
-SELECT event_id, epoch_us(strptime('2024 ' || regexp_replace(ts_text, '\\s+', ' ', 'g'), '%Y %b %d %H:%M:%S')) AS ts_us,
+SELECT event_id, line_us AS ts_us,
        hostname, process, pid, event_type, p_user AS usr, p_src_ip AS src_ip, port, target_user, command, pwd,
        base_severity AS severity, message
 FROM p WHERE source = 'auth'"""))
 def auth_parse(spark, sf):
-    lines = derived.log_lines(spark, sf, "auth").withColumnRenamed("event_id", "seq").drop("source")
-    ev = parse_auth(lines, "value", "auth", year=derived.LOG_YEAR)
+    lines = clean_lines(derived.log_lines(spark, sf, "auth").withColumnRenamed("event_id", "seq").drop("source"))
+    ev = parse_auth(lines, "value", "auth", year=derived.LOG_YEAR, now=derived.FALLBACK)
     pf = F.col("parsed_fields")
     return ev.select(F.col("seq").alias("event_id"), ts_us().alias("ts_us"), "hostname",
                      pf["process"].alias("process"), pf["pid"].alias("pid"), pf["event_type"].alias("event_type"),
@@ -97,26 +104,49 @@ def auth_parse(spark, sf):
                      pf["pwd"].alias("pwd"), "severity", "message")
 
 
-_JSON_SEVERITY = """CASE WHEN message LIKE 'Failed%' THEN 'low' WHEN message LIKE 'Accepted%' THEN 'high'
-     WHEN message LIKE '%COMMAND=%' THEN 'medium' WHEN process = 'useradd' THEN 'critical' ELSE 'low' END"""
+# The JSON lines carry the table's own time; what each form means is written out here again.
+_JSON_EVENTS = f"""
+v AS ({derived.duck_log_view_sql()}),
+j AS (SELECT * FROM ({derived.duck_json_sql()})),
+je AS (
+  SELECT event_id,
+    CASE WHEN event_id % 8 IN (0, 1, 2, 3, 7) THEN epoch_us(date_trunc('second', ts)) ELSE epoch_us({derived.FALLBACK_SQL}) END AS ts_us,
+    CASE WHEN event_id % 7 = 3 THEN 'mapped' ELSE 'json' END AS source,
+    CASE WHEN event_id % 3 = 2 THEN 'unknown' ELSE hostname END AS hostname,
+    CASE WHEN event_id % 9 IN (7, 8) THEN 'low' WHEN message LIKE 'Failed%' THEN 'low' WHEN message LIKE 'Accepted%' THEN 'high'
+         WHEN message LIKE '%COMMAND=%' THEN 'medium' WHEN process = 'useradd' THEN 'critical' ELSE 'low' END AS severity,
+    CASE WHEN event_id % 5 = 4 THEN j.line ELSE message END AS message, CAST(event_id AS VARCHAR) AS pid, props
+  FROM v JOIN j USING (event_id))"""
 
 
-@register("json_parse", f"""WITH v AS ({derived.duck_log_view_sql()})
-SELECT event_id, epoch_us(log_ts) AS ts_us, 'json' AS source, hostname, {_JSON_SEVERITY} AS severity, message,
-       CAST(event_id AS VARCHAR) AS pid
-FROM v""")
+def _json_events(spark, sf):
+    return parse_ndjson(clean_lines(derived.json_lines(spark, sf)), "value", "json", now=derived.FALLBACK)
+
+
+@register("json_parse", f"WITH {_JSON_EVENTS}\nSELECT event_id, ts_us, source, hostname, severity, message, pid, "
+                        "regexp_extract(props, '([0-9]+)', 1) AS k FROM je")
 def json_parse(spark, sf):
-    ev = parse_ndjson(derived.json_lines(spark, sf), "value", "json")
+    ev = _json_events(spark, sf)
     return ev.select("event_id", ts_us().alias("ts_us"), "source", "hostname", "severity", "message",
-                     F.col("parsed_fields")["pid"].alias("pid"))
+                     F.col("parsed_fields")["pid"].alias("pid"),
+                     F.coalesce(F.regexp_extract(F.col("parsed_fields")["props"], "([0-9]+)", 1), F.lit("")).alias("k"))
+
+
+@register("json_field_map", f"WITH {_JSON_EVENTS}\nSELECT event_id, pid AS hostname, "
+                            "CASE WHEN event_id % 3 = 2 THEN NULL ELSE hostname END AS message FROM je WHERE event_id % 3 <> 2")
+def json_field_map(spark, sf):
+    """A field map of one's own: other keys, other targets, none for the time."""
+    ev = parse_ndjson(clean_lines(derived.json_lines(spark, sf)), "value", "own", {"pid": "hostname", "host": "message"}, now=derived.FALLBACK)
+    return ev.where(F.col("event_id") % 3 != 2).select("event_id", "hostname", "message")
 
 
 @register("source_fanin", O.with_events(f"""
+{_JSON_EVENTS.replace('v AS (', 'v2 AS (', 1).replace('FROM v JOIN', 'FROM v2 JOIN')}
 SELECT event_id, source, hostname, base_severity AS severity FROM p
 UNION ALL
-SELECT event_id, 'app' AS source, hostname, {_JSON_SEVERITY} AS severity FROM p"""))
+SELECT event_id, CASE source WHEN 'json' THEN 'app' ELSE source END AS source, hostname, severity FROM je"""))
 def source_fanin(spark, sf):
-    lines = derived.log_lines(spark, sf)
+    lines = clean_lines(derived.log_lines(spark, sf))
     configs = [
         {"type": "syslog", "name": "syslog", "lines": lines.filter("source = 'syslog'").drop("source"),
          "year": derived.LOG_YEAR},
@@ -130,6 +160,27 @@ def source_fanin(spark, sf):
     return ev.select("event_id", "source", "hostname", "severity")
 
 
+@register("file_sources", O.with_events(f"""
+{_JSON_EVENTS.replace('v AS (', 'v2 AS (', 1).replace('FROM v JOIN', 'FROM v2 JOIN')},
+f AS (SELECT source, hostname, base_severity AS severity, line_us AS ts_us FROM p
+      UNION ALL SELECT source, hostname, severity, ts_us FROM je)
+SELECT source, hostname, severity, 2 * count(*) AS events, 2 * count(*) AS ids, max(ts_us) AS newest FROM f GROUP BY ALL"""))
+def file_sources(spark, sf):
+    """The three readers over text files (every line twice): all lines arrive, and equal lines keep ids of their own."""
+    folder = f"{ensure_checkpoint_dir(spark)}/logs-{uuid.uuid4().hex}"
+    lines = derived.log_lines(spark, sf)
+    twice = F.explode(F.array_repeat("value", 2)).alias("value")
+    for kind in ("syslog", "auth"):
+        lines.where(F.col("source") == kind).select(twice).write.text(f"{folder}/{kind}")
+    derived.json_lines(spark, sf).select(twice).write.text(f"{folder}/json")
+    ev = fan_in(spark, [
+        {"type": "syslog", "path": f"{folder}/syslog", "year": derived.LOG_YEAR, "now": derived.FALLBACK},
+        {"type": "auth", "path": f"{folder}/auth", "year": derived.LOG_YEAR, "now": derived.FALLBACK},
+        {"type": "json", "path": f"{folder}/json", "now": derived.FALLBACK}])
+    return ev.groupBy("source", "hostname", "severity").agg(
+        F.count(F.lit(1)).alias("events"), F.count_distinct("id").alias("ids"), F.max(ts_us()).alias("newest"))
+
+
 # ----------------------------------------------------------------- normaliser
 @register("normalize_events", O.with_events("""
 SELECT event_id, ip_list, src_ip, usr, process, severity, geo_text FROM n"""))
@@ -138,27 +189,41 @@ def normalize_events(spark, sf):
     return ev.select(F.col("seq").alias("event_id"), *norm_cols())
 
 
-_DOC_SQL = f"""WITH d0 AS (SELECT doc_id, text AS message, regexp_extract_all(text, {O.q(O.N.IPV4)}) AS ips FROM documents)
+_DOC_SQL = f"""WITH d0 AS (SELECT doc_id, text AS message, regexp_extract_all(text, {O.q(O.IPV4)}) AS ips FROM documents)
 SELECT doc_id,
   CASE WHEN len(ips) > 0 THEN array_to_string(ips, ',') END AS ip_list,
   ips[1] AS src_ip,
-  {O._rx('message', O.N.USER_IN_TEXT, 1, '(?i)')} AS usr,
-  {O._rx('message', O.N.PROCESS_PREFIX, 1)} AS process,
-  CASE WHEN {O._any('lower(message)', O.N.CRITICAL_WORDS)} THEN 'critical'
-       WHEN {O._any('lower(message)', O.N.HIGH_WORDS)} THEN 'high'
-       WHEN {O._any('lower(message)', O.N.MEDIUM_WORDS)} THEN 'medium' ELSE 'low' END AS severity,
+  {O._rx('message', O.USER, 1)} AS usr,
+  {O._rx('message', O.PROCESS, 1)} AS process,
+  CASE WHEN {O._any('lower(message)', O.CRITICAL)} THEN 'critical'
+       WHEN {O._any('lower(message)', O.HIGH)} THEN 'high'
+       WHEN {O._any('lower(message)', O.MEDIUM)} THEN 'medium' ELSE 'low' END AS severity,
   {O.GEO_TEXT} AS geo_text
 FROM d0"""
 
 
 @register("normalize_documents", _DOC_SQL)
 def normalize_documents(spark, sf):
-    docs = derived.load_spread(spark, sf, "documents", ["doc_id", "text"])
+    docs = derived.load(spark, sf, "documents").select("doc_id", "text")
     ev = docs.select("doc_id", F.col("text").alias("message"), F.lit("low").alias("severity"),
                      F.create_map().cast("map<string,string>").alias("parsed_fields"))
     return normalize(ev).select("doc_id", *norm_cols())
 
 
+@register("normalize_json", f"""WITH {_JSON_EVENTS},
+ji AS (SELECT *, regexp_extract_all(message, {O.q(O.IPV4)}) AS ips FROM je)
+SELECT event_id, {O._rx('message', O.PROCESS, 1)} AS process, {O._rx('message', O.USER, 1)} AS usr, ips[1] AS src_ip,
+  CASE WHEN {O._any('lower(message)', O.CRITICAL)} THEN 'critical'
+       WHEN {O._any('lower(message)', O.HIGH)} THEN 'high'
+       WHEN {O._any('lower(message)', O.MEDIUM)} THEN 'medium' ELSE severity END AS severity, {O.GEO_TEXT} AS geo_text FROM ji""")
+def normalize_json(spark, sf):
+    """Events whose fields all come from the message: the process default, the user, addresses of each range."""
+    ev = normalize(_json_events(spark, sf))
+    pf = F.col("parsed_fields")
+    return ev.select("event_id", pf["process"].alias("process"), pf["user"].alias("usr"), pf["src_ip"].alias("src_ip"),
+                     "severity", geo_text(F.col("geo")).alias("geo_text"))
+
+
 # ------------------------------------------------------------------ detection
 _RULE_QUERIES = {
     "rule_failed_ssh_login": "gs-001",
@@ -173,7 +238,7 @@ _RULE_QUERIES = {
 
 def _alerts(spark, sf, rules, ev=None) -> DataFrame:
     ev = ev if ev is not None else view_events(spark, sf)
-    return detect(ev, rules, tie="seq", keep=("seq",))
+    return detect(ev, rules, keep=("seq",))
 
 
 def _rule_query(rule_id):
@@ -221,7 +286,7 @@ CONDITION_RULES = [
                    "selection_c": {"event_type|contains": "ssh"}, "filter": {"hostname": "web03"},
                    "condition": "2 of selection_* and not filter"}},
     {"title": "or with and, not of a missing name", "id": "c-06",
-     "detection": {"selection": {"keywords|contains": "iptables"}, "sel2": {"message|contains": "rotating"},
+     "detection": {"selection": {"keywords|contains": "iptables"}, "sel2": {"message|contains": "compaction"},
                    "filter": {"hostname": "web05"},
                    "condition": "selection and not filter or sel2 not nosuch"}},
     {"title": "absent field never matches, its negation does", "id": "c-07",
@@ -231,6 +296,10 @@ CONDITION_RULES = [
      "detection": {"selection": {"message|re": "("}}},
     {"title": "zero of is always true on severity", "id": "c-09",
      "detection": {"selection": {"severity": "critical"}, "condition": "0 of nothing*"}},
+    {"title": "text form of a time", "id": "c-10",
+     "detection": {"selection": {"timestamp|startswith": "2024-01-01 01:"}}},
+    {"title": "text form of a list", "id": "c-11",
+     "detection": {"selection": {"ip_addresses|contains": '"10.0.0.'}}},
 ]
 
 _COND_SQL = """
@@ -243,9 +312,11 @@ UNION ALL SELECT event_id, 'c-05' FROM n WHERE
    (CAST(contains(lower(message), 'failed') AS INT) + CAST(contains(lower(message), 'invalid') AS INT)
     + CAST(coalesce(contains(lower(event_type), 'ssh'), false) AS INT)) >= 2
 UNION ALL SELECT event_id, 'c-06' FROM n WHERE (contains(lower(message), 'iptables') AND NOT contains(lower(hostname), 'web05'))
-                                          OR contains(lower(message), 'rotating')
+                                          OR contains(lower(message), 'compaction')
 UNION ALL SELECT event_id, 'c-07' FROM n WHERE coalesce(contains(lower(target_user), 'root'), false)
-UNION ALL SELECT event_id, 'c-09' FROM n"""
+UNION ALL SELECT event_id, 'c-09' FROM n
+UNION ALL SELECT event_id, 'c-10' FROM n WHERE strftime(log_ts, '%Y-%m-%d %H') = '2024-01-01 01'
+UNION ALL SELECT event_id, 'c-11' FROM n WHERE len(list_filter(ips, lambda x: starts_with(x, '10.0.0.'))) > 0"""
 
 
 @register("detect_conditions", O.with_events(_COND_SQL))
@@ -269,7 +340,7 @@ THRESHOLD_RULE = {
 
 
 @register("threshold_per_user", O.with_events(f"""
-tm AS (SELECT event_id, epoch_us(log_ts) AS ts_us, coalesce(usr, '__unknown__') AS gkey FROM n
+tm AS (SELECT event_id, epoch_us(log_ts) AS ts_us, coalesce(usr, '__unknown__') AS gkey, eid FROM n
        WHERE ({O._c('Failed password')} OR starts_with(lower(message), 'accepted'))
          AND NOT {O._c('invalid user')}),
 tc AS (SELECT event_id, {O._count_sql('gkey', 600_000_000)} AS match_count FROM tm)
@@ -280,90 +351,129 @@ def threshold_per_user(spark, sf):
     return al.select(F.col("seq").alias("event_id"), "rule_id", "match_count")
 
 
-# -------------------------------------------------------------------- dedup
-def _plain_alerts(spark, sf):
-    return _alerts(spark, sf, [r for r in builtin_rules() if r.id != "gs-002"])
+@register("threshold_day", O.with_events(f"""
+tm AS (SELECT event_id, eid, epoch_us(log_ts) AS ts_us, '__unknown__' AS gkey FROM n),
+tc AS (SELECT event_id, {O._count_sql('gkey', 86_400_000_000)} AS match_count FROM tm)
+SELECT event_id, match_count FROM tc WHERE match_count >= 100"""))
+def threshold_day(spark, sf):
+    """A day-long window with all events on one key (a field that no event has)."""
+    rule = load_rule({"title": "busy day", "id": "t-02", "detection": {
+        "selection": {"severity": ["low", "medium", "high", "critical"]}, "threshold": {"field": "no_such_field", "value": 100}, "timeframe": "1d"}})
+    return _alerts(spark, sf, [rule]).select(F.col("seq").alias("event_id"), "match_count")
+
+
+# ------------------------------------------------------------ stored tables
+def _stored_events(spark, sf) -> DataFrame:
+    return spark.read.schema(stored_schema(STORED_EVENT)).parquet(stored_tables(spark, sf)[0])
+
+
+def _stored_alerts(spark, sf) -> DataFrame:
+    return read_alerts(spark, stored_tables(spark, sf)[1])
 
 
-@register("dedup_alerts", O.with_alerts(O.dedup_cte() + """
-SELECT event_id, rule_id FROM kept WHERE kept""", include_brute=False).replace("WITH ", "WITH RECURSIVE ", 1))
+def _nested_alerts(spark, sf) -> DataFrame:
+    """Stored alerts with their events: what de-duplication and the sinks work on."""
+    events = read_events(spark, stored_tables(spark, sf)[0])
+    ev = events.select(F.struct(*EVENT_COLUMNS).alias("event"), F.col("event_date").alias("_date"))
+    al = _stored_alerts(spark, sf)
+    return al.join(ev, (F.col("event_id") == F.col("event.id")) & (F.col("event_date") == F.col("_date"))).drop("_date")
+
+
+@register("batch_detect", O.with_alerts("SELECT alert_id AS id, rule_id, eid AS event_id, ts_us FROM al"))
+def batch_detect(spark, sf):
+    """P2: the alerts that ``detect_stored`` wrote."""
+    return _stored_alerts(spark, sf).select("id", "rule_id", "event_id", ts_us().alias("ts_us"))
+
+
+@register("detect_summary", O.with_alerts("SELECT (SELECT count(*) FROM al) AS alerts, (SELECT count(*) FROM n) AS events, 8 AS rules"))
+def detect_summary(spark, sf):
+    """P3: the counts that a run reports; run again over the same tables, it stores nothing new."""
+    events, alerts = stored_tables(spark, sf)
+    again = detect_stored(spark, events, alerts)
+    n = _stored_alerts(spark, sf).count() if again["alerts"] == 0 else -1
+    return spark.range(1).select(F.lit(n).alias("alerts"), F.lit(again["events"]).alias("events"), F.lit(again["rules"]).alias("rules"))
+
+
+@register("dedup_alerts", O.with_kept("SELECT alert_id AS id, rule_id FROM kept WHERE kept"))
 def dedup_alerts(spark, sf):
-    d = dedup(_plain_alerts(spark, sf), 300, order_cols=["seq"])
-    return d.filter("dispatched").select(F.col("seq").alias("event_id"), "rule_id")
+    return dispatched(_nested_alerts(spark, sf), 300).select("id", "rule_id")
 
 
-@register("dedup_stats", O.with_alerts(O.dedup_cte() + """
-SELECT count_if(kept) AS total_dispatched, count_if(NOT kept) AS total_suppressed, 0 AS active_handlers FROM kept""",
-                                       include_brute=False).replace("WITH ", "WITH RECURSIVE ", 1))
+@register("dedup_flags", O.with_kept("SELECT alert_id AS id, kept AS dispatched FROM kept"))
+def dedup_flags(spark, sf):
+    return dedup(_nested_alerts(spark, sf), 300).select("id", "dispatched")
+
+
+@register("dedup_stats", O.with_kept("SELECT count_if(kept) AS total_dispatched, count_if(NOT kept) AS total_suppressed, 3 AS active_handlers FROM kept"))
 def dedup_stats(spark, sf):
-    return dispatch_stats(dedup(_plain_alerts(spark, sf), 300, order_cols=["seq"]), handlers=0)
+    return dispatch_stats(dedup(_nested_alerts(spark, sf), 300), handlers=3)
 
 
 @register("dedup_off", O.with_alerts("""
-SELECT event_id, rule_id, true AS dispatched FROM al"""))
+SELECT alert_id AS id, true AS dispatched FROM al"""))
 def dedup_off(spark, sf):
-    d = dedup(_alerts(spark, sf, builtin_rules()), 0, order_cols=["seq"])
-    return d.select(F.col("seq").alias("event_id"), "rule_id", "dispatched")
+    return dedup(_nested_alerts(spark, sf), 0).select("id", "dispatched")
 
 
-# ------------------------------------------------------------ stored tables
 LIST_START = "2024-01-01 01:00:00"
 LIST_END = "2024-01-01 03:30:00"
 
 
 @register("events_listing", O.with_events(f"""
-SELECT event_id, epoch_us(log_ts) AS ts_us, hostname, severity FROM n
+SELECT eid AS id, epoch_us(log_ts) AS ts_us, hostname, severity FROM n
 WHERE severity = 'high' AND source = 'auth' AND log_ts >= TIMESTAMP '{LIST_START}' AND log_ts <= TIMESTAMP '{LIST_END}'
 ORDER BY log_ts DESC, eid DESC LIMIT 100 OFFSET 20"""))
 def events_listing(spark, sf):
-    ev = view_table(spark, sf)
-    page = Q.query_events(ev, severity="high", source="auth", hostname="", start_time=LIST_START,
+    page = Q.query_events(_stored_events(spark, sf), severity="high", source="auth", hostname="", start_time=LIST_START,
                           end_time=LIST_END, limit=100, offset=20)
-    return page.select(F.col("seq").alias("event_id"), ts_us().alias("ts_us"), "hostname", "severity")
+    return page.select("id", ts_us().alias("ts_us"), "hostname", "severity")
+
+
+@register("events_of_host", O.with_events("""
+SELECT eid AS id, hostname, message FROM n WHERE hostname = 'web03' ORDER BY log_ts DESC, eid DESC LIMIT 100"""))
+def events_of_host(spark, sf):
+    return Q.query_events(_stored_events(spark, sf), hostname="web03").select("id", "hostname", "message")
 
 
 @register("alerts_listing", O.with_alerts(f"""
-SELECT event_id, rule_id, ts_us, severity FROM al
+SELECT alert_id AS id, rule_id, ts_us, severity FROM al
 WHERE severity = 'high' AND rule_id = 'gs-007' AND ts_us >= epoch_us(TIMESTAMP '{LIST_START}')
 ORDER BY ts_us DESC, alert_id DESC LIMIT 50 OFFSET 10"""))
 def alerts_listing(spark, sf):
-    al = _alerts(spark, sf, builtin_rules())
-    page = Q.query_alerts(al, severity="high", rule_id="gs-007", start_time=LIST_START, limit=50, offset=10)
-    return page.select(F.col("seq").alias("event_id"), "rule_id", ts_us().alias("ts_us"), "severity")
+    page = Q.query_alerts(_stored_alerts(spark, sf), severity="high", rule_id="gs-007", start_time=LIST_START, limit=50, offset=10)
+    return page.select("id", "rule_id", ts_us().alias("ts_us"), "severity")
 
 
 @register("page_envelope", O.with_events("""
-pg AS (SELECT event_id, log_ts, eid FROM n WHERE source = 'syslog' ORDER BY log_ts DESC, eid DESC LIMIT 25 OFFSET 5)
-SELECT count(*) AS count, 25 AS "limit", 5 AS "offset", max(event_id) AS newest, min(event_id) AS oldest FROM pg"""))
+pg AS (SELECT eid, row_number() OVER (ORDER BY log_ts DESC, eid DESC) AS place FROM n WHERE source = 'syslog')
+SELECT count(*) AS count, 25 AS "limit", 5 AS "offset", string_agg(eid, ',' ORDER BY place) AS ids FROM pg WHERE place BETWEEN 6 AND 30"""))
 def page_envelope(spark, sf):
-    ev = view_table(spark, sf)
-    env = Q.page_envelope(Q.query_events(ev, source="syslog", limit=25, offset=5).select("seq", "timestamp"),
-                          25, 5)
-    return env.select("count", "limit", "offset",
-                      F.array_max(F.col("events.seq")).alias("newest"), F.array_min(F.col("events.seq")).alias("oldest"))
+    """The page's rows in order: newest first, as listed."""
+    page = Q.query_events(_stored_events(spark, sf), source="syslog", limit=25, offset=5).select("timestamp", "id")
+    env = Q.page_envelope(page, 25, 5)
+    return env.select("count", "limit", "offset", F.array_join(F.col("events.id"), ",").alias("ids"))
 
 
 @register("stats_totals", O.with_alerts("""
 SELECT (SELECT count(*) FROM n) AS total_events, (SELECT count(*) FROM al) AS total_alerts"""))
 def stats_totals(spark, sf):
-    ev = view_events(spark, sf)
-    return Q.totals(ev, _alerts(spark, sf, builtin_rules(), ev))
+    return Q.totals(_stored_events(spark, sf), _stored_alerts(spark, sf))
 
 
 @register("events_by_severity", O.with_events("SELECT severity, count(*) AS count FROM n GROUP BY severity"))
 def events_by_severity(spark, sf):
-    return Q.by_severity(view_events(spark, sf))
+    return Q.by_severity(_stored_events(spark, sf))
 
 
 @register("alerts_by_severity", O.with_alerts("SELECT severity, count(*) AS count FROM al GROUP BY severity"))
 def alerts_by_severity(spark, sf):
-    return Q.by_severity(_alerts(spark, sf, builtin_rules()))
+    return Q.by_severity(_stored_alerts(spark, sf))
 
 
 @register("top_rules", O.with_alerts("""
 SELECT rule_name, count(*) AS count FROM al GROUP BY rule_name ORDER BY count DESC, rule_name LIMIT 10"""))
 def top_rules(spark, sf):
-    return Q.top_rules(_alerts(spark, sf, builtin_rules()))
+    return Q.top_rules(_stored_alerts(spark, sf))
 
 
 _NOW_SQL = "TIMESTAMP '2024-01-02 02:00:00'"
@@ -373,14 +483,14 @@ _NOW_SQL = "TIMESTAMP '2024-01-02 02:00:00'"
 SELECT strftime(date_trunc('hour', log_ts), '%Y-%m-%d %H:00') AS hour, count(*) AS count FROM n
 WHERE log_ts >= {_NOW_SQL} - INTERVAL 24 HOURS GROUP BY 1 ORDER BY 1"""))
 def events_per_hour(spark, sf):
-    return Q.events_per_hour(view_table(spark, sf), STATS_NOW)
+    return Q.events_per_hour(_stored_events(spark, sf), STATS_NOW)
 
 
 @register("events_per_hour_boundary_day", O.with_events(f"""
 SELECT strftime(date_trunc('hour', log_ts), '%Y-%m-%d %H:00') AS hour, count(*) AS count FROM n
 WHERE log_ts >= CAST(CAST({_NOW_SQL} - INTERVAL 24 HOURS AS DATE) AS TIMESTAMP) GROUP BY 1 ORDER BY 1"""))
 def events_per_hour_boundary_day(spark, sf):
-    return Q.events_per_hour(view_table(spark, sf), STATS_NOW, whole_boundary_day=True)
+    return Q.events_per_hour(_stored_events(spark, sf), STATS_NOW, whole_boundary_day=True)
 
 
 _BUNDLE_SQL = f"""
@@ -395,8 +505,7 @@ UNION ALL SELECT 'events_per_hour', strftime(date_trunc('hour', log_ts), '%Y-%m-
 
 @register("stats_bundle", O.with_alerts(_BUNDLE_SQL))
 def stats_bundle(spark, sf):
-    ev = view_events(spark, sf)
-    return Q.stats_bundle(ev, _alerts(spark, sf, builtin_rules(), ev), STATS_NOW)
+    return Q.stats_bundle(_stored_events(spark, sf), _stored_alerts(spark, sf), STATS_NOW)
 
 
 @register("status_summary", O.with_alerts("""
@@ -405,54 +514,55 @@ UNION ALL SELECT 'total_alerts', NULL, count(*) FROM al
 UNION ALL SELECT 'events_by_severity', severity, count(*) FROM n GROUP BY severity
 UNION ALL SELECT * FROM (SELECT 'top_rules', rule_name, count(*) AS c FROM al GROUP BY rule_name ORDER BY c DESC, rule_name LIMIT 5)"""))
 def status_summary(spark, sf):
-    ev = view_events(spark, sf)
-    return Q.status_summary(ev, _alerts(spark, sf, builtin_rules(), ev))
+    return Q.status_summary(_stored_events(spark, sf), _stored_alerts(spark, sf))
 
 
 @register("alerts_with_event", O.with_alerts("""
-SELECT alert_id, rule_id, event_id, hostname, message FROM al"""))
+SELECT alert_id, rule_id, eid AS event_id, hostname, message FROM al"""))
 def alerts_with_event(spark, sf):
-    ev = view_events(spark, sf)
-    stored_ev = to_stored_events(ev)
-    al = _alerts(spark, sf, builtin_rules(), ev).withColumn("event_date", F.to_date("timestamp"))
-    j = Q.alerts_with_events(al.select("id", "rule_id", "event_id", "event_date", "seq"), stored_ev)
-    return j.select(F.col("id").alias("alert_id"), "rule_id", F.col("seq").alias("event_id"),
-                    F.col("ev_hostname").alias("hostname"), F.col("ev_message").alias("message"))
+    events = _stored_events(spark, sf).select("id", "hostname", "message", "event_date")
+    j = Q.alerts_with_events(_stored_alerts(spark, sf).select("id", "rule_id", "event_id", "event_date"), events)
+    return j.select(F.col("id").alias("alert_id"), "rule_id", "event_id", F.col("ev_hostname").alias("hostname"), F.col("ev_message").alias("message"))
 
 
-@register("sink_new_events", O.with_events("SELECT event_id, source FROM n WHERE source = 'auth'"))
+@register("sink_new_events", O.with_events("""
+SELECT source, count(*) AS added, count(*) AS stored, count(DISTINCT eid) AS ids FROM n GROUP BY source
+UNION ALL SELECT 'again', 0, count(*), count(DISTINCT eid) FROM n"""))
 def sink_new_events(spark, sf):
-    ev = view_events(spark, sf)
-    stored = to_stored_events(ev, keep=("seq",))
-    existing = stored.filter(F.col("source") == "syslog")
-    incoming = stored.unionByName(stored)  # every event offered twice: first copy wins
-    add = new_rows(incoming, existing.drop("seq"))
-    return add.select(F.col("seq").alias("event_id"), "source")
+    """A6: appends to a table. Syslog first, then everything twice (only auth is new), then everything again."""
+    path = f"{ensure_checkpoint_dir(spark)}/sink-{uuid.uuid4().hex}"
+    ev = read_events(spark, stored_tables(spark, sf)[0])
+    added = {"syslog": append_events(spark, ev.where("source = 'syslog'"), path),
+             "auth": append_events(spark, ev.unionByName(ev), path), "again": append_events(spark, ev, path)}
+    stored = spark.read.schema(stored_schema(STORED_EVENT)).parquet(path)
+    counts = [F.count(F.lit(1)).alias("stored"), F.count_distinct("id").alias("ids")]
+    n = F.create_map(*[F.lit(x) for kv in added.items() for x in kv])
+    return (stored.groupBy("source").agg(*counts).union(stored.agg(F.lit("again"), *counts))
+            .select("source", n[F.col("source")].cast("long").alias("added"), "stored", "ids"))
 
 
 @register("stored_roundtrip", O.with_events("""
-SELECT event_id, usr, src_ip, ip_list, geo_text, severity FROM n"""))
+SELECT eid AS id, usr, src_ip, ip_list, geo_text, severity, line AS raw FROM n"""))
 def stored_roundtrip(spark, sf):
-    ev = view_events(spark, sf)
-    back = from_stored_events(to_stored_events(ev, keep=("seq",)), keep=("seq",))
-    return back.select(F.col("seq").alias("event_id"), F.col("parsed_fields")["user"].alias("usr"),
+    back = read_events(spark, stored_tables(spark, sf)[0])
+    return back.select("id", F.col("parsed_fields")["user"].alias("usr"),
                        F.col("parsed_fields")["src_ip"].alias("src_ip"),
                        F.when(F.size("ip_addresses") > 0, F.array_join("ip_addresses", ",")).alias("ip_list"),
-                       geo_text(F.col("geo")).alias("geo_text"), "severity")
+                       geo_text(F.col("geo")).alias("geo_text"), "severity", "raw")
 
 
 @register("event_json_roundtrip", O.with_events("""
-SELECT eid AS id, epoch_us(log_ts) AS ts_us, hostname, severity, usr FROM n"""))
+SELECT eid AS id, epoch_us(log_ts) AS ts_us, source, hostname, severity, message, line AS raw, usr, src_ip, ip_list, geo_text FROM n"""))
 def event_json_roundtrip(spark, sf):
     back = event_from_json(event_json(view_events(spark, sf)))
-    return back.select("id", ts_us().alias("ts_us"), "hostname", "severity",
-                       F.col("parsed_fields")["user"].alias("usr"))
+    return back.select("id", ts_us().alias("ts_us"), "source", "hostname", "severity", "message", "raw",
+                       F.col("parsed_fields")["user"].alias("usr"), F.col("parsed_fields")["src_ip"].alias("src_ip"),
+                       F.when(F.size("ip_addresses") > 0, F.array_join("ip_addresses", ",")).alias("ip_list"),
+                       geo_text(F.col("geo")).alias("geo_text"))
 
 
-@register("alert_console", O.with_alerts("""
-SELECT rule_name, upper(severity) AS severity, d.description, substr(message, 1, 200) AS event,
-       source || ' @ ' || hostname AS source, strftime(make_timestamp(ts_us), '%Y-%m-%dT%H:%M:%S') || '+00:00' AS time
-FROM al JOIN (VALUES
+# Fixed values (must equal the reference): descriptions of the built-in rules.
+_DESCRIPTIONS = """(VALUES
   ('gs-001', 'Detects failed SSH login attempts indicating potential unauthorized access.'),
   ('gs-002', 'Detects 5+ failed SSH logins from same IP in 60s, indicating brute force.'),
   ('gs-003', 'Detects successful SSH logins which may originate from unusual or external sources.'),
@@ -460,66 +570,113 @@ FROM al JOIN (VALUES
   ('gs-005', 'Detects creation of new user accounts via useradd or adduser.'),
   ('gs-006', 'Detects system service state changes which may indicate tampering or maintenance.'),
   ('gs-007', 'Detects modifications to firewall rules via iptables or ufw.'),
-  ('gs-008', 'Detects log entries indicating large outbound transfers, potential exfil.')) d(rid, description)
-  ON al.rule_id = d.rid"""))
+  ('gs-008', 'Detects log entries indicating large outbound transfers, potential exfil.')) d(rid, description)"""
+_ISO_SQL = "strftime(make_timestamp(ts_us), '%Y-%m-%dT%H:%M:%S') || '+00:00'"
+
+
+@register("alert_console", O.with_alerts(f"""
+SELECT rule_name, upper(severity) AS severity, d.description, substr(message, 1, 200) AS event,
+       source || ' @ ' || hostname AS source, {_ISO_SQL} AS time
+FROM al JOIN {_DESCRIPTIONS} ON al.rule_id = d.rid"""))
 def alert_console(spark, sf):
-    return console_records(_alerts(spark, sf, builtin_rules()))
+    return console_records(_nested_alerts(spark, sf))
+
+
+_ALERT_JSON_SQL = f"""
+SELECT al.alert_id AS id, al.rule_id, al.rule_name, al.severity, al.ts_us, d.description, al.eid AS event_id, al.hostname,
+       n.severity AS event_severity, al.message, n.line AS raw, n.usr, n.src_ip, n.ip_list, n.geo_text
+FROM al JOIN {_DESCRIPTIONS} ON al.rule_id = d.rid JOIN n ON n.eid = al.eid"""
+
+
+def _decoded(alerts: DataFrame) -> DataFrame:
+    pf = F.col("event.parsed_fields")
+    return alerts.select(
+        "id", "rule_id", "rule_name", "severity", ts_us().alias("ts_us"), "description", "event_id", F.col("event.hostname").alias("hostname"),
+        F.col("event.severity").alias("event_severity"), F.col("event.message").alias("message"), F.col("event.raw").alias("raw"),
+        pf["user"].alias("usr"), pf["src_ip"].alias("src_ip"),
+        F.when(F.size("event.ip_addresses") > 0, F.array_join("event.ip_addresses", ",")).alias("ip_list"),
+        geo_text(F.col("event.geo")).alias("geo_text"))
+
 
+@register("alert_json_roundtrip", O.with_alerts(_ALERT_JSON_SQL))
+def alert_json_roundtrip(spark, sf):
+    return _decoded(alert_from_json(alert_json(_nested_alerts(spark, sf))))
 
-@register("alert_file_lines")
+
+@register("alert_file_lines", O.with_alerts(_ALERT_JSON_SQL))
 def alert_file_lines(spark, sf):
-    return alert_json(_alerts(spark, sf, builtin_rules()))
+    """A8: the lines of the alert file, read back."""
+    path = f"{ensure_checkpoint_dir(spark)}/alerts-{uuid.uuid4().hex}"
+    file_sink(path)(_nested_alerts(spark, sf), 0)
+    return _decoded(alert_from_json(spark.read.text(path)))
 
 
-@register("batch_detect", O.with_alerts("SELECT event_id, rule_id FROM al"))
-def batch_detect(spark, sf):
-    ev = view_events(spark, sf)
-    replay = from_stored_events(to_stored_events(ev, keep=("seq",)), keep=("seq",))
-    al = detect(replay, builtin_rules(), tie="seq", keep=("seq",))
-    return al.select(F.col("seq").alias("event_id"), "rule_id")
+@register("alert_outbox", O.with_alerts("""
+SELECT alert_id AS id, 'https://hook.example/alerts' AS url, '{"Content-Type":"application/json"}' AS headers, 7 AS batch_id, eid AS event_id FROM al"""))
+def alert_outbox(spark, sf):
+    """A10 and A11: the delivery table, filled by a fan-out whose other sink fails."""
+    path = f"{ensure_checkpoint_dir(spark)}/outbox-{uuid.uuid4().hex}"
 
+    def broken(df, batch_id):
+        raise OSError("down")
 
-@register("detect_summary", O.with_alerts("""
-SELECT (SELECT count(*) FROM al) AS alerts, (SELECT count(*) FROM n) AS events"""))
-def detect_summary(spark, sf):
-    ev = view_events(spark, sf)
-    al = _alerts(spark, sf, builtin_rules(), ev)
-    t = Q.totals(ev, al)
-    return t.select(F.col("total_alerts").alias("alerts"), F.col("total_events").alias("events"))
+    fan_out(_nested_alerts(spark, sf), 7, [broken, outbox_sink(path, "https://hook.example/alerts")], persist=False)
+    box = spark.read.parquet(path)
+    sent = alert_from_json(box.select("payload", "url", "headers", "batch_id"), "payload")
+    return (box.select("url", "headers", F.col("batch_id").cast("int").alias("batch_id"), F.get_json_object("payload", "$.id").alias("id"))
+            .join(sent.select("id", "event_id"), "id"))
 
 
 # ------------------------------------------------------------------ streaming
-@register("stream_threshold_dedup", O.with_alerts(O.dedup_cte() + """
-SELECT event_id, rule_id, kept AS dispatched FROM kept""", include_brute=False)
-    .replace("WITH ", "WITH RECURSIVE ", 1))
-def stream_threshold_dedup(spark, sf):
-    """F4 + G2 on a stream: the events table streamed through parse,
-    normalise, threshold state and dedup state; run to the end."""
-    from vigil.streaming.live import run_to_end, stream_alerts
-    from vigil.streaming.stateful import stream_dedup
-    from vigil.plans.logview import stream_view_events
-    ev = stream_view_events(spark, sf).withWatermark("timestamp", "10 minutes")
-    rules = [r for r in builtin_rules() if r.id != "gs-002"]
-    out = stream_dedup(stream_alerts(ev, rules, tie="seq"), 300, tie="seq")
-    return run_to_end(out.select(F.col("seq").alias("event_id"), "rule_id", "dispatched"), "threshold_dedup")
+def _stored_stream(spark, sf):
+    return stream_stored_events(spark, stored_tables(spark, sf)[0]).withWatermark("timestamp", "7 days")
+
+
+@register("stream_dedup", O.with_kept("SELECT alert_id AS id, rule_id, kept AS dispatched FROM kept"))
+def stream_dedup_query(spark, sf):
+    """F1 + F4 + G2 on a stream: the stored events streamed through all eight rules and the dedup state, to the end."""
+    out = stream_dedup(stream_alerts(_stored_stream(spark, sf), builtin_rules()), 300)
+    return run_to_end(out.select("id", "rule_id", "dispatched"), "dedup")
 
 
 @register("stream_brute_force", O.with_alerts("""
-SELECT event_id, rule_id, match_count FROM al WHERE rule_id = 'gs-002'"""))
+SELECT alert_id AS id, rule_id, match_count FROM al WHERE rule_id = 'gs-002'"""))
 def stream_brute_force(spark, sf):
     """F4 alone: the brute-force threshold rule on the stream."""
-    from vigil.streaming.live import run_to_end, stream_alerts
-    from vigil.plans.logview import stream_view_events
-    ev = stream_view_events(spark, sf).withWatermark("timestamp", "10 minutes")
-    out = stream_alerts(ev, [builtin_rule("gs-002")], tie="seq")
-    return run_to_end(out.select(F.col("seq").alias("event_id"), "rule_id", "match_count"), "brute_force")
+    out = stream_alerts(_stored_stream(spark, sf), [builtin_rule("gs-002")])
+    return run_to_end(out.select("id", "rule_id", "match_count"), "brute_force")
+
+
+@register("stream_events_per_hour", O.with_events("""
+SELECT strftime(date_trunc('hour', log_ts), '%Y-%m-%d %H:00') AS hour, count(*) AS count FROM n GROUP BY 1"""))
+def stream_events_per_hour_query(spark, sf):
+    """H10 on a stream: running counts, the last one of each hour."""
+    out = stream_events_per_hour(stream_stored_events(spark, stored_tables(spark, sf)[0]))
+    return run_to_end(out, "per_hour", "complete")
+
+
+@register("live_pipeline", O.with_alerts("""
+SELECT rule_id, count(*) AS alerts, count(*) AS with_event, count(DISTINCT alert_id) AS ids FROM al GROUP BY rule_id"""))
+def live_pipeline(spark, sf):
+    """A4 and P1: files of the view's lines are followed, stored, detected on and their alerts stored; each alert joins its event."""
+    base = f"{ensure_checkpoint_dir(spark)}/live-{uuid.uuid4().hex}"
+    lines = derived.log_lines(spark, sf)
+    for kind in ("syslog", "auth"):
+        lines.where(F.col("source") == kind).select("value").write.text(f"{base}/in/{kind}")
+    sources = [live_source(spark, f"{base}/in/{kind}", kind, year=derived.LOG_YEAR, now=derived.FALLBACK) for kind in ("syslog", "auth")]
+    queries = start_live(spark, sources, f"{base}/events", f"{base}/alerts", f"{base}/state", watermark="7 days", trigger_seconds=0)
+    try:
+        for q in queries:
+            q.processAllAvailable()
+    finally:
+        for q in queries:
+            q.stop()
+    j = Q.alerts_with_events(read_alerts(spark, f"{base}/alerts"), spark.read.schema(stored_schema(STORED_EVENT)).parquet(f"{base}/events"))
+    return j.groupBy("rule_id").agg(F.count(F.lit(1)).alias("alerts"), F.count("ev_id").alias("with_event"), F.count_distinct("id").alias("ids"))
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
-    """Parse -> normalise -> all built-in rules -> dedup: dispatched alerts."""
-    al = _alerts(spark, sf, builtin_rules())
-    d = dedup(al, 300, order_cols=["seq"])
-    return d.filter("dispatched").select(
-        F.col("seq").alias("event_id"), "rule_id", "rule_name", "severity", ts_us().alias("ts_us"),
+    """Parse -> normalise -> store -> all built-in rules -> dedup: the alerts that go out."""
+    return dispatched(_nested_alerts(spark, sf), 300).select(
+        "id", "rule_id", "rule_name", "severity", ts_us().alias("ts_us"),
         F.col("event.hostname").alias("hostname"), F.col("event.message").alias("message"))
-
