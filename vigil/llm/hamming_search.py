@@ -1,7 +1,8 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
 A code is cut in segments of about log2(n) bits and every segment is indexed by its value. Round r looks up, for each open
-query and segment, the values exactly r bits from the query's; every candidate's full distance is verified. After round r
+query and segment, the values exactly r bits from the query's; every candidate's full distance is verified. A code is taken
+once: in the round of its nearest segment, from the first segment that is as near. After round r
 all codes closer than segments * (r + 1) have been met (one segment of such a code differs in at most r bits), so a query
 is done once its k-th verified distance is below that. Others go on to radius r + 1.
 
@@ -76,9 +77,12 @@ def top_k(rows: DataFrame, queries: DataFrame, *, id_col: str, code_col: str, k:
         probes = (open_.select("q", F.explode(segments("q", bounds)).alias("s"))
                   .select("q", F.col("s.segment").alias("segment"), F.col("s.value").alias("v"), F.explode(masks).alias("mask"))
                   .select("q", "segment", F.col("v").bitwiseXOR(F.col("mask")).alias("value")))
-        met = (probes.join(index, ["segment", "value"]).select("q", "code", "n", "first").distinct()
-               .select("q", "code", "n", "first", F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).alias("distance")))
-        found = cut_lineage(best((met if found is None else found.union(met)).distinct(), k))
+        apart = [F.bit_count(F.shiftrightunsigned(F.col("differ"), s).bitwiseAND(F.lit((1 << w) - 1))) for s, w in bounds]
+        met = (probes.join(index, ["segment", "value"]).withColumn("differ", F.col("q").bitwiseXOR(F.col("code")))
+               .withColumns({"distance": F.bit_count("differ"), "meets": F.array(*apart)})
+               .where((F.array_min("meets") == r) & (F.array_position("meets", r) == F.col("segment") + 1))
+               .select("q", "code", "n", "first", "distance"))
+        found = cut_lineage(best(met if found is None else found.union(met), k))
         covered = len(bounds) * (r + 1) - 1
         settled = (found.groupBy("q").agg(F.sum(F.when(F.col("distance") <= covered, F.col("n"))).alias("near"))
                    .where((F.col("near") >= k) | F.lit(r == widest)).select("q"))
