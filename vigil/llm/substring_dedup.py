@@ -7,7 +7,9 @@ broadcast; it is cut in shards that fit a task, and only text that can match a s
 1. Every window picks the smallest of its hashed runs of GRAM words (leftmost on ties). Equal windows pick equal runs, so a
    window can only repeat where its run does. The runs are counted over all documents.
 2. Runs that occur more than once set a bit in a bitmap of FILTER_BITS bits, those over HOT times in a second one. The two
-   bitmaps are all that is broadcast; their size is fixed. A false bit costs work, never a result.
+   bitmaps are all that is broadcast; their size is fixed. A false bit costs work, never a result. A corpus with more
+   repeated runs than a FILTER_LOAD-th of the bits (some GB of text) joins runs with documents instead, with
+   the same result.
 3. The stretch of text of every window that picked a set run goes to the shard of that run. A shard reads its
    stretches in document order: each is matched against the suffix automaton of what the shard has read before, and a
    matching statistic of ``window`` or more at a word marks a repeat that ends there. A stretch with a window that is
@@ -35,11 +37,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm.common import ensure_checkpoint_dir
+from vigil.llm.common import cut_lineage, ensure_checkpoint_dir
 
 WINDOW = 20
 GRAM = 6
 FILTER_BITS = 26          # two bitmaps of 2**26 bits, 8 MB each, whatever the corpus
+FILTER_LOAD = 8           # bits for each repeated run that the bitmaps must have
 HOT = 256                 # occurrences of a run from which windows are dealt one by one
 SALTS = 64
 COLLAPSE = 60_000         # stretches that a task holds to collapse equal ones before it sends them
@@ -113,8 +116,31 @@ def is_set(bitmap: np.ndarray, run: np.ndarray, bits: int) -> np.ndarray:
     return (bitmap[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
+def with_repeated_runs(docs: DataFrame, counts: DataFrame, window: int, gram: int, hot: int) -> DataFrame:
+    """``docs`` that hold a repeated run, with the arrays ``repeated`` and ``often`` of their own such runs: joins on
+    the run and on the document, for corpora whose repeated runs outgrow the bitmaps."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own, at = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+            for i, t in enumerate(b.column("text")):
+                words = words_of(t.as_py())
+                if len(words) >= window:
+                    own.append(np.unique(picked(words, window, gram)[0]))
+                    at.append(np.full(len(own[-1]), i))
+            rows = pa.array(np.concatenate(at))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(own).view(np.int64)), *(b.column(c).take(rows) for c in DOC)], names=["run", *DOC])
+
+    held = docs.select(*DOC, "text").mapInArrow(run, "run long, did long, late boolean, content long")
+    repeated = counts.where("n > 1").select("run", (F.col("n") > hot).alias("hot"))
+    own = held.join(repeated, "run").groupBy(*DOC).agg(  # at most the runs of one document
+        F.collect_list("run").alias("repeated"), F.collect_list(F.when(F.col("hot"), F.col("run"))).alias("often"))
+    return docs.join(own, DOC)
+
+
 # ---------------------------------------------------------------- stretches
 
+DOC = ["did", "late", "content"]
 STRETCH = "key long, salt int, late boolean, did long, content long, start int, n int, words binary"
 ORDER = ["key", "salt", "late", "did", "content", "start"]
 
@@ -126,11 +152,12 @@ def batch_of(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def stretches(docs: DataFrame, shared, window: int, gram: int, bits: int, collapse: int = COLLAPSE) -> DataFrame:
-    """Text of every window whose run may repeat, keyed by the shard it goes to. Equal stretches that a task meets are
+    """Text of every window whose run may repeat, keyed by the shard it goes to. Which runs those are says the pair of
+    broadcast bitmaps, or where ``shared`` is None the columns ``repeated`` and ``often`` of each document. Equal stretches that a task meets are
     collapsed before the exchange: the first in document order goes to its shard, the others are repeats of it and
     travel as spans without text (salt SPAN_ROW, dealt by document)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        any_, hot_ = shared.value
+        any_, hot_ = shared.value if shared else (None, None)
         first: dict[tuple[int, bytes], tuple] = {}
         spans: list[tuple] = []
 
@@ -151,16 +178,20 @@ def stretches(docs: DataFrame, shared, window: int, gram: int, bits: int, collap
                 yield batch_of(rows[at:at + EMIT_ROWS])
 
         for b in batches:
-            for late, did, content, text in zip(*(b.column(c) for c in ("late", "did", "content", "text"))):
+            for at, (late, did, content, text) in enumerate(zip(*(b.column(c) for c in ("late", "did", "content", "text")))):
                 words = words_of(text.as_py())
                 if len(words) < window:
                     continue
                 key, begin, last = picked(words, window, gram)
-                may = np.nonzero(is_set(any_, key, bits))[0]
+                if shared:
+                    may = np.nonzero(is_set(any_, key, bits))[0]
+                    hot = is_set(hot_, key[may], bits)
+                else:
+                    may = np.nonzero(np.isin(key.view(np.int64), b.column("repeated")[at].values.to_numpy()))[0]
+                    hot = np.isin(key[may].view(np.int64), b.column("often")[at].values.to_numpy())
                 if not len(may):
                     continue
                 late, did, content = late.as_py(), did.as_py(), content.as_py()
-                hot = is_set(hot_, key[may], bits)
                 salt = (content ^ did) % SALTS
                 for k, a, z, many in zip(key[may].view(np.int64).tolist(), begin[may].tolist(), last[may].tolist(), hot.tolist()):
                     if not many:
@@ -173,7 +204,8 @@ def stretches(docs: DataFrame, shared, window: int, gram: int, bits: int, collap
                     yield from emptied()
         yield from emptied()
 
-    return docs.select("late", "did", "content", "text").mapInArrow(run, STRETCH)
+    columns = ["late", "did", "content", "text"] + ([] if shared else ["repeated", "often"])
+    return docs.select(*columns).mapInArrow(run, STRETCH)
 
 
 # ---------------------------------------------------------------- suffix automaton
@@ -307,11 +339,16 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{ensure_checkpoint_dir(spark)}/{uuid.uuid4().hex}"
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bits: int = FILTER_BITS, hot: int = HOT) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bits: int = FILTER_BITS, hot: int = HOT,
+                   load: int = FILTER_LOAD) -> DataFrame:
     """(late, did, content, start, n): spans of words covered by repeats; spans may overlap."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(bitmaps(count_runs(docs, window, gram), bits, hot))
-    dealt = stretches(docs, shared, window, gram, bits)
+    counts = cut_lineage(count_runs(docs, window, gram).where("n > 1"))
+    if counts.count() * load <= 1 << bits:
+        shared = spark.sparkContext.broadcast(bitmaps(counts, bits, hot))
+        dealt = stretches(docs, shared, window, gram, bits)
+    else:
+        dealt = stretches(with_repeated_runs(docs, counts, window, gram, hot), None, window, gram, bits)
     first = match_shards(dealt.repartition("key", "salt").sortWithinPartitions(*ORDER), window)
     path = shared_folder(spark)
     first.write.parquet(path)  # read twice below: spans, and windows that meet the other salts
@@ -324,10 +361,9 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bits
 
 def with_spans(df: DataFrame, id_col: str, text_col: str, **kw) -> DataFrame:
     docs = identified(df, id_col, text_col)
-    doc = ["did", "late", "content"]
-    spans = repeated_spans(docs, **kw).groupBy(*doc).agg(  # at most one entry a window of the document
+    spans = repeated_spans(docs, **kw).groupBy(*DOC).agg(  # at most one entry a window of the document
         F.collect_list((F.shiftleft(F.col("start").cast("long"), 32) + F.col("n")).alias("span")).alias("spans"))
-    return docs.join(spans, doc, "left")
+    return docs.join(spans, DOC, "left")
 
 
 def keep_mask(n_words: int, spans: np.ndarray | None) -> np.ndarray:
