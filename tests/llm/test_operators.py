@@ -56,9 +56,11 @@ def test_repeats_match_plain_version(spark, hot):
     assert all(sum(s.n for s in r.removed) == r.n_removed for r in got)
 
 
-def test_repeats_with_few_filter_bits_lose_nothing(spark):
+@pytest.mark.parametrize("load", [0, 8])
+def test_repeats_with_few_filter_bits_lose_nothing(spark, load):
+    """Crowded bitmaps (load 0), and the joins that take their place beyond their size."""
     rows = list(enumerate(texts(2, 30)))
-    got = substring_dedup.remove_repeats(frame(spark, rows), bits=7, hot=3).collect()
+    got = substring_dedup.remove_repeats(frame(spark, [*rows, (1, rows[1][1])]), bits=7, hot=3, load=load).collect()
     assert {r.doc_id: r.n_removed for r in got} == {d: v[1] for d, v in repeats(rows).items()}
 
 
