@@ -166,24 +166,31 @@ def match_trees(a: Node, b: Node, pairs: list) -> float:
     p, q = a.children, b.children
     if not p or not q:
         return 1.0
-    inner: dict[tuple[int, int], tuple[float, list]] = {}
-    best = [[0.0] * (len(q) + 1)]
+    weights, best = [], [[0.0] * (len(q) + 1)]
+    inner: dict[tuple[int, int], list] = {}  # what is matched below two matched elements
     for i, x in enumerate(p):
-        above, row = best[-1], [0.0]
+        above, row, own_weights = best[-1], [0.0], []
         for j, y in enumerate(q):
-            w = 0.0
-            if x.tag == y.tag:
-                own: list = []
-                w = match_trees(x, y, own)
-                inner[i, j] = w, own
-            row.append(max(above[j + 1], row[j], above[j] + w if w else 0.0))
+            if x.tag != y.tag:
+                w = 0.0
+            elif x.text is not None:
+                w = 1.5 if x.text == y.text else 1.0
+            else:
+                below: list = []
+                w = match_trees(x, y, below)
+                if below:
+                    inner[i, j] = below
+            own_weights.append(w)
+            row.append(max(above[j + 1], row[j], above[j] + w))
+        weights.append(own_weights)
         best.append(row)
     i, j = len(p), len(q)
     while i and j:
-        if (i - 1, j - 1) in inner and best[i][j] == best[i - 1][j - 1] + inner[i - 1, j - 1][0]:
-            pairs.append((p[i - 1], q[j - 1]))
-            pairs += inner[i - 1, j - 1][1]
+        w = weights[i - 1][j - 1]
+        if w and best[i][j] == best[i - 1][j - 1] + w:
             i, j = i - 1, j - 1
+            pairs.append((p[i], q[j]))
+            pairs += inner.get((i, j), ())
         elif best[i][j] == best[i - 1][j]:
             i -= 1
         else:
