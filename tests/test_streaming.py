@@ -87,6 +87,23 @@ def test_live_equals_batch_with_repeated_lines_and_mapped_sources(spark, tmp_dir
     assert read_events(spark, f"{tmp_dir}/events").count() == 11 and read_alerts(spark, f"{tmp_dir}/alerts").count() == len(want)
 
 
+def test_late_events_still_raise_plain_alerts(spark, tmp_dir):
+    os.makedirs(f"{tmp_dir}/auth")
+    text = "Apr {:02d} 08:00:00 gate7 sshd[77]: Accepted password for oper from 10.1.1.{} port 4 ssh2\n"
+    source = live_source(spark, f"{tmp_dir}/auth", "auth", year=2024, max_files_per_trigger=1)
+    for i, day in enumerate((20, 21, 2)):  # the last file is 19 days late
+        with open(f"{tmp_dir}/auth/{i}.log", "w") as fh:
+            fh.write(text.format(day, i))
+        os.utime(f"{tmp_dir}/auth/{i}.log", (1_700_000_000 + 60 * i, 1_700_000_000 + 60 * i))
+        qs = start_live(spark, [source], f"{tmp_dir}/events", f"{tmp_dir}/alerts", f"{tmp_dir}/ck", watermark="1 minute", trigger_seconds=0)
+        for q in qs:
+            q.processAllAvailable()
+        for q in qs:
+            q.stop()
+    assert read_events(spark, f"{tmp_dir}/events").count() == 3
+    assert read_alerts(spark, f"{tmp_dir}/alerts").count() == 3
+
+
 def test_observed_statistics(spark, tmp_dir):
     ev = normalize(read_auth_lines(spark, tmp_dir))
     append_events(spark, ev, f"{tmp_dir}/events")

@@ -7,20 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def table_boundary(df: DataFrame) -> DataFrame:
-    """Let ``df`` act like a stored table for the optimiser.
-
-    Catalyst pushes a filter on a computed column (e.g. ``severity``) below
-    the projection that computes it by inlining the expression, so an
-    expensive parse would run twice (in the filter and in the projection)
-    and its generated code can outgrow the 64 KB method limit. A one-element
-    ``explode`` of the row struct is a narrow, shuffle-free barrier that
-    filters referring to its output cannot pass.
-    """
-    row = F.struct(*[F.col(c) for c in df.columns])
-    return df.select(F.explode(F.array(row)).alias("_row")).select("_row.*")
-
-
 def keep_rows(df: DataFrame, cond) -> DataFrame:
     """``df.filter(cond)`` for a condition on a column computed just before
     (a regex match, a JSON parse).

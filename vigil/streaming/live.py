@@ -6,8 +6,10 @@ The stored events table is the one place where events get their ids, so batch, l
   micro-batch whole), parsed, normalised and appended idempotently (a replayed batch adds nothing). Events without a
   message go to the quarantine table.
 * alerts: the events table, read as a stream -> plain rules (no state) and threshold rules (state per rule and key) ->
-  dedup state (per rule, source, host) -> ``foreachBatch``: every alert is stored (before dedup, as the
-  reference does) and the dispatched ones are fanned out to the sinks.
+  ``foreachBatch``: every alert is stored, before dedup, as the reference does. An event that arrives later than the
+  watermark still raises its plain alerts; only threshold state no longer counts it.
+* dispatch (with sinks): the same alerts -> dedup state (per rule, source, host) -> ``foreachBatch``: the dispatched ones
+  are fanned out to the sinks.
 
 Every source has its own events query: one that fails at run time does not stop the others. The file source picks up
 new files in the folder; lines appended to a file it has already read are not seen (rotate files, or use a message bus).
@@ -125,7 +127,8 @@ def start_live(spark: SparkSession, sources: list[LiveSource], events_path: str,
                checkpoint_root: str, sinks: list[Sink] | None = None, rules: list[Rule] | None = None,
                dedup_window_s: float = 300, watermark: str = "10 minutes",
                trigger_seconds: float = 10.0, quarantine_path: str | None = None) -> list[StreamingQuery]:
-    """Start the live pipeline: one events query for each source, then the alerts query over the events table.
+    """Start the live pipeline: one events query for each source, the alerts query over the events table and, with
+    sinks, the dispatch query.
 
     Events that lack what the table needs (a message) are written to ``quarantine_path`` as JSON lines
     (default: ``<events_path>_quarantine``), never dropped."""
@@ -151,19 +154,22 @@ def start_live(spark: SparkSession, sources: list[LiveSource], events_path: str,
 
     queries = [start_source(s) for s in sources]
     events = stream_stored_events(spark, events_path).withWatermark("timestamp", watermark)
-    alerts = observe_stats(stream_dedup(stream_alerts(events, rules), dedup_window_s), handlers=len(sinks))
-
-    def store_and_dispatch(df: DataFrame, batch_id: int) -> None:
-        df.persist()
-        try:
-            append_alerts(df.sparkSession, df, alerts_path)
-            if sinks:
-                fan_out(with_event(df.filter("dispatched")), batch_id, sinks)
-        finally:
-            df.unpersist()
-
-    return [*queries, (alerts.writeStream.foreachBatch(store_and_dispatch)
-                       .option("checkpointLocation", f"{checkpoint_root}/alerts").trigger(**trig).queryName("vigil_alerts").start())]
+    alerts = stream_alerts(events, rules)
+
+    def store_alerts(df: DataFrame, batch_id: int) -> None:
+        append_alerts(df.sparkSession, df, alerts_path)
+
+    queries.append(alerts.writeStream.foreachBatch(store_alerts).option("checkpointLocation", f"{checkpoint_root}/alerts")
+                   .trigger(**trig).queryName("vigil_alerts").start())
+    if sinks:
+        flagged = observe_stats(stream_dedup(alerts, dedup_window_s), handlers=len(sinks))
+
+        def dispatch(df: DataFrame, batch_id: int) -> None:
+            fan_out(with_event(df.filter("dispatched")), batch_id, sinks)
+
+        queries.append(flagged.writeStream.foreachBatch(dispatch).option("checkpointLocation", f"{checkpoint_root}/dispatch")
+                       .trigger(**trig).queryName("vigil_dispatch").start())
+    return queries
 
 
 def with_event(alerts: DataFrame) -> DataFrame:
