@@ -42,7 +42,7 @@ FLUSH = 50_000
 TOKEN = re.compile(
     r"""<!--(?:.*?-->|.*)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*+)>"""
     r"""|</?[a-zA-Z][^>]*>|(?P<text>[^<]++|<)""", re.S)
-ATTR = re.compile(r"""\b(class|id|role|hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""", re.I)
+ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 # HTML white space; a no-break space is text that reads as a blank, and counts as one
 SPACE = re.compile(r"\s+")
@@ -62,6 +62,10 @@ BOILER_WORDS = {
     "notices", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "comment", "comments",
     "reply", "replies", "respond", "disqus", "share", "sharing", "social", "related", "recommended", "widget", "toolbar", "pagination",
     "pager", "copyright", "disclaimer", "gdpr", "search", "complementary", "contentinfo"}
+# one-word names of the same things (commentlist, sitefooter, topnav, advertbox)
+BOILER_NAME = re.compile(
+    r"comments?(?:list|form|box|area|section|wrap|wrapper)|advert\w+|sponsor\w+|sidebar\w+|cookie\w+|newsletter\w+|breadcrumb\w+"
+    r"|\w+(?:navbar|menu|footer|sidebar)|(?:top|side|main|site|sub|foot)nav")
 HEADER_WORDS = {"header", "masthead", "topbar"}
 REGION = {"article", "main"}
 
@@ -139,8 +143,6 @@ def parse(html: str) -> Node:
         if m["attrs"].strip():
             for a in ATTR.finditer(m["attrs"]):
                 words |= {w.lower() for w in WORD.findall(a[2] or a[3] or a[4] or "")}
-                if a[1].lower() == "hidden" and not (a[2] or a[3] or a[4]):
-                    words.add("hidden")
         node = Node(tag, frozenset(words))
         if len(stack) <= MAX_DEPTH:
             stack[-1].children.append(node)
@@ -152,7 +154,7 @@ def parse(html: str) -> Node:
 def is_boiler(node: Node, inside: bool) -> bool:
     if node.tag in REGION:
         return bool(node.words & {"comment", "comments", "ad", "ads", "advert", "sponsored", "related", "widget"})
-    if node.tag in BOILER_TAGS or node.words & BOILER_WORDS or "hidden" in node.words:
+    if node.tag in BOILER_TAGS or node.words & BOILER_WORDS or any(map(BOILER_NAME.fullmatch, node.words)):
         return node.tag not in ("body", "html")
     return not inside and (node.tag == "header" or (bool(node.words & HEADER_WORDS) and node.tag not in ("body", "html")))
 
