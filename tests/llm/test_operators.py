@@ -385,6 +385,12 @@ def test_template_without_article_markup(spark):
     assert all(r.text == f"Story {r.page_id * 7}\n\n{('word%d ' % r.page_id * 30).strip()}" for r in got)
 
 
+def test_names_of_boilerplate():
+    parts = "".join(f"<div {a}>gone</div>" for a in ('class="commentlist"', "id=siteFooter", "class='x top-nav'", 'role="alert"', 'class="advertbox"', 'class="reader-comments"'))
+    kept = "".join(f"<div {a}>kept</div>" for a in ('class="commentary"', 'class="shadow"', 'id="lead"', 'hidden'))
+    assert html_extract.Reference("").extract(f"<article><p>a{parts}{kept}</article>") == "a\n\nkept\n\nkept\n\nkept\n\nkept"
+
+
 def test_broken_and_deep_markup():
     deep = "<div>" * 5000 + "in" + "</div>" * 4000
     assert html_extract.Reference("").extract(deep) == "in"
