@@ -9,7 +9,7 @@ Plan shape (see ``explain``):
   difference of two running counts: up to the match itself, and up to the window's start. Each is the place inside
   one step plus the matches of the steps before, so a task holds one step of one key: a day-long or infinite
   window, or one address behind all events, spreads over as many tasks as its matches span steps.
-* the events of matches that fire are then joined back by id.
+* the matching events are then joined with the ids that fire.
 """
 
 from __future__ import annotations
@@ -117,7 +117,8 @@ def _threshold_hits(ev: DataFrame, by_window: dict) -> DataFrame:
         "id", "_ts", F.col("_hit.o").alias("rule_ord"), F.col("_hit.k").alias("group_key"), F.col("_hit.w").alias("_w"), F.col("_hit.n").alias("_need"))
     counted = trailing_count(found, ["rule_ord", "group_key", "_need"], "_ts", "id", F.col("_w"))
     fired = counted.where(F.col("match_count") >= F.col("_need")).select("id", "rule_ord", "group_key", "match_count")
-    return ev.join(fired, "id").select(*ev.columns, "rule_ord", "group_key", "match_count")
+    matching = ev.where(reduce(Column.__or__, [s.match for _, s, _ in specs]))  # only these rows are shuffled by id
+    return matching.join(fired, "id").select(*ev.columns, "rule_ord", "group_key", "match_count")
 
 
 def rule_hits(events: DataFrame, rules: list[Rule]) -> DataFrame:

@@ -236,37 +236,37 @@ _RULE_QUERIES = {
 }
 
 
-def _alerts(spark, sf, rules, ev=None) -> DataFrame:
-    ev = ev if ev is not None else view_events(spark, sf)
-    return detect(ev, rules, keep=("seq",))
+def _alerts(spark, sf, rules) -> DataFrame:
+    """Alerts of the rules over the stored events (scans read only the columns that the rules look at)."""
+    return detect(read_events(spark, stored_tables(spark, sf)[0]), rules, nested_event=False)
 
 
 def _rule_query(rule_id):
     def run(spark, sf):
         al = _alerts(spark, sf, [builtin_rule(rule_id)])
-        return al.select(F.col("seq").alias("event_id"), "rule_id", "rule_name", "severity")
+        return al.select("event_id", "rule_id", "rule_name", "severity")
     return run
 
 
 for _name, _rid in _RULE_QUERIES.items():
     _n, _sev, _pred = O.BUILTIN_SQL[_rid]
     register(_name, O.with_events(
-        f"SELECT event_id, {O.q(_rid)} AS rule_id, {O.q(_n)} AS rule_name, {O.q(_sev)} AS severity "
+        f"SELECT eid AS event_id, {O.q(_rid)} AS rule_id, {O.q(_n)} AS rule_name, {O.q(_sev)} AS severity "
         f"FROM n WHERE {_pred}"))(_rule_query(_rid))
 
 
 @register("rule_ssh_brute_force", O.with_alerts("""
-SELECT event_id, rule_id, rule_name, severity, match_count FROM al WHERE rule_id = 'gs-002'"""))
+SELECT eid AS event_id, rule_id, rule_name, severity, match_count FROM al WHERE rule_id = 'gs-002'"""))
 def rule_ssh_brute_force(spark, sf):
     al = _alerts(spark, sf, [builtin_rule("gs-002")])
-    return al.select(F.col("seq").alias("event_id"), "rule_id", "rule_name", "severity", "match_count")
+    return al.select("event_id", "rule_id", "rule_name", "severity", "match_count")
 
 
 @register("detect_builtin", O.with_alerts("""
-SELECT event_id, rule_id, severity, ts_us, alert_id FROM al"""))
+SELECT eid AS event_id, rule_id, severity, ts_us, alert_id FROM al"""))
 def detect_builtin(spark, sf):
     al = _alerts(spark, sf, builtin_rules())
-    return al.select(F.col("seq").alias("event_id"), "rule_id", "severity", ts_us().alias("ts_us"),
+    return al.select("event_id", "rule_id", "severity", ts_us().alias("ts_us"),
                      F.col("id").alias("alert_id"))
 
 
@@ -303,27 +303,26 @@ CONDITION_RULES = [
 ]
 
 _COND_SQL = """
-SELECT event_id, 'c-01' AS rule_id FROM n WHERE starts_with(lower(message), 'accepted') AND ends_with(lower(message), 'ssh2')
-UNION ALL SELECT event_id, 'c-02' FROM n WHERE regexp_matches(usr, '(?i)^u1\\d$')
-UNION ALL SELECT event_id, 'c-03' FROM n WHERE (contains(lower(hostname), 'web01') OR contains(lower(hostname), 'web02'))
+SELECT eid AS event_id, 'c-01' AS rule_id FROM n WHERE starts_with(lower(message), 'accepted') AND ends_with(lower(message), 'ssh2')
+UNION ALL SELECT eid AS event_id, 'c-02' FROM n WHERE regexp_matches(usr, '(?i)^u1\\d$')
+UNION ALL SELECT eid AS event_id, 'c-03' FROM n WHERE (contains(lower(hostname), 'web01') OR contains(lower(hostname), 'web02'))
                                          AND contains(lower(process), 'sudo')
-UNION ALL SELECT event_id, 'c-04' FROM n WHERE contains(lower(message), 'user') AND starts_with(src_ip, '203.')
-UNION ALL SELECT event_id, 'c-05' FROM n WHERE
+UNION ALL SELECT eid AS event_id, 'c-04' FROM n WHERE contains(lower(message), 'user') AND starts_with(src_ip, '203.')
+UNION ALL SELECT eid AS event_id, 'c-05' FROM n WHERE
    (CAST(contains(lower(message), 'failed') AS INT) + CAST(contains(lower(message), 'invalid') AS INT)
     + CAST(coalesce(contains(lower(event_type), 'ssh'), false) AS INT)) >= 2
-UNION ALL SELECT event_id, 'c-06' FROM n WHERE (contains(lower(message), 'iptables') AND NOT contains(lower(hostname), 'web05'))
+UNION ALL SELECT eid AS event_id, 'c-06' FROM n WHERE (contains(lower(message), 'iptables') AND NOT contains(lower(hostname), 'web05'))
                                           OR contains(lower(message), 'compaction')
-UNION ALL SELECT event_id, 'c-07' FROM n WHERE coalesce(contains(lower(target_user), 'root'), false)
-UNION ALL SELECT event_id, 'c-09' FROM n
-UNION ALL SELECT event_id, 'c-10' FROM n WHERE strftime(log_ts, '%Y-%m-%d %H') = '2024-01-01 01'
-UNION ALL SELECT event_id, 'c-11' FROM n WHERE len(list_filter(ips, lambda x: starts_with(x, '10.0.0.'))) > 0"""
+UNION ALL SELECT eid AS event_id, 'c-07' FROM n WHERE coalesce(contains(lower(target_user), 'root'), false)
+UNION ALL SELECT eid AS event_id, 'c-09' FROM n
+UNION ALL SELECT eid AS event_id, 'c-10' FROM n WHERE strftime(log_ts, '%Y-%m-%d %H') = '2024-01-01 01'
+UNION ALL SELECT eid AS event_id, 'c-11' FROM n WHERE len(list_filter(ips, lambda x: starts_with(x, '10.0.0.'))) > 0"""
 
 
 @register("detect_conditions", O.with_events(_COND_SQL))
 def detect_conditions(spark, sf):
     rules = [load_rule(dict(r, detection=dict(r["detection"]))) for r in CONDITION_RULES]
-    al = _alerts(spark, sf, rules)
-    return al.select(F.col("seq").alias("event_id"), "rule_id")
+    return _alerts(spark, sf, rules).select("event_id", "rule_id")
 
 
 THRESHOLD_RULE = {
@@ -343,23 +342,23 @@ THRESHOLD_RULE = {
 tm AS (SELECT event_id, epoch_us(log_ts) AS ts_us, coalesce(usr, '__unknown__') AS gkey, eid FROM n
        WHERE ({O._c('Failed password')} OR starts_with(lower(message), 'accepted'))
          AND NOT {O._c('invalid user')}),
-tc AS (SELECT event_id, {O._count_sql('gkey', 600_000_000)} AS match_count FROM tm)
-SELECT event_id, 't-01' AS rule_id, match_count FROM tc WHERE match_count >= 2"""))
+tc AS (SELECT eid, {O._count_sql('gkey', 600_000_000)} AS match_count FROM tm)
+SELECT eid AS event_id, 't-01' AS rule_id, match_count FROM tc WHERE match_count >= 2"""))
 def threshold_per_user(spark, sf):
     import copy
     al = _alerts(spark, sf, [load_rule(copy.deepcopy(THRESHOLD_RULE))])
-    return al.select(F.col("seq").alias("event_id"), "rule_id", "match_count")
+    return al.select("event_id", "rule_id", "match_count")
 
 
 @register("threshold_day", O.with_events(f"""
 tm AS (SELECT event_id, eid, epoch_us(log_ts) AS ts_us, '__unknown__' AS gkey FROM n),
-tc AS (SELECT event_id, {O._count_sql('gkey', 86_400_000_000)} AS match_count FROM tm)
-SELECT event_id, match_count FROM tc WHERE match_count >= 100"""))
+tc AS (SELECT eid, {O._count_sql('gkey', 86_400_000_000)} AS match_count FROM tm)
+SELECT eid AS event_id, match_count FROM tc WHERE match_count >= 100"""))
 def threshold_day(spark, sf):
     """A day-long window with all events on one key (a field that no event has)."""
     rule = load_rule({"title": "busy day", "id": "t-02", "detection": {
         "selection": {"severity": ["low", "medium", "high", "critical"]}, "threshold": {"field": "no_such_field", "value": 100}, "timeframe": "1d"}})
-    return _alerts(spark, sf, [rule]).select(F.col("seq").alias("event_id"), "match_count")
+    return _alerts(spark, sf, [rule]).select("event_id", "match_count")
 
 
 # ------------------------------------------------------------ stored tables
