@@ -356,6 +356,45 @@ def test_quotes_are_linked_and_removed(spark):
     assert chat.chats(df.limit(0)).count() == 0
 
 
+def reply_order(parent, sizes):
+    """Depth first, replies by turn: first position of every turn."""
+    out, at, todo = {}, 0, [min(parent)]
+    while todo:
+        t = todo.pop()
+        out[t], at = at, at + sizes[t]
+        todo += sorted((k for k, p in parent.items() if p == t), reverse=True)
+    return out
+
+
+def test_replies_stand_under_what_they_answer(spark):
+    prepare(spark)
+    rnd, rows, parent = random.Random(5), [], {}
+    for t in range(40):  # conversation 1: quotes of any earlier message
+        parent[t * 700] = None if t == 0 else rnd.choice([t - 1, rnd.randrange(t)]) * 700
+        quote = "" if t == 0 or parent[t * 700] == (t - 1) * 700 else f"> point {parent[t * 700] // 700} of it\n"
+        rows.append((1, t * 700, "user", f"{quote}point {t} of it"))
+    rows.append((1, 7 * 700, "zz", "second message of a turn"))
+    rows += [(2, t, "user", f"m{t}" if t < 8 else "> m2\nm8" if t == 8 else "> m7\nm9") for t in range(10)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(x.conv_id, x.turn, x.role): (x.position, x.parent_turn) for x in chat.linked_messages(df).collect()}
+    want = reply_order(parent, {t: 1 + (t == 7 * 700) for t in parent})
+    assert {t: got[1, t, "user"] for t in parent} == {t: (want[t], parent[t]) for t in parent}
+    assert got[1, 7 * 700, "zz"][0] == want[7 * 700] + 1
+    assert [x.chat for x in chat.op8(df.where("conv_id = 2")).collect()] == ["\n".join(f"<|user|>\nm{t}" for t in (0, 1, 2, 3, 4, 5, 6, 7, 9, 8))]
+
+
+def test_passages_are_linked_before_lines(spark):
+    prepare(spark)
+    said = "A long remark that goes\nover two lines.\n\nThen a second part\nof it."
+    rows = [(1, 0, "user", said), (1, 1, "user", "Yes\nI agree with this"), (1, 2, "user", "Yes"), (1, 3, "user", "No"),
+            (1, 4, "user", "> A long remark\n> that goes over two\n> lines.\nre-wrapped paragraph"),
+            (1, 5, "user", "> A long remark that goes over\n> two lines.\n>\n> Then a second part of it.\nre-wrapped message"),
+            (1, 6, "user", "> Yes\n> I agree with this\npassage"), (1, 7, "user", "> Yes\nline")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {x.turn: (x.quoted, x.linked, x.parent_turn) for x in chat.linked_messages(df).collect() if x.turn > 3}
+    assert got == {4: (3, 3, 0), 5: (3, 3, 0), 6: (2, 2, 1), 7: (1, 1, 2)}
+
+
 # ---------------------------------------------------------------- op2
 
 def page(i, article, **kw):
