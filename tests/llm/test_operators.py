@@ -430,6 +430,26 @@ def test_names_of_boilerplate():
     assert html_extract.Reference("").extract(f"<article><p>a{parts}{kept}</article>") == "a\n\nkept\n\nkept\n\nkept\n\nkept"
 
 
+def test_elements_that_hold_the_page_are_no_boilerplate():
+    extract = html_extract.Reference("").extract
+    boiler = "<nav>menu</nav><div class='related'><p>other story</div><div id='comments'><p>a comment that is longer than the text</div><footer>f</footer>"
+    for a in ("<div class='layout has-sidebar'>{}</div>", "<div id='search-result-page'>{}</div>", "<form id='aspnetForm'>{}</form>"):
+        assert extract("<body>" + a.format("<article><p>story</article>" + boiler) + "</body>") == "story"
+        assert extract("<body><nav>menu</nav>" + a.format("<h1>title of it</h1><p>a story that is told without article markup") + "</body>") == (
+            "title of it\n\na story that is told without article markup")
+    cards = "<div class='related'><article>card</article></div><section id='comments'><article>a comment, longer than all else on the page</article></section>"
+    assert extract(f"<body><article><p>story</article>{cards}</body>") == "story"
+    assert extract(f"<body><div><p>a story without markup</div>{cards}</body>") == "a story without markup"
+
+
+def test_ends_of_deep_elements_end_themselves():
+    extract = html_extract.Reference("").extract
+    deep = "<div>" * 70 + "in<nav>menu</nav><div class=ad>buy</div>" + "</div>" * 70
+    assert extract(f"<body><div><article><p>one</p>{deep}<p>two</p></article></div></body>") == "one\n\nin\n\ntwo"
+    far = "<div>" * 50_000 + "in" + "</div>" * 50_000
+    assert html_extract.Reference(far).extract(f"{far}<p>out") == "in\n\nout"
+
+
 def test_broken_and_deep_markup():
     deep = "<div>" * 5000 + "in" + "</div>" * 4000
     assert html_extract.Reference("").extract(deep) == "in"

@@ -7,14 +7,15 @@ slot. The votes are summed over all pages of the host (pre-summed in the tasks,
 and task), and the content root of a host without article markup is the deepest node that holds nearly all varying text.
 Extraction aligns every page with its host's wrapper again and returns the blocks of the content region that are neither
 template nor inside boilerplate elements (menus, headers, footers, sidebars, notices, adverts, forms, reader comments).
-Menus and adverts vary from page to page too, so slots are kept only outside such elements.
+Menus and adverts vary from page to page too, so slots are kept only outside such elements. An element that is named like
+boilerplate, or is a form, but holds the page itself (see ``wrapping``) is no boilerplate.
 
 References are one bounded page a host. They are broadcast only while their measured total is under BROADCAST_BYTES;
 beyond that the same join is a shuffle on the host, whose hot keys the adaptive join splits.
 
 Defined cases: a null html or url gives no wrapper votes, null html gives the empty text; a host with too few differing pages
-is read by its markup alone; broken markup is read as browsers do (implied ends, unmatched ends ignored, no depth limit on
-text: nodes deeper than MAX_DEPTH are flattened); copies of a page vote only once with the reference they differ from;
+is read by its markup alone; broken markup is read as browsers do (implied ends, unmatched ends ignored); elements may be
+nested to any depth; copies of a page vote only once with the reference they differ from;
 repeated rows are all returned; empty tables work; extra columns pass unchanged.
 """
 
@@ -22,7 +23,8 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import defaultdict
+import sys
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,7 +33,6 @@ from pyspark.sql import functions as F
 
 from vigil.llm.common import cut_lineage
 
-MAX_DEPTH = 60
 BROADCAST_BYTES = 32 << 20
 MIN_VOTES = 5            # differing pages needed before a leaf can be template
 CONSTANT = 0.9           # share of them in which it is equal
@@ -66,6 +67,9 @@ BOILER_WORDS = {
 BOILER_NAME = re.compile(
     r"comments?(?:list|form|box|area|section|wrap|wrapper)|advert\w+|sponsor\w+|sidebar\w+|cookie\w+|newsletter\w+|breadcrumb\w+"
     r"|\w+(?:navbar|menu|footer|sidebar)|(?:top|side|main|site|sub|foot)nav")
+# these are never the page itself; reader comments are only where they hold the main element
+STRONG_TAGS = BOILER_TAGS - {"form", "fieldset"}
+DISCUSSION = {"comment", "comments", "reply", "replies", "respond", "disqus"}
 HEADER_WORDS = {"header", "masthead", "topbar"}
 REGION = {"article", "main"}
 
@@ -81,7 +85,8 @@ def parse(html: str) -> Node:
     """Tree of block elements with runs of text as leaves; inline elements are part of the text."""
     root = Node("#root")
     stack, run = [root], []
-    raw_until: str | None = None
+    opened: Counter = Counter()
+    depth = 1
 
     def end_run() -> None:
         if run:
@@ -111,10 +116,11 @@ def parse(html: str) -> Node:
                 if tag == "br":
                     run.append(" ")
                 continue
-            if any(n.tag == tag for n in stack[1:]):
+            if opened[tag]:
                 end_run()
-                while stack.pop().tag != tag:
-                    pass
+                while (last := stack.pop().tag) != tag:
+                    opened[last] -= 1
+                opened[tag] -= 1
             continue
         if tag in RAW:
             if not m["attrs"].rstrip().endswith("/"):
@@ -131,12 +137,14 @@ def parse(html: str) -> Node:
         end_run()
         if stack[-1].tag == "p":
             stack.pop()
+            opened["p"] -= 1
         elif tag in CLOSES:
             ends, stop = CLOSES[tag]
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag in stop:
                     break
                 if stack[i].tag in ends:
+                    opened.subtract(n.tag for n in stack[i:])
                     del stack[i:]
                     break
         words = set()
@@ -144,10 +152,13 @@ def parse(html: str) -> Node:
             for a in ATTR.finditer(m["attrs"]):
                 words |= {w.lower() for w in WORD.findall(a[2] or a[3] or a[4] or "")}
         node = Node(tag, frozenset(words))
-        if len(stack) <= MAX_DEPTH:
-            stack[-1].children.append(node)
-            stack.append(node)
+        stack[-1].children.append(node)
+        stack.append(node)
+        opened[tag] += 1
+        depth = max(depth, len(stack))
     end_run()
+    if 2 * depth + 1000 > sys.getrecursionlimit():  # match_trees calls itself once a level; such calls take no C stack
+        sys.setrecursionlimit(2 * depth + 1000)
     return root
 
 
@@ -200,14 +211,55 @@ def match_trees(a: Node, b: Node, pairs: list) -> float:
     return 1.0 + best[-1][-1]
 
 
-def walk(node: Node, depth_first: list, parents: dict, inside: bool = False, boiler: bool = False) -> list:
-    """(node, inside a region, boilerplate) of all nodes in page order."""
-    for child in node.children:
-        b = boiler or is_boiler(child, inside)
-        i = inside or (child.tag in REGION and not b)
-        parents[id(child)] = node
-        depth_first.append((child, i, b))
-        walk(child, depth_first, parents, i, b)
+def wrapping(root: Node) -> set[int]:
+    """Elements that are no boilerplate whatever their name, as they hold the page itself: a main element, or an article
+    and half of the text that is in no boilerplate without articles, or ROOT_SHARE of all text. Reader comments
+    are spared only for a main element; text below STRONG_TAGS does not count."""
+    nodes, above, named = [root], [-1], [False]
+    todo = [(c, 0, False) for c in reversed(root.children)]
+    while todo:
+        node, up, inside = todo.pop()
+        if node.tag in STRONG_TAGS:
+            continue
+        boiler = node.text is None and is_boiler(node, inside)
+        inside = inside or (node.tag in REGION and not boiler)
+        k = len(nodes)
+        nodes.append(node)
+        above.append(up)
+        named.append(boiler)
+        todo += [(c, k, inside) for c in reversed(node.children)]
+    if not any(named):
+        return set()
+    n = len(nodes)
+    size, net, article, main = [0] * n, [0] * n, [False] * n, [False] * n
+    for k in range(n - 1, -1, -1):
+        node, up = nodes[k], above[k]
+        if node.text is not None:
+            size[k] = net[k] = len(node.text)
+        elif node.tag in REGION and not named[k] and size[k]:
+            article[k], main[k] = True, node.tag == "main"
+        if named[k] and not article[k]:
+            net[k] = 0
+        if k:
+            size[up] += size[k]
+            net[up] += net[k]
+            article[up] |= article[k]
+            main[up] |= main[k]
+    return {id(nodes[k]) for k in range(1, n) if named[k] and nodes[k].tag not in REGION and (
+        main[k] or not nodes[k].words & DISCUSSION
+        and (article[k] and 2 * net[k] >= net[0] or 0 < size[0] and size[k] >= ROOT_SHARE * size[0]))}
+
+
+def walk(top: Node, depth_first: list, parents: dict, spared: set[int] | frozenset = frozenset()) -> list:
+    """(node, inside a region, boilerplate) of all nodes in page order; ``spared`` nodes are no boilerplate."""
+    todo = [(c, top, False, False) for c in reversed(top.children)]
+    while todo:
+        node, up, inside, boiler = todo.pop()
+        b = boiler or (node.text is None and id(node) not in spared and is_boiler(node, inside))
+        i = inside or (node.tag in REGION and not b)
+        parents[id(node)] = up
+        depth_first.append((node, i, b))
+        todo += [(c, node, i, b) for c in reversed(node.children)]
     return depth_first
 
 
@@ -217,7 +269,7 @@ class Reference:
     def __init__(self, html: str):
         self.root = parse(html)
         self.parents: dict[int, Node] = {}
-        self.nodes = walk(self.root, [], self.parents)
+        self.nodes = walk(self.root, [], self.parents, wrapping(self.root))
         self.index = {id(n): k for k, (n, _, _) in enumerate(self.nodes)}
         self.template: set[int] = set()
         self.content_root: int | None = None
@@ -227,9 +279,11 @@ class Reference:
         page = parse(html)
         pairs: list = []
         match_trees(page, self.root, pairs)
-        kinds = {id(n): b for n, _, b in walk(page, [], {})}
+        parents: dict[int, Node] = {}
+        nodes = walk(page, [], parents, wrapping(page))
+        kinds = {id(n): b for n, _, b in nodes}
         same = sum(len(x.text) for x, y in pairs if x.text and x.text == y.text and not kinds[id(x)])
-        whole = sum(len(n.text) for n, _, b in walk(page, [], {}) if n.text and not b)
+        whole = sum(len(n.text) for n, _, b in nodes if n.text and not b)
         if same > NEAR_COPY * whole:
             return {}
         out = {k: [1, 0, 0] for k, (n, _, _) in enumerate(self.nodes) if n.text is not None}
@@ -240,14 +294,12 @@ class Reference:
                 out[k][1] += x.text == y.text
                 out[k][2] += 0 if x.text == y.text or kinds[id(x)] else len(x.text)
         # text without a partner varies under the partner of its nearest matched ancestor
-        parents: dict[int, Node] = {}
-        for n, _, b in walk(page, [], parents):
-            if n.text is not None and not b and id(n) not in to:
-                up = parents[id(n)]
-                while up is not page and id(up) not in to:
-                    up = parents[id(up)]
-                if up is not page:
-                    out.setdefault(self.index[id(to[id(up)])], [0, 0, 0])[2] += len(n.text)
+        near: dict[int, Node | None] = {id(page): None}
+        for n, _, b in nodes:
+            up = near[id(parents[id(n)])]
+            near[id(n)] = n if id(n) in to else up
+            if n.text is not None and not b and id(n) not in to and up is not None:
+                out.setdefault(self.index[id(to[id(up)])], [0, 0, 0])[2] += len(n.text)
         return {k: tuple(v) for k, v in out.items()}
 
     def induce(self, votes: list[tuple[int, int, int, int]]) -> None:
@@ -257,13 +309,14 @@ class Reference:
         for k, pages, equal, chars in votes:
             if pages >= MIN_VOTES and equal >= CONSTANT * pages:
                 self.template.add(k)
-            node, boiler = self.nodes[k][0], self.nodes[k][2]
-            while chars and not boiler and node is not self.root:
-                if node.text is None:
-                    varying[self.index[id(node)]] += chars
-                node = self.parents[id(node)]
+            if chars and not self.nodes[k][2]:
+                varying[k] += chars
+        for k in range(len(self.nodes) - 1, -1, -1):
+            up = self.parents[id(self.nodes[k][0])]
+            if k in varying and up is not self.root:
+                varying[self.index[id(up)]] += varying[k]
         # paragraphs and headings hold only text; a root is an element that holds such blocks
-        holds = {k: v for k, v in varying.items() if any(c.text is None for c in self.nodes[k][0].children)}
+        holds = {k: v for k, v in sorted(varying.items()) if self.nodes[k][0].text is None and any(c.text is None for c in self.nodes[k][0].children)}
         if top := max(holds.values(), default=0):
             self.content_root = max(k for k, v in holds.items() if v >= ROOT_SHARE * top)
 
@@ -273,12 +326,19 @@ class Reference:
         if self.template or self.content_root is not None:
             match_trees(page, self.root, pairs)
         dropped = {id(x) for x, y in pairs if x.text is not None and x.text == y.text and self.index[id(y)] in self.template}
-        nodes = walk(page, [], {})
+        parents: dict[int, Node] = {}
+        spared = wrapping(page)
+        nodes = walk(page, [], parents, spared)
         region = any(i and not b for _, i, b in nodes)
         keep = None
         if not region and self.content_root is not None:
             root = next((x for x, y in pairs if y is self.nodes[self.content_root][0]), None)
             if root is not None:
+                up = root
+                while up is not page:  # the host's content root is no boilerplate either, nor is what holds it
+                    spared.add(id(up))
+                    up = parents[id(up)]
+                nodes = walk(page, [], {}, spared)
                 keep = {id(n) for n, _, _ in walk(root, [], {})}
         return "\n\n".join(
             n.text for n, i, b in nodes
