@@ -48,6 +48,39 @@ def test_stream_equals_batch(spark, tmp_dir):
     assert {r["id"]: r["dispatched"] for r in out.collect()} == want
 
 
+def test_files_out_of_order_give_the_batch_alerts(spark, tmp_dir):
+    """Rows inside the watermark that come in later micro-batches than newer ones are counted, and fire what they complete."""
+    text = "Apr 02 {:02d}:{:02d}:{:02d} gate7 sshd[77]: Failed password for oper from 198.51.100.9 port 4000 ssh2\n"
+    times = [(8, m, s) for m in (0, 30) for s in range(0, 30, 5)] + [(h, 0, 0) for h in (9, 12, 15)]
+    os.makedirs(f"{tmp_dir}/in")
+    for i, part in enumerate([(14, 8, 11), (2, 5, 13, 4), (0, 7, 10, 12), (1, 3, 6, 9)]):
+        with open(f"{tmp_dir}/in/{i:02d}.log", "w") as fh:
+            fh.writelines(text.format(*times[at]) for at in part)
+    whole = normalize(read_auth(spark, f"{tmp_dir}/in", year=2024, now=derived.FALLBACK))
+    want = sorted(r["id"] for r in detect(whole, builtin_rules()).where("rule_id = 'gs-002'").collect())
+    assert len(want) == 4
+    for f in sorted(os.listdir(f"{tmp_dir}/in")):
+        append_events(spark, normalize(read_auth(spark, f"{tmp_dir}/in/{f}", year=2024, now=derived.FALLBACK)), f"{tmp_dir}/events")
+    ev = stream_stored_events(spark, f"{tmp_dir}/events", 1).withWatermark("timestamp", "1 day")
+    got = run_to_end(stream_alerts(ev, builtin_rules()).where("rule_id = 'gs-002'").select("id"), "late")
+    assert sorted(r["id"] for r in got.collect()) == want
+
+
+def test_an_earlier_alert_in_a_later_batch_is_dispatched(spark, tmp_dir):
+    text = "Apr 02 {:02d}:{:02d}:00 gate7 sshd[77]: Accepted password for oper from 10.1.1.1 port 4 ssh2\n"
+    os.makedirs(f"{tmp_dir}/in")
+    for i, at in enumerate([(12, 0), (8, 0), (8, 2), (12, 3), (7, 0)]):
+        with open(f"{tmp_dir}/in/{i}.log", "w") as fh:
+            fh.write(text.format(*at))
+        append_events(spark, normalize(read_auth(spark, f"{tmp_dir}/in/{i}.log", year=2024)), f"{tmp_dir}/events")
+    whole = normalize(read_auth(spark, f"{tmp_dir}/in", year=2024))
+    want = {r["id"]: r["dispatched"] for r in dedup(detect(whole, builtin_rules()), 300).collect()}
+    assert sorted(want.values()) == [False, False, True, True, True]
+    ev = stream_stored_events(spark, f"{tmp_dir}/events", 1).withWatermark("timestamp", "1 day")
+    got = run_to_end(stream_dedup(stream_alerts(ev, builtin_rules()), 300).select("id", "dispatched"), "late-dedup")
+    assert {r["id"]: r["dispatched"] for r in got.collect()} == want
+
+
 def run_live(spark, sources, base, **kw):
     qs = start_live(spark, sources, f"{base}/events", f"{base}/alerts", f"{base}/ck", watermark="30 days", trigger_seconds=0, **kw)
     try:

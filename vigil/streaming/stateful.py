@@ -3,14 +3,19 @@
 Both are ``transformWithStateInPandas`` processors in event-time mode, keyed
 so state is spread over the cluster (per rule and group key; per dedup key),
 kept in the RocksDB state store and checkpointed with the query, and cleaned
-up by event-time timers once the watermark passes ``last + W``.
-
-Within a micro-batch a key's rows are ordered by (time, tie) before they are
-counted, so in-order input gives exactly the batch results.
+up by event-time timers once the watermark passes ``last + W``. State reaches
+back to ``watermark - W``, so rows that come out of order but inside the
+watermark are counted and compared like the others.
+
+A key's rows are ordered by (time, tie) with those in state before they are
+counted, so the threshold alerts are the batch's whatever the order of arrival. What
+was sent stays sent: ``match_count`` is that of the moment, and a dispatch is not
+taken back when an earlier alert comes later.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,43 +42,49 @@ def _reset_timer(handle: StatefulProcessorHandle, at_ms: int) -> None:
     handle.registerTimer(at_ms)
 
 
+def _watermark_us(timer_values: TimerValues) -> int:
+    """The watermark, or a time before all events while there is none."""
+    ms = timer_values.getCurrentWatermarkInMs()
+    return ms * 1000 if ms > 0 else -(1 << 62)
+
+
 class ThresholdProcessor(StatefulProcessor):
-    """Per (rule, group key): event times of matches within the window.
+    """Per (rule, group key): the matches that a row inside the watermark can still meet.
 
-    Input columns: ``ev_us`` (µs), ``ev_tie``, ``th_need``, ``th_window`` plus payload.
+    Input columns: ``ev_us`` (µs), ``ev_tie``, ``ev_row`` (payload), ``th_need``, ``th_window``.
     Emits a row, with ``match_count``, for every match whose count of matches
-    in [t - W, t] (itself included) reaches ``th_need``. Plain rules do not come here.
+    in [t - W, t] (itself included) reaches ``th_need``. Matches that do not reach it wait with their payload until
+    the watermark passes them, as earlier ones may still come. Plain rules do not come here.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.times = handle.getListState("times", "t long")
+        self.seen = handle.getListState("seen", "t long, tie string, waiting string")
 
     def handleInputRows(self, key, rows, timerValues: TimerValues):
         pdf = _frame(rows)
         if pdf.empty:
             return
-        pdf = pdf.sort_values(["ev_us", "ev_tie"], kind="stable").reset_index(drop=True)
-        w = int(pdf["th_window"].iloc[0])
-        old = np.sort(np.fromiter((r[0] for r in self.times.get()), dtype=np.int64)) \
-            if self.times.exists() else np.empty(0, dtype=np.int64)
-        new_t = pdf["ev_us"].to_numpy(dtype=np.int64)
-        lo = new_t - w
-        from_old = np.searchsorted(old, new_t, side="right") - np.searchsorted(old, lo, side="left")
-        idx = np.arange(len(new_t))
-        from_new = idx - np.searchsorted(new_t, lo, side="left") + 1
-        pdf["match_count"] = (from_old + from_new).astype(np.int64)
-        latest = int(max(new_t.max(), old.max() if len(old) else new_t.max()))
-        keep = np.concatenate([old, new_t])
-        keep = keep[keep >= latest - w]
-        self.times.put([(int(x),) for x in np.sort(keep)])
-        _reset_timer(self.handle, (latest + w) // 1000 + 1)
-        out = pdf[pdf["match_count"] >= pdf["th_need"]]
-        if len(out):
-            yield out.drop(columns=["th_need", "th_window"])
+        w, need = int(pdf["th_window"].iloc[0]), int(pdf["th_need"].iloc[0])
+        mark = _watermark_us(timerValues)
+        old = list(self.seen.get()) if self.seen.exists() else []
+        every = [(int(r[0]), r[1], r[2], False) for r in old]
+        every += [(int(t), tie, row, True) for t, tie, row in zip(pdf["ev_us"], pdf["ev_tie"], pdf["ev_row"])]
+        every.sort(key=lambda r: r[:2])
+        t = np.array([r[0] for r in every], dtype=np.int64)
+        count = np.arange(len(t)) - np.searchsorted(t, t - w, side="left") + 1
+        fires = [r[2] is not None and (r[3] or r[0] >= mark) and c >= need for r, c in zip(every, count)]
+        self.seen.put([(r[0], r[1], None if f or r[0] < mark else r[2]) for r, f in zip(every, fires) if r[0] >= mark - w] or
+                      [(every[-1][0], every[-1][1], None)])
+        _reset_timer(self.handle, (int(t[-1]) + w) // 1000 + 1)
+        if any(fires):
+            out = pd.DataFrame([(r[0], r[1], r[2], int(c)) for r, c, f in zip(every, count, fires) if f],
+                               columns=["ev_us", "ev_tie", "ev_row", "match_count"])
+            out.insert(0, "timestamp", pd.to_datetime(out["ev_us"], unit="us", utc=True))
+            yield out
 
     def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo):
-        self.times.clear()
+        self.seen.clear()
         return iter([])
 
     def close(self) -> None:
@@ -81,36 +92,41 @@ class ThresholdProcessor(StatefulProcessor):
 
 
 class DedupProcessor(StatefulProcessor):
-    """Per dedup key: time of the last dispatched alert. Adds ``dispatched``."""
+    """Per dedup key: times of the dispatches that an alert inside the watermark can still meet. Adds ``dispatched``."""
 
     def __init__(self, window_us: int) -> None:
         self.w = window_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "t long")
+        self.sent = handle.getListState("sent", "t long")
 
     def handleInputRows(self, key, rows, timerValues: TimerValues):
         pdf = _frame(rows)
         if pdf.empty:
             return
         pdf = pdf.sort_values(["ev_us", "ev_tie"], kind="stable").reset_index(drop=True)
-        got = self.last.get() if self.last.exists() else None
-        last = None if got is None else int(got[0])
+        sent = sorted(int(r[0]) for r in self.sent.get()) if self.sent.exists() else []
         t = pdf["ev_us"].to_numpy(dtype=np.int64)
         flags = np.zeros(len(t), dtype=bool)
-        i = 0 if last is None else int(np.searchsorted(t, last + self.w, side="right"))
+        i = 0
         while i < len(t):  # one step a dispatch
-            flags[i] = True
-            last = int(t[i])
+            now = int(t[i])
+            at = bisect_right(sent, now)
+            last = sent[at - 1] if at else None
+            if last is None or now - last > self.w:
+                flags[i] = True
+                insort(sent, now)
+                last = now
             i = int(np.searchsorted(t, last + self.w, side="right"))
         pdf["dispatched"] = flags
-        self.last.update((last,))
-        _reset_timer(self.handle, (last + self.w) // 1000 + 1)
+        mark = _watermark_us(timerValues)
+        self.sent.put([(x,) for x in sent if x >= mark - self.w] or [(sent[-1],)])
+        _reset_timer(self.handle, (sent[-1] + self.w) // 1000 + 1)
         yield pdf
 
     def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo):
-        self.last.clear()
+        self.sent.clear()
         return iter([])
 
     def close(self) -> None:
@@ -127,10 +143,16 @@ def stream_threshold(hits: DataFrame, tie: str) -> DataFrame:
     ``hits`` needs a watermark on ``timestamp``."""
     ensure_state_store(hits.sparkSession)
     d = hits.withColumn("ev_us", F.unix_micros("timestamp")).withColumn("ev_tie", F.col(tie).cast("string"))
-    out = _with_field(d.drop("th_need", "th_window").schema, "match_count", T.LongType())
-    return (d.groupBy("rule_ord", "group_key")
-            .transformWithStateInPandas(ThresholdProcessor(), out, "Append", "EventTime",
-                                        eventTimeColumnName="timestamp"))
+    payload = [f for f in hits.schema.fields if f.name not in ("timestamp", "th_need", "th_window")]
+    exact = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+    d = d.select("rule_ord", "group_key", "timestamp", "ev_us", "ev_tie", "th_need", "th_window",
+                 F.to_json(F.struct(*[f.name for f in payload]), exact).alias("ev_row"))
+    out = _with_field(d.select("timestamp", "ev_us", "ev_tie", "ev_row").schema, "match_count", T.LongType())
+    fired = (d.groupBy("rule_ord", "group_key")
+             .transformWithStateInPandas(ThresholdProcessor(), out, "Append", "EventTime",
+                                         eventTimeColumnName="timestamp"))
+    row = F.from_json("ev_row", T.StructType([T.StructField(f.name, f.dataType) for f in payload]), exact)
+    return fired.withColumn("__row", row).select("timestamp", "ev_us", "ev_tie", "match_count", "__row.*")
 
 
 def stream_dedup(alerts: DataFrame, window_s: float = 300, tie: str = "id") -> DataFrame:
