@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigil.llm import bpe, chat, decontaminate, hamming_search, html_extract, oracle, pii, quality, sharding, simhash, substring_dedup
+from vigil.llm import (bpe, byte_bpe, chat, decontaminate, hamming_search, html_extract, oracle, oracle_codes, pii, quality, sharding, simhash,
+                       spelling, substring_dedup, vector_codes)
 from vigil.llm.common import table
 
 
@@ -55,8 +56,23 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.op10(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.op11(table(spark, sf_dir, "embeddings"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.op12(table(spark, sf_dir, "documents"))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = str(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return byte_bpe.op13(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_substring_dedup, op2_html_extraction, op3_decontamination, op4_bpe_codec, op5_simhash_near_dedup, op6_histogram_sharding,
-    op7_hamming_top_k, op8_chat_formatting, op9_quality, op10_pii)}
+    op7_hamming_top_k, op8_chat_formatting, op9_quality, op10_pii, op11_vector_codes, op12_spelling_variants, op13_byte_bpe)}
 SQL: dict[str, str] = {"op1_substring_dedup": oracle.OP1, "op3_decontamination": oracle.OP3, "op7_hamming_top_k": oracle.OP7,
-                       "op8_chat_formatting": oracle.OP8}
+                       "op8_chat_formatting": oracle.OP8, "op11_vector_codes": oracle_codes.OP11, "op12_spelling_variants": oracle_codes.OP12}
