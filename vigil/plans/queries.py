@@ -11,6 +11,7 @@ from __future__ import annotations
 import datetime as _dt
 import uuid
 from collections.abc import Callable
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,7 +34,8 @@ from vigil.sources import derived
 from vigil.sources.fanin import fan_in
 from vigil.sources.lines import clean_lines, parse_auth, parse_syslog
 from vigil.sources.ndjson import parse_ndjson
-from vigil.streaming.live import live_source, run_to_end, start_live, stream_alerts, stream_events_per_hour, stream_stored_events
+from vigil.streaming.live import (appended_source, live_source, run_to_end, start_alerts, start_events, start_live, stream_alerts,
+                                  stream_events_per_hour, stream_stored_events, to_end)
 from vigil.streaming.stateful import stream_dedup
 
 UTC = _dt.timezone.utc
@@ -133,11 +135,12 @@ def json_parse(spark, sf):
 
 
 @register("json_field_map", f"WITH {_JSON_EVENTS}\nSELECT event_id, pid AS hostname, "
-                            "CASE WHEN event_id % 3 = 2 THEN NULL ELSE hostname END AS message FROM je WHERE event_id % 3 <> 2")
+                            "CASE WHEN event_id % 3 = 2 THEN j.line ELSE hostname END AS message FROM je JOIN j USING (event_id)")
 def json_field_map(spark, sf):
-    """A field map of one's own: other keys, other targets, none for the time."""
+    """A field map of one's own: other keys, other targets, none for the time. A line without the message's key (every third
+    has no host) is its own message."""
     ev = parse_ndjson(clean_lines(derived.json_lines(spark, sf)), "value", "own", {"pid": "hostname", "host": "message"}, now=derived.FALLBACK)
-    return ev.where(F.col("event_id") % 3 != 2).select("event_id", "hostname", "message")
+    return ev.select("event_id", "hostname", "message")
 
 
 @register("source_fanin", O.with_events(f"""
@@ -663,17 +666,49 @@ def live_pipeline(spark, sf):
     for kind in ("syslog", "auth"):
         lines.where(F.col("source") == kind).select("value").write.text(f"{base}/in/{kind}")
     sources = [live_source(spark, f"{base}/in/{kind}", kind, year=derived.LOG_YEAR, now=derived.FALLBACK) for kind in ("syslog", "auth")]
-    queries = start_live(spark, sources, f"{base}/events", f"{base}/alerts", f"{base}/state", watermark="7 days", trigger_seconds=0)
-    try:
-        for q in queries:
-            q.processAllAvailable()
-    finally:
-        for q in queries:
-            q.stop()
+    to_end(start_live(spark, sources, f"{base}/events", f"{base}/alerts", f"{base}/state", watermark="7 days", trigger_seconds=0))
     j = Q.alerts_with_events(read_alerts(spark, f"{base}/alerts"), spark.read.schema(stored_schema(STORED_EVENT)).parquet(f"{base}/events"))
     return j.groupBy("rule_id").agg(F.count(F.lit(1)).alias("alerts"), F.count("ev_id").alias("with_event"), F.count_distinct("id").alias("ids"))
 
 
+def _append_lines(lines: DataFrame, folder: str) -> None:
+    """Log writers: each task appends its lines, in order, to the files of its own writers."""
+    def write(rows) -> None:
+        from pyarrow import fs
+        files, base = fs.FileSystem.from_uri(folder)
+        files.create_dir(base)
+        for writer, own in groupby(rows, key=lambda r: r["writer"]):
+            with files.open_append_stream(f"{base}/{writer}.log") as f:
+                for r in own:
+                    f.write(r["value"].encode() + b"\n")
+
+    dealt = lines.select("value", "event_id", F.pmod("event_id", F.lit(4)).alias("writer"))
+    dealt.repartition("writer").sortWithinPartitions("writer", "event_id").foreachPartition(write)
+
+
+@register("live_appended", O.with_kept("""
+SELECT al.rule_id, count(*) AS alerts, count(*) AS with_event, count(DISTINCT al.alert_id) AS ids, count(*) FILTER (kept.kept) AS sent
+FROM al JOIN kept ON kept.alert_id = al.alert_id GROUP BY al.rule_id"""))
+def live_appended(spark, sf):
+    """A4, P1, A11: growing files are followed by byte offsets; between two appends every query stops and starts again from
+    its checkpoint. Alerts are stored, and the dispatched ones reach the sink."""
+    base = f"{ensure_checkpoint_dir(spark)}/appended-{uuid.uuid4().hex}"
+    lines = derived.log_view(spark, sf).withColumn("value", F.col("dirty"))
+    middle = lines.agg(F.percentile_approx("log_ts", 0.5)).first()[0]
+    for part in (F.col("log_ts") < middle, F.col("log_ts") >= middle):
+        for kind in ("syslog", "auth"):
+            _append_lines(lines.where(part & (F.col("source") == kind)), f"{base}/in/{kind}")
+        sources = [appended_source(spark, f"{base}/in/{kind}", kind, start="beginning", year=derived.LOG_YEAR, now=derived.FALLBACK)
+                   for kind in ("syslog", "auth")]
+        to_end(start_events(spark, sources, f"{base}/events", f"{base}/state", trigger_seconds=0))
+        sent = [lambda df, batch_id: df.select("id", "rule_id").write.mode("append").parquet(f"{base}/sent")]
+        to_end(start_alerts(spark, f"{base}/events", f"{base}/alerts", f"{base}/state", sent, watermark="7 days", trigger_seconds=0))
+    j = Q.alerts_with_events(read_alerts(spark, f"{base}/alerts"), spark.read.schema(stored_schema(STORED_EVENT)).parquet(f"{base}/events"))
+    out = spark.read.schema("id string, rule_id string").parquet(f"{base}/sent").groupBy("rule_id").agg(F.count(F.lit(1)).alias("sent"))
+    return (j.groupBy("rule_id").agg(F.count(F.lit(1)).alias("alerts"), F.count("ev_id").alias("with_event"), F.count_distinct("id").alias("ids"))
+            .join(out, "rule_id", "left"))
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Parse -> normalise -> store -> all built-in rules -> dedup: the alerts that go out."""
     return dispatched(_nested_alerts(spark, sf), 300).select(

@@ -11,8 +11,8 @@ The stored events table is the one place where events get their ids, so batch, l
 * dispatch (with sinks): the same alerts -> dedup state (per rule, source, host) -> ``foreachBatch``: the dispatched ones
   are fanned out to the sinks.
 
-Every source has its own events query: one that fails at run time does not stop the others. The file source picks up
-new files in the folder; lines appended to a file it has already read are not seen (rotate files, or use a message bus).
+Every source has its own events query: one that fails at run time does not stop the others. ``live_source`` picks up
+new files of a folder; ``appended_source`` follows the lines appended to files, from their ends on unless told otherwise.
 """
 
 from __future__ import annotations
@@ -34,6 +34,7 @@ from vigil.operators.rules import Rule
 from vigil.operators.sinks import Sink, fan_out
 from vigil.operators.store import append_alerts, append_events, event_text, from_stored_events, stored_schema
 from vigil.schema import STORED_ALERT, STORED_EVENT
+from vigil.sources.appended import SPLIT, follow_appended, placed_lines
 from vigil.sources.lines import clean_lines, numbered_lines, parse_auth, parse_syslog
 from vigil.sources.ndjson import parse_ndjson
 from vigil.streaming.stateful import observe_stats, stream_dedup, stream_threshold
@@ -86,6 +87,17 @@ def live_source(spark: SparkSession, path: str, kind: str = "syslog", name: str
     return LiveSource(name, follow_lines(spark, path, start_time, max_files_per_trigger), events)
 
 
+def appended_source(spark: SparkSession, path: str, kind: str = "syslog", name: str | None = None, start: str = "end",
+                    split_bytes: int = SPLIT, **parse_args) -> LiveSource:
+    """A source whose files (a file, a folder or a pattern) grow: every complete line appended arrives once."""
+    name = name or kind
+
+    def events(lines: DataFrame) -> DataFrame:
+        return _PARSERS[kind](placed_lines(lines, name), "value", name, **parse_args).drop("value")
+
+    return LiveSource(name, follow_appended(spark, path, start, split_bytes), events)
+
+
 def stream_stored_events(spark: SparkSession, events_path: str, max_files_per_trigger: int | None = None) -> DataFrame:
     """The events table as a stream of EVENT rows, in the order in which its files were added."""
     r = spark.readStream.schema(stored_schema(STORED_EVENT))
@@ -128,16 +140,23 @@ def start_live(spark: SparkSession, sources: list[LiveSource], events_path: str,
                dedup_window_s: float = 300, watermark: str = "10 minutes",
                trigger_seconds: float = 10.0, quarantine_path: str | None = None) -> list[StreamingQuery]:
     """Start the live pipeline: one events query for each source, the alerts query over the events table and, with
-    sinks, the dispatch query.
+    sinks, the dispatch query."""
+    return (start_events(spark, sources, events_path, checkpoint_root, trigger_seconds, quarantine_path)
+            + start_alerts(spark, events_path, alerts_path, checkpoint_root, sinks, rules, dedup_window_s, watermark, trigger_seconds))
+
+
+def _make_table(spark: SparkSession, path: str, schema) -> None:
+    spark.createDataFrame([], stored_schema(schema)).write.mode("append").partitionBy("event_date").parquet(path)
+
+
+def start_events(spark: SparkSession, sources: list[LiveSource], events_path: str, checkpoint_root: str,
+                 trigger_seconds: float = 10.0, quarantine_path: str | None = None) -> list[StreamingQuery]:
+    """The queries that store events, one for each source.
 
     Events that lack what the table needs (a message) are written to ``quarantine_path`` as JSON lines
     (default: ``<events_path>_quarantine``), never dropped."""
-    rules = rules if rules is not None else builtin_rules()
-    sinks = sinks or []
     quarantine = quarantine_path or events_path.rstrip("/") + "_quarantine"
-    trig = {"processingTime": f"{trigger_seconds} seconds"}
-    for path, schema in ((events_path, STORED_EVENT), (alerts_path, STORED_ALERT)):
-        spark.createDataFrame([], stored_schema(schema)).write.mode("append").partitionBy("event_date").parquet(path)
+    _make_table(spark, events_path, STORED_EVENT)
 
     def start_source(source: LiveSource) -> StreamingQuery:
         def store(lines: DataFrame, batch_id: int) -> None:
@@ -150,17 +169,27 @@ def start_live(spark: SparkSession, sources: list[LiveSource], events_path: str,
                 events.unpersist()
 
         return (source.lines.writeStream.foreachBatch(store).option("checkpointLocation", f"{checkpoint_root}/events-{source.name}")
-                .trigger(**trig).queryName(f"vigil_events_{source.name}").start())
+                .trigger(processingTime=f"{trigger_seconds} seconds").queryName(f"vigil_events_{source.name}").start())
+
+    return [start_source(s) for s in sources]
+
 
-    queries = [start_source(s) for s in sources]
+def start_alerts(spark: SparkSession, events_path: str, alerts_path: str, checkpoint_root: str, sinks: list[Sink] | None = None,
+                 rules: list[Rule] | None = None, dedup_window_s: float = 300, watermark: str = "10 minutes",
+                 trigger_seconds: float = 10.0) -> list[StreamingQuery]:
+    """The queries over the events table: alerts are stored and, with sinks, the dispatched ones sent out."""
+    rules = rules if rules is not None else builtin_rules()
+    sinks = sinks or []
+    trig = {"processingTime": f"{trigger_seconds} seconds"}
+    _make_table(spark, alerts_path, STORED_ALERT)
     events = stream_stored_events(spark, events_path).withWatermark("timestamp", watermark)
     alerts = stream_alerts(events, rules)
 
     def store_alerts(df: DataFrame, batch_id: int) -> None:
         append_alerts(df.sparkSession, df, alerts_path)
 
-    queries.append(alerts.writeStream.foreachBatch(store_alerts).option("checkpointLocation", f"{checkpoint_root}/alerts")
-                   .trigger(**trig).queryName("vigil_alerts").start())
+    queries = [alerts.writeStream.foreachBatch(store_alerts).option("checkpointLocation", f"{checkpoint_root}/alerts")
+               .trigger(**trig).queryName("vigil_alerts").start()]
     if sinks:
         flagged = observe_stats(stream_dedup(alerts, dedup_window_s), handlers=len(sinks))
 
@@ -187,6 +216,16 @@ def stream_events_per_hour(events: DataFrame, watermark: str = "10 minutes") ->
             .select(F.date_format(F.col("w.start"), "yyyy-MM-dd HH:00").alias("hour"), "count"))
 
 
+def to_end(queries: list[StreamingQuery]) -> None:
+    """Let queries process what is there, one after the other, and stop them."""
+    try:
+        for q in queries:
+            q.processAllAvailable()
+    finally:
+        for q in queries:
+            q.stop()
+
+
 def run_to_end(df: DataFrame, name: str, output_mode: str = "append") -> DataFrame:
     """Run a streaming DataFrame over everything available now into a Parquet
     folder under the shared checkpoint folder; return that folder as a batch
