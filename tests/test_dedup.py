@@ -72,3 +72,48 @@ def test_struct_key_has_no_separator_collision(spark):
                                      "timestamp timestamp, seq long")
     d = dedup(df, 300, keys=keys(), order_cols=["seq"])
     assert sorted(r["id"] for r in d.filter("dispatched").collect()) == ["a1", "a2"]
+
+
+def test_hot_key_over_years_is_composed_from_small_functions(spark):
+    """One key behind all alerts for three years: equal to the plain walk; what is handed up the tree is a few numbers a
+    bucket, and the walk over a key sees one row for every 4096 windows."""
+    from vigil.operators import dedup as D
+    rnd = random.Random(3)
+    t, items = 0, []
+    for i in range(60_000):
+        t += rnd.choice([0, 0, 1, 7, 40, 299, 300, 301, 900, 9000])
+        items.append(("hot", t, rnd.randint(0, 9)))
+    assert t > 2 * 365 * 86400
+    rnd.shuffle(items)
+    assert kept(spark, items, 300) == brute(items, 300)
+    w = 300_000_000
+    times = spark.createDataFrame([("hot", s * 1_000_000) for s in {x[1] for x in items}], "_key string, _t long")
+    buckets = D._bucket_steps(times.withColumn("_bucket", F.floor(F.col("_t") / (D.SPAN * w)).cast("long")), w)
+    rows = buckets.agg(F.max(F.size("_limits")).alias("steps"), F.count(F.lit(1)).alias("n")).head()
+    assert rows["steps"] < 20 and rows["n"] > 3000
+    groups = D._group_steps(buckets, w)
+    assert groups.count() <= t / (300 * D.SPAN * D.FAN) + 2
+
+
+def test_streamed_functions_do_not_depend_on_batches():
+    """The function of a bucket is the same however its sorted times are cut into batches."""
+    import numpy as np
+
+    from vigil.operators.dedup import _Steps
+    rnd = random.Random(4)
+    for _ in range(200):
+        w = rnd.choice([1, 5, 50])
+        t = np.unique([rnd.randint(0, 64 * w) for _ in range(rnd.randint(1, 120))])
+        n = min(len(t), int(np.searchsorted(t, w, side="right")) + 1)
+        whole = _Steps(t[:n], t[:n]).through(t, w)
+        cut = _Steps(t[:n], t[:n])
+        at = 0
+        while at < len(t):
+            step = rnd.randint(1, 9)
+            cut, at = cut.through(t[at:at + step], w), at + step
+        for last in [-(1 << 62), *range(-2 * w, 1)]:
+            now, out = last, last
+            for x in t.tolist():
+                if x > now + w:
+                    now = out = x
+            assert whole.after(np.array([last]), w)[0] == out == cut.after(np.array([last]), w)[0]

@@ -6,16 +6,18 @@ key lies within ``W`` before it (``t - last <= W`` suppresses). Suppressed
 alerts do not move ``last``. The result is greedy and order dependent, so
 neither ``lag`` nor ``dropDuplicates`` gives it.
 
-One algorithm at all sizes, on a narrow projection (row id, key, time, order), with no driver loop:
-
-1. A key's time line is cut in buckets of SPAN windows. What a bucket does depends only on the last dispatch before it,
-   and only through its entry: the first alert later than that plus W. So each bucket is summed up as a table from
-   possible entry times (those of its first window, and the next one) to the last dispatch that follows from each.
-   The table has one entry a distinct time of one window, whatever the bucket holds.
-2. The tables of a key are walked in order, carrying one number; each bucket learns its entry.
-3. Each bucket's alerts are walked from its entry, carrying one number.
-
-Steps 1 and 3 spread a hot key over its buckets; step 2 reads a SPAN-th of a key's alerts at most. The flags go back to
+One algorithm at all sizes, on a narrow projection, with no driver loop:
+
+1. Alerts of a key at one time collapse to the first in order (combined before the exchange): the others are suppressed.
+2. A key's time line is cut in buckets of SPAN windows. What a bucket does depends only on the last dispatch before it,
+   and never gets earlier when that one gets later: a monotone step function from the last dispatch before the bucket to the
+   last one in it. It is built while the times stream by, from the chains that start in the bucket's first window;
+   chains that have met are one step, so a few numbers are left.
+3. Functions of FAN buckets are composed to that of their group, those of a key's groups are walked in order, and the last
+   dispatch before a group is carried down through its buckets: a tree whose tasks hold a FAN-th of a level.
+4. Each bucket's times are walked from the last dispatch before it, carrying one number.
+
+No task holds the alerts of a key, of a bucket or of one time: they stream by, spread over the key's buckets. The flags go back to
 the alerts by row id; ``dispatched`` joins only the dispatched ids.
 """
 
@@ -29,7 +31,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DEFAULT_WINDOW_S = 300
-SPAN = 64
+SPAN = 64              # windows of a bucket
+FAN = 64               # buckets of a group
+ROWS = 256             # rows of an Arrow batch of functions
+NEVER = -(1 << 62)     # before the first dispatch
+STEPS = "_limits array<long>, _exits array<long>"
 
 
 def _key_col(cols: list[Column]) -> Column:
@@ -41,93 +47,148 @@ def default_keys() -> list[Column]:
     return [F.col("rule_id"), F.col("event.source"), F.col("event.hostname")]
 
 
-def _runs(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:
-    """Whole groups of sorted rows; one group may span batches."""
-    held: pa.Table | None = None
+def _groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[tuple[tuple, bool, pa.RecordBatch]]:
+    """(group, whether it starts here, its rows) for every stretch of equal ``by`` in sorted batches; a group may span batches."""
+    held = None
     for b in batches:
-        now = pa.Table.from_batches([b])
-        held = now if held is None else pa.concat_tables([held, now]).combine_chunks()
-        starts = _starts(held, by)
-        for a, z in zip(starts, starts[1:]):
-            yield held.slice(a, z - a)
-        held = held.slice(starts[-1]) if len(starts) else held
-    if held is not None and held.num_rows:
-        yield held
-
-
-def _starts(t: pa.Table, by: list[str]) -> list[int]:
-    if not t.num_rows:
-        return []
-    change = np.zeros(t.num_rows, bool)
-    change[0] = True
-    for c in by:
-        v = t.column(c).to_numpy()
-        change[1:] |= v[1:] != v[:-1]
-    return np.flatnonzero(change).tolist()
-
-
-def _tables(narrow: DataFrame, w: int) -> DataFrame:
-    """(key, bucket, entries, exits): the last dispatch of a bucket for every time it may be entered at."""
+        if not b.num_rows:
+            continue
+        change = np.zeros(b.num_rows, bool)
+        change[0] = True
+        for c in by:
+            v = b.column(c).to_numpy(zero_copy_only=False)
+            change[1:] |= v[1:] != v[:-1]
+        starts = np.flatnonzero(change).tolist()
+        for a, z in zip(starts, [*starts[1:], b.num_rows]):
+            group = tuple(b.column(c)[a].as_py() for c in by)
+            yield group, group != held, b.slice(a, z - a)
+            held = group
+
+
+class _Steps:
+    """A monotone step function: a last dispatch before maps to the exit of the first step whose limit lies beyond it
+    by more than the window, or to itself behind all steps."""
+
+    def __init__(self, limits: np.ndarray, exits: np.ndarray):
+        self.limits, self.exits = limits, exits
+
+    def after(self, last: np.ndarray, w: int) -> np.ndarray:
+        at = np.searchsorted(self.limits, last + w, side="right")
+        return np.where(at < len(self.exits), self.exits[np.minimum(at, len(self.exits) - 1)], last)
+
+    def merged(self) -> _Steps:
+        """Steps with equal exits are one."""
+        keep = np.append(self.exits[1:] != self.exits[:-1], True)
+        return _Steps(self.limits[keep], self.exits[keep])
+
+    def through(self, times: np.ndarray, w: int) -> _Steps:
+        """Every exit carried on through later times."""
+        exits = self.exits
+        while True:
+            at = np.searchsorted(times, exits + w, side="right")
+            on = at < len(times)
+            if not on.any():
+                return _Steps(self.limits, exits).merged()
+            exits = np.where(on, times[np.minimum(at, len(times) - 1)], exits)
+
+
+def _numbers(c: pa.Array, i: int) -> np.ndarray:
+    return c[i].values.to_numpy(zero_copy_only=False)
+
+
+def _emit(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    types = {"_key": pa.string(), "_limits": pa.list_(pa.int64()), "_exits": pa.list_(pa.int64())}
+    cols = list(zip(*rows)) if rows else [[]] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, types.get(n, pa.int64())) for c, n in zip(cols, names)], names=names)
+
+
+def _bucket_steps(times: DataFrame, w: int) -> DataFrame:
+    """(_key, _bucket, _limits, _exits): the step function of every bucket."""
+    names = ["_key", "_bucket", "_limits", "_exits"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in _runs(batches, ["_key", "_bucket"]):
-            t = np.unique(g.column("_t").to_numpy())
-            start = g.column("_bucket")[0].as_py() * SPAN * w
-            n = min(len(t), int(np.searchsorted(t, start + w, side="right")) + 1)
-            after = np.searchsorted(t, t + w, side="right")
-            last = np.arange(len(t))
-            for i in range(len(t) - 1, -1, -1):
-                if after[i] < len(t):
-                    last[i] = last[after[i]]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([g.column("_key")[0].as_py()]), pa.array([g.column("_bucket")[0].as_py()], pa.int64()),
-                 pa.array([t[:n].tolist()], pa.list_(pa.int64())), pa.array([t[last[:n]].tolist()], pa.list_(pa.int64()))],
-                names=["_key", "_bucket", "entries", "exits"])
-
-    dealt = narrow.repartition("_key", "_bucket").sortWithinPartitions("_key", "_bucket").select("_key", "_bucket", "_t")
-    return dealt.mapInArrow(run, "_key string, _bucket long, entries array<long>, exits array<long>")
-
-
-def _entries(tables: DataFrame, w: int) -> DataFrame:
-    """(key, bucket, entry): the time of the first dispatch of every bucket that has one."""
+        group, steps, open_, done = None, None, True, []
+        for g, new, rows in _groups(batches, ["_key", "_bucket"]):
+            if new:
+                if steps is not None:
+                    done.append((*group, steps.limits.tolist(), steps.exits.tolist()))
+                    if len(done) >= ROWS:
+                        yield _emit(done, names)
+                        done = []
+                group, open_, steps = g, True, _Steps(np.empty(0, np.int64), np.empty(0, np.int64))
+            t = rows.column("_t").to_numpy()
+            if open_:  # the bucket's first window and the next time are where it can be entered
+                n = int(np.searchsorted(t, g[1] * SPAN * w + w, side="right"))
+                open_, n = n == len(t), min(n + 1, len(t))
+                steps = _Steps(np.concatenate([steps.limits, t[:n]]), np.concatenate([steps.exits, t[:n]]))
+            steps = steps.through(t, w)
+        if steps is not None:
+            yield _emit([*done, (*group, steps.limits.tolist(), steps.exits.tolist())], names)
+
+    dealt = times.repartition("_key", "_bucket").sortWithinPartitions("_key", "_bucket", "_t").select("_key", "_bucket", "_t")
+    return dealt.mapInArrow(run, f"_key string, _bucket long, {STEPS}").withColumn("_group", F.floor(F.col("_bucket") / FAN).cast("long"))
+
+
+def _group_steps(buckets: DataFrame, w: int) -> DataFrame:
+    """(_key, _group, _limits, _exits): the functions of a group's buckets, one after the other."""
+    names = ["_key", "_group", "_limits", "_exits"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = last = None
-        for b in batches:
-            rows = []
-            for k, bucket, entries, exits in zip(*(b.column(c) for c in ("_key", "_bucket", "entries", "exits"))):
-                if k.as_py() != key:
-                    key, last = k.as_py(), None
-                times = entries.values.to_numpy()
-                i = 0 if last is None else int(np.searchsorted(times, last + w, side="right"))
-                if i < len(times):
-                    rows.append((key, bucket.as_py(), int(times[i])))
-                    last = exits[i].as_py()
-            cols = list(zip(*rows)) if rows else [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())],
-                                             names=["_key", "_bucket", "_entry"])
-
-    return tables.repartition("_key").sortWithinPartitions("_key", "_bucket").mapInArrow(run, "_key string, _bucket long, _entry long")
-
-
-def _walk(rows: DataFrame, order_cols: list[str], w: int) -> DataFrame:
-    """Row ids of the dispatched alerts, from the entry of each bucket on."""
+        group = steps = None
+        done = []
+        for g, new, rows in _groups(batches, ["_key", "_group"]):
+            if new and steps is not None:
+                done.append((*group, steps.limits.tolist(), steps.exits.tolist()))
+                steps = None
+                if len(done) >= ROWS:
+                    yield _emit(done, names)
+                    done = []
+            group = g
+            for i in range(rows.num_rows):
+                own = _Steps(_numbers(rows.column("_limits"), i), _numbers(rows.column("_exits"), i))
+                steps = own if steps is None else _Steps(steps.limits, own.after(steps.exits, w)).merged()
+        if steps is not None:
+            yield _emit([*done, (*group, steps.limits.tolist(), steps.exits.tolist())], names)
+
+    dealt = buckets.repartition("_key", "_group").sortWithinPartitions("_key", "_group", "_bucket").select("_key", "_group", "_limits", "_exits")
+    return dealt.mapInArrow(run, f"_key string, _group long, {STEPS}")
+
+
+def _carry(rows: DataFrame, by: list[str], item: str, w: int, start: str | None = None) -> DataFrame:
+    """(_key, item, _last): the last dispatch before every item of a run ``by``, from ``start`` (or none) on."""
+    names = ["_key", item, "_last"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group = last = None
-        for b in batches:
+        last = np.array([NEVER])
+        for g, new, part in _groups(batches, by):
+            if new:
+                last = np.array([part.column(start)[0].as_py() if start else NEVER])
             out = []
-            t = b.column("_t").to_numpy()
-            starts = _starts(pa.Table.from_batches([b]), ["_key", "_bucket"])
-            for a, z in zip(starts, [*starts[1:], len(t)]):
-                own = b.column("_key")[a].as_py(), b.column("_bucket")[a].as_py()
-                if own != group:
-                    group, last = own, b.column("_entry")[a].as_py() - w - 1
-                i = a + int(np.searchsorted(t[a:z], last + w, side="right"))
-                while i < z:
-                    out.append(i)
-                    last = int(t[i])
-                    i = a + int(np.searchsorted(t[a:z], last + w, side="right"))
-            yield pa.RecordBatch.from_arrays([b.column("_rid").take(pa.array(out, pa.int64()))], names=["_rid"])
-
-    dealt = rows.sortWithinPartitions("_key", "_bucket", "_t", *order_cols, "_rid").select("_key", "_bucket", "_t", "_entry", "_rid")
+            for i in range(part.num_rows):
+                out.append((g[0], part.column(item)[i].as_py(), int(last[0])))
+                last = _Steps(_numbers(part.column("_limits"), i), _numbers(part.column("_exits"), i)).after(last, w)
+            yield _emit(out, names)
+
+    dealt = rows.repartition(*by).sortWithinPartitions(*by, item)
+    return dealt.mapInArrow(run, f"_key string, {item} long, _last long")
+
+
+def _walk(rows: DataFrame, w: int) -> DataFrame:
+    """Row ids of the dispatched alerts, from the last dispatch before each bucket on."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = NEVER
+        for _, new, part in _groups(batches, ["_key", "_bucket"]):
+            if new:
+                last = part.column("_last")[0].as_py()
+            t, out = part.column("_t").to_numpy(), []
+            i = int(np.searchsorted(t, last + w, side="right"))
+            while i < len(t):
+                out.append(i)
+                last = int(t[i])
+                i = int(np.searchsorted(t, last + w, side="right"))
+            yield pa.RecordBatch.from_arrays([part.column("_rid").take(pa.array(out, pa.int64()))], names=["_rid"])
+
+    dealt = rows.repartition("_key", "_bucket").sortWithinPartitions("_key", "_bucket", "_t").select("_key", "_bucket", "_t", "_last", "_rid")
     return dealt.mapInArrow(run, "_rid string")
 
 
@@ -138,9 +199,12 @@ def dispatched_ids(alerts: DataFrame, window_s: float = DEFAULT_WINDOW_S, keys:
     order = list(order_cols or [])
     narrow = alerts.select(F.col(row_id).cast("string").alias("_rid"), _key_col(keys or default_keys()).alias("_key"),
                            F.unix_micros(F.col("timestamp")).alias("_t"), *order).where("_t is not null")
-    narrow = narrow.withColumn("_bucket", F.floor(F.col("_t") / F.lit(SPAN * w)).cast("long"))
-    entered = narrow.join(_entries(_tables(narrow, w), w), ["_key", "_bucket"])
-    return _walk(entered.repartition("_key", "_bucket"), order, w)
+    first = F.min(F.struct(*order, "_rid"))["_rid"].alias("_rid")
+    times = narrow.groupBy("_key", F.floor(F.col("_t") / F.lit(SPAN * w)).cast("long").alias("_bucket"), "_t").agg(first)
+    buckets = _bucket_steps(times, w)
+    groups = _carry(_group_steps(buckets, w), ["_key"], "_group", w)
+    lasts = _carry(buckets.join(groups, ["_key", "_group"]), ["_key", "_group"], "_bucket", w, "_last")
+    return _walk(times.join(lasts, ["_key", "_bucket"]), w)
 
 
 def dedup(alerts: DataFrame, window_s: float = DEFAULT_WINDOW_S, keys: list[Column] | None = None,

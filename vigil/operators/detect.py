@@ -5,10 +5,11 @@ Plan shape (see ``explain``):
 * plain rules: one projection evaluates every rule on every event and ``explode``s the hits. No shuffle,
   whatever the number of rules.
 * threshold rules ("N matches per key within W"): only (rule, key, time, id) of the matching events is shuffled and
-  counted. A rule's time line is cut in steps of at most W/64 (an hour at most), and a count over [t - W, t] is a
-  difference of two running counts: up to the match itself, and up to the window's start. Each is the place inside
-  one step plus the matches of the steps before, so a task holds one step of one key: a day-long or infinite
-  window, or one address behind all events, spreads over as many tasks as its matches span steps.
+  counted. A rule's time line is cut in steps of at most W/64 (a minute at most) and blocks of BLOCK steps, and a count over
+  [t - W, t] is a difference of two running counts: up to the match itself, and up to the window's start. Each is the
+  place inside one step plus the matches of the steps before it in its block; a window that reaches into the block
+  before adds what is left of that one, and only windows longer than a block (days) sum up block totals, which are
+  few. So a task holds one step or one block of a key, however long the time line and however hot the key.
 * the matching events are then joined with the ids that fire.
 """
 
@@ -70,34 +71,68 @@ def _rule_meta(rules: list[Rule], ordinal: Column) -> Column:
 
 
 STEPS = 64                        # steps of one window
-LONGEST_STEP = 3_600_000_000      # microseconds
+LONGEST_STEP = 60_000_000         # microseconds
+BLOCK = 4096                      # steps of one block
 ENDLESS = 2**62                   # a window that reaches back to the first match
 
 
-def trailing_count(df: DataFrame, keys: list[str], ts_us: str, row_id: str, window: Column | int,
-                   out: str = "match_count") -> DataFrame:
-    """(keys, row_id, out): for every row, the rows of equal ``keys`` with time in [t - W, t] that come at or before it in
-    (time, ``row_id``) order. ``row_id`` is unique within the keys; ``window`` is W in microseconds, one for a key."""
-    w = F.lit(window).cast("long") if isinstance(window, int) else window.cast("long")
-    step = F.least(F.greatest(F.ceil(w / STEPS), F.lit(1)), F.lit(LONGEST_STEP)).cast("long")
-    rows = df.select(*keys, F.col(row_id).alias("_row"), F.col(ts_us).alias("_t"), w.alias("_w"), step.alias("_step"))
+def _step(w):
+    """Microseconds of a step for windows of ``w`` (a column)."""
+    return F.least(F.greatest(F.ceil(w / STEPS), F.lit(1)), F.lit(LONGEST_STEP)).cast("long")
+
+
+def _within_blocks(w, step):
+    """Whether a window reaches back into the block before at most."""
+    return w <= (BLOCK - 2) * step
+
+
+def block_counts(marks: DataFrame, keys: list[str], long_windows: bool) -> DataFrame:
+    """(keys, _cell, _before, _block_n) of every step that holds a mark: the matches before it in its block (for long windows, in
+    all blocks) and those of its whole block. A task holds the steps of one block, or the totals of a key's blocks."""
+    block = [*keys, "_block"]
+    cells = marks.groupBy(*block, "_cell", "_local").agg(F.count_if("entry").alias("_n"))
+    own = Window.partitionBy(*block)
+    cells = cells.select(*block, "_cell", "_local", F.sum("_n").over(own).alias("_block_n"),
+                         F.coalesce(F.sum("_n").over(own.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    if not long_windows:
+        return cells.select(*keys, "_cell", "_before", "_block_n")
+    totals = marks.where("not _local").groupBy(*block).agg(F.count_if("entry").alias("_n"))
+    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*[F.col(c).alias(f"_of_{c}") for c in block], F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_blocks_n"))
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in block])
+    return cells.join(totals, same, "left").select(*keys, "_cell", (F.col("_before") + F.coalesce("_blocks_n", F.lit(0))).alias("_before"), "_block_n")
+
+
+def window_marks(df: DataFrame, keys: list[str], ts_us: str, row_id: str, w: Column) -> DataFrame:
+    """Every match as an entry at its time and a probe at its window's start, with their steps and blocks."""
+    rows = df.select(*keys, F.col(row_id).alias("_row"), F.col(ts_us).alias("_t"), w.alias("_w"), _step(w).alias("_step"))
     start = F.col("_t") - F.col("_w")
-    # every match is an entry at its time, and a probe at its window's start; an entry at that very time comes after it
     both = F.explode(F.array(
         F.struct(F.lit(True).alias("entry"), F.col("_t").alias("at")), F.struct(F.lit(False).alias("entry"), start.alias("at"))))
-    marks = rows.select(*keys, "_row", "_step", both.alias("_m")).select(
-        *keys, "_row", "_m.entry", "_m.at", F.floor(F.col("_m.at") / F.col("_step")).cast("long").alias("_cell"))
+    marks = rows.select(*keys, "_row", "_t", "_step", _within_blocks(F.col("_w"), F.col("_step")).alias("_local"), both.alias("_m")).select(
+        *keys, "_row", "_t", "_step", "_local", "_m.entry", "_m.at", F.floor(F.col("_m.at") / F.col("_step")).cast("long").alias("_cell"))
+    block = F.floor(F.col("_cell") / BLOCK).cast("long")
+    entered = F.floor(F.floor(F.col("_t") / F.col("_step")) / BLOCK).cast("long")
+    return marks.select(*keys, "_row", "_local", "entry", "at", "_cell", block.alias("_block"), (F.col("_local") & (block < entered)).alias("_earlier"))
+
+
+def trailing_count(df: DataFrame, keys: list[str], ts_us: str, row_id: str, window: Column | int,
+                   out: str = "match_count", longest: int = ENDLESS) -> DataFrame:
+    """(keys, row_id, out): for every row, the rows of equal ``keys`` with time in [t - W, t] that come at or before it in
+    (time, ``row_id``) order. ``row_id`` is unique within the keys; ``window`` is W in microseconds, one for a key, and
+    ``longest`` an upper bound of all windows."""
+    w = F.lit(window).cast("long") if isinstance(window, int) else window.cast("long")
+    marks = window_marks(df, keys, ts_us, row_id, w)
     cell = [*keys, "_cell"]
-    per_cell = marks.groupBy(*cell).agg(F.count_if("entry").alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    per_cell = per_cell.select(*cell, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    counts = block_counts(marks, keys, longest > (BLOCK - 2) * LONGEST_STEP)
+    # an entry at the very time of a probe comes after it
     inside = Window.partitionBy(*cell).orderBy("at", F.col("entry"), "_row").rowsBetween(Window.unboundedPreceding, 0)
-    per_cell = per_cell.select(*[F.col(c).alias(f"_of_{c}") for c in cell], "_before")
+    counts = counts.select(*[F.col(c).alias(f"_of_{c}") for c in cell], "_before", "_block_n")
     same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in cell])
-    placed = marks.withColumn("_inside", F.count_if("entry").over(inside)).join(per_cell, same)
+    placed = marks.withColumn("_inside", F.count_if("entry").over(inside)).join(counts, same)
     running = F.col("_before") + F.col("_inside")
-    return placed.groupBy(*keys, F.col("_row").alias(row_id)).agg(
-        F.sum(F.when(F.col("entry"), running).otherwise(-running)).cast("long").alias(out))
+    share = F.when(F.col("entry"), running).otherwise(F.when(F.col("_earlier"), F.col("_block_n")).otherwise(0) - running)
+    return placed.groupBy(*keys, F.col("_row").alias(row_id)).agg(F.sum(share).cast("long").alias(out))
 
 
 def _plain_hits(ev: DataFrame, plain: list) -> DataFrame:
@@ -115,7 +150,7 @@ def _threshold_hits(ev: DataFrame, by_window: dict) -> DataFrame:
         for o, s, w in specs]), lambda x: x.isNotNull())
     found = ev.select("id", F.unix_micros("timestamp").alias("_ts"), F.explode(items).alias("_hit")).where("_ts is not null").select(
         "id", "_ts", F.col("_hit.o").alias("rule_ord"), F.col("_hit.k").alias("group_key"), F.col("_hit.w").alias("_w"), F.col("_hit.n").alias("_need"))
-    counted = trailing_count(found, ["rule_ord", "group_key", "_need"], "_ts", "id", F.col("_w"))
+    counted = trailing_count(found, ["rule_ord", "group_key", "_need"], "_ts", "id", F.col("_w"), longest=max(by_window))
     fired = counted.where(F.col("match_count") >= F.col("_need")).select("id", "rule_ord", "group_key", "match_count")
     matching = ev.where(reduce(Column.__or__, [s.match for _, s, _ in specs]))  # only these rows are shuffled by id
     return matching.join(fired, "id").select(*ev.columns, "rule_ord", "group_key", "match_count")
