@@ -192,3 +192,22 @@ def test_follow_only_new_files(spark, tmp_dir):
     ev = follow(spark, f"{tmp_dir}/in", "syslog", start_time=start, year=2024)
     got = [r["message"] for r in run_to_end(ev.select("message"), "follow").collect()]
     assert got == ["line from file 1"]
+
+
+def test_hours_are_upserted_and_leave_the_state(spark, tmp_dir):
+    """Thirty days, one file a day: every hour's last count is the batch's, and the state holds only the open hours."""
+    from vigil.streaming.live import read_hours, stream_events_per_hour, upsert_hours
+    os.makedirs(f"{tmp_dir}/in")
+    for d in range(1, 31):
+        with open(f"{tmp_dir}/in/{d:02d}.log", "w") as fh:
+            fh.writelines(f"Apr {d:02d} {h:02d}:{m:02d}:00 host app[1]: tick\n" for h in range(24) for m in range(0, 60, 7 + d % 5))
+        os.utime(f"{tmp_dir}/in/{d:02d}.log", (1_700_000_000 + d, 1_700_000_000 + d))
+    ev = follow(spark, f"{tmp_dir}/in", "syslog", year=2024, max_files_per_trigger=3)
+    q = upsert_hours(stream_events_per_hour(ev, "1 hour"), f"{tmp_dir}/out", f"{tmp_dir}/ck", availableNow=True)
+    q.awaitTermination()
+    from vigil.sources.lines import read_syslog
+    batch = {r["hour"]: r["count"] for r in read_syslog(spark, f"{tmp_dir}/in", year=2024)
+             .groupBy(F.date_format("timestamp", "yyyy-MM-dd HH:00").alias("hour")).count().collect()}
+    assert {r["hour"]: r["count"] for r in read_hours(spark, f"{tmp_dir}/out").collect()} == batch and len(batch) == 720
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    assert max(held) <= 3 * 24 + 3 and held[-1] <= 3

@@ -34,8 +34,8 @@ from vigil.sources import derived
 from vigil.sources.fanin import fan_in
 from vigil.sources.lines import clean_lines, parse_auth, parse_syslog
 from vigil.sources.ndjson import parse_ndjson
-from vigil.streaming.live import (appended_source, live_source, run_to_end, start_alerts, start_events, start_live, stream_alerts,
-                                  stream_events_per_hour, stream_stored_events, to_end)
+from vigil.streaming.live import (appended_source, live_source, read_hours, run_to_end, start_alerts, start_events, start_live,
+                                  stream_alerts, stream_events_per_hour, stream_stored_events, to_end, upsert_hours)
 from vigil.streaming.stateful import stream_dedup
 
 UTC = _dt.timezone.utc
@@ -652,9 +652,11 @@ def stream_brute_force(spark, sf):
 @register("stream_events_per_hour", O.with_events("""
 SELECT strftime(date_trunc('hour', log_ts), '%Y-%m-%d %H:00') AS hour, count(*) AS count FROM n GROUP BY 1"""))
 def stream_events_per_hour_query(spark, sf):
-    """H10 on a stream: running counts, the last one of each hour."""
-    out = stream_events_per_hour(stream_stored_events(spark, stored_tables(spark, sf)[0]))
-    return run_to_end(out, "per_hour", "complete")
+    """H10 on a stream: the hours of each micro-batch are upserted; closed hours leave the state."""
+    base = f"{ensure_checkpoint_dir(spark)}/streams/hours-{uuid.uuid4().hex}"
+    out = stream_events_per_hour(stream_stored_events(spark, stored_tables(spark, sf)[0]), "7 days")
+    upsert_hours(out, f"{base}/out", f"{base}/ck", availableNow=True).awaitTermination()
+    return read_hours(spark, f"{base}/out")
 
 
 @register("live_pipeline", O.with_alerts("""

@@ -9,7 +9,7 @@ The stored events table is the one place where events get their ids, so batch, l
   ``foreachBatch``: every alert is stored, before dedup, as the reference does. An event that arrives later than the
   watermark still raises its plain alerts; only threshold state no longer counts it.
 * dispatch (with sinks): the same alerts -> dedup state (per rule, source, host) -> ``foreachBatch``: the dispatched ones
-  are fanned out to the sinks.
+  are joined with their stored events and fanned out to the sinks. No event passes through state.
 
 Every source has its own events query: one that fails at run time does not stop the others. ``live_source`` picks up
 new files of a folder; ``appended_source`` follows the lines appended to files, from their ends on unless told otherwise.
@@ -32,8 +32,8 @@ from vigil.operators.detect import _plan, _rule_meta, alert_id
 from vigil.operators.normalize import normalize, split_valid
 from vigil.operators.rules import Rule
 from vigil.operators.sinks import Sink, fan_out
-from vigil.operators.store import append_alerts, append_events, event_text, from_stored_events, stored_schema
-from vigil.schema import STORED_ALERT, STORED_EVENT
+from vigil.operators.store import append_alerts, append_events, event_text, from_stored_events, read_events, stored_schema
+from vigil.schema import EVENT_COLUMNS, STORED_ALERT, STORED_EVENT
 from vigil.sources.appended import SPLIT, follow_appended, placed_lines
 from vigil.sources.lines import clean_lines, numbered_lines, parse_auth, parse_syslog
 from vigil.sources.ndjson import parse_ndjson
@@ -107,11 +107,12 @@ def stream_stored_events(spark: SparkSession, events_path: str, max_files_per_tr
 
 
 def stream_alerts(events: DataFrame, rules: list[Rule], keep: tuple[str, ...] = ()) -> DataFrame:
-    """Event stream (with watermark and ids) -> alert stream (flat columns plus the event as JSON text in
-    ``event_json``). Plain rules are a projection; only matches of threshold rules go through state."""
+    """Event stream (with watermark and ids) -> narrow alert stream: the alert's own columns, the event's id, source and
+    host, and ``keep`` columns of the event. Plain rules are a projection; only matches of threshold rules go through
+    state, without their events: those are joined back by id where they are needed (``with_event``)."""
     plan = _plan(rules)
-    ev = events.withColumn("event_json", event_text()).select("*", *[c.alias(k) for k, c in plan.helpers.items()])
-    columns = ["id", "timestamp", "source", "hostname", "message", "event_json", "rule_ord", "match_count", *keep]
+    ev = events.select("*", *[c.alias(k) for k, c in plan.helpers.items()])
+    columns = ["id", "timestamp", "source", "hostname", "rule_ord", "match_count", *keep]
     parts = []
     if plan.plain:
         hits = F.filter(F.array(*[F.when(p, F.lit(o)) for o, p in plan.plain]), lambda x: x.isNotNull())
@@ -130,8 +131,7 @@ def stream_alerts(events: DataFrame, rules: list[Rule], keep: tuple[str, ...] =
         alert_id(meta["rule_id"], meta["rule_name"], F.col("id")).alias("id"),
         meta["rule_id"].alias("rule_id"), meta["rule_name"].alias("rule_name"),
         meta["severity"].alias("severity"), F.col("id").alias("event_id"), F.col("timestamp"),
-        meta["description"].alias("description"), "rule_ord", "match_count", "source", "hostname", "message",
-        "event_json", *keep,
+        meta["description"].alias("description"), "rule_ord", "match_count", "source", "hostname", *keep,
     )
 
 
@@ -153,7 +153,7 @@ def start_events(spark: SparkSession, sources: list[LiveSource], events_path: st
                  trigger_seconds: float = 10.0, quarantine_path: str | None = None) -> list[StreamingQuery]:
     """The queries that store events, one for each source.
 
-    Events that lack what the table needs (a message) are written to ``quarantine_path`` as JSON lines
+    Events that lack what the table needs (a message) are written under ``quarantine_path`` as JSON lines, by source
     (default: ``<events_path>_quarantine``), never dropped."""
     quarantine = quarantine_path or events_path.rstrip("/") + "_quarantine"
     _make_table(spark, events_path, STORED_EVENT)
@@ -163,7 +163,8 @@ def start_events(spark: SparkSession, sources: list[LiveSource], events_path: st
             events = normalize(source.events(lines)).persist()
             try:
                 good, bad = split_valid(events)
-                bad.select(event_text().alias("value")).write.mode("append").text(quarantine)
+                # a folder for each source: queries that write at one time to one folder clear each other's uncommitted files
+                bad.select(event_text().alias("value")).write.mode("append").text(f"{quarantine}/source={source.name}")
                 append_events(good.sparkSession, good, events_path)
             finally:
                 events.unpersist()
@@ -194,17 +195,17 @@ def start_alerts(spark: SparkSession, events_path: str, alerts_path: str, checkp
         flagged = observe_stats(stream_dedup(alerts, dedup_window_s), handlers=len(sinks))
 
         def dispatch(df: DataFrame, batch_id: int) -> None:
-            fan_out(with_event(df.filter("dispatched")), batch_id, sinks)
+            fan_out(with_event(df.filter("dispatched"), read_events(df.sparkSession, events_path)), batch_id, sinks)
 
         queries.append(flagged.writeStream.foreachBatch(dispatch).option("checkpointLocation", f"{checkpoint_root}/dispatch")
                        .trigger(**trig).queryName("vigil_dispatch").start())
     return queries
 
 
-def with_event(alerts: DataFrame) -> DataFrame:
-    """Alert rows of a stream with the event as a struct again."""
-    from vigil.operators.store import event_columns
-    return alerts.withColumn("event", F.struct(*event_columns(F.col("event_json"))))
+def with_event(alerts: DataFrame, events: DataFrame) -> DataFrame:
+    """Alert rows with their stored events nested; the alert's time is its event's, so only the dates of these alerts are read."""
+    stored = events.select(F.struct(*EVENT_COLUMNS).alias("event"), F.col("event_date").alias("_date"))
+    return alerts.join(stored, (F.col("event_id") == F.col("event.id")) & (F.to_date("timestamp") == F.col("_date"))).drop("_date")
 
 
 def stream_events_per_hour(events: DataFrame, watermark: str = "10 minutes") -> DataFrame:
@@ -216,6 +217,21 @@ def stream_events_per_hour(events: DataFrame, watermark: str = "10 minutes") ->
             .select(F.date_format(F.col("w.start"), "yyyy-MM-dd HH:00").alias("hour"), "count"))
 
 
+def upsert_hours(counts: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Write the hours that a micro-batch changed, open ones included, to ``path/batch=N``: a replayed batch overwrites what it
+    wrote. The query runs in update mode, so hours that the watermark has closed leave its state."""
+    def write(df: DataFrame, batch_id: int) -> None:
+        df.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return counts.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write).trigger(**trigger).start()
+
+
+def read_hours(spark: SparkSession, path: str) -> DataFrame:
+    """(hour, count): the last count written of every hour."""
+    rows = spark.read.schema("hour string, count long, batch long").parquet(path)
+    return rows.groupBy("hour").agg(F.max_by("count", "batch").alias("count"))
+
+
 def to_end(queries: list[StreamingQuery]) -> None:
     """Let queries process what is there, one after the other, and stop them."""
     try:
@@ -226,7 +242,7 @@ def to_end(queries: list[StreamingQuery]) -> None:
             q.stop()
 
 
-def run_to_end(df: DataFrame, name: str, output_mode: str = "append") -> DataFrame:
+def run_to_end(df: DataFrame, name: str) -> DataFrame:
     """Run a streaming DataFrame over everything available now into a Parquet
     folder under the shared checkpoint folder; return that folder as a batch
     DataFrame. A fresh subfolder per run keeps runs apart; the platform clears the shared folder."""
@@ -235,11 +251,8 @@ def run_to_end(df: DataFrame, name: str, output_mode: str = "append") -> DataFra
     from vigil.session import ensure_checkpoint_dir
     spark = df.sparkSession
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
-    w = df.writeStream.outputMode(output_mode).option("checkpointLocation", f"{base}/ck").trigger(availableNow=True)
-    if output_mode == "complete":  # each batch holds the whole result: the last one stays
-        q = w.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(f"{base}/out")).start()
-    else:
-        q = w.format("parquet").option("path", f"{base}/out").start()
+    q = (df.writeStream.option("checkpointLocation", f"{base}/ck").trigger(availableNow=True)
+         .format("parquet").option("path", f"{base}/out").start())
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))

@@ -1,14 +1,16 @@
 """Stateful stream operators: threshold counting (F4) and alert dedup (G2).
 
-Both are ``transformWithStateInPandas`` processors in event-time mode, keyed
-so state is spread over the cluster (per rule and group key; per dedup key),
-kept in the RocksDB state store and checkpointed with the query, and cleaned
-up by event-time timers once the watermark passes ``last + W``. State reaches
-back to ``watermark - W``, so rows that come out of order but inside the
-watermark are counted and compared like the others.
-
-A key's rows are ordered by (time, tie) with those in state before they are
-counted, so the threshold alerts are the batch's whatever the order of arrival. What
+All are ``transformWithStateInPandas`` processors in event-time mode, kept in the RocksDB state store and checkpointed
+with the query, and cleaned up by event-time timers. State reaches back to ``watermark - W``, so rows that come out of
+order but inside the watermark are counted and compared like the others.
+
+Threshold counting has two stages. ``TimeCounts`` sees only times: per (rule, group key) it keeps how many matches fell
+on each time, in panes of a window's length of which a micro-batch reads and writes those it touches, and tells every time
+whose count may reach the threshold how many matches its window holds before it. ``WaitingMatches`` is keyed by the time
+as well, so the rows of a hot key spread over its times; it holds the matches of that time with their payload until
+they fire or the watermark passes them.
+
+A key's rows are ordered by (time, tie), so the threshold alerts are the batch's whatever the order of arrival. What
 was sent stays sent: ``match_count`` is that of the moment, and a dispatch is not
 taken back when an earlier alert comes later.
 """
@@ -48,43 +50,111 @@ def _watermark_us(timer_values: TimerValues) -> int:
     return ms * 1000 if ms > 0 else -(1 << 62)
 
 
-class ThresholdProcessor(StatefulProcessor):
-    """Per (rule, group key): the matches that a row inside the watermark can still meet.
+LEAST_PANE = 1_000_000  # microseconds
+
+
+class TimeCounts(StatefulProcessor):
+    """Per (rule, group key): the number of matches at every time that a row inside the watermark can still meet.
 
-    Input columns: ``ev_us`` (µs), ``ev_tie``, ``ev_row`` (payload), ``th_need``, ``th_window``.
-    Emits a row, with ``match_count``, for every match whose count of matches
-    in [t - W, t] (itself included) reaches ``th_need``. Matches that do not reach it wait with their payload until
-    the watermark passes them, as earlier ones may still come. Plain rules do not come here.
-    """
+    Input columns: ``ev_us`` (µs), ``th_need``, ``th_window``. Emits (time, ``before``) for times that a row of the
+    micro-batch entered or whose window it changed, if the threshold may be reached there: the matches in [t - W, t)."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.seen = handle.getListState("seen", "t long, tie string, waiting string")
+        self.panes = handle.getMapState("panes", "pane long", "times binary, counts binary")
+        self.width = handle.getValueState("width", "us long")
+
+    def _pane(self, pane: int) -> tuple[np.ndarray, np.ndarray]:
+        if not self.panes.containsKey((pane,)):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        times, counts = self.panes.getValue((pane,))
+        return np.frombuffer(bytes(times), np.int64), np.frombuffer(bytes(counts), np.int64)
 
     def handleInputRows(self, key, rows, timerValues: TimerValues):
-        pdf = _frame(rows)
-        if pdf.empty:
+        new, n, w, need = np.empty(0, np.int64), np.empty(0, np.int64), 0, 0
+        for part in rows:  # what is held is one number a distinct time
+            if len(part):
+                w, need = int(part["th_window"].iloc[0]), int(part["th_need"].iloc[0])
+                new, n = _summed(np.concatenate([new, part["ev_us"].to_numpy(np.int64)]), np.concatenate([n, np.ones(len(part), np.int64)]))
+        if not len(new):
             return
-        w, need = int(pdf["th_window"].iloc[0]), int(pdf["th_need"].iloc[0])
-        mark = _watermark_us(timerValues)
-        old = list(self.seen.get()) if self.seen.exists() else []
-        every = [(int(r[0]), r[1], r[2], False) for r in old]
-        every += [(int(t), tie, row, True) for t, tie, row in zip(pdf["ev_us"], pdf["ev_tie"], pdf["ev_row"])]
-        every.sort(key=lambda r: r[:2])
-        t = np.array([r[0] for r in every], dtype=np.int64)
-        count = np.arange(len(t)) - np.searchsorted(t, t - w, side="left") + 1
-        fires = [r[2] is not None and (r[3] or r[0] >= mark) and c >= need for r, c in zip(every, count)]
-        self.seen.put([(r[0], r[1], None if f or r[0] < mark else r[2]) for r, f in zip(every, fires) if r[0] >= mark - w] or
-                      [(every[-1][0], every[-1][1], None)])
-        _reset_timer(self.handle, (int(t[-1]) + w) // 1000 + 1)
+        pane = max(w, LEAST_PANE)
+        touched = np.unique(new // pane).tolist()
+        old = {p: self._pane(p) for p in sorted({q for p in touched for q in (p - 1, p, p + 1)})}
+        if not self.width.exists():
+            self.width.update((pane,))
+        for p in touched:
+            own = new // pane == p
+            if not len(old[p][0]):
+                self.handle.registerTimer(min(((p + 2) * pane) // 1000 + 1, 1 << 53))
+            old[p] = _summed(np.concatenate([old[p][0], new[own]]), np.concatenate([old[p][1], n[own]]))
+            self.panes.updateValue((p,), (old[p][0].tobytes(), old[p][1].tobytes()))
+        times = np.concatenate([t for t, _ in old.values()])
+        count = np.concatenate([c for _, c in old.values()])
+        running = np.concatenate([[0], np.cumsum(count)])
+        before = running[:-1] - running[np.searchsorted(times, times - w, side="left")]
+        changed = np.searchsorted(new, times, side="right") - 1
+        told = (changed >= 0) & (new[np.maximum(changed, 0)] >= times - w) & (before + count >= need)
+        told &= (times >= _watermark_us(timerValues)) | np.isin(times, new)
+        if told.any():
+            yield pd.DataFrame({"rule_ord": key[0], "group_key": key[1], "timestamp": pd.to_datetime(times[told], unit="us", utc=True), "ev_us": times[told], "before": before[told], "th_need": need})
+
+    def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo):
+        pane = self.width.get()[0]
+        p = ((expiredTimerInfo.getExpiryTimeInMs() - 1) * 1000 + 999) // pane - 2
+        if self.panes.containsKey((p,)):
+            self.panes.removeKey((p,))
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def _summed(times: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct times in order, and their summed counts."""
+    t, at = np.unique(times, return_inverse=True)
+    return t, np.bincount(at, weights=counts, minlength=len(t)).astype(np.int64)
+
+
+class WaitingMatches(StatefulProcessor):
+    """Per (rule, group key, time): its matches, and how many its window holds before them.
+
+    Input columns: ``ev_tie`` and ``ev_row`` (payload) of a match, or ``before``; ``th_need``. Emits a match, with
+    ``match_count``, once its count of matches in [t - W, t] (itself included) reaches ``th_need``."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getListState("seen", "tie string, waiting string")
+        self.before = handle.getValueState("before", "n long")
+
+    def handleInputRows(self, key, rows, timerValues: TimerValues):
+        t = int(key[2])
+        before = self.before.get()[0] if self.before.exists() else -1
+        told, need, new = before, 0, []
+        for part in rows:
+            match = part["ev_tie"].notna()
+            new += list(zip(part["ev_tie"][match], part["ev_row"][match]))
+            need = int(part["th_need"].iloc[0]) if len(part) else need
+            if not match.all():
+                told = max(told, int(part["before"][~match].max()))
+        old = [(r[0], r[1]) for r in self.seen.get()] if self.seen.exists() else []
+        every = sorted(old + new, key=lambda r: r[0])
+        fires = [row is not None and told >= 0 and told + i + 1 >= need for i, (_, row) in enumerate(every)]
+        if new or any(fires):
+            self.seen.put([(tie, None if f else row) for (tie, row), f in zip(every, fires)])
+        if new and not old:
+            self.handle.registerTimer(t // 1000 + 1)
+        if told > before:
+            self.before.update((told,))
         if any(fires):
-            out = pd.DataFrame([(r[0], r[1], r[2], int(c)) for r, c, f in zip(every, count, fires) if f],
+            out = pd.DataFrame([(t, tie, row, told + i + 1) for i, ((tie, row), f) in enumerate(zip(every, fires)) if f],
                                columns=["ev_us", "ev_tie", "ev_row", "match_count"])
             out.insert(0, "timestamp", pd.to_datetime(out["ev_us"], unit="us", utc=True))
             yield out
 
     def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo):
         self.seen.clear()
+        self.before.clear()
         return iter([])
 
     def close(self) -> None:
@@ -138,23 +208,31 @@ def _with_field(schema: T.StructType, name: str, dtype: T.DataType) -> T.StructT
 
 
 def stream_threshold(hits: DataFrame, tie: str) -> DataFrame:
-    """Rule-hit stream (see ``stream_hits``) -> alert-worthy hits.
+    """Rule-hit stream -> alert-worthy hits, with ``match_count``.
 
     ``hits`` needs a watermark on ``timestamp``."""
     ensure_state_store(hits.sparkSession)
     d = hits.withColumn("ev_us", F.unix_micros("timestamp")).withColumn("ev_tie", F.col(tie).cast("string"))
     payload = [f for f in hits.schema.fields if f.name not in ("timestamp", "th_need", "th_window")]
     exact = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
-    d = d.select("rule_ord", "group_key", "timestamp", "ev_us", "ev_tie", "th_need", "th_window",
-                 F.to_json(F.struct(*[f.name for f in payload]), exact).alias("ev_row"))
-    out = _with_field(d.select("timestamp", "ev_us", "ev_tie", "ev_row").schema, "match_count", T.LongType())
-    fired = (d.groupBy("rule_ord", "group_key")
-             .transformWithStateInPandas(ThresholdProcessor(), out, "Append", "EventTime",
-                                         eventTimeColumnName="timestamp"))
+    keys = ["rule_ord", "group_key"]
+    told = T.StructType([d.schema["timestamp"], d.schema["ev_us"], T.StructField("before", T.LongType()), T.StructField("th_need", T.LongType())])
+    counts = (d.select(*keys, "timestamp", "ev_us", F.col("th_need").cast("long").alias("th_need"), "th_window").groupBy(*keys)
+              .transformWithStateInPandas(TimeCounts(), _keyed(told, d, keys), "Append", "EventTime", eventTimeColumnName="timestamp"))
+    matches = d.select(*keys, "timestamp", "ev_us", "ev_tie", F.to_json(F.struct(*[f.name for f in payload]), exact).alias("ev_row"),
+                       F.lit(None).cast("long").alias("before"), F.col("th_need").cast("long").alias("th_need"))
+    both = matches.unionByName(counts, allowMissingColumns=True)
+    out = T.StructType([d.schema["timestamp"], d.schema["ev_us"], T.StructField("ev_tie", T.StringType()), T.StructField("ev_row", T.StringType()),
+                        T.StructField("match_count", T.LongType())])
+    fired = both.groupBy(*keys, "ev_us").transformWithStateInPandas(WaitingMatches(), out, "Append", "EventTime", eventTimeColumnName="timestamp")
     row = F.from_json("ev_row", T.StructType([T.StructField(f.name, f.dataType) for f in payload]), exact)
     return fired.withColumn("__row", row).select("timestamp", "ev_us", "ev_tie", "match_count", "__row.*")
 
 
+def _keyed(schema: T.StructType, d: DataFrame, keys: list[str]) -> T.StructType:
+    return T.StructType([d.schema[k] for k in keys] + schema.fields)
+
+
 def stream_dedup(alerts: DataFrame, window_s: float = 300, tie: str = "id") -> DataFrame:
     """Alert stream -> same rows plus ``dispatched``; needs a watermark."""
     ensure_state_store(alerts.sparkSession)
