@@ -13,8 +13,8 @@ a benchmark of any size is handled whole and a task never holds more than one pa
 never shuffled: a pass emits a document's hit spans and item ids, one row a document.
 
 Defined cases: null and empty texts have no words, no hits and no items; items without words have no windows;
-items with equal texts are all reported; repeated documents are each reported; a null item id has no name to
-report and is left out; an empty benchmark or documents table works; extra columns pass unchanged (those named
+items with equal texts are all reported; repeated documents are each reported; items without an id hit words like any
+other and count as one item, which has no name to list; an empty benchmark or documents table works; extra columns pass unchanged (those named
 like a result column are replaced).
 """
 
@@ -33,7 +33,7 @@ from vigil.llm.common import shielded
 
 WINDOW = 13
 SHINGLE = 3
-PART_WORDS = 1_000_000
+PART_WORDS = 250_000   # about 200 MB in a worker
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 # Word bytes: digits, letters (lower-cased) and everything beyond ASCII; the rest separates.
@@ -59,9 +59,9 @@ def mixed(ids: np.ndarray, n: int) -> np.ndarray:
 class Part:
     """Windows of some benchmark items, their vocabulary and, once counted, their prefix tokens."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int, shingle: int):
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int, shingle: int):
         self.vocabulary: dict[bytes, int] = {}
-        self.windows: dict[tuple[int, ...], set[str]] = defaultdict(set)
+        self.windows: dict[tuple[int, ...], set[str | None]] = defaultdict(set)
         for item_id, words in items:
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words]
             for s in range(max(1, len(ids) - window + 1)):
@@ -105,10 +105,10 @@ class Part:
             value = mixed(np.array(w), n)
             place = np.searchsorted(self.tokens[n], value)
             o = min(range(len(value)), key=lambda i: (counts[n][place[i]], int(value[i]), i))
-            self.prefix[n][int(place[o])].append((o, np.array(w), sorted(names)))
+            self.prefix[n][int(place[o])].append((o, np.array(w), names))
         self.wanted = {n: np.isin(np.arange(len(self.tokens[n])), list(self.prefix[n])) for n in self.lengths}
 
-    def occurrences(self, words: list[bytes]) -> Iterator[tuple[int, int, list[str]]]:
+    def occurrences(self, words: list[bytes]) -> Iterator[tuple[int, int, set[str | None]]]:
         """(start, length, item ids) of every window that occurs in the document."""
         ids = self.ids_of(words)
         for n in self.lengths:
@@ -147,7 +147,7 @@ def count_shingles(docs: DataFrame, shared) -> dict[int, np.ndarray]:
 def parts_of(benchmark: DataFrame, id_col: str, text_col: str, window: int, shingle: int, part_words: int) -> Iterator[Part]:
     """The items in parts of bounded size, read part by part; a single longer item is a part of its own."""
     held, size = [], 0
-    rows = benchmark.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).where("id is not null")
+    rows = benchmark.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
     for r in rows.toLocalIterator():
         words = words_of(r["text"])
         if held and size + len(words) > part_words:
@@ -178,6 +178,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "tex
     for part in parts_of(benchmark, item_id, item_text, window, shingle, part_words):
         shared = spark.sparkContext.broadcast(part)
         part.index(count_shingles(docs.select(text_col), shared))
+        shared.unpersist()
         out = mark(out, spark.sparkContext.broadcast(part), text_col, schema)
         parts += 1
     if not parts:
@@ -209,7 +210,7 @@ def mark(docs: DataFrame, shared, text_col: str, schema: T.StructType) -> DataFr
                 turn = np.nonzero(np.diff(hit, prepend=0))[0].tolist()
                 n_words.append(len(words))
                 spans.append([{"start": a, "length": e - a} for a, e in zip(turn[::2], turn[1::2])])
-                items.append(sorted(names_found))
+                items.append(sorted(names_found, key=lambda i: (i is None, i)))
             yield pa.RecordBatch.from_arrays(
                 [b.column(c) for c in keep]
                 + [pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())]))), pa.array(items, pa.list_(pa.string()))],
