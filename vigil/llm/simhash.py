@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil.llm.common import cut_lineage, hex64, shielded
@@ -38,6 +38,7 @@ SHINGLE = 3
 MAX_BITS = 2
 SEED = 42
 TILE = 2048            # rows of one tile of a bucket
+SALT = 16              # parts of the rows of one fingerprint
 BLOCK = 7
 BATCH_HASHES = 1 << 16
 
@@ -261,18 +262,24 @@ def follow(hook: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- operator
 
+def components_of(marked: DataFrame, max_bits: int, first) -> DataFrame:
+    """(fp, least, root) of every distinct fingerprint that some row with an id has: ``least`` is the aggregate ``first`` of its rows."""
+    distinct = cut_lineage(marked.where("id is not null").groupBy("fp").agg(first.alias("least")))
+    joined = components(links(distinct, max_bits))
+    return distinct.join(joined.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
                     max_bits: int = MAX_BITS) -> DataFrame:
-    """(id, fingerprint, component_id) of every row: the smallest id reachable over links of ``max_bits`` or fewer bits."""
+    """(id, fingerprint, component_id) of every row: the smallest id reachable over links of ``max_bits`` or fewer bits.
+    Copies are dealt over SALT copies of their fingerprint's component, so no task holds all copies of a text."""
     marked = fingerprints(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", shingle)
     marked = cut_lineage(marked.select("id", F.col("fingerprint").alias("fp")))
-    distinct = cut_lineage(marked.where("id is not null").groupBy("fp").agg(F.min("id").alias("first")))
-    joined = components(links(distinct, max_bits))
-    rooted = distinct.join(joined.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = cut_lineage(rooted.join(least, "root").select("fp", "component_id"))
-    return (marked.join(named, "fp", "left")
+    rooted = components_of(marked, max_bits, F.min("id"))
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = rooted.join(least, "root").select("fp", "component_id", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+    dealt = marked.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALT)).cast("int"))
+    return (dealt.join(cut_lineage(named), ["fp", "salt"], "left")
             .select(F.col("id").alias(id_col), hex64(F.col("fp")).alias("fingerprint"),
                     F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id")))
 
@@ -282,13 +289,20 @@ def op5(documents: DataFrame) -> DataFrame:
     return near_duplicates(documents.select("doc_id", "text"))
 
 
-def first_of_each(documents: DataFrame, **kw) -> DataFrame:
-    """Rows of ``documents`` with one document of each component: its smallest id, once (rows without an id stay, once
-    for each distinct row); all columns stay as they are."""
-    drop = near_duplicates(documents, **kw).where("component_id <> doc_id").select("doc_id")
-
+def first_of_each(documents: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+    """Rows of ``documents`` with one document of each component: that of the smallest id (of equal ids, of the smallest
+    hash of the text), once. A repeated id does not tie its texts: each belongs to the component of its own fingerprint.
+    Rows without an id stay, once for each distinct row; all columns stay as they are."""
     def run(d: DataFrame) -> DataFrame:
-        other = F.when(F.col("doc_id").isNull(), F.xxhash64(*d.columns))
-        return d.join(drop, "doc_id", "left_anti").withColumn("__other", other).dropDuplicates(["doc_id", "__other"])
+        named = d.select(F.col("doc_id").alias("id"), "text", F.xxhash64("text").alias("hash"))
+        marked = cut_lineage(fingerprints(named, "text", shingle).select("id", "hash", F.col("fingerprint").alias("fp")))
+        rooted = components_of(marked, max_bits, F.min(F.struct("id", "hash")))
+        stay = rooted.groupBy("root").agg(F.min("least").alias("w")).select(F.col("w.id").alias("doc_id"), F.col("w.hash").alias("__hash"))
+        every = d.withColumn("__row", F.xxhash64(*d.columns)).withColumn("__hash", F.xxhash64("text"))
+        kept = every.where("doc_id is not null").join(cut_lineage(stay), ["doc_id", "__hash"], "left_semi").select(*every.columns)
+        kept = kept.unionByName(every.where("doc_id is null"))
+        # what is left of equal ids and texts: the row of the smallest hash
+        once = Window.partitionBy("doc_id", "__hash", F.when(F.col("doc_id").isNull(), F.col("__row"))).orderBy("__row")
+        return kept.withColumn("__place", F.row_number().over(once)).where("__place = 1")
 
     return shielded(documents, ["doc_id", "text"], run)
