@@ -105,6 +105,24 @@ def test_contamination_without_items_or_documents(spark):
     assert decontaminate.op3(frame(spark, []), frame(spark, [(1, "a b")], ITEMS)).count() == 0
 
 
+def test_items_without_an_id_hit_words_as_in_the_sql(spark):
+    import duckdb
+
+    from vigil.llm import oracle
+    w = [f"k{i}" for i in range(40)]
+    docs = [(1, " ".join(w[:20])), (2, "x " + " ".join(w[20:]) + " y"), (3, "none of it"), (4, None)]
+    items = [(None, " ".join(w[:20])), (None, " ".join(w[2:22])), (7, " ".join(w[5:30])), (8, None)]
+    got = decontaminate.op3(frame(spark, docs), frame(spark, items, ITEMS)).collect()
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.execute("CREATE TABLE benchmark (item_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", docs)
+    con.executemany("INSERT INTO benchmark VALUES (?, ?)", items)
+    want = con.execute(oracle.OP3).fetchall()
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert {r.doc_id: (r.n_hit, r.n_items) for r in got}[1] == (20, 2)
+
+
 # ---------------------------------------------------------------- op4
 
 def library():
@@ -193,6 +211,16 @@ def test_fingerprints_and_components_match_plain_version(spark):
     assert kept.where("doc_id is null").count() == 2
 
 
+def test_a_repeated_id_does_not_take_its_other_texts_along(spark):
+    a, b = "one two three four five six seven", "eight nine ten eleven twelve thirteen"
+    rows = [(1, a), (2, b), (2, a), (3, b), (5, a.upper()), (5, "a text of its own that is like none"), (6, None), (7, "")]
+    kept = simhash.first_of_each(frame(spark, rows)).collect()
+    assert sorted((x.doc_id, x.text or "") for x in kept) == [(1, a), (2, b), (5, rows[5][1]), (6, "")]
+    assert all(x.score == "x" for x in kept)
+    again = simhash.first_of_each(frame(spark, [(1, a), (1, a), (1, a.upper()), (None, a), (None, a)])).collect()
+    assert sorted((x.doc_id or 0) for x in again) == [0, 1]
+
+
 @pytest.mark.parametrize("bits,tile", [(2, 2048), (2, 8), (1, 16), (3, 2048)])
 def test_links_join_all_within_radius(spark, bits, tile):
     r = random.Random(11)
@@ -300,10 +328,38 @@ def test_non_negative_risk_goes_back_when_negative():
     r = np.random.default_rng(15)
     p = np.column_stack([r.normal(2, 1, 200), np.ones(200)])
     u = np.column_stack([np.concatenate([r.normal(2, 1, 300), r.normal(-2, 1, 300)]), np.ones(600)])
-    w = quality.nn_pu(p, u, 0.5)
+    w = quality.nn_pu(quality.Moments.of(p), quality.Moments.of(u), 0.5)
     assert (p @ w > 0).mean() > 0.9 and (u[300:] @ w < 0).mean() > 0.9 and np.isfinite(w).all()
 
 
+def test_unlabelled_rows_teach_what_labelled_negatives_do_not_show():
+    """Label shift: labelled negatives are of one kind, the corpus holds another. A fit on labels alone keeps that other kind;
+    the risk over the unlabelled rows rejects it."""
+    r = np.random.default_rng(16)
+
+    def around(x, y, n):
+        return np.column_stack([r.normal(x, 0.3, n), r.normal(y, 0.3, n), np.ones(n)])
+
+    good, shown, hidden = around(2, 0, 400), around(-2, 0, 400), around(2, 4, 400)
+    known, label = np.vstack([good, shown]), np.repeat([1.0, 0.0], 400)
+    plain = np.zeros(3)
+    for _ in range(2000):
+        plain += 0.05 * known.T @ (label - quality.sigmoid(known @ plain)) / len(known)
+    assert (hidden @ plain > 0).mean() > 0.9
+    u = np.vstack([around(2, 0, 400), around(-2, 0, 300), around(2, 4, 300)])
+    w = quality.nn_pu(quality.Moments.of(good), quality.Moments.of(u), 0.4)
+    assert (hidden @ w < 0).mean() > 0.9 and (shown @ w < 0).mean() > 0.9 and (good @ w > 0).mean() > 0.9
+
+
+def test_moments_cover_every_row_that_is_not_held_out(spark):
+    rows = list(enumerate(texts(17)))
+    got = quality.unlabelled_moments(frame(spark, rows))
+    free = np.array([quality.features(t) for d, t in rows if zlib.crc32(str(d).encode()) % 5])
+    assert got.n == len(free) and np.allclose(got.mean, free.mean(axis=0), atol=1e-3) and np.allclose(got.products, free.T @ free / len(free), atol=5e-3)
+    words = "20240101-abc 12345678x 99999999 --------é"
+    assert quality.features(words)[quality.N_CLASSES + 9] == 0.25  # a word is judged whole
+
+
 # ---------------------------------------------------------------- op10
 
 def test_base_spans_match_plain_version(spark):
