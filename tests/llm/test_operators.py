@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -392,6 +393,32 @@ def test_redaction_keeps_other_columns(spark):
     assert pii.redacted_documents(df).columns == df.columns
 
 
+def test_a_text_full_of_spans_takes_linear_time(spark):
+    """A hundred thousand addresses in one text: lists and lookups that start anew for each span would take many minutes."""
+    n = 100_000
+    text = " é ".join(f"10.{i % 200}.0.7" for i in range(n))
+    prepare(spark)
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    start = time.time()
+    row = pii.op10(df).collect()[0]
+    assert row.n_ip == n and row.base_sha256 == hashlib.sha256(",".join(base_spans(text)).encode()).hexdigest()
+    assert pii.redacted_documents(df).collect()[0].text == " é ".join(["<IP>"] * n)
+    assert time.time() - start < 60
+
+
+@pytest.mark.parametrize("n", [0, 1, 255, 256, 257, 700])
+def test_redaction_across_blocks(spark, n):
+    r = random.Random(n)
+    text = "é" * r.randint(0, 9000) + "".join(" a@b.cd" + "x🙂 "[:r.randint(0, 3)] * r.randint(0, 40) for _ in range(n)) + "z" * r.randint(0, 5000)
+    got = pii.redacted_documents(frame(spark, [(1, text)])).collect()[0].text
+    spans = [tuple(map(int, s.split(":")[1:])) for s in base_spans(text)]
+    want, at = [], 0
+    for a, z in spans:
+        want += [text[at:a], "<EMAIL>"]
+        at = z
+    assert len(spans) == n and got == "".join(want) + text[at:]
+
+
 # ---------------------------------------------------------------- op8
 
 def test_quotes_are_linked_and_removed(spark):

@@ -110,6 +110,34 @@ BASE = tuple(k.name for k in KINDS if k.base)
 SPAN = "struct<kind:string,start:int,end:int,value:string,score:double>"
 
 
+CHUNK = 256      # spans that are appended one by one; chunks of them are appended whole, so long lists stay linear
+BLOCK = 4096     # code points of a block of a text: a place is looked up in its block, not from the start of the text
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def appended(items: Column, step: Callable[[Column, Column], tuple[Column, Column]], kind: str) -> Column:
+    """Struct of ``at`` (a place carried over the items, from 0) and ``out`` (array of ``kind``): ``step(at, item)`` gives the next place
+    and the array to append."""
+    none = F.array().cast(f"array<{kind}>")
+
+    def one(acc: Column, x: Column) -> Column:
+        at, more = step(acc["at"], x)
+        return F.struct(at.cast("int").alias("at"), F.concat(acc["out"], more).alias("out"))
+
+    def many(acc: Column, chunk: Column) -> Column:
+        inner = F.aggregate(chunk, F.struct(acc["at"].alias("at"), none.alias("out")), one)
+        return let(inner, lambda i: F.struct(i["at"].alias("at"), F.concat(acc["out"], F.array(i["out"])).alias("out")))
+
+    starts = F.when(F.size(items) > 0, F.sequence(F.lit(1), F.size(items), F.lit(CHUNK))).otherwise(F.array().cast("array<int>"))
+    chunks = F.transform(starts, lambda a: F.slice(items, a, F.lit(CHUNK)))
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+    return F.aggregate(chunks, begin, many, lambda a: F.struct(a["at"].alias("at"), F.flatten(a["out"]).alias("out")))
+
+
 def spans_of(text: Column, kind: Kind) -> Column:
     """The kind's spans in order of start; positions in code points, end exclusive."""
     gaps = F.split(text, kind.pattern, -1)
@@ -119,8 +147,8 @@ def spans_of(text: Column, kind: Kind) -> Column:
         F.slice(gaps, 2, F.size(gaps)).alias("rest"))
     no_spans = F.array().cast(f"array<{SPAN}>")
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        start = at + F.length(x["gap"])
         value = kind.part(x["match"]) if kind.part else x["match"]
         near = F.lower(F.concat(F.right(x["gap"], F.lit(CONTEXT_BEFORE)), F.lit(" "), F.left(x["rest"], F.lit(CONTEXT_AFTER))))
         score = F.lit(kind.score) + F.when(near.rlike(kind.context), F.lit(CONTEXT_BONUS)).otherwise(F.lit(0.0))
@@ -129,11 +157,10 @@ def spans_of(text: Column, kind: Kind) -> Column:
             stays = stays & (score >= ACCEPT)
         span = F.struct(F.lit(kind.name).alias("kind"), start.cast("int").alias("start"), (start + F.length(value)).cast("int").alias("end"),
                         value.alias("value"), score.alias("score")).cast(SPAN)
-        return F.struct((start + F.length(x["match"])).cast("int").alias("at"),
-                        F.when(stays, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+        return start + F.length(x["match"]), F.when(stays, F.array(span)).otherwise(no_spans)
 
-    begin = F.struct(F.lit(0).alias("at"), no_spans.alias("out"))
-    return F.when(text.rlike(kind.needs), F.aggregate(found, begin, step, lambda a: a["out"])).otherwise(no_spans)
+    spans = let(found, lambda items: appended(items, step, SPAN)["out"])
+    return F.when(text.rlike(kind.needs), spans).otherwise(no_spans)
 
 
 def find_pii(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -143,21 +170,32 @@ def find_pii(df: DataFrame, text_col: str = "text") -> DataFrame:
     return by_kind.withColumn("pii", F.concat(*[F.col(f"__{k.name}") for k in KINDS])).drop(*[f"__{k.name}" for k in KINDS])
 
 
+def cut(blocks: Column, a: Column, z: Column) -> Column:
+    """Code points a to z of the text that was cut into ``blocks``."""
+    first, last = F.floor(a / BLOCK).cast("int"), F.floor(z / BLOCK).cast("int")
+    rest = F.concat(F.substring(F.get(blocks, first), a % BLOCK + 1, F.lit(BLOCK)), F.array_join(F.slice(blocks, first + 2, last - first - 1), ""),
+                    F.coalesce(F.substring(F.get(blocks, last), F.lit(1), z % BLOCK), F.lit("")))
+    return F.when(z <= a, F.lit("")).when(first == last, F.substring(F.get(blocks, first), a % BLOCK + 1, z - a)).otherwise(rest)
+
+
 def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
     """``df`` with every span (overlapping ones as one) replaced by its kind in angle brackets."""
     spans = F.array_sort(F.transform("pii", lambda s: F.struct(s["start"], s["end"], s["kind"])))
     text = F.col(text_col)
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    n = F.length(text)
+    starts = F.sequence(F.lit(0), F.floor(n / BLOCK).cast("int"))
+    blocks = F.transform(starts, lambda i: F.substring(text, i * BLOCK + 1, F.lit(BLOCK)))
+
+    def whole(blocks: Column) -> Column:
+        def step(at: Column, s: Column) -> tuple[Column, Column]:
+            piece = F.array(cut(blocks, at, s["start"]), F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">")))
+            return F.greatest(at, s["end"]), F.when(s["start"] >= at, piece).otherwise(F.array().cast("array<string>"))
 
-    def step(acc: Column, s: Column) -> Column:
-        piece = F.array(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">")))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"),
-                        F.when(s["start"] >= acc["at"], F.concat(acc["out"], piece)).otherwise(acc["out"]).alias("out"))
+        pieces = let(spans, lambda items: appended(items, step, "string"))
+        return let(pieces, lambda p: F.concat(F.array_join(p["out"], ""), cut(blocks, p["at"], n)))
 
-    whole = F.aggregate(spans, begin, step, lambda a: F.array_join(
-        F.concat(a["out"], F.array(F.substring(text, a["at"] + 1, F.length(text)))), ""))
     out = find_pii(df, text_col)
-    return out.withColumn(text_col, F.when(F.size("pii") > 0, whole).otherwise(text)).drop("pii")
+    return out.withColumn(text_col, F.when(F.size("pii") > 0, let(blocks, whole)).otherwise(text)).drop("pii")
 
 
 def listed(spans: Column) -> Column:
