@@ -172,3 +172,21 @@ def test_ids_do_not_depend_on_a_mapped_source(spark, tmp_dir):
     a = {r["message"]: r for r in read_ndjson(spark, p, now=NOW).collect()}
     b = {r["message"]: r for r in read_ndjson(spark, p, field_map={"msg": "message"}, now=NOW).collect()}
     assert a["m"]["source"] == "elsewhere" and b["m"]["source"] == "json" and a["m"]["id"] == b["m"]["id"]
+
+
+def test_a_source_that_fails_while_read_leaves_the_others(spark, tmp_dir):
+    import os
+
+    from vigil.sources.fanin import fan_in_staged
+    for name in ("good", "bad"):
+        os.makedirs(f"{tmp_dir}/{name}")
+    with open(f"{tmp_dir}/good/a.log", "w") as f:
+        f.write("Apr 02 08:00:00 gate7 sshd[77]: up\n" * 3)
+    with open(f"{tmp_dir}/bad/a.log.gz", "wb") as f:
+        f.write(b"no gzip")
+    configs = [{"type": "syslog", "path": f"{tmp_dir}/bad", "name": "bad", "year": 2024}, {"type": "syslog", "path": f"{tmp_dir}/good", "year": 2024}, {"name": "none"}]
+    events, failures = fan_in_staged(spark, configs, f"{tmp_dir}/staged")
+    assert events.count() == 3 and events.select("id").distinct().count() == 3
+    rows = {r["source"]: r for r in failures.collect()}
+    assert set(rows) == {"bad", "none"} and rows["bad"]["path"].endswith("/bad") and rows["bad"]["error"]
+    assert fan_in_staged(spark, configs[:1], f"{tmp_dir}/again")[0] is None

@@ -31,7 +31,7 @@ from vigil.plans.logview import stored_tables, view_events
 from vigil.schema import EVENT_COLUMNS, STORED_EVENT
 from vigil.session import ensure_checkpoint_dir
 from vigil.sources import derived
-from vigil.sources.fanin import fan_in
+from vigil.sources.fanin import fan_in, fan_in_staged
 from vigil.sources.lines import clean_lines, parse_auth, parse_syslog
 from vigil.sources.ndjson import parse_ndjson
 from vigil.streaming.live import (appended_source, live_source, read_hours, run_to_end, start_alerts, start_events, start_live,
@@ -163,6 +163,30 @@ def source_fanin(spark, sf):
     return ev.select("event_id", "source", "hostname", "severity")
 
 
+@register("source_isolation", O.with_events("""
+SELECT source, CAST(count(*) AS BIGINT) AS events, CAST(NULL AS VARCHAR) AS failed FROM p GROUP BY source
+UNION ALL SELECT * FROM (VALUES ('broken', 0, 'syslog'), ('missing', 0, 'json'), ('odd', 0, 'no-such-source')) AS f(source, events, failed)"""))
+def source_isolation(spark, sf):
+    """A5: sources that fail while they are read (a file that is not what its name says, a path that is not there) leave the
+    others' events, and a row each."""
+    from pyarrow import fs
+    folder = f"{ensure_checkpoint_dir(spark)}/logs-{uuid.uuid4().hex}"
+    lines = derived.log_lines(spark, sf)
+    for kind in ("syslog", "auth"):
+        lines.where(F.col("source") == kind).select("value").write.text(f"{folder}/{kind}")
+    files, base = fs.FileSystem.from_uri(folder)
+    files.create_dir(f"{base}/broken")
+    with files.open_output_stream(f"{base}/broken/a.log.gz", compression=None) as f:
+        f.write(b"this is no compressed file")
+    own = {"year": derived.LOG_YEAR, "now": derived.FALLBACK}
+    events, failures = fan_in_staged(spark, [
+        {"type": "syslog", "path": f"{folder}/syslog", **own}, {"type": "syslog", "name": "broken", "path": f"{folder}/broken", **own},
+        {"type": "json", "name": "missing", "path": f"{folder}/nowhere"}, {"type": "no-such-source", "name": "odd"},
+        {"type": "auth", "path": f"{folder}/auth", **own}])
+    read = events.groupBy("source").agg(F.count(F.lit(1)).alias("events"), F.lit(None).cast("string").alias("failed"))
+    return read.unionByName(failures.select("source", F.lit(0).cast("long").alias("events"), F.col("type").alias("failed")))
+
+
 @register("file_sources", O.with_events(f"""
 {_JSON_EVENTS.replace('v AS (', 'v2 AS (', 1).replace('FROM v JOIN', 'FROM v2 JOIN')},
 f AS (SELECT source, hostname, base_severity AS severity, line_us AS ts_us FROM p
