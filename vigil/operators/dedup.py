@@ -97,7 +97,7 @@ def _numbers(c: pa.Array, i: int) -> np.ndarray:
 
 
 def _emit(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    types = {"_key": pa.string(), "_limits": pa.list_(pa.int64()), "_exits": pa.list_(pa.int64())}
+    types = {"_key": pa.string(), "_limits": pa.list_(pa.int64()), "_exits": pa.list_(pa.int64()), "_parts": _PARTS}
     cols = list(zip(*rows)) if rows else [[]] * len(names)
     return pa.RecordBatch.from_arrays([pa.array(c, types.get(n, pa.int64())) for c, n in zip(cols, names)], names=names)
 
@@ -129,48 +129,68 @@ def _bucket_steps(times: DataFrame, w: int) -> DataFrame:
     return dealt.mapInArrow(run, f"_key string, _bucket long, {STEPS}").withColumn("_group", F.floor(F.col("_bucket") / FAN).cast("long"))
 
 
+PARTS = "_parts array<struct<bucket:bigint,limits:array<bigint>,exits:array<bigint>>>"
+_PARTS = pa.list_(pa.struct([("bucket", pa.int64()), ("limits", pa.list_(pa.int64())), ("exits", pa.list_(pa.int64()))]))
+
+
 def _group_steps(buckets: DataFrame, w: int) -> DataFrame:
-    """(_key, _group, _limits, _exits): the functions of a group's buckets, one after the other."""
-    names = ["_key", "_group", "_limits", "_exits"]
+    """(_key, _group, _limits, _exits, _parts): the functions of a group's buckets one after the other, and they themselves."""
+    names = ["_key", "_group", "_limits", "_exits", "_parts"]
+
+    def row(group: tuple, parts: list) -> pa.RecordBatch:
+        steps = parts[0][1]
+        for _, own in parts[1:]:
+            steps = _Steps(steps.limits, own.after(steps.exits, w)).merged()
+        each = [{"bucket": b, "limits": own.limits.tolist(), "exits": own.exits.tolist()} for b, own in parts]
+        return _emit([(*group, steps.limits.tolist(), steps.exits.tolist(), each)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group = steps = None
-        done = []
+        group, parts = None, []
         for g, new, rows in _groups(batches, ["_key", "_group"]):
-            if new and steps is not None:
-                done.append((*group, steps.limits.tolist(), steps.exits.tolist()))
-                steps = None
-                if len(done) >= ROWS:
-                    yield _emit(done, names)
-                    done = []
+            if new and parts:
+                yield row(group, parts)
+                parts = []
             group = g
-            for i in range(rows.num_rows):
-                own = _Steps(_numbers(rows.column("_limits"), i), _numbers(rows.column("_exits"), i))
-                steps = own if steps is None else _Steps(steps.limits, own.after(steps.exits, w)).merged()
-        if steps is not None:
-            yield _emit([*done, (*group, steps.limits.tolist(), steps.exits.tolist())], names)
-
-    dealt = buckets.repartition("_key", "_group").sortWithinPartitions("_key", "_group", "_bucket").select("_key", "_group", "_limits", "_exits")
-    return dealt.mapInArrow(run, f"_key string, _group long, {STEPS}")
+            for i in range(rows.num_rows):  # at most FAN functions of a few numbers
+                parts.append((rows.column("_bucket")[i].as_py(), _Steps(_numbers(rows.column("_limits"), i), _numbers(rows.column("_exits"), i))))
+        if parts:
+            yield row(group, parts)
 
+    dealt = buckets.repartition("_key", "_group").sortWithinPartitions("_key", "_group", "_bucket")
+    return dealt.select("_key", "_group", "_bucket", "_limits", "_exits").mapInArrow(run, f"_key string, _group long, {STEPS}, {PARTS}")
 
-def _carry(rows: DataFrame, by: list[str], item: str, w: int, start: str | None = None) -> DataFrame:
-    """(_key, item, _last): the last dispatch before every item of a run ``by``, from ``start`` (or none) on."""
-    names = ["_key", item, "_last"]
 
+def _before_groups(groups: DataFrame, w: int) -> DataFrame:
+    """(_key, _group, _last, _parts): the last dispatch before every group of a key."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = np.array([NEVER])
-        for g, new, part in _groups(batches, by):
+        for _, new, part in _groups(batches, ["_key"]):
             if new:
-                last = np.array([part.column(start)[0].as_py() if start else NEVER])
+                last = np.array([NEVER])
             out = []
             for i in range(part.num_rows):
-                out.append((g[0], part.column(item)[i].as_py(), int(last[0])))
+                out.append(int(last[0]))
                 last = _Steps(_numbers(part.column("_limits"), i), _numbers(part.column("_exits"), i)).after(last, w)
-            yield _emit(out, names)
+            yield pa.RecordBatch.from_arrays([part.column("_key"), part.column("_group"), pa.array(out, pa.int64()), part.column("_parts")],
+                                             names=["_key", "_group", "_last", "_parts"])
+
+    dealt = groups.repartition("_key").sortWithinPartitions("_key", "_group")
+    return dealt.mapInArrow(run, f"_key string, _group long, _last long, {PARTS}")
+
+
+def _before_buckets(groups: DataFrame, w: int) -> DataFrame:
+    """(_key, _bucket, _last): the last dispatch before every bucket, carried down from its group's."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for key, last, parts in zip(b.column("_key").to_pylist(), b.column("_last").to_pylist(), b.column("_parts").to_pylist()):
+                now = np.array([last])
+                for p in parts:
+                    out.append((key, p["bucket"], int(now[0])))
+                    now = _Steps(np.array(p["limits"], np.int64), np.array(p["exits"], np.int64)).after(now, w)
+            yield _emit(out, ["_key", "_bucket", "_last"])
 
-    dealt = rows.repartition(*by).sortWithinPartitions(*by, item)
-    return dealt.mapInArrow(run, f"_key string, {item} long, _last long")
+    return groups.repartition("_key", "_group").mapInArrow(run, "_key string, _bucket long, _last long")
 
 
 def _walk(rows: DataFrame, w: int) -> DataFrame:
@@ -201,10 +221,8 @@ def dispatched_ids(alerts: DataFrame, window_s: float = DEFAULT_WINDOW_S, keys:
                            F.unix_micros(F.col("timestamp")).alias("_t"), *order).where("_t is not null")
     first = F.min(F.struct(*order, "_rid"))["_rid"].alias("_rid")
     times = narrow.groupBy("_key", F.floor(F.col("_t") / F.lit(SPAN * w)).cast("long").alias("_bucket"), "_t").agg(first)
-    buckets = _bucket_steps(times, w)
-    groups = _carry(_group_steps(buckets, w), ["_key"], "_group", w)
-    lasts = _carry(buckets.join(groups, ["_key", "_group"]), ["_key", "_group"], "_bucket", w, "_last")
-    return _walk(times.join(lasts, ["_key", "_bucket"]), w)
+    groups = _before_groups(_group_steps(_bucket_steps(times, w), w), w)
+    return _walk(times.join(_before_buckets(groups, w), ["_key", "_bucket"]), w)
 
 
 def dedup(alerts: DataFrame, window_s: float = DEFAULT_WINDOW_S, keys: list[Column] | None = None,
