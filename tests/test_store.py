@@ -1,4 +1,5 @@
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -201,3 +202,42 @@ def test_summary_plans_hold_no_regex_and_read_few_columns(spark):
         assert "regexp" not in plan and f"ReadSchema: {columns}" in plan, (name, plan)
     plan = QUERIES["events_listing"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(severity,high)" in plan and "event_date" in plan.split("PartitionFilters")[1][:60]
+
+
+def test_detection_reads_typed_columns_equal_to_the_text(spark, tmp_dir):
+    rows = [{"message": "a", "id": "a", "parsed_fields": {"user": "u", "ip_addresses": '["x"]', "geo": "near"}},
+            {"message": "b", "id": "b", "parsed_fields": {"k": None, "geo": '{"1.2.3.4": {"type": "private"}}'}, "ip_addresses": []},
+            {"message": "c", "id": "c", "parsed_fields": None, "ip_addresses": ["1.2.3.4", None]},
+            {"message": "d", "id": "d", "parsed_fields": {"ip_addresses": "none", "geo": "x"}, "geo": {"5.6.7.8": {"type": "external", "country": None}}}]
+    append_events(spark, events_df(spark, rows), f"{tmp_dir}/events")
+    typed = {r["id"]: r for r in read_events(spark, f"{tmp_dir}/events").collect()}
+    assert len(typed) == 4 and typed == {r["id"]: r for r in read_events(spark, f"{tmp_dir}/events", decode_text=True).collect()}
+    assert typed["a"]["ip_addresses"] == ["x"] and typed["a"]["parsed_fields"] == {"user": "u", "geo": "near"}
+    plan = detect(read_events(spark, f"{tmp_dir}/events"), builtin_rules())._jdf.queryExecution().executedPlan().toString()
+    assert "from_json" not in plan and "parsed_json" not in plan
+
+
+def test_pages_by_cursor_equal_pages_by_offset_and_read_few_days(spark, tmp_dir):
+    from vigil.operators.store import table_dates
+    # 40 days, most with 5 events (ties in time among them), some without; one day holds 60
+    rows = [{"message": f"m{d}-{i}", "id": f"{d * 100 + i:05d}", "hostname": f"h{i % 3}",
+             "timestamp": T0 + dt.timedelta(days=d, minutes=i // 2)} for d in range(40) if d % 7 != 3 for i in range(60 if d == 20 else 5)]
+    append_events(spark, events_df(spark, rows), f"{tmp_dir}/events")
+    table, dates = read_events(spark, f"{tmp_dir}/events"), table_dates(spark, f"{tmp_dir}/events")
+    assert dates == sorted({(T0 + dt.timedelta(days=d)).date() for d in range(40) if d % 7 != 3}, reverse=True)
+    for equal in ({}, {"hostname": "h1"}, {"hostname": "nobody"}):
+        want = [r["id"] for r in Q.query_events(table, **equal, limit=1000).collect()]
+        got, cursor = [], None
+        while True:
+            page = Q.page_after(table, dates, cursor, limit=23, equal=equal)
+            ids = [r["id"] for r in page.collect()]
+            got += ids
+            if len(ids) < 23:
+                break
+            cursor = Q.page_cursor(page)
+        assert got == want
+    late = Q.page_after(table, dates, (int((T0 + dt.timedelta(days=30)).timestamp()) * 10**6, "z"), limit=10)
+    plan = late._jdf.queryExecution().executedPlan().toString()
+    oldest, newest = [re.search(rf"event_date#\d+ {op} (\d{{4}}-\d\d-\d\d)\)", plan.split("PartitionFilters: ")[1])[1] for op in (">=", "<=")]
+    assert "2024-01-28" < oldest <= newest == "2024-01-31" and late.count() == 10
+    assert Q.page_after(table, [], None).count() == 0 and Q.page_cursor(Q.page_after(table, [], None)) is None

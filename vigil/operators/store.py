@@ -4,11 +4,13 @@ Tables are Parquet, partitioned by ``event_date``. Ids are deterministic and
 an event's id determines its time, so a duplicate can only sit in the same
 date partition: the anti-join against stored rows is on (id, event_date),
 letting dynamic partition pruning read only the dates of the new batch
-instead of the whole history.
+instead of the whole history. Events are stored with the JSON text of their
+parsed fields and, decoded once when written, with typed columns that scans read.
 """
 
 from __future__ import annotations
 
+import datetime as _dt
 import threading
 
 from py4j.protocol import Py4JJavaError
@@ -16,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from vigil.schema import ALERT_NOT_NULL, EVENT_NOT_NULL, GEO_ENTRY, STORED_ALERT, STORED_EVENT
+from vigil.schema import ALERT_NOT_NULL, EVENT_NOT_NULL, EVENT_TABLE, GEO_ENTRY, STORED_ALERT
 from pyspark.sql import types as T
 
 
@@ -46,30 +48,40 @@ def parsed_json(pf: Column, ips: Column, geo: Column) -> Column:
 
 
 def to_stored_events(events: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """EVENT rows -> stored-event rows (+ ``event_date`` partition column)."""
+    """EVENT rows -> rows of the events table (+ ``event_date`` partition column)."""
     return events.select(*keep,
         "id", "timestamp", "source", "hostname", "severity", "message",
         F.col("raw").alias("raw_json"),
         parsed_json(F.col("parsed_fields"), F.col("ip_addresses"), F.col("geo")).alias("parsed_json"),
+        *typed_columns(F.col("parsed_fields"), F.col("ip_addresses"), F.col("geo")),
         F.to_date("timestamp").alias("event_date"),
     )
 
 
-def from_stored_events(stored: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Stored rows -> EVENT rows; NULL or empty JSON gives an empty map."""
+def from_stored_events(stored: DataFrame, keep: tuple[str, ...] = (), decode_text: bool = False) -> DataFrame:
+    """Stored rows -> EVENT rows, from the typed columns; with ``decode_text`` from the JSON text (NULL or empty text
+    gives an empty map), for tables that hold nothing else."""
+    parsed = parsed_columns(F.col("parsed_json")) if decode_text else ["parsed_fields", "ip_addresses", "geo"]
     return stored.select(*keep,
         "id", "timestamp", "source", "hostname", "severity", "message",
-        F.col("raw_json").alias("raw"), *parsed_columns(F.col("parsed_json")))
+        F.col("raw_json").alias("raw"), *parsed)
 
 
 def parsed_columns(text: Column) -> list[Column]:
-    """``parsed_fields``, ``ip_addresses`` and ``geo`` of a parsed-fields JSON object. A key of the two names that
-    does not hold such a list is a parsed field like any other."""
-    m = F.coalesce(F.from_json(F.nullif(text, F.lit("")), "map<string,string>"), F.create_map().cast("map<string,string>"))
+    """``parsed_fields``, ``ip_addresses`` and ``geo`` of a parsed-fields JSON object."""
+    return typed_columns(F.from_json(F.nullif(text, F.lit("")), "map<string,string>"))
+
+
+def typed_columns(fields: Column, ip_addresses: Column | None = None, geo: Column | None = None) -> list[Column]:
+    """``parsed_fields``, ``ip_addresses`` and ``geo`` as they are read back from a stored event. Without a list beside
+    the fields, a key of the two names that holds such a list's text is that list; else it is a field like any other."""
+    m = F.coalesce(fields, F.create_map().cast("map<string,string>"))
     ips = F.when(F.startswith(m["ip_addresses"], F.lit("[")), F.from_json(m["ip_addresses"], T.ArrayType(T.StringType())))
-    geo = F.when(F.startswith(m["geo"], F.lit("{")), F.from_json(m["geo"], T.MapType(T.StringType(), GEO_ENTRY)))
-    own = F.map_filter(m, lambda k, v: ~((k == "ip_addresses") & ips.isNotNull()) & ~((k == "geo") & geo.isNotNull()))
-    return [own.alias("parsed_fields"), ips.alias("ip_addresses"), geo.alias("geo")]
+    places = F.when(F.startswith(m["geo"], F.lit("{")), F.from_json(m["geo"], T.MapType(T.StringType(), GEO_ENTRY)))
+    ips = ips if ip_addresses is None else F.coalesce(ip_addresses, ips)
+    places = places if geo is None else F.coalesce(geo, places)
+    own = F.map_filter(m, lambda k, v: ~((k == "ip_addresses") & ips.isNotNull()) & ~((k == "geo") & places.isNotNull()))
+    return [own.alias("parsed_fields"), ips.alias("ip_addresses"), places.alias("geo")]
 
 
 def to_stored_alerts(alerts: DataFrame) -> DataFrame:
@@ -143,7 +155,7 @@ def append_events(spark: SparkSession, events: DataFrame, path: str) -> int:
     """Store EVENT rows into the events table (INSERT OR IGNORE by id).
 
     Returns the number of rows written."""
-    return _append(spark, to_stored_events(events), path, EVENT_NOT_NULL, STORED_EVENT)
+    return _append(spark, to_stored_events(events), path, EVENT_NOT_NULL, EVENT_TABLE)
 
 
 def append_alerts(spark: SparkSession, alerts: DataFrame, path: str) -> int:
@@ -151,16 +163,25 @@ def append_alerts(spark: SparkSession, alerts: DataFrame, path: str) -> int:
     return _append(spark, to_stored_alerts(alerts), path, ALERT_NOT_NULL, STORED_ALERT)
 
 
-def read_events(spark: SparkSession, path: str) -> DataFrame:
-    """Scan of the events table decoded to EVENT rows; ``event_date`` (the
-    partition column) is kept so time filters can prune partitions."""
-    return from_stored_events(spark.read.schema(stored_schema(STORED_EVENT)).parquet(path), keep=("event_date",))
+def read_events(spark: SparkSession, path: str, decode_text: bool = False) -> DataFrame:
+    """Scan of the events table as EVENT rows; ``event_date`` (the
+    partition column) is kept so time filters can prune partitions. ``decode_text``: see ``from_stored_events``."""
+    stored = spark.read.schema(stored_schema(EVENT_TABLE)).parquet(path)
+    return from_stored_events(stored, keep=("event_date",), decode_text=decode_text)
 
 
 def read_alerts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(stored_schema(STORED_ALERT)).parquet(path)
 
 
+def table_dates(spark: SparkSession, path: str) -> list[_dt.date]:
+    """The dates a table has partitions of, newest first (one name a day is listed, no file is opened)."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    names = [s.getPath().getName() for s in folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)]
+    days = [n.partition("=")[2] for n in names if n.startswith("event_date=")]
+    return sorted((_dt.date.fromisoformat(d) for d in days if d[:1].isdigit()), reverse=True)
+
+
 def stored_schema(s: T.StructType) -> T.StructType:
     return T.StructType(list(s.fields) + [T.StructField("event_date", T.DateType())])
 

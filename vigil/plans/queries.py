@@ -24,7 +24,7 @@ from vigil.operators.normalize import normalize
 from vigil.operators.rules import load_rule
 from vigil.operators.sinks import alert_json, console_records, fan_out, file_sink, outbox_sink
 from vigil.operators.store import (alert_from_json, append_events, event_from_json, event_json, read_alerts, read_events,
-                                   stored_schema)
+                                   stored_schema, table_dates)
 from vigil.plans import oracle as O
 from vigil.plans.batch import detect_stored
 from vigil.plans.logview import stored_tables, view_events
@@ -455,6 +455,17 @@ def events_listing(spark, sf):
     return page.select("id", ts_us().alias("ts_us"), "hostname", "severity")
 
 
+@register("events_deep_page", O.with_events("""
+SELECT eid AS id, epoch_us(log_ts) AS ts_us, hostname, severity FROM n ORDER BY log_ts DESC, eid DESC LIMIT 100 OFFSET 3000"""))
+def events_deep_page(spark, sf):
+    """The page after three pages of 1000 events, each found from the end of the one before it."""
+    table, dates = _stored_events(spark, sf), table_dates(spark, stored_tables(spark, sf)[0])
+    cursor = None
+    for _ in range(3):
+        cursor = Q.page_cursor(Q.page_after(table, dates, cursor, limit=1000))
+    return Q.page_after(table, dates, cursor).select("id", ts_us().alias("ts_us"), "hostname", "severity")
+
+
 @register("events_of_host", O.with_events("""
 SELECT eid AS id, hostname, message FROM n WHERE hostname = 'web03' ORDER BY log_ts DESC, eid DESC LIMIT 100"""))
 def events_of_host(spark, sf):

@@ -60,6 +60,9 @@ STORED_EVENT = T.StructType([
     T.StructField("parsed_json", T.StringType()),
 ])
 
+# The events table holds, beside that text, the parsed fields as typed columns, so that scans decode no JSON.
+EVENT_TABLE = T.StructType(STORED_EVENT.fields + [f for f in EVENT.fields if f.name in ("parsed_fields", "ip_addresses", "geo")])
+
 STORED_ALERT = T.StructType([
     T.StructField("id", T.StringType()),
     T.StructField("rule_id", T.StringType()),

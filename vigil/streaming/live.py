@@ -33,7 +33,7 @@ from vigil.operators.normalize import normalize, split_valid
 from vigil.operators.rules import Rule
 from vigil.operators.sinks import Sink, fan_out
 from vigil.operators.store import append_alerts, append_events, event_text, from_stored_events, read_events, stored_schema
-from vigil.schema import EVENT_COLUMNS, STORED_ALERT, STORED_EVENT
+from vigil.schema import EVENT_COLUMNS, EVENT_TABLE, STORED_ALERT
 from vigil.sources.appended import SPLIT, follow_appended, placed_lines
 from vigil.sources.lines import clean_lines, numbered_lines, parse_auth, parse_syslog
 from vigil.sources.ndjson import parse_ndjson
@@ -100,7 +100,7 @@ def appended_source(spark: SparkSession, path: str, kind: str = "syslog", name:
 
 def stream_stored_events(spark: SparkSession, events_path: str, max_files_per_trigger: int | None = None) -> DataFrame:
     """The events table as a stream of EVENT rows, in the order in which its files were added."""
-    r = spark.readStream.schema(stored_schema(STORED_EVENT))
+    r = spark.readStream.schema(stored_schema(EVENT_TABLE))
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
     return from_stored_events(r.parquet(events_path))
@@ -156,7 +156,7 @@ def start_events(spark: SparkSession, sources: list[LiveSource], events_path: st
     Events that lack what the table needs (a message) are written under ``quarantine_path`` as JSON lines, by source
     (default: ``<events_path>_quarantine``), never dropped."""
     quarantine = quarantine_path or events_path.rstrip("/") + "_quarantine"
-    _make_table(spark, events_path, STORED_EVENT)
+    _make_table(spark, events_path, EVENT_TABLE)
 
     def start_source(source: LiveSource) -> StreamingQuery:
         def store(lines: DataFrame, batch_id: int) -> None:
