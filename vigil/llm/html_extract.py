@@ -1,10 +1,12 @@
 """Main text of web pages by wrapper induction over same-host pages.
 
 For each host one page of median length is the reference. Every page's DOM tree is aligned with it by simple tree
-matching (the largest order-preserving mapping of nodes with equal tags, level by level). Leaves of the
+matching (the largest order-preserving mapping of nodes with equal tags, level by level; sizes are kept by shapes of subtrees, so
+long lists of like siblings cost a vector operation each and two bits a pair). Leaves of the
 reference whose text is equal in nearly all aligned pages are the host's template; where texts vary, the leaf is a
 slot. The votes are summed over all pages of the host (pre-summed in the tasks, so a hot host costs a row per leaf
 and task), and the content root of a host without article markup is the deepest node that holds nearly all varying text.
+A page votes on the leaves below elements it shares with the reference, so a second layout does not outvote the first.
 Extraction aligns every page with its host's wrapper again and returns the blocks of the content region that are neither
 template nor inside boilerplate elements (menus, headers, footers, sidebars, notices, adverts, forms, reader comments).
 Menus and adverts vary from page to page too, so slots are kept only outside such elements. An element that is named like
@@ -27,6 +29,7 @@ import sys
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,10 +51,12 @@ WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 # HTML white space; a no-break space is text that reads as a blank, and counts as one
 SPACE = re.compile(r"\s+")
 
-RAW = {"script", "style", "title", "noscript", "template", "iframe", "textarea", "svg", "math", "object", "xmp"}
+RAW = {"script", "style", "title", "noscript", "template", "iframe", "textarea", "svg"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr", "param"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label",
-          "mark", "q", "ruby", "rt", "rp", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var"}
+          "mark", "q", "ruby", "rt", "rp", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var",
+          "math", "mi", "mn", "mo", "ms", "mtext", "mspace", "mrow", "mfrac", "msqrt", "mroot", "mstyle", "msub", "msup", "msubsup", "munder",
+          "mover", "munderover", "mmultiscripts", "mpadded", "mphantom", "menclose", "mtable", "mtr", "mtd", "semantics", "annotation"}
 # an opening tag ends these open elements, up to the nearest element of the stop set
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
           "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
@@ -67,6 +72,12 @@ BOILER_WORDS = {
 BOILER_NAME = re.compile(
     r"comments?(?:list|form|box|area|section|wrap|wrapper)|advert\w+|sponsor\w+|sidebar\w+|cookie\w+|newsletter\w+|breadcrumb\w+"
     r"|\w+(?:navbar|menu|footer|sidebar)|(?:top|side|main|site|sub|foot)nav")
+# words that say where a thing stands, not what it is: a name of these and the words above names boilerplate, while
+# "related-work" or "notice-of-meeting" names content
+PLACE_WORDS = {"box", "wrap", "wrapper", "container", "block", "blocks", "list", "items", "item", "section", "area", "bar", "panel", "inner",
+               "outer", "top", "bottom", "left", "right", "side", "main", "site", "page", "post", "article", "global", "link", "links", "js",
+               "module", "unit", "slot", "row", "col", "column", "content", "text", "title", "form", "button", "buttons", "user", "reader", "header",
+               "toggle", "primary", "secondary", "message", "messages", "thread", "feed", "posts", "articles", "holder", "region", "up", "sub"}
 # these are never the page itself; reader comments are only where they hold the main element
 STRONG_TAGS = BOILER_TAGS - {"form", "fieldset"}
 DISCUSSION = {"comment", "comments", "reply", "replies", "respond", "disqus"}
@@ -75,10 +86,16 @@ REGION = {"article", "main"}
 
 
 class Node:
-    __slots__ = ("tag", "words", "children", "text")
+    """``words`` are all words of its class, id and role, ``telling`` those of names that hold only BOILER_WORDS and PLACE_WORDS;
+    ``shape`` and ``content`` are hashes of the tree below, without and with texts, ``size`` its nodes (see ``seal``)."""
 
-    def __init__(self, tag: str, words: frozenset = frozenset(), text: str | None = None):
-        self.tag, self.words, self.children, self.text = tag, words, [], text
+    __slots__ = ("tag", "words", "telling", "children", "text", "shape", "content", "size")
+
+    def __init__(self, tag: str, names: list[str] = (), text: str | None = None):
+        self.tag, self.children, self.text = tag, [], text
+        split = [{w.lower() for w in WORD.findall(n)} for n in names]
+        self.words = frozenset().union(*split)
+        self.telling = frozenset().union(*[ws for ws in split if all(w in BOILER_WORDS or w in PLACE_WORDS or BOILER_NAME.fullmatch(w) for w in ws)])
 
 
 def parse(html: str) -> Node:
@@ -122,6 +139,13 @@ def parse(html: str) -> Node:
                     opened[last] -= 1
                 opened[tag] -= 1
             continue
+        if tag == "xmp":  # shown as it stands
+            end_run()
+            close = re.compile(r"</xmp(?=[\s/>])", re.I).search(html, at)
+            run.append(html[at:close.start() if close else size].replace("&", "&amp;"))
+            at = html.find(">", close.end()) + 1 or size if close else size
+            end_run()
+            continue
         if tag in RAW:
             if not m["attrs"].rstrip().endswith("/"):
                 close = re.compile(f"</{re.escape(tag)}(?=[\\s/>])", re.I).search(html, at)
@@ -147,68 +171,113 @@ def parse(html: str) -> Node:
                     opened.subtract(n.tag for n in stack[i:])
                     del stack[i:]
                     break
-        words = set()
-        if m["attrs"].strip():
-            for a in ATTR.finditer(m["attrs"]):
-                words |= {w.lower() for w in WORD.findall(a[2] or a[3] or a[4] or "")}
-        node = Node(tag, frozenset(words))
+        node = Node(tag, [n for a in ATTR.finditer(m["attrs"]) for n in (a[2] or a[3] or a[4] or "").split()])
         stack[-1].children.append(node)
         stack.append(node)
         opened[tag] += 1
         depth = max(depth, len(stack))
     end_run()
-    if 2 * depth + 1000 > sys.getrecursionlimit():  # match_trees calls itself once a level; such calls take no C stack
-        sys.setrecursionlimit(2 * depth + 1000)
+    if 5 * depth + 1000 > sys.getrecursionlimit():  # matched_size goes down by levels; such calls take no C stack
+        sys.setrecursionlimit(5 * depth + 1000)
+    return seal(root)
+
+
+def seal(root: Node) -> Node:
+    """Hashes and sizes of all nodes, children before parents."""
+    nodes = [root]
+    for node in nodes:
+        nodes += node.children
+    for node in reversed(nodes):
+        below = node.children
+        node.size = 1 + sum(c.size for c in below)
+        node.shape = hash((node.tag, *[c.shape for c in below]))
+        node.content = hash((node.tag, node.text, *[c.content for c in below]))
     return root
 
 
 def is_boiler(node: Node, inside: bool) -> bool:
     if node.tag in REGION:
         return bool(node.words & {"comment", "comments", "ad", "ads", "advert", "sponsored", "related", "widget"})
-    if node.tag in BOILER_TAGS or node.words & BOILER_WORDS or any(map(BOILER_NAME.fullmatch, node.words)):
+    named = node.telling - {"search"} if inside else node.words
+    if node.tag in BOILER_TAGS or named & BOILER_WORDS or any(map(BOILER_NAME.fullmatch, named)):
         return node.tag not in ("body", "html")
     return not inside and (node.tag == "header" or (bool(node.words & HEADER_WORDS) and node.tag not in ("body", "html")))
 
 
-def match_trees(a: Node, b: Node, pairs: list) -> float:
-    """Simple tree matching: size of the best order-preserving mapping of the children, appended to ``pairs`` as nodes."""
+def sibling_weights(p: list[Node], q: list[Node], memo: dict) -> Iterator[np.ndarray]:
+    """For each of ``p`` its weights against all of ``q``: twice the size of the mapping, and one more for equal content."""
+    kinds: dict[int, tuple[int, Node]] = {}
+    codes = np.array([kinds.setdefault(y.shape, (len(kinds), y))[0] for y in q])
+    equal: dict[int, list[int]] = defaultdict(list)
+    for j, y in enumerate(q):
+        equal[y.content].append(j)
+    sizes: dict[int, np.ndarray] = {}
+    for x in p:
+        if x.shape not in sizes:
+            sizes[x.shape] = np.array([2 * matched_size(x, y, memo) for _, y in kinds.values()], np.int32)
+        weights = sizes[x.shape][codes]
+        if x.content in equal:
+            weights[equal[x.content]] += 1
+        yield weights
+
+
+def matched_size(a: Node, b: Node, memo: dict) -> int:
+    """Nodes of the largest order-preserving mapping of two trees that pairs equal tags alone; it depends on their shapes only."""
     if a.tag != b.tag:
-        return 0.0
-    if a.text is not None:
-        return 1.5 if a.text == b.text else 1.0
-    p, q = a.children, b.children
+        return 0
+    if a.shape == b.shape:
+        return a.size
+    key = a.shape, b.shape
+    if key not in memo:
+        best = np.zeros(len(b.children) + 1, np.int32)
+        if len(best) > 1:
+            for w in sibling_weights(a.children, b.children, memo):
+                best[1:] = np.maximum.accumulate(np.maximum(best[1:], best[:-1] + (w >> 1)))
+        memo[key] = 1 + int(best[-1])
+    return memo[key]
+
+
+def sibling_pairs(p: list[Node], q: list[Node], memo: dict) -> list[tuple[Node, Node]]:
+    """The best order-preserving pairing of two lists of siblings. Equal ones at both ends belong to a best pairing, so only
+    what lies between is aligned, row by row; two bits a cell are kept for the way back."""
+    shorter = min(len(p), len(q))
+    head = next((k for k in range(shorter) if p[k].content != q[k].content), shorter)
+    tail = next((k for k in range(shorter - head) if p[-1 - k].content != q[-1 - k].content), shorter - head)
+    pairs = [*zip(p[:head], q[:head]), *zip(p[len(p) - tail:], q[len(q) - tail:])]
+    p, q = p[head:len(p) - tail], q[head:len(q) - tail]
     if not p or not q:
-        return 1.0
-    weights, best = [], [[0.0] * (len(q) + 1)]
-    inner: dict[tuple[int, int], list] = {}  # what is matched below two matched elements
-    for i, x in enumerate(p):
-        above, row, own_weights = best[-1], [0.0], []
-        for j, y in enumerate(q):
-            if x.tag != y.tag:
-                w = 0.0
-            elif x.text is not None:
-                w = 1.5 if x.text == y.text else 1.0
-            else:
-                below: list = []
-                w = match_trees(x, y, below)
-                if below:
-                    inner[i, j] = below
-            own_weights.append(w)
-            row.append(max(above[j + 1], row[j], above[j] + w))
-        weights.append(own_weights)
-        best.append(row)
+        return pairs
+    paired, passed = [], []
+    best = np.zeros(len(q) + 1, np.int32)
+    for w in sibling_weights(p, q, memo):
+        both = best[:-1] + w
+        row = np.maximum.accumulate(np.maximum(best[1:], both))
+        paired.append(np.packbits((row == both) & (w > 0)))
+        passed.append(np.packbits(row == best[1:]))
+        best[1:] = row
     i, j = len(p), len(q)
     while i and j:
-        w = weights[i - 1][j - 1]
-        if w and best[i][j] == best[i - 1][j - 1] + w:
+        at, bit = (j - 1) >> 3, 0x80 >> ((j - 1) & 7)
+        if paired[i - 1][at] & bit:
             i, j = i - 1, j - 1
             pairs.append((p[i], q[j]))
-            pairs += inner.get((i, j), ())
-        elif best[i][j] == best[i - 1][j]:
+        elif passed[i - 1][at] & bit:
             i -= 1
         else:
             j -= 1
-    return 1.0 + best[-1][-1]
+    return pairs
+
+
+def match_trees(a: Node, b: Node) -> list[tuple[Node, Node]]:
+    """Simple tree matching of two pages: the pairs of a largest order-preserving mapping, level by level; among equal ones
+    pairs of equal content are preferred."""
+    pairs, memo, todo = [], {}, [(a, b)]
+    while todo:
+        x, y = todo.pop()
+        found = sibling_pairs(x.children, y.children, memo)
+        pairs += found
+        todo += [(c, d) for c, d in found if c.children and d.children]
+    return pairs
 
 
 def wrapping(root: Node) -> set[int]:
@@ -277,8 +346,7 @@ class Reference:
     def vote(self, html: str) -> dict[int, tuple[int, int, int]]:
         """Leaf -> (1, equal text, characters that vary there), from a page that is not a copy of the reference."""
         page = parse(html)
-        pairs: list = []
-        match_trees(page, self.root, pairs)
+        pairs = match_trees(page, self.root)
         parents: dict[int, Node] = {}
         nodes = walk(page, [], parents, wrapping(page))
         kinds = {id(n): b for n, _, b in nodes}
@@ -286,7 +354,9 @@ class Reference:
         whole = sum(len(n.text) for n, _, b in nodes if n.text and not b)
         if same > NEAR_COPY * whole:
             return {}
-        out = {k: [1, 0, 0] for k, (n, _, _) in enumerate(self.nodes) if n.text is not None}
+        # a page has a say on the leaves below the elements it shares, so a host's other layouts don't count against this one
+        shared = {id(y) for _, y in pairs} | {id(self.root)}
+        out = {k: [1, 0, 0] for k, (n, _, _) in enumerate(self.nodes) if n.text is not None and id(self.parents[id(n)]) in shared}
         to = {id(x): y for x, y in pairs}
         for x, y in pairs:
             if x.text is not None:
@@ -322,9 +392,7 @@ class Reference:
 
     def extract(self, html: str) -> str:
         page = parse(html)
-        pairs: list = []
-        if self.template or self.content_root is not None:
-            match_trees(page, self.root, pairs)
+        pairs = match_trees(page, self.root) if self.template or self.content_root is not None else []
         dropped = {id(x) for x, y in pairs if x.text is not None and x.text == y.text and self.index[id(y)] in self.template}
         parents: dict[int, Node] = {}
         spared = wrapping(page)
