@@ -27,7 +27,8 @@ import html as entities
 import re
 import sys
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,7 @@ CONSTANT = 0.9           # share of them in which it is equal
 ROOT_SHARE = 0.8         # share of the varying text that the content root holds
 NEAR_COPY = 0.5          # a page that shares this much of its text with the reference does not vote
 FLUSH = 50_000
+MEMO = 10_000            # pairs of shapes whose sizes a host's wrapper keeps from page to page
 
 TOKEN = re.compile(
     r"""<!--(?:.*?-->|.*)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*+)>"""
@@ -93,6 +95,9 @@ class Node:
 
     def __init__(self, tag: str, names: list[str] = (), text: str | None = None):
         self.tag, self.children, self.text = tag, [], text
+        self.words = self.telling = frozenset()
+        if not names:
+            return
         split = [{w.lower() for w in WORD.findall(n)} for n in names]
         self.words = frozenset().union(*split)
         self.telling = frozenset().union(*[ws for ws in split if all(w in BOILER_WORDS or w in PLACE_WORDS or BOILER_NAME.fullmatch(w) for w in ws)])
@@ -237,16 +242,31 @@ def matched_size(a: Node, b: Node, memo: dict) -> int:
     return memo[key]
 
 
-def sibling_pairs(p: list[Node], q: list[Node], memo: dict) -> list[tuple[Node, Node]]:
-    """The best order-preserving pairing of two lists of siblings. Equal ones at both ends belong to a best pairing, so only
-    what lies between is aligned, row by row; two bits a cell are kept for the way back."""
+def equal_ends(p: list[Node], q: list[Node], of: Callable[[Node], int]) -> tuple[int, int]:
+    """How many siblings are equal from the start on, and of the rest from the end."""
     shorter = min(len(p), len(q))
-    head = next((k for k in range(shorter) if p[k].content != q[k].content), shorter)
-    tail = next((k for k in range(shorter - head) if p[-1 - k].content != q[-1 - k].content), shorter - head)
-    pairs = [*zip(p[:head], q[:head]), *zip(p[len(p) - tail:], q[len(q) - tail:])]
-    p, q = p[head:len(p) - tail], q[head:len(q) - tail]
-    if not p or not q:
-        return pairs
+    head = 0
+    while head < shorter and of(p[head]) == of(q[head]):
+        head += 1
+    tail = 0
+    while tail < shorter - head and of(p[-1 - tail]) == of(q[-1 - tail]):
+        tail += 1
+    return head, tail
+
+
+def sibling_pairs(p: list[Node], q: list[Node], memo: dict) -> list[tuple[Node, Node]]:
+    """The best order-preserving pairing of two lists of siblings. Equal ones at both ends belong to a best pairing (equal in
+    shape, where no content occurs on both sides), so only what lies between is aligned, row by row; two bits a cell are
+    kept for the way back."""
+    pairs = []
+    for of in (attrgetter("content"), attrgetter("shape")):
+        head, tail = equal_ends(p, q, of)
+        pairs += [*zip(p[:head], q[:head]), *zip(p[len(p) - tail:], q[len(q) - tail:])]
+        p, q = p[head:len(p) - tail], q[head:len(q) - tail]
+        if not p or not q:
+            return pairs
+        if not {x.content for x in p}.isdisjoint([y.content for y in q]):
+            break
     paired, passed = [], []
     best = np.zeros(len(q) + 1, np.int32)
     for w in sibling_weights(p, q, memo):
@@ -268,10 +288,13 @@ def sibling_pairs(p: list[Node], q: list[Node], memo: dict) -> list[tuple[Node,
     return pairs
 
 
-def match_trees(a: Node, b: Node) -> list[tuple[Node, Node]]:
+def match_trees(a: Node, b: Node, memo: dict | None = None) -> list[tuple[Node, Node]]:
     """Simple tree matching of two pages: the pairs of a largest order-preserving mapping, level by level; among equal ones
-    pairs of equal content are preferred."""
-    pairs, memo, todo = [], {}, [(a, b)]
+    pairs of equal content are preferred. ``memo`` keeps the sizes of pairs of shapes for the next page."""
+    memo = {} if memo is None else memo
+    if len(memo) > MEMO:
+        memo.clear()
+    pairs, todo = [], [(a, b)]
     while todo:
         x, y = todo.pop()
         found = sibling_pairs(x.children, y.children, memo)
@@ -340,13 +363,14 @@ class Reference:
         self.parents: dict[int, Node] = {}
         self.nodes = walk(self.root, [], self.parents, wrapping(self.root))
         self.index = {id(n): k for k, (n, _, _) in enumerate(self.nodes)}
+        self.sizes: dict[tuple[int, int], int] = {}
         self.template: set[int] = set()
         self.content_root: int | None = None
 
     def vote(self, html: str) -> dict[int, tuple[int, int, int]]:
         """Leaf -> (1, equal text, characters that vary there), from a page that is not a copy of the reference."""
         page = parse(html)
-        pairs = match_trees(page, self.root)
+        pairs = match_trees(page, self.root, self.sizes)
         parents: dict[int, Node] = {}
         nodes = walk(page, [], parents, wrapping(page))
         kinds = {id(n): b for n, _, b in nodes}
@@ -392,12 +416,13 @@ class Reference:
 
     def extract(self, html: str) -> str:
         page = parse(html)
-        pairs = match_trees(page, self.root) if self.template or self.content_root is not None else []
-        dropped = {id(x) for x, y in pairs if x.text is not None and x.text == y.text and self.index[id(y)] in self.template}
         parents: dict[int, Node] = {}
         spared = wrapping(page)
         nodes = walk(page, [], parents, spared)
         region = any(i and not b for _, i, b in nodes)
+        asked = self.template or (not region and self.content_root is not None)  # the host's wrapper has a say on this page
+        pairs = match_trees(page, self.root, self.sizes) if asked else []
+        dropped = {id(x) for x, y in pairs if x.text is not None and x.text == y.text and self.index[id(y)] in self.template}
         keep = None
         if not region and self.content_root is not None:
             root = next((x for x, y in pairs if y is self.nodes[self.content_root][0]), None)
