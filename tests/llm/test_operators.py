@@ -272,6 +272,25 @@ def test_shards_are_balanced_and_gapless(spark, n, range_rows):
         assert len(by) == 8 and max(sizes) - min(sizes) <= 2 * 316 + 2 * 0.001 * sum(sizes)
 
 
+@pytest.mark.parametrize("equal", [0.3, 1.0])
+@pytest.mark.parametrize("range_rows", [4_000_000, 50])
+def test_equal_rows_are_cut_among_shards(spark, equal, range_rows):
+    r = random.Random(21)
+    n = 3000
+    rows = [(7, "same row " * 5) if i < equal * n else (i, "x" * r.randint(0, 90)) for i in range(n)] + [(None, None)] * 500
+    df = frame(spark, rows).repartition(7).withColumn("__note", F.lit("kept"))
+    size = F.octet_length(F.coalesce("text", F.lit(""))) + 16
+    out = sharding.histogram_shards(df, text=F.col("text"), doc_id=F.col("doc_id"), size=size, n_shards=8, range_rows=range_rows).collect()
+    assert sorted(str((x.doc_id, x.text)) for x in out) == sorted(str(x) for x in rows) and {x["__note"] for x in out} == {"kept"}
+    by = {}
+    for x in out:
+        by.setdefault(x.shard, []).append((x.slot, len(x.text or "") + 16))
+    for slots in by.values():
+        assert sorted(s for s, _ in slots) == list(range(len(slots)))
+    sizes = [sum(b for _, b in v) for v in by.values()]
+    assert len(by) == 8 and max(sizes) - min(sizes) <= 2 * 106 + 2 * 0.001 * sum(sizes)
+
+
 def test_shard_query_columns(spark):
     rows = [(1, "é"), (2, None), (3, "")]
     got = {r.doc_id: r for r in sharding.op6(frame(spark, rows)).collect()}

@@ -11,8 +11,11 @@ the shard below its range (known from the histogram) plus its place in the range
 The driver sees only histograms: at most 4096 counts in the first round and 256 for each open
 splitter in a later one, whatever the number of rows. DataFrame functions only.
 
+A key that holds more rows than a splitter tolerates (rows equal in text and id) is cut among its rows: these alone are
+numbered, stored once so that the numbers last, and their numbers are further digits of the key for the same probes.
+
 Defined cases: null text has no bytes and the CRC of no bytes; null ids hash like a value; rows equal
-in text and id share a key and so a shard; an empty table gives an empty result; extra columns pass.
+in text and id share a shard unless a boundary falls among them; an empty table gives an empty result; extra columns pass.
 """
 
 from __future__ import annotations
@@ -41,6 +44,7 @@ class Splitter:
     below: int = 0            # exact bytes below the open interval
     rows_below: int = 0
     cut: str | None = None    # keys >= cut lie above the splitter
+    tied: bool = False        # the target lies among rows of one key, ``prefix``
 
     def settle(self, cut: str, rows: int) -> None:
         self.cut, self.rows_below = cut, rows
@@ -53,14 +57,14 @@ class Splitter:
                 at, rows = at + cell["bytes"], rows + cell["n"]
                 continue
             low, high = self.target - at, at + cell["bytes"] - self.target
-            final = cell["lo"] == cell["hi"]  # one key: it cannot be cut
-            if min(low, high) <= self.tolerance or final:
+            if min(low, high) <= self.tolerance or cell["n"] == 1:
                 if low <= high:
                     self.settle(cell["cell"], rows)
                 else:
                     self.settle(cell["cell"] + AFTER, rows + cell["n"])
             else:
                 self.prefix, self.below, self.rows_below = common(cell["lo"], cell["hi"]), at, rows
+                self.tied = cell["lo"] == cell["hi"]
             return
         self.settle((cells[-1]["cell"] if cells else self.prefix) + AFTER, rows)
 
@@ -89,8 +93,8 @@ def histogram(narrow: DataFrame, open_prefixes: list[str], digits: int) -> dict[
     return {p: [r for r in counted if r["cell"].startswith(p)] for p in open_prefixes}
 
 
-def splitters(narrow: DataFrame, n_shards: int, tolerance: float, range_rows: int) -> tuple[list[Splitter], int]:
-    """The settled splitters of all ranges, and the ranges of one shard."""
+def first_splitters(narrow: DataFrame, n_shards: int, tolerance: float, range_rows: int) -> tuple[list[Splitter], int]:
+    """The splitters of all ranges after the probes over the whole key space, and the ranges of one shard."""
     first = histogram(narrow, [""], FIRST_DIGITS)[""]
     total, rows = sum(r["bytes"] for r in first), sum(r["n"] for r in first)
     per = max(1, -(-rows // (n_shards * range_rows)))
@@ -99,15 +103,22 @@ def splitters(narrow: DataFrame, n_shards: int, tolerance: float, range_rows: in
             for i in range(1, n_shards * per)]
     for s in cuts:
         s.refine(first)
-    while open_ := [s for s in cuts if s.cut is None]:
+    return cuts, per
+
+
+def narrow_down(cuts: list[Splitter], narrow: DataFrame) -> None:
+    """Probe on until every splitter is settled or known to lie among the rows of one key."""
+    while open_ := [s for s in cuts if s.cut is None and not s.tied]:
         cells = histogram(narrow, sorted({s.prefix for s in open_}), NEXT_DIGITS)
         for s in open_:
             s.refine(cells[s.prefix])
-    # splitters settle each on its own; equal or crossing cuts inside one cell keep key order
+
+
+def in_order(cuts: list[Splitter]) -> None:
+    """Splitters settle each on its own; equal or crossing cuts inside one cell keep key order."""
     order = sorted((s.cut, s.rows_below) for s in cuts)
     for s, (cut, below) in zip(cuts, order):
         s.settle(cut, below)
-    return cuts, per
 
 
 def range_of(key: Column, cuts: list[str]) -> Column:
@@ -130,7 +141,17 @@ def histogram_shards(df: DataFrame, *, text: Column, doc_id: Column, size: Colum
     """``df`` with ``shard`` (0 to n_shards - 1, near-equal sums of ``size``) and ``slot`` (0, 1, ... in each)."""
     key = F.concat(hex64(F.xxhash64(text)), hex64(F.xxhash64(doc_id)))
     keyed = df.withColumns({"__key": key, "__size": F.coalesce(size.cast("long"), F.lit(0))})
-    cuts, per = splitters(cut_lineage(keyed.select("__key", "__size")), n_shards, tolerance, range_rows)
+    narrow = cut_lineage(keyed.select("__key", "__size"))
+    cuts, per = first_splitters(narrow, n_shards, tolerance, range_rows)
+    narrow_down(cuts, narrow)
+    if tied := sorted({s.prefix for s in cuts if s.tied}):
+        among = F.col("__key").isin(tied)
+        numbered = cut_lineage(keyed.where(among).withColumn("__key", F.concat("__key", hex64(F.monotonically_increasing_id()))))
+        for s in cuts:
+            s.tied = False
+        narrow_down(cuts, numbered.select("__key", "__size"))
+        keyed = keyed.where(~among).union(numbered)
+    in_order(cuts)
     below = [0] + [s.rows_below for s in cuts]
     offsets = [below[i] - below[i - i % per] for i in range(n_shards * per)]
     placed = (
