@@ -190,14 +190,17 @@ def linked_messages(conversations: DataFrame) -> DataFrame:
 
 
 def chats(conversations: DataFrame, segment: int = SEGMENT) -> DataFrame:
-    """(conv_id, segment, n_messages, n_linked, chat): the conversation as text, in rows of at most ``segment`` messages."""
+    """(conv_id, segment, n_messages, n_linked, parent_turns, chat): the conversation as text, in rows of at most ``segment``
+    messages; ``parent_turns`` names the turn that each message answers, comma-joined in the same order (the first: none)."""
     rows = linked_messages(conversations).withColumn("segment", F.floor(F.col("position") / segment))
     one = F.concat(F.lit("<|"), F.col("role"), F.lit("|>\n"), F.col("text"))
     return (rows.groupBy("conv_id", "segment").agg(
         F.count(F.lit(1)).alias("n_messages"), F.count_if(F.col("linked") > 0).alias("n_linked"),
-        F.sort_array(F.collect_list(F.struct("position", one.alias("line")))).alias("__all"))
-        .select("conv_id", "segment", "n_messages", "n_linked", F.array_join(F.col("__all.line"), "\n").alias("chat")))
+        F.sort_array(F.collect_list(F.struct("position", one.alias("line"), F.coalesce(F.col("parent_turn").cast("string"), F.lit("")).alias("parent")))).alias("__all"))
+        .select("conv_id", "segment", "n_messages", "n_linked", F.array_join(F.col("__all.parent"), ",").alias("parent_turns"),
+                F.array_join(F.col("__all.line"), "\n").alias("chat")))
 
 
 def op8(conversations: DataFrame) -> DataFrame:
+    """All conversations as chat rows; extra columns are ignored, the other cases are those of the module."""
     return chats(conversations.select("conv_id", "turn", "role", "text"))

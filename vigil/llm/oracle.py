@@ -40,29 +40,56 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, neighbor_id, distance FROM k WHE
 """
 
 OP8 = r"""
-WITH m AS (
-  SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
-  FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
-l AS (SELECT conv_id, turn, unnest(regexp_split_to_array(text, '\r\n|\n|\r')) AS raw FROM m),
+WITH RECURSIVE m AS (
+  SELECT *, row_number() OVER (ORDER BY conv_id, turn, role, text) AS mid FROM (
+    SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+    FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL)),
+l AS (SELECT mid, conv_id, turn, generate_subscripts(x, 1) AS i, unnest(x) AS raw
+  FROM (SELECT mid, conv_id, turn, regexp_split_to_array(text, '\r\n|\n|\r') AS x FROM m)),
 n AS (
-  SELECT conv_id, turn, length(regexp_replace(regexp_extract(raw, '^(?:[ \t]{0,3}>)+'), '[^>]', '', 'g')) AS level,
+  SELECT mid, conv_id, turn, i, length(regexp_replace(regexp_extract(raw, '^(?:[ \t]{0,3}>)+'), '[^>]', '', 'g')) AS level,
          trim(regexp_replace(lower(regexp_replace(raw, '^(?:[ \t]{0,3}>)+', '')), '[^\p{L}\p{N}\p{M}]+', ' ', 'g')) AS line FROM l),
-said AS (SELECT DISTINCT conv_id, turn, line FROM n WHERE level = 0 AND line <> ''),
-quoted AS (SELECT conv_id, turn, line, min(level) AS level FROM n WHERE level > 0 AND line <> '' GROUP BY ALL),
-linked AS (
-  SELECT q.conv_id, q.turn, count(s.turn) AS linked
-  FROM quoted AS q LEFT JOIN (SELECT q.conv_id, q.turn, q.line, max(s.turn) AS hit FROM quoted AS q
-    JOIN said AS s ON s.conv_id = q.conv_id AND s.line = q.line AND s.turn < q.turn GROUP BY ALL) AS h USING (conv_id, turn, line)
-  LEFT JOIN said AS s ON s.conv_id = q.conv_id AND s.line = q.line AND s.turn = h.hit GROUP BY ALL),
+cuts AS (
+  SELECT *, lag(level) OVER w IS DISTINCT FROM level AS new_run,
+         lag(level) OVER w IS DISTINCT FROM level OR (lag(line) OVER w = '') <> (line = '') AS new_part
+  FROM n WINDOW w AS (PARTITION BY mid ORDER BY i)),
+numbered AS (
+  SELECT *, count(*) FILTER (new_run) OVER w AS run_no, count(*) FILTER (new_part) OVER w AS part_no
+  FROM cuts WINDOW w AS (PARTITION BY mid ORDER BY i)),
+runs AS (SELECT mid, run_no, string_agg(line, ' ' ORDER BY i) AS run FROM numbered WHERE line <> '' GROUP BY ALL),
+parts AS (SELECT mid, part_no, string_agg(line, ' ' ORDER BY i) AS part FROM numbered WHERE line <> '' GROUP BY ALL),
+units AS (SELECT conv_id, turn, level, line, run, part FROM numbered JOIN runs USING (mid, run_no) JOIN parts USING (mid, part_no) WHERE line <> ''),
+said AS (SELECT DISTINCT conv_id, turn, unnest([run, part, line]) AS said FROM units WHERE level = 0),
+asked AS (SELECT DISTINCT conv_id, turn, level, line, unnest([0, 1, 2]) AS rank, unnest([run, part, line]) AS said FROM units WHERE level > 0),
+hits AS (
+  SELECT a.conv_id, a.turn, a.said, max(s.turn) AS hit FROM (SELECT DISTINCT conv_id, turn, said FROM asked) AS a
+  JOIN said AS s ON s.conv_id = a.conv_id AND s.said = a.said AND s.turn < a.turn GROUP BY ALL),
+links AS (
+  SELECT conv_id, turn, line, min(level) AS level, arg_max(hit, (100 - rank, hit)) FILTER (hit IS NOT NULL) AS hit
+  FROM asked LEFT JOIN hits USING (conv_id, turn, said) GROUP BY ALL),
+votes AS (SELECT conv_id, turn, hit, count(*) AS lines, count(*) FILTER (level = 1) AS direct FROM links GROUP BY ALL),
+best AS (
+  SELECT conv_id, turn, coalesce(sum(lines) FILTER (hit IS NOT NULL), 0) AS linked, arg_max(hit, (direct, lines, hit)) FILTER (hit IS NOT NULL) AS hit
+  FROM votes GROUP BY ALL),
+turns AS (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS previous FROM (SELECT DISTINCT conv_id, turn FROM m)),
+replies AS (
+  SELECT conv_id, turn, previous, coalesce(hit, previous) AS parent, coalesce(linked, 0) AS linked FROM turns LEFT JOIN best USING (conv_id, turn)),
+branching AS (SELECT DISTINCT conv_id FROM replies WHERE parent <> previous),
+tree AS (
+  SELECT conv_id, turn, [turn] AS path FROM replies SEMI JOIN branching USING (conv_id) WHERE parent IS NULL
+  UNION ALL
+  SELECT r.conv_id, r.turn, list_append(t.path, r.turn) FROM tree AS t JOIN replies AS r ON r.conv_id = t.conv_id AND r.parent = t.turn),
 p AS (
-  SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS position,
+  SELECT conv_id, turn, role, parent, linked,
+         row_number() OVER (PARTITION BY conv_id ORDER BY coalesce(path, [turn]), role, text) - 1 AS position,
          regexp_replace(regexp_replace(array_to_string(list_filter(regexp_split_to_array(text, '\r\n|\n|\r'),
            lambda x: NOT regexp_matches(x, '^(?:[ \t]{0,3}>)+')), chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS own
-  FROM m)
+  FROM m JOIN replies USING (conv_id, turn) LEFT JOIN tree USING (conv_id, turn))
 SELECT conv_id, CAST(position // 256 AS BIGINT) AS segment, count(*) AS n_messages,
-       CAST(count(*) FILTER (coalesce(linked, 0) > 0) AS BIGINT) AS n_linked,
+       CAST(count(*) FILTER (linked > 0) AS BIGINT) AS n_linked,
+       string_agg(coalesce(CAST(parent AS VARCHAR), ''), ',' ORDER BY position) AS parent_turns,
        string_agg('<|' || role || '|>' || chr(10) || own, chr(10) ORDER BY position) AS chat
-FROM p LEFT JOIN linked USING (conv_id, turn) GROUP BY 1, 2
+FROM p GROUP BY 1, 2
 """
 
 OP1 = r"""
