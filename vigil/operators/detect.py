@@ -3,7 +3,7 @@
 Plan shape (see ``explain``):
 
 * plain rules: one projection evaluates every rule on every event and ``explode``s the hits. No shuffle,
-  whatever the number of rules.
+  whatever the number of rules. Of a large rule set only the groups that hold a candidate (``prefilter``) are evaluated.
 * threshold rules ("N matches per key within W"): only (rule, key, time, id) of the matching events is shuffled and
   counted. A rule's time line is cut in steps of at most W/64 (a minute at most) and blocks of BLOCK steps, and a count over
   [t - W, t] is a difference of two running counts: up to the match itself, and up to the window's start. Each is the
@@ -22,10 +22,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vigil.functions.partitioning import generated
+from vigil.operators.prefilter import UNKNOWN, candidates, needs_of
 from vigil.operators.rules import Compiler, Rule
 from vigil.schema import EVENT_COLUMNS
 
 ID_SEP = "\u0001"
+GROUP = 32                # rules of one group; no candidates are looked for among fewer
 
 
 @dataclass
@@ -33,9 +36,10 @@ class _Plan:
     plain: list          # (ordinal, predicate)
     by_window: dict      # window_us -> [(ordinal, ThresholdSpec)]
     helpers: dict
+    candidates: Column | None = None   # ordinals of the plain rules that can hold, of large rule sets
 
 
-def _plan(rules: list[Rule]) -> _Plan:
+def _plan(rules: list[Rule], group: int = GROUP) -> _Plan:
     comp = Compiler()
     plain, by_window = [], defaultdict(list)
     for i, r in enumerate(rules):
@@ -54,7 +58,12 @@ def _plan(rules: list[Rule]) -> _Plan:
             by_window[w].append((i, spec))
         else:
             plain.append((i, comp.plain_predicate(r)))
-    return _Plan(plain, dict(by_window), comp.helpers)
+    found = None
+    if len(plain) > group:
+        needs = {o: needs_of(rules[o]) for o, _ in plain if not rules[o].is_threshold}
+        fields = {name for n in needs.values() for name, _ in n.any_of or ()}
+        found = candidates({o: needs.get(o, UNKNOWN) for o, _ in plain}, {name: comp._lower(name) for name in fields})
+    return _Plan(plain, dict(by_window), comp.helpers, found)
 
 
 def alert_id(rule_id: Column, rule_name: Column, event_id: Column) -> Column:
@@ -135,10 +144,21 @@ def trailing_count(df: DataFrame, keys: list[str], ts_us: str, row_id: str, wind
     return placed.groupBy(*keys, F.col("_row").alias(row_id)).agg(F.sum(share).cast("long").alias(out))
 
 
-def _plain_hits(ev: DataFrame, plain: list) -> DataFrame:
+def plain_hits(ev: DataFrame, plan: _Plan, group: int = GROUP) -> DataFrame:
     """Hits of the plain rules: one narrow pass."""
-    hits = F.filter(F.array(*[F.when(p, F.lit(o)) for o, p in plain]), lambda x: x.isNotNull())
-    return (ev.select("*", F.explode(hits).alias("rule_ord"))
+    def holding(rules: list) -> Column:
+        return F.filter(F.array(*[F.when(p, F.lit(o)) for o, p in rules]), lambda x: x.isNotNull())
+
+    columns = ev.columns
+    if plan.candidates is None:
+        hits = holding(plan.plain)
+    else:
+        ev = generated(ev.withColumn("_can", plan.candidates), "_can")
+        groups = [plan.plain[i:i + group] for i in range(0, len(plan.plain), group)]
+        none = F.array().cast("array<int>")
+        hits = F.flatten(F.array(*[
+            F.when(F.arrays_overlap("_can", F.array(*[F.lit(o) for o, _ in g])), holding(g)).otherwise(none) for g in groups]))
+    return (ev.select(*columns, F.explode(hits).alias("rule_ord"))
             .withColumns({"group_key": F.lit(None).cast("string"), "match_count": F.lit(None).cast("long")}))
 
 
@@ -156,15 +176,15 @@ def _threshold_hits(ev: DataFrame, by_window: dict) -> DataFrame:
     return matching.join(fired, "id").select(*ev.columns, "rule_ord", "group_key", "match_count")
 
 
-def rule_hits(events: DataFrame, rules: list[Rule]) -> DataFrame:
+def rule_hits(events: DataFrame, rules: list[Rule], group: int = GROUP) -> DataFrame:
     """Event rows that fire, one row per (event, rule): event columns plus
     ``rule_ord`` (index into ``rules``), ``group_key`` and ``match_count``
     (threshold rules only). Matches of equal time count in the order of their event ids."""
-    plan = _plan(rules)
+    plan = _plan(rules, group)
     ev = events.select("*", *[c.alias(k) for k, c in plan.helpers.items()])
-    parts = ([_plain_hits(ev, plan.plain)] if plan.plain else []) + ([_threshold_hits(ev, plan.by_window)] if plan.by_window else [])
+    parts = ([plain_hits(ev, plan, group)] if plan.plain else []) + ([_threshold_hits(ev, plan.by_window)] if plan.by_window else [])
     if not parts:
-        parts = [_plain_hits(ev, [(0, F.lit(False))])]
+        parts = [plain_hits(ev, _Plan([(0, F.lit(False))], {}, {}))]
     out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     return out.drop(*plan.helpers.keys())
 

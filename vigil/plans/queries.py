@@ -352,6 +352,35 @@ def detect_conditions(spark, sf):
     return _alerts(spark, sf, rules).select("event_id", "rule_id")
 
 
+def _numbered_rule(i: int) -> dict:
+    """One of many rules, of four forms: a text, an ending, two texts on a host, one of two blocks."""
+    detection = [
+        {"selection": {"message|contains": f"u{i} "}},
+        {"selection": {"message|endswith": f".4.{i // 4}"}},
+        {"selection": {"message": [f"port {i}", f"segments {i}"], "hostname": f"web{i % 10:02d}"}, "filter": {"message|contains": "invalid"},
+         "condition": "selection and not filter"},
+        {"selection_a": {"message|startswith": f"u{i // 4} :"}, "selection_b": {"message|contains": f"kept {i // 4} "}, "condition": "1 of selection_*"},
+    ][i % 4]
+    return {"title": f"rule {i}", "id": f"m-{i}", "detection": detection}
+
+
+MANY_RULES = 200
+
+
+@register("detect_many_rules", O.with_events(f"""
+mr AS (SELECT i, CAST(i AS VARCHAR) AS t, CAST(i // 4 AS VARCHAR) AS f FROM range({MANY_RULES}) AS r(i))
+SELECT eid AS event_id, concat('m-', t) AS rule_id FROM n JOIN mr ON CASE i % 4
+  WHEN 0 THEN contains(lower(message), concat('u', t, ' '))
+  WHEN 1 THEN ends_with(lower(message), concat('.4.', f))
+  WHEN 2 THEN (contains(lower(message), concat('port ', t)) OR contains(lower(message), concat('segments ', t)))
+       AND contains(lower(hostname), concat('web', lpad(CAST(i % 10 AS VARCHAR), 2, '0'))) AND NOT contains(lower(message), 'invalid')
+  ELSE starts_with(lower(message), concat('u', f, ' :')) OR contains(lower(message), concat('kept ', f, ' ')) END"""))
+def detect_many_rules(spark, sf):
+    """Two hundred rules at once: candidates by one pattern a field, then the candidates' own predicates."""
+    rules = [load_rule(_numbered_rule(i)) for i in range(MANY_RULES)]
+    return _alerts(spark, sf, rules).select("event_id", "rule_id")
+
+
 THRESHOLD_RULE = {
     "title": "Repeated logins per user", "id": "t-01", "level": "high",
     "detection": {

@@ -28,7 +28,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from vigil.functions.timeparse import now_literal
 from vigil.operators.builtin import builtin_rules
-from vigil.operators.detect import _plan, _rule_meta, alert_id
+from vigil.operators.detect import _plan, _rule_meta, alert_id, plain_hits
 from vigil.operators.normalize import normalize, split_valid
 from vigil.operators.rules import Rule
 from vigil.operators.sinks import Sink, fan_out
@@ -115,8 +115,7 @@ def stream_alerts(events: DataFrame, rules: list[Rule], keep: tuple[str, ...] =
     columns = ["id", "timestamp", "source", "hostname", "rule_ord", "match_count", *keep]
     parts = []
     if plan.plain:
-        hits = F.filter(F.array(*[F.when(p, F.lit(o)) for o, p in plan.plain]), lambda x: x.isNotNull())
-        parts.append(ev.select("*", F.explode(hits).alias("rule_ord"), F.lit(None).cast("long").alias("match_count")).select(*columns))
+        parts.append(plain_hits(ev, plan).select(*columns))
     if plan.by_window:
         found = F.filter(F.array(*[
             F.when(s.match, F.struct(F.lit(o).alias("o"), s.key.cast("string").alias("k"), F.lit(s.need).alias("n"), F.lit(w).cast("long").alias("w")))
