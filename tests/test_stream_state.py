@@ -110,3 +110,64 @@ def test_in_order_counts_are_exact_and_a_hot_key_spreads():
     assert runner.largest < 20  # a task group holds one time of the key, not its batch
     fired |= runner.batch(rows[2000:], 10**9)
     assert fired == plain(rows, 100_000, 4)
+
+
+class Counting(Store):
+    """A handle that counts the calls to its map states."""
+
+    def __init__(self):
+        super().__init__()
+        self.calls = 0
+
+    def getMapState(self, *_):
+        def counted(f):
+            def call(*a):
+                self.calls += 1
+                return f(*a)
+            return call
+        d = {}
+        return SimpleNamespace(d=d, containsKey=counted(d.__contains__), getValue=counted(d.__getitem__), updateValue=counted(d.__setitem__), removeKey=counted(d.pop))
+
+
+@pytest.mark.parametrize("batches", [1, 3])
+def test_a_backlog_of_months_needs_few_calls_to_the_state(batches):
+    """3000 matches of 20 keys over 139 days: buckets hold many keys and times, panes are as wide as the rows are few."""
+    r = random.Random(batches)
+    w, need, timer = 60_000_000, 3, SimpleNamespace(getCurrentWatermarkInMs=lambda: 0)
+    rows = sorted(((f"k{r.randint(0, 19)}", b * 4_000_000_000 + r.randint(0, 40) * 1_000_000, f"{b}-{i}")
+                   for b in range(3000) for i in range(5)), key=lambda x: x[1:])
+    kept, fired, handles = {}, {}, []
+
+    def processor(kind, key):
+        if (kind, key) not in kept:
+            kept[kind, key] = kind()
+            handles.append(Counting())
+            kept[kind, key].init(handles[-1])
+        return kept[kind, key]
+
+    size = -(-len(rows) // batches)
+    for at in range(0, len(rows), size):
+        part, buckets = rows[at:at + size], {}
+        for k, t, tie in part:
+            buckets.setdefault((1, t // 1_000_000 % 4), []).append((k, t, tie, f"row {tie}", None))
+        for k in {x[0] for x in part}:
+            df = pd.DataFrame({"ev_us": [x[1] for x in part if x[0] == k], "th_need": need, "th_window": w})
+            for out in processor(TimeCounts, (1, k)).handleInputRows((1, k), iter([df]), timer) or ():
+                for t, b in zip(out["ev_us"], out["before"]):
+                    buckets.setdefault((1, int(t) // 1_000_000 % 4), []).append((k, int(t), None, None, int(b)))
+        for key, items in buckets.items():
+            df = pd.DataFrame(items, columns=["group_key", "ev_us", "ev_tie", "ev_row", "before"]).assign(th_need=need)
+            for out in processor(WaitingMatches, key).handleInputRows(key, iter([df]), timer):
+                assert (out["ev_row"] == "row " + out["ev_tie"]).all() and not fired.keys() & set(out["ev_tie"])
+                fired |= {tie: int(n) for tie, n in zip(out["ev_tie"], out["match_count"])}
+    own = {}
+    for k, t, tie in rows:
+        own.setdefault(k, []).append((k, t, tie))
+    want = {}
+    for k, items in own.items():
+        for i, (_, t, tie) in enumerate(items):
+            n = sum(1 for x in items[max(0, i - 300):i + 1] if x[1] >= t - w)
+            if n >= need:
+                want[tie] = n
+    assert want and fired == want
+    assert sum(h.calls for h in handles) < len(rows) / 2  # one value for each time took several for each row

@@ -6,9 +6,10 @@ order but inside the watermark are counted and compared like the others.
 
 Threshold counting has two stages. ``TimeCounts`` sees only times: per (rule, group key) it keeps how many matches fell
 on each time, in panes of a window's length of which a micro-batch reads and writes those it touches, and tells every time
-whose count may reach the threshold how many matches its window holds before it. ``WaitingMatches`` is keyed by the time
-as well, so the rows of a hot key spread over its times; it holds the matches of that time with their payload until
-they fire or the watermark passes them.
+whose count may reach the threshold how many matches its window holds before it. ``WaitingMatches`` is keyed by a hash of
+key and time, so the rows of a hot key spread over its times and those of many keys share a group; it holds the matches with
+their payload until they fire or the watermark passes them. Calls to the state are what a group costs, so both stages keep
+whole panes of time as one value and choose their width by the rows (a backlog of months has few panes).
 
 A key's rows are ordered by (time, tie), so the threshold alerts are the batch's whatever the order of arrival. What
 was sent stays sent: ``match_count`` is that of the moment, and a dispatch is not
@@ -17,6 +18,7 @@ taken back when an earlier alert comes later.
 
 from __future__ import annotations
 
+import pickle
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 
@@ -50,7 +52,19 @@ def _watermark_us(timer_values: TimerValues) -> int:
     return ms * 1000 if ms > 0 else -(1 << 62)
 
 
-LEAST_PANE = 1_000_000  # microseconds
+LEAST_PANE = 1_000_000       # microseconds
+LONGEST_PANE = 86_400_000_000
+PANE_ROWS = 4096             # what a pane of a backlog is to hold
+BUCKETS = 512                # groups of the second stage for each rule
+
+
+def _pane_width(times: np.ndarray, least: int) -> int:
+    """Width of a key's panes, fixed by its first micro-batch: the least one, doubled while a pane of this batch holds few rows, so
+    that the calls to the state grow with the rows and not with the time that a backlog spans."""
+    width, span = least, int(times.max()) - int(times.min())
+    while width < LONGEST_PANE and 2 * width * len(times) <= PANE_ROWS * span:
+        width *= 2
+    return width
 
 
 class TimeCounts(StatefulProcessor):
@@ -78,17 +92,18 @@ class TimeCounts(StatefulProcessor):
                 new, n = _summed(np.concatenate([new, part["ev_us"].to_numpy(np.int64)]), np.concatenate([n, np.ones(len(part), np.int64)]))
         if not len(new):
             return
-        pane = max(w, LEAST_PANE)
+        if not self.width.exists():
+            self.width.update((_pane_width(new, max(w, LEAST_PANE)),))
+        pane = self.width.get()[0]
         touched = np.unique(new // pane).tolist()
         old = {p: self._pane(p) for p in sorted({q for p in touched for q in (p - 1, p, p + 1)})}
-        if not self.width.exists():
-            self.width.update((pane,))
         for p in touched:
             own = new // pane == p
             if not len(old[p][0]):
                 self.handle.registerTimer(min(((p + 2) * pane) // 1000 + 1, 1 << 53))
             old[p] = _summed(np.concatenate([old[p][0], new[own]]), np.concatenate([old[p][1], n[own]]))
-            self.panes.updateValue((p,), (old[p][0].tobytes(), old[p][1].tobytes()))
+            met = old[p][0] >= _watermark_us(timerValues) - w  # by rows that the watermark still lets in
+            self.panes.updateValue((p,), (old[p][0][met].tobytes(), old[p][1][met].tobytes()))
         times = np.concatenate([t for t, _ in old.values()])
         count = np.concatenate([c for _, c in old.values()])
         running = np.concatenate([[0], np.cumsum(count)])
@@ -117,50 +132,81 @@ def _summed(times: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 class WaitingMatches(StatefulProcessor):
-    """Per (rule, group key, time): its matches, and how many its window holds before them.
+    """Matches by (group key, time), and how many the window of each holds before them.
 
-    Input columns: ``ev_tie`` and ``ev_row`` (payload) of a match, or ``before``; ``th_need``. Emits a match, with
-    ``match_count``, once its count of matches in [t - W, t] (itself included) reaches ``th_need``."""
+    A group is a bucket of a rule's (group key, time) pairs, whose state is kept in panes of time. Input columns: ``group_key``
+    and ``ev_us`` (taken from the group's key (rule, group key, time) where it names them), ``ev_tie`` and ``ev_row`` (payload)
+    of a match, or ``before``; ``th_need``. Emits a match, with ``match_count``, once its count of matches in [t - W, t]
+    (itself included) reaches ``th_need``."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.seen = handle.getListState("seen", "tie string, waiting string")
-        self.before = handle.getValueState("before", "n long")
+        self.panes = handle.getMapState("panes", "pane long", "held binary")
+        self.width = handle.getValueState("width", "us long")
 
     def handleInputRows(self, key, rows, timerValues: TimerValues):
-        t = int(key[2])
-        before = self.before.get()[0] if self.before.exists() else -1
-        told, need, new = before, 0, []
+        new, need = [], 0
         for part in rows:
-            match = part["ev_tie"].notna()
-            new += list(zip(part["ev_tie"][match], part["ev_row"][match]))
-            need = int(part["th_need"].iloc[0]) if len(part) else need
-            if not match.all():
-                told = max(told, int(part["before"][~match].max()))
-        old = [(r[0], r[1]) for r in self.seen.get()] if self.seen.exists() else []
-        every = sorted(old + new, key=lambda r: r[0])
-        fires = [row is not None and told >= 0 and told + i + 1 >= need for i, (_, row) in enumerate(every)]
-        if new or any(fires):
-            self.seen.put([(tie, None if f else row) for (tie, row), f in zip(every, fires)])
-        if new and not old:
-            self.handle.registerTimer(t // 1000 + 1)
-        if told > before:
-            self.before.update((told,))
-        if any(fires):
-            out = pd.DataFrame([(t, tie, row, told + i + 1) for i, ((tie, row), f) in enumerate(zip(every, fires)) if f],
-                               columns=["ev_us", "ev_tie", "ev_row", "match_count"])
+            if len(part):
+                need = int(part["th_need"].iloc[0])
+                names = part["group_key"] if "group_key" in part else [key[1]] * len(part)
+                times = part["ev_us"] if "ev_us" in part else [int(key[2])] * len(part)
+                before = part["before"].astype("float64").fillna(-1).astype("int64")
+                new += zip(names, times, part["ev_tie"], part["ev_row"], before)
+        if not new:
+            return
+        if not self.width.exists():
+            self.width.update((_pane_width(np.array([r[1] for r in new], np.int64), LEAST_PANE),))
+        width, mark = self.width.get()[0], _watermark_us(timerValues)
+        panes: dict[int, list] = {}
+        for r in new:
+            panes.setdefault(int(r[1]) // width, []).append(r)
+        out = []
+        for p in sorted(panes):
+            known = self.panes.containsKey((p,))
+            held = pickle.loads(bytes(self.panes.getValue((p,))[0])) if known else {}  # (group key, time) -> [before, matches]
+            changed = set()
+            for name, t, tie, row, before in panes.pop(p):
+                at = (name, int(t))
+                entry = held.setdefault(at, [-1, []])
+                if before >= 0:
+                    entry[0] = max(entry[0], before)
+                else:
+                    entry[1].append((tie, row))
+                changed.add(at)
+            for at in changed:
+                out += [(at[1], *fired) for fired in _fire(held[at], need)]
+            held = {at: entry for at, entry in held.items() if at[1] // 1000 * 1000 + 1000 > mark}
+            self.panes.updateValue((p,), (pickle.dumps(held, 5),))
+            if not known:
+                self.handle.registerTimer(min(((p + 1) * width) // 1000 + 1, 1 << 53))
+        if out:
+            out = pd.DataFrame(out, columns=["ev_us", "ev_tie", "ev_row", "match_count"])
             out.insert(0, "timestamp", pd.to_datetime(out["ev_us"], unit="us", utc=True))
             yield out
 
     def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo):
-        self.seen.clear()
-        self.before.clear()
+        p = ((expiredTimerInfo.getExpiryTimeInMs() - 1) * 1000 + 999) // self.width.get()[0] - 1
+        if self.panes.containsKey((p,)):
+            self.panes.removeKey((p,))
         return iter([])
 
     def close(self) -> None:
         pass
 
 
+def _fire(entry: list, need: int) -> list[tuple]:
+    """(tie, payload, count) of the waiting matches of a time that reach ``need``; they stay in ``entry`` without payload."""
+    before, matches = entry
+    if before < 0:
+        return []
+    matches.sort(key=lambda m: m[0])
+    fired = [(i, tie, row) for i, (tie, row) in enumerate(matches) if row is not None and before + i + 1 >= need]
+    for i, tie, _ in fired:
+        matches[i] = tie, None
+    return [(tie, row, before + i + 1) for i, tie, row in fired]
+
+
 class DedupProcessor(StatefulProcessor):
     """Per dedup key: times of the dispatches that an alert inside the watermark can still meet. Adds ``dispatched``."""
 
@@ -221,10 +267,11 @@ def stream_threshold(hits: DataFrame, tie: str) -> DataFrame:
               .transformWithStateInPandas(TimeCounts(), _keyed(told, d, keys), "Append", "EventTime", eventTimeColumnName="timestamp"))
     matches = d.select(*keys, "timestamp", "ev_us", "ev_tie", F.to_json(F.struct(*[f.name for f in payload]), exact).alias("ev_row"),
                        F.lit(None).cast("long").alias("before"), F.col("th_need").cast("long").alias("th_need"))
-    both = matches.unionByName(counts, allowMissingColumns=True)
+    both = matches.unionByName(counts, allowMissingColumns=True).withColumn(
+        "bucket", F.pmod(F.xxhash64("group_key", "ev_us"), F.lit(BUCKETS)))
     out = T.StructType([d.schema["timestamp"], d.schema["ev_us"], T.StructField("ev_tie", T.StringType()), T.StructField("ev_row", T.StringType()),
                         T.StructField("match_count", T.LongType())])
-    fired = both.groupBy(*keys, "ev_us").transformWithStateInPandas(WaitingMatches(), out, "Append", "EventTime", eventTimeColumnName="timestamp")
+    fired = both.groupBy("rule_ord", "bucket").transformWithStateInPandas(WaitingMatches(), out, "Append", "EventTime", eventTimeColumnName="timestamp")
     row = F.from_json("ev_row", T.StructType([T.StructField(f.name, f.dataType) for f in payload]), exact)
     return fired.withColumn("__row", row).select("timestamp", "ev_us", "ev_tie", "match_count", "__row.*")
 
