@@ -241,3 +241,38 @@ def test_pages_by_cursor_equal_pages_by_offset_and_read_few_days(spark, tmp_dir)
     oldest, newest = [re.search(rf"event_date#\d+ {op} (\d{{4}}-\d\d-\d\d)\)", plan.split("PartitionFilters: ")[1])[1] for op in (">=", "<=")]
     assert "2024-01-28" < oldest <= newest == "2024-01-31" and late.count() == 10
     assert Q.page_after(table, [], None).count() == 0 and Q.page_cursor(Q.page_after(table, [], None)) is None
+
+
+def test_append_deals_whole_rows_once_and_a_date_has_few_files(spark, tmp_dir):
+    """One exchange for first-wins, the join with stored ids and the write; without adaptive execution too (streams have none)."""
+    import glob
+    import re as _re
+
+    from vigil.operators.store import SLICES, _stored_or_none, dealt_new_rows
+    from vigil.schema import ALERT_NOT_NULL, STORED_ALERT
+    from vigil.operators.store import append_alerts, to_stored_alerts
+    day = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
+    alerts = (spark.range(0, 4000, 1, 16).withColumn("timestamp", F.timestamp_seconds(F.lit(int(day.timestamp())) + F.col("id") % 3 * 86400))
+              .select(F.sha2(F.col("id").cast("string"), 256).alias("id"), F.lit("r").alias("rule_id"), F.lit("r").alias("rule_name"),
+                      F.lit("low").alias("severity"), F.lit("e").alias("event_id"), "timestamp", F.lit("d").alias("description")))
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        assert append_alerts(spark, alerts.unionByName(alerts).where("id < 'c'"), f"{tmp_dir}/alerts") == alerts.where("id < 'c'").count()
+        files = glob.glob(f"{tmp_dir}/alerts/event_date=*/*.parquet")
+        assert 3 <= len(files) <= 3 * SLICES
+        add = dealt_new_rows(to_stored_alerts(alerts), _stored_or_none(spark, f"{tmp_dir}/alerts", STORED_ALERT), ALERT_NOT_NULL)
+        assert len(_re.findall("Exchange", add._jdf.queryExecution().executedPlan().toString())) == 1
+        assert append_alerts(spark, alerts, f"{tmp_dir}/alerts") == alerts.where("id >= 'c'").count()
+        assert append_alerts(spark, alerts, f"{tmp_dir}/alerts") == 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    assert spark.read.parquet(f"{tmp_dir}/alerts").select("id").distinct().count() == 4000
+
+
+def test_append_reads_stored_ids_of_the_named_dates_only(spark, tmp_dir):
+    ev = ten_events(spark)
+    assert append_events(spark, ev, f"{tmp_dir}/events", [T0.date()]) == 10
+    assert append_events(spark, ev, f"{tmp_dir}/events", [T0.date()]) == 0

@@ -2,9 +2,9 @@
 
 Tables are Parquet, partitioned by ``event_date``. Ids are deterministic and
 an event's id determines its time, so a duplicate can only sit in the same
-date partition: the anti-join against stored rows is on (id, event_date),
-letting dynamic partition pruning read only the dates of the new batch
-instead of the whole history. Events are stored with the JSON text of their
+date partition. An append is one exchange: rows and the ids stored already meet by
+date and slice of a date, each id is told once there, and the same tasks write
+the date's files. Events are stored with the JSON text of their
 parsed fields and, decoded once when written, with typed columns that scans read.
 """
 
@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from vigil.schema import ALERT_NOT_NULL, EVENT_NOT_NULL, EVENT_TABLE, GEO_ENTRY, STORED_ALERT
+from vigil.functions.partitioning import generated
+from vigil.schema import ALERT_NOT_NULL, EVENT_COLUMNS, EVENT_NOT_NULL, EVENT_TABLE, GEO_ENTRY, STORED_ALERT
 from pyspark.sql import types as T
 
 
@@ -47,14 +48,14 @@ def parsed_json(pf: Column, ips: Column, geo: Column) -> Column:
     )
 
 
-def to_stored_events(events: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """EVENT rows -> rows of the events table (+ ``event_date`` partition column)."""
+def to_stored_events(events: DataFrame, keep: tuple[str, ...] = (), date: Column | None = None) -> DataFrame:
+    """EVENT rows -> rows of the events table (+ ``event_date`` partition column, ``date`` where it is known)."""
     return events.select(*keep,
         "id", "timestamp", "source", "hostname", "severity", "message",
         F.col("raw").alias("raw_json"),
         parsed_json(F.col("parsed_fields"), F.col("ip_addresses"), F.col("geo")).alias("parsed_json"),
         *typed_columns(F.col("parsed_fields"), F.col("ip_addresses"), F.col("geo")),
-        F.to_date("timestamp").alias("event_date"),
+        (F.to_date("timestamp") if date is None else date).alias("event_date"),
     )
 
 
@@ -129,15 +130,35 @@ def _stored_or_none(spark: SparkSession, path: str, schema: T.StructType) -> Dat
 
 
 _WRITERS = threading.Lock()
+SLICES = 8                # tasks that write a date's rows of one append, at most
 
 
-def _append(spark: SparkSession, rows: DataFrame, path: str, not_null, schema: T.StructType) -> int:
+def dealt_new_rows(incoming: DataFrame, existing: DataFrame | None, not_null) -> DataFrame:
+    """``new_rows`` of rows with ``event_date`` in one exchange of whole rows, which deals them the way they are written: by date
+    and slice of a date. Stored rows come along as bare ids, so they are joined without dealing the new ones again."""
+    columns = incoming.columns
+    for c in not_null:
+        incoming = incoming.filter(F.col(c).isNotNull())
+    row = F.struct(*[c for c in columns if c not in ("id", "event_date")])
+    rows = incoming.select("id", "event_date", row.alias("_row"))
+    if existing is not None:
+        rows = rows.unionByName(existing.select("id", "event_date", F.lit(None).cast(rows.schema["_row"].dataType).alias("_row")))
+    dealt = rows.withColumn("_slice", F.pmod(F.xxhash64("id"), F.lit(SLICES))).repartition("event_date", "_slice")
+    once = dealt.groupBy("event_date", "_slice", "id").agg(F.first("_row").alias("_row"), F.bool_or(F.col("_row").isNull()).alias("_known"))
+    return once.where("not _known").select("id", "event_date", "_row.*").select(*columns)
+
+
+def _append(spark: SparkSession, rows: DataFrame, path: str, not_null, schema: T.StructType, stored_form=None, dates=None) -> int:
     """Idempotent append; the row count comes from an observed metric of the
-    write itself (no cache, no second pass). Rows are dealt by date before the write, so that an append leaves few
-    files; a day with many rows is split by Spark's rebalancing."""
-    add = new_rows(rows, _stored_or_none(spark, path, schema), not_null)
+    write itself (no cache, no second pass). ``stored_form`` is applied to the rows that are left, after the exchange;
+    ``dates``, all that the rows can have, spares reading the ids of others."""
+    existing = _stored_or_none(spark, path, schema)
+    if existing is not None and dates is not None:
+        existing = existing.where(F.col("event_date").isin(dates))
+    add = dealt_new_rows(rows, existing, not_null)
+    add = add if stored_form is None else stored_form(add)
     obs = Observation("vigil_append")
-    add = add.observe(obs, F.count(F.lit(1)).alias("rows")).hint("rebalance", F.col("event_date"))
+    add = add.observe(obs, F.count(F.lit(1)).alias("rows"))
     with _WRITERS:  # queries of one driver that append to one folder would clear each other's uncommitted files
         add.write.mode("append").partitionBy("event_date").parquet(path)
     return _observed(obs)
@@ -151,11 +172,12 @@ def _observed(obs: Observation) -> int:
         return 0
 
 
-def append_events(spark: SparkSession, events: DataFrame, path: str) -> int:
-    """Store EVENT rows into the events table (INSERT OR IGNORE by id).
+def append_events(spark: SparkSession, events: DataFrame, path: str, dates: list[_dt.date] | None = None) -> int:
+    """Store EVENT rows into the events table (INSERT OR IGNORE by id). ``dates``: those of the events, if the caller knows them.
 
     Returns the number of rows written."""
-    return _append(spark, to_stored_events(events), path, EVENT_NOT_NULL, EVENT_TABLE)
+    rows = events.select(*EVENT_COLUMNS, F.to_date("timestamp").alias("event_date"))
+    return _append(spark, rows, path, EVENT_NOT_NULL, EVENT_TABLE, lambda new: to_stored_events(new, date=F.col("event_date")), dates)
 
 
 def append_alerts(spark: SparkSession, alerts: DataFrame, path: str) -> int:

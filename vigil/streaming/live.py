@@ -164,7 +164,8 @@ def start_events(spark: SparkSession, sources: list[LiveSource], events_path: st
                 good, bad = split_valid(events)
                 # a folder for each source: queries that write at one time to one folder clear each other's uncommitted files
                 bad.select(event_text().alias("value")).write.mode("append").text(f"{quarantine}/source={source.name}")
-                append_events(good.sparkSession, good, events_path)
+                dates = [r[0] for r in good.select(F.to_date("timestamp")).distinct().collect()]
+                append_events(good.sparkSession, good, events_path, dates)
             finally:
                 events.unpersist()
 
