@@ -276,3 +276,14 @@ def test_append_reads_stored_ids_of_the_named_dates_only(spark, tmp_dir):
     ev = ten_events(spark)
     assert append_events(spark, ev, f"{tmp_dir}/events", [T0.date()]) == 10
     assert append_events(spark, ev, f"{tmp_dir}/events", [T0.date()]) == 0
+
+
+def test_a_json_object_is_decoded_once_a_row(spark):
+    """Its fields are read from one decoded object: a plan that decodes it field by field holds from_json for each."""
+    from vigil.operators.store import alert_from_json
+    rows = event_from_json(event_json(ten_events(spark)))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(StructField(") == 1
+    alerts = alert_from_json(spark.createDataFrame([('{"id": "a", "event": {"id": "e", "message": "m"}}',)], "value string"))
+    r = alerts.first()
+    assert (r["id"], r["event_id"], r["event"]["message"], r["event"]["hostname"]) == ("a", "e", "m", "unknown")

@@ -233,11 +233,19 @@ _ALERT_JSON = T.StructType(
     [T.StructField(n, T.StringType()) for n in ("id", "rule_id", "rule_name", "severity", "event", "timestamp", "description")])
 
 
-def event_columns(text: Column) -> list[Column]:
-    """EVENT columns of a JSON object, with the defaults: hostname 'unknown', severity parsed (unknown -> low),
+def _object(df: DataFrame, text: Column) -> DataFrame:
+    """``df`` with ``_o``, the JSON object of ``text``, and ``_m``, its parsed fields, each decoded once a row: read straight from
+    ``from_json``, every field would be a decoding of its own."""
+    df = generated(df.select("*", F.from_json(text, _EVENT_JSON).alias("_o")), "_o")
+    fields = F.from_json(F.nullif(F.col("_o.parsed_fields"), F.lit("")), "map<string,string>")
+    return generated(df.select("*", fields.alias("_m")), "_m")
+
+
+def _event_columns(text: Column) -> list[Column]:
+    """EVENT columns of the decoded object (``_object``), with the defaults: hostname 'unknown', severity parsed (unknown -> low),
     raw = message, no parsed fields -> empty map, no id -> a hash of the object's text."""
     from vigil.functions.text import parse_severity
-    o = F.from_json(text, _EVENT_JSON)
+    o = F.col("_o")
     return [
         F.coalesce(o["id"], F.sha2(text, 256)).alias("id"),
         F.to_timestamp(o["timestamp"]).alias("timestamp"),
@@ -246,22 +254,23 @@ def event_columns(text: Column) -> list[Column]:
         parse_severity(F.coalesce(o["severity"], F.lit("low"))).alias("severity"),
         o["message"].alias("message"),
         F.coalesce(o["raw"], o["message"]).alias("raw"),
-        *parsed_columns(o["parsed_fields"]),
+        *typed_columns(F.col("_m")),
     ]
 
 
 def event_from_json(df: DataFrame, col: str = "value") -> DataFrame:
     """JSON objects -> EVENT rows."""
-    return df.select(*event_columns(F.col(col)))
+    rows = generated(df.select(F.col(col).alias("_text")), "_text")
+    return _object(rows, F.col("_text")).select(*_event_columns(F.col("_text")))
 
 
 def alert_from_json(df: DataFrame, col: str = "value") -> DataFrame:
     """JSON objects -> ALERT rows, the event nested; the defaults are those of events (severity unknown -> low, no
     id -> a hash of the object's text)."""
     from vigil.functions.text import parse_severity
-    a = F.from_json(F.col(col), _ALERT_JSON)
-    rows = df.select(F.col(col).alias("_text"), a.alias("_a"))
-    event = F.struct(*event_columns(F.col("_a.event")))
+    rows = generated(df.select(F.col(col).alias("_text")), "_text")
+    rows = _object(generated(rows.select("_text", F.from_json("_text", _ALERT_JSON).alias("_a")), "_a"), F.col("_a.event"))
+    event = F.struct(*_event_columns(F.col("_a.event")))
     return rows.select(
         F.coalesce(F.col("_a.id"), F.sha2(F.col("_text"), 256)).alias("id"), F.col("_a.rule_id").alias("rule_id"),
         F.col("_a.rule_name").alias("rule_name"),

@@ -129,9 +129,16 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ``events`` table dealt evenly: its rows are a few bytes each and the lines built from them many times that, so the
+    splits of its file are too few and too uneven for the work that follows."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return load(spark, sf_dir, "events").select(*COLUMNS).repartition(n, "event_id")
+
+
 def log_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(event_id, log_ts, source, hostname, process, message, line, dirty, ts, value, props)."""
-    return spark.sql(spark_view_sql(), events=load(spark, sf_dir, "events").select(*COLUMNS))
+    return spark.sql(spark_view_sql(), events=_events(spark, sf_dir))
 
 
 def log_lines(spark: SparkSession, sf_dir: str, source: str | None = None) -> DataFrame:
@@ -145,4 +152,4 @@ def log_lines(spark: SparkSession, sf_dir: str, source: str | None = None) -> Da
 def json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(event_id, value) NDJSON lines; the messages hold no double quote or backslash, so they need no escapes."""
     sql = _fill(_JSON, SPARK_PARTS | {"VIEW": spark_view_sql()})
-    return spark.sql(sql, events=load(spark, sf_dir, "events").select(*COLUMNS)).withColumnRenamed("line", "value")
+    return spark.sql(sql, events=_events(spark, sf_dir)).withColumnRenamed("line", "value")
