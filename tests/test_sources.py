@@ -190,3 +190,14 @@ def test_a_source_that_fails_while_read_leaves_the_others(spark, tmp_dir):
     rows = {r["source"]: r for r in failures.collect()}
     assert set(rows) == {"bad", "none"} and rows["bad"]["path"].endswith("/bad") and rows["bad"]["error"]
     assert fan_in_staged(spark, configs[:1], f"{tmp_dir}/again")[0] is None
+
+
+def test_partitions_of_an_aggregation_grow_with_the_input(spark, tmp_dir):
+    """Rows are dealt to partitions in number of the input's splits, each key to one of them, whatever shuffle.partitions says."""
+    from vigil.functions.partitioning import spread_by_input
+    spark.range(0, 100, 1, 5).selectExpr("cast(id as string) value").write.text(f"{tmp_dir}/t")
+    read = spark.read.text(f"{tmp_dir}/t")
+    dealt = spread_by_input(read.unionByName(read), [read, read], "value", per_split=3)
+    assert dealt.rdd.getNumPartitions() == 6 * read.rdd.getNumPartitions()
+    held = dealt.rdd.mapPartitionsWithIndex(lambda i, rows: [(r["value"], i) for r in rows]).distinct().collect()
+    assert len(held) == 100

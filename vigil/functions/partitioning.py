@@ -31,3 +31,9 @@ def generated(df: DataFrame, col: str, cond=None, out: str | None = None) -> Dat
     arr = F.array(F.col(col))
     gen = arr if cond is None else F.when(cond, arr).otherwise(F.array().cast(T.ArrayType(t)))
     return df.select(*[c for c in df.columns if c != col], F.explode(gen).alias(out or col))
+
+
+def spread_by_input(df: DataFrame, read: list[DataFrame], *keys: str, per_split: int = 8) -> DataFrame:
+    """``df`` dealt by ``keys`` to some partitions for every input split of ``read``, so that what a task holds of an aggregation
+    by ``keys`` stays the same however large the input. (Spark would fix the number, or merge partitions by their compressed bytes.)"""
+    return df.repartition(max(per_split * sum(r.rdd.getNumPartitions() for r in read), 1), *keys)

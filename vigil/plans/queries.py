@@ -16,6 +16,7 @@ from itertools import groupby
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vigil.functions.partitioning import spread_by_input
 from vigil.operators import query as Q
 from vigil.operators.builtin import builtin_rule, builtin_rules
 from vigil.operators.dedup import dedup, dispatch_stats, dispatched
@@ -204,8 +205,10 @@ def file_sources(spark, sf):
         {"type": "syslog", "path": f"{folder}/syslog", "year": derived.LOG_YEAR, "now": derived.FALLBACK},
         {"type": "auth", "path": f"{folder}/auth", "year": derived.LOG_YEAR, "now": derived.FALLBACK},
         {"type": "json", "path": f"{folder}/json", "now": derived.FALLBACK}])
-    return ev.groupBy("source", "hostname", "severity").agg(
-        F.count(F.lit(1)).alias("events"), F.count_distinct("id").alias("ids"), F.max(ts_us()).alias("newest"))
+    read = [spark.read.text(f"{folder}/{kind}") for kind in ("syslog", "auth", "json")]
+    groups = ["source", "hostname", "severity"]
+    ids = spread_by_input(ev.select(*groups, "id", ts_us().alias("ts")), read, *groups, "id")  # each id is told in one task
+    return ids.groupBy(*groups).agg(F.count(F.lit(1)).alias("events"), F.count_distinct("id").alias("ids"), F.max("ts").alias("newest"))
 
 
 # ----------------------------------------------------------------- normaliser
