@@ -1,6 +1,7 @@
 import datetime as dt
 
 from conftest import UTC, lines_df
+from pyspark.sql import functions as F
 from vigil.sources.lines import clean_lines, parse_auth, parse_syslog
 from vigil.sources.ndjson import parse_ndjson
 from vigil.sources.fanin import fan_in
@@ -201,3 +202,27 @@ def test_partitions_of_an_aggregation_grow_with_the_input(spark, tmp_dir):
     assert dealt.rdd.getNumPartitions() == 6 * read.rdd.getNumPartitions()
     held = dealt.rdd.mapPartitionsWithIndex(lambda i, rows: [(r["value"], i) for r in rows]).distinct().collect()
     assert len(held) == 100
+
+
+def test_auth_lines_without_a_patterns_text_are_not_searched_for_it(spark):
+    """A long word is read once, not from each of its places; every pattern still finds what it found before."""
+    import time
+
+    from vigil.functions.text import group_at, regex_split
+    from vigil.sources.lines import AUTH_GROUPS, with_auth_matches
+    texts = ["Failed password for invalid user bob from 10.0.0.1 port 22 ssh2", "x: Failed password for al from h port 1",
+             "Failed password for", "Accepted publickey for al from ::1 port 9", "Accepted token for al from ::1 port 9",
+             "al : TTY=pts/0 ; PWD=/ ; USER=root ; COMMAND=/bin/ls -l", "a:TTY=x;PWD=y;USER=z;COMMAND=c", "TTY=pts/0 ; PWD=/",
+             "new user: name=eve, UID=7", "new user: name=eve", "delete user 'eve'", "delete user eve", "", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "message string")
+    fields = [(p, pattern, n, i + 1) for p, pattern, n in AUTH_GROUPS for i in range(n)]
+    guarded = with_auth_matches(rows, F.col("message")).select("message", *[group_at(F.col("_m")[p], i).alias(f"{p}{i}") for p, _, _, i in fields])
+    plain = rows.select("message", *[group_at(regex_split(F.col("message"), pattern, n), i).alias(f"{p}{i}") for p, pattern, n, i in fields])
+    assert sorted(map(str, guarded.collect())) == sorted(map(str, plain.collect()))
+
+    lines = lines_df(spark, ["Mar  1 10:00:00 web01 app[1]: " + "x" * 60_000 + str(i) for i in range(64)])
+    start = time.monotonic()
+    assert parse_auth(lines, year=2024).agg(F.sum(F.length("message"))).first()[0] > 64 * 60_000
+    got = parse_auth(lines, year=2024).select("parsed_fields").collect()
+    assert time.monotonic() - start < 40
+    assert all(set(r[0]) == {"process", "pid"} for r in got)

@@ -171,3 +171,15 @@ def test_a_backlog_of_months_needs_few_calls_to_the_state(batches):
                 want[tie] = n
     assert want and fired == want
     assert sum(h.calls for h in handles) < len(rows) / 2  # one value for each time took several for each row
+
+
+def test_a_bucket_of_a_backlog_keeps_few_panes():
+    """2,300 matches over 139 days, as a bucket holds of 6 million events: panes are not cut at a day while they hold few rows."""
+    p, handle, timer = WaitingMatches(), Counting(), SimpleNamespace(getCurrentWatermarkInMs=lambda: 0)
+    p.init(handle)
+    step = 139 * 86_400_000_000 // 2300
+    df = pd.DataFrame([("k", i * step, f"{i}", f"row {i}", None) for i in range(2300)]
+                      + [("k", i * step, None, None, 4) for i in range(0, 2300, 3)], columns=["group_key", "ev_us", "ev_tie", "ev_row", "before"])
+    fired = [t for out in p.handleInputRows((1, 7), iter([df.assign(th_need=5)]), timer) for t in out["ev_tie"]]
+    assert sorted(fired, key=int) == [f"{i}" for i in range(0, 2300, 3)]
+    assert handle.calls < 60 and len(handle.timers) < 30

@@ -27,8 +27,9 @@ _STRIP = r"(?U)^" + _WS + r"+|" + _WS + r"+$"
 
 
 def ustrip(c: Column) -> Column:
-    """Strip Unicode whitespace at both ends (Python ``str.strip``)."""
-    return F.regexp_replace(c, _STRIP, "")
+    """Strip Unicode whitespace at both ends (Python ``str.strip``); text that begins and ends with visible ASCII is not searched."""
+    tight = F.substring(c, 1, 1).between("!", "~") & F.substring(c, -1, 1).between("!", "~")
+    return F.when(tight, c).otherwise(F.regexp_replace(c, _STRIP, ""))
 
 
 def py_regex(pattern: str, ignore_case: bool = False) -> str:

@@ -73,10 +73,8 @@ def normalize(df: DataFrame) -> DataFrame:
     # later filter on the enriched fields cannot re-run the regexes.
     found = F.struct(
         extract_ips(msg).alias("ips"),
-        F.when(~map_present(pf, "user"),
-               F.nullif(F.regexp_extract(msg, py_regex(USER_IN_TEXT, True), 1), F.lit(""))).alias("user"),
-        F.when(~map_present(pf, "process"),
-               F.nullif(F.regexp_extract(msg, py_regex(PROCESS_PREFIX), 1), F.lit(""))).alias("process"),
+        F.when(~map_present(pf, "user"), F.regexp_extract(msg, py_regex(USER_IN_TEXT, True), 1)).alias("user"),
+        F.when(~map_present(pf, "process"), F.regexp_extract(msg, py_regex(PROCESS_PREFIX), 1)).alias("process"),
     )
     d = generated(df.select("*", found.alias("_nz_all")), "_nz_all", None, "_nz")
     d = d.withColumn("_ips", F.col("_nz.ips"))
@@ -87,8 +85,8 @@ def normalize(df: DataFrame) -> DataFrame:
     add = F.map_filter(
         F.create_map(
             F.lit("src_ip"), F.when(has & ~map_present(pf, "src_ip"), F.get(F.col("_ips"), 0)),
-            F.lit("user"), F.col("_nz.user"),
-            F.lit("process"), F.col("_nz.process"),
+            F.lit("user"), F.nullif(F.col("_nz.user"), F.lit("")),  # here, as nullif in the branch above would run the regex twice
+            F.lit("process"), F.nullif(F.col("_nz.process"), F.lit("")),
         ),
         lambda k, v: v.isNotNull(),
     )

@@ -731,10 +731,8 @@ SELECT rule_id, count(*) AS alerts, count(*) AS with_event, count(DISTINCT alert
 def live_pipeline(spark, sf):
     """A4 and P1: files of the view's lines are followed, stored, detected on and their alerts stored; each alert joins its event."""
     base = f"{ensure_checkpoint_dir(spark)}/live-{uuid.uuid4().hex}"
-    lines = derived.log_lines(spark, sf)
-    for kind in ("syslog", "auth"):
-        lines.where(F.col("source") == kind).select("value").write.text(f"{base}/in/{kind}")
-    sources = [live_source(spark, f"{base}/in/{kind}", kind, year=derived.LOG_YEAR, now=derived.FALLBACK) for kind in ("syslog", "auth")]
+    derived.log_lines(spark, sf).select("source", "value").write.partitionBy("source").text(f"{base}/in")  # the lines are built once
+    sources = [live_source(spark, f"{base}/in/source={kind}", kind, year=derived.LOG_YEAR, now=derived.FALLBACK) for kind in ("syslog", "auth")]
     to_end(start_live(spark, sources, f"{base}/events", f"{base}/alerts", f"{base}/state", watermark="7 days", trigger_seconds=0))
     j = Q.alerts_with_events(read_alerts(spark, f"{base}/alerts"), spark.read.schema(stored_schema(STORED_EVENT)).parquet(f"{base}/events"))
     return j.groupBy("rule_id").agg(F.count(F.lit(1)).alias("alerts"), F.count("ev_id").alias("with_event"), F.count_distinct("id").alias("ids"))

@@ -74,13 +74,16 @@ def parse_syslog(df: DataFrame, line: str = "value", source: str | Column = "sys
 
 AUTH_GROUPS = [  # (column prefix, pattern, number of groups)
     ("f", FAILED_SSH, 3), ("a", ACCEPTED_SSH, 3), ("s", SUDO, 4), ("add", USER_ADD, 1), ("del", USER_DEL, 1)]
+# A text that every match of the pattern holds. Lines without it are not searched: a pattern is tried at each place of a line, and
+# the sudo one reads on to the end of a word from each.
+AUTH_TEXTS = {"f": "Failed password for ", "a": "Accepted ", "s": "TTY=", "add": "new user: name=", "del": "delete user '"}
 
 
 def with_auth_matches(df: DataFrame, message: Column, only=None) -> DataFrame:
-    """Each auth pattern evaluated once per row (only where ``only`` holds),
+    """Each auth pattern evaluated at most once per row (only where ``only`` holds and its text occurs),
     as a struct ``_m`` of match arrays that is an explode output, so later
     filters on auth fields cannot re-run the regexes."""
-    arrays = [regex_split(message, pattern, n) for _, pattern, n in AUTH_GROUPS]
+    arrays = [F.when(message.contains(AUTH_TEXTS[prefix]), regex_split(message, pattern, n)) for prefix, pattern, n in AUTH_GROUPS]
     if only is not None:
         arrays = [F.when(only, a) for a in arrays]
     m = F.struct(*[a.alias(prefix) for a, (prefix, _, _) in zip(arrays, AUTH_GROUPS)])

@@ -53,7 +53,7 @@ def _watermark_us(timer_values: TimerValues) -> int:
 
 
 LEAST_PANE = 1_000_000       # microseconds
-LONGEST_PANE = 86_400_000_000
+LONGEST_PANE = 16 * 86_400_000_000
 PANE_ROWS = 4096             # what a pane of a backlog is to hold
 BUCKETS = 512                # groups of the second stage for each rule
 
